@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, mixing, sharding, url_filter
+from quire.llm import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, neighbours, sharding, toxicity, url_filter
 
-MODULES = (mixing, url_filter, exact_dedup, sharding)
+MODULES = (toxicity, bpe, neighbours, mixing, language_id, url_filter, html_extract, exact_dedup, near_dedup, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
