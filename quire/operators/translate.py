@@ -68,15 +68,17 @@ def regrouped(sources: DataFrame, fragments: DataFrame) -> DataFrame:
 
     def place(lines: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         rows, at = [], 0
+        columns = {"batch": "int32", "line_no": "int32", "translated": "object"}
+        nothing = pd.DataFrame({c: pd.Series(dtype=t) for c, t in columns.items()})
         parts = parts.sort_values("seq").reset_index(drop=True)
         for s in lines.sort_values("line_no").itertuples(index=False):
             src, dst = "", ""
             while at < len(parts) and src != s.line and s.line.startswith(src + parts["src"][at]):
                 src, dst, at = src + parts["src"][at], dst + parts["dst"][at], at + 1
             if src != s.line:
-                return pd.DataFrame({"batch": [], "line_no": [], "translated": []})
+                return nothing
             rows.append((s.batch, s.line_no, dst))
-        return pd.DataFrame(rows if at == len(parts) else [], columns=["batch", "line_no", "translated"])
+        return pd.DataFrame(rows, columns=list(columns)) if rows and at == len(parts) else nothing
 
     pairs = sources.select("batch", "line_no", "line").groupBy("batch").cogroup(fragments.select("batch", "seq", "src", "dst").groupBy("batch"))
     return pairs.applyInPandas(place, "batch int, line_no int, translated string")
