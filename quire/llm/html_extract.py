@@ -130,7 +130,9 @@ class Weights:
     def of(self, run: Run) -> float:
         if run.text is None:
             return self.tag.get(run.name, self.tag.get("", 0.0))
-        return max(-3.0, min(1.0, self.of_word(run.features))) * run.words
+        word = self.of_word(run.features)
+        # A text below 0 costs little however long it is: an advert inside an article must not cut off the article's end.
+        return min(1.0, word) * run.words if word > 0 else max(-0.5, word * run.words)
 
 
 def region(scores: list[float]) -> tuple[int, int]:
