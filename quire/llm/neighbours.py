@@ -203,7 +203,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
 
     def best(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(lists) or not len(queries):
-            return pd.DataFrame({"qkey": [], "key": [], "score": []})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("qkey", "object"), ("key", "object"), ("score", "float64"))})
         x, q = np.stack(lists["v"].to_numpy()).astype(np.float64), np.stack(queries["q"].to_numpy()).astype(np.float64)
         keys, out = lists["key"].to_numpy(), []
         for i in range(0, len(q), 256):
