@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.operators import compose as C
 from quire.operators import diff as T
 from quire.operators import edits as E
 from quire.operators import lines as L
@@ -44,6 +45,11 @@ def nested(s, d):
     return table(s, d, "conversations").select(F.col("conv_id").alias("toc"), F.col("turn").alias("seq"), (1 + F.length("text") % 3).alias("level"))
 
 
+def headings(s, d):
+    """The beginning of each page as a heading of its book."""
+    return pages(s, d).select("book_id", F.col("page_no").alias("line_no"), F.left("text", F.lit(40)).alias("title"), "doc_id")
+
+
 def layer(s, d):
     return table(s, d, "benchmark").select("item_id", "text")
 
@@ -80,6 +86,12 @@ QUERIES = {
     "drop_furniture": lambda s, d: docs(s, d).select("doc_id", F.sha2(T.drop_furniture(F.col("text")), 256).alias("digest")),
     "guarded_replace": lambda s, d: E.guarded_replace(docs(s, d), "thing", "THING", 2).select("doc_id", "hits", "status", F.sha2("new_text", 256).alias("digest")),
     "image_dedup": lambda s, d: K.image_choice(table(s, d, "documents").select(F.concat("source", F.lit(".png")).alias("name"), F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("ord"))).select("ord", "stored_as"),
+    "packed_chapters": lambda s, d: C.packed_chapters(pages(s, d).select("book_id", F.col("page_no").alias("seq"), (F.col("doc_id") % 9 + 1).alias("n_pages")), 20),
+    "outline_lines": lambda s, d: C.outline_lines(headings(s, d).where("doc_id % 3 <> 0").select("book_id", F.col("line_no").alias("seq"), "title"), headings(s, d).select("book_id", "line_no", "title")),
+    "rendered_blocks": lambda s, d: C.rendered_blocks(L.blocks(kinds(s, d)), kinds(s, d)).select("doc_id", "start_line", F.sha2("html", 256).alias("digest")),
+    "chapters": lambda s, d: C.chapters(C.rendered_blocks(L.blocks(kinds(s, d)), kinds(s, d)), docs(s, d).select("doc_id", F.left("text", F.lit(30)).alias("title"))).select("doc_id", F.length("xhtml").alias("n_chars")),
+    "toc_levels": lambda s, d: C.toc_levels(nested(s, d).withColumn("part_level", F.col("toc") % 2 + 1)),
+    "inline_markup": lambda s, d: docs(s, d).select("doc_id", F.sha2(C.inline(F.left("text", F.lit(400))), 256).alias("digest")),
     "fingerprint": lambda s, d: table(s, d, "documents").select("doc_id", S.fingerprint(["doc_id", "lang", "source"]).alias("fingerprint")),
 }
 
@@ -127,5 +139,8 @@ SQL = {
     "drop_furniture": "WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), f AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: trim(l[i]) <> '') AS full_ FROM l) SELECT doc_id, sha256(CASE WHEN len(full_) < 3 THEN text ELSE array_to_string(l[full_[1] + 1 : full_[-1] - 1], chr(10)) END) AS digest FROM f",
     "guarded_replace": "SELECT doc_id, len(regexp_extract_all(text, 'thing')) AS hits, CASE len(regexp_extract_all(text, 'thing')) WHEN 0 THEN 'skipped' WHEN 2 THEN 'applied' ELSE 'refused' END AS status, sha256(CASE WHEN len(regexp_extract_all(text, 'thing')) = 2 THEN replace(text, 'thing', 'THING') ELSE text END) AS digest FROM documents",
     "image_dedup": "WITH i AS (SELECT source || '.png' AS name, source, sha256(text) AS digest, doc_id AS ord FROM documents), g AS (SELECT name, source, digest, min(ord) AS o FROM i GROUP BY name, source, digest), f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o) AS nth FROM g) SELECT ord, CASE WHEN nth = 1 THEN f.name ELSE f.source || '_' || nth || '.png' END AS stored_as FROM i JOIN f USING (name, digest)",
+    "packed_chapters": f"WITH RECURSIVE {BP}, c AS (SELECT book_id, page_no AS seq, doc_id % 9 + 1 AS n FROM bp), f AS (SELECT book_id, seq, 0 AS part, n AS used FROM c WHERE seq = 1 UNION ALL SELECT c.book_id, c.seq, part + (used + n > 20)::INT, CASE WHEN used + n > 20 THEN n ELSE used + n END FROM f JOIN c ON c.book_id = f.book_id AND c.seq = f.seq + 1) SELECT book_id, seq, part FROM f",
+    "toc_levels": "SELECT conv_id AS toc, turn AS seq, 1 + length(text) % 3 AS level, conv_id % 2 + 1 AS part_level, conv_id % 2 + 1 + length(text) % 3 AS book_level FROM conversations",
+    "inline_markup": "WITH t AS (SELECT doc_id, regexp_replace(replace(replace(replace(left(text, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`([^`]+)`', '<code>\\1</code>', 'g') AS c, len(regexp_extract_all(left(text, 400), '\\$')) AS n FROM documents) SELECT doc_id, sha256(CASE WHEN n % 2 = 0 THEN regexp_replace(c, '\\$([^$]+)\\$', '<code class=\"math\">\\1</code>', 'g') ELSE c END) AS digest FROM t",
     "fingerprint": "SELECT doc_id, left(sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}'), 16) AS fingerprint FROM documents",
 }
