@@ -5,12 +5,12 @@ the probability of their Jaccard similarity. Signatures are cut into CHUNKS chun
 DISTANCE positions, some chunk differs at no more than DISTANCE // CHUNKS = 1 position (pigeonhole), so both have the same
 key when each chunk is written once for each position left out: these keys enumerate the allowed chunk errors, and an
 equal join of keys meets every pair within DISTANCE. Pairs farther apart that share a key are looked at as well, up to FAR,
-so a pair of similarity 0.8 escapes with a probability of about 0.00003. Every link is confirmed on the full shingle sets.
+so a pair of similarity 0.8 escapes with a probability of about 0.0002, and one of 0.85 with 0.00001. Every link is confirmed on the full shingle sets.
 
 Documents with equal sets are one node from the start. A key's documents don't meet pairwise: first each is compared with
 the key's least document; then, only in keys whose documents are not yet in one component, further documents in turn are
-compared with those of other components, more in each round, until every pair of a key is confirmed, refuted, or
-in one component. So no link between components is lost, there is no cap, and a group of n near copies costs n comparisons.
+compared with those of other components and of like set size, more in each round, until every pair of a key is confirmed,
+refuted, or in one component. Signatures are compared in the join, so that only close pairs leave it. So no link between components is lost, there is no cap, and a group of n near copies costs n comparisons.
 
 Words are maximal runs of other characters than ``[\\x20\\x09-\\x0D]``, with A-Z lower-cased. A document with fewer words
 than a shingle has one shingle, all its words. A null, empty or blank text has none and is linked with nothing. A null id
@@ -26,18 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import ship, stored, table
 from quire.llm.components import components
 
-POSITIONS, CHUNKS, BITS = 40, 8, 16
+POSITIONS, CHUNKS, BITS = 48, 8, 16
 WIDTH = POSITIONS // CHUNKS
 #: Signature distance up to which pairs are certain to share a key, and up to which pairs that do are compared.
 DISTANCE, FAR = 2 * CHUNKS - 1, 21
-#: Documents of a key that are compared with its others in the first round after the least one; four times more in each next.
-PIVOTS = 16
+#: Documents of a key that are compared with its others in the first round after the least one; eight times more in each next.
+PIVOTS = 64
 #: Words that a worker remembers with their hashes before it starts anew.
 CACHE = 300_000
 
@@ -152,15 +152,21 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "symbols").mapInArrow(run, "key long, id long")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) those whose full sets have 100 * intersection >= percent * union.
+def _differ(a: str, b: str) -> Column:
+    """The number of positions at which two signatures differ."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
 
-    Far signatures and set sizes that rule a link out are sorted out first. Sets are made of the texts that are left only.
+
+def _like(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can reach the similarity at all."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def confirmed(close: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b, na, nb), those whose full sets have 100 * intersection >= percent * union.
+
+    Sets are made of the texts of the pairs' documents only, and once for each.
     """
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("symbols").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    differ = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x != y), lambda x: x))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(differ <= FAR)
-    close = stored(close.select("a", "b", "na", "nb"), "close")
     wanted = stored(close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct(), "wanted")
     sets = stored(_sets(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), size), "sets")
     both = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("seta")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("setb")), "b")
@@ -180,26 +186,33 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     members = _keyed(nodes)
     shared = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("many")).where("many > 1")
     buckets = stored(members.join(shared, "key").where("id <> pivot"), "buckets")
-    pairs = stored(buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(confirmed(pairs, nodes, texts, size, percent), "links")
-    group = stored(components(links), "components")
-    tried, rest, pivots = pairs, buckets.where("many > 2").select("key", "id"), PIVOTS
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("symbols").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    pairs = buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    tried = stored(pairs.where(_like("na", "nb", percent)).where(_differ("sa", "sb") <= FAR).select("a", "b", "na", "nb"), "pairs")
+    group = stored(components(confirmed(tried, texts, size, percent)), "components")
+    # What is left to compare: keys with several documents beside the least one, parted by set size. Sets that can be
+    # similar have sizes in the same class or in neighbouring ones, so each document stands in its own class and the next.
+    step = F.floor(F.log(100.0001 / percent, F.col("n"))).cast("int")
+    parted = buckets.where("many > 2").select("key", "id").join(nodes.select("id", "n"), "id")
+    rest, pivots = parted.select("key", "id", "n", F.explode(F.array(step, step + 1)).alias("class")), PIVOTS
+    keys = ["key", "class"]
     while True:
-        # Keys whose documents, beside those compared with all others already, are in several components.
-        at = rest.join(group, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("in"))
-        open_ = at.groupBy("key").agg(F.min("in").alias("x"), F.max("in").alias("y")).where("x <> y").select("key")
-        rest = stored(at.join(open_, "key", "left_semi"), "open")
+        at = rest.join(group, F.col("id") == F.col("node"), "left").select(*keys, "id", "n", F.coalesce("component", "id").alias("in"))
+        open_ = at.groupBy(*keys).agg(F.min("in").alias("x"), F.max("in").alias("y")).where("x <> y").select(*keys)
+        rest = stored(at.join(open_, keys, "left_semi").join(nodes.select("id", "symbols"), "id"), "open")
         if rest.isEmpty():
             break
-        few = rest.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("nth") <= pivots).drop("nth")
-        p = few.select("key", F.col("id").alias("p"), F.col("in").alias("pin"))
-        pairs = p.join(rest, "key").where("pin <> in").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = stored(confirmed(pairs, nodes, texts, size, percent), "links")
-        group = stored(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "components")
-        tried = tried.unionAll(pairs)
-        rest = rest.select("key", "id").join(few.select("key", "id"), ["key", "id"], "left_anti")
-        pivots *= 4
+        few = rest.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("nth") <= pivots).drop("nth")
+        p = few.select(*keys, F.col("id").alias("p"), F.col("in").alias("pin"), F.col("n").alias("pn"), F.col("symbols").alias("ps"))
+        close = p.join(rest, (p["key"] == rest["key"]) & (p["class"] == rest["class"]) & (F.col("pin") != F.col("in")) & _like("pn", "n", percent) & (_differ("ps", "symbols") <= FAR))
+        ordered = F.when(F.col("p") < F.col("id"), F.struct(F.col("p").alias("a"), F.col("id").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"))).otherwise(F.struct(F.col("id").alias("a"), F.col("p").alias("b"), F.col("n").alias("na"), F.col("pn").alias("nb")))
+        fresh = stored(close.select(ordered.alias("x")).select("x.*").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            links = confirmed(fresh, texts, size, percent)
+            group = stored(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "components")
+            tried = tried.unionAll(fresh)
+        rest = rest.select(*keys, "id", "n").join(few.select(*keys, "id"), [*keys, "id"], "left_anti")
+        pivots *= 8
 
     node = nodes.select("same", F.col("id").alias("node_id")).join(group, F.col("node_id") == F.col("node"), "left")
     node = node.select(F.col("same").alias("__same"), F.coalesce("component", "node_id").alias("__component"))
