@@ -132,6 +132,11 @@ def _plan(sized: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFram
         order = by.orderBy("__hash", "__id") if i == 0 else by.orderBy(F.desc("words"), "__hash", "__id")
         few = few.withColumn("upto", F.sum(F.when(fits, F.col("words")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         few = few.withColumn("taken", F.col("taken") | (fits & (F.col("upto") <= F.col("open"))))
+    # Nothing that is left fits; the document that comes nearest goes over the target if that is nearer than staying below.
+    few = few.withColumn("open", F.col("room") - F.sum(F.when(F.col("taken"), F.col("words")).otherwise(0)).over(by))
+    over = F.abs(F.col("open") - F.col("words"))
+    few = few.withColumn("nth", F.row_number().over(by.orderBy("taken", over, "__hash", "__id")))
+    few = few.withColumn("taken", F.col("taken") | ((F.col("nth") == 1) & (over < F.col("open"))))
     chosen = stored(few.where("taken").select(F.col("no").alias("__no"), F.col("__id").alias("__cid"), F.col("__hash").alias("__chash")), "last-blocks")
     return plan, chosen
 
