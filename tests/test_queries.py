@@ -20,7 +20,7 @@ def db():
 
 def tidy(df: pd.DataFrame) -> pd.DataFrame:
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and pd.isna(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and pd.isna(v)):
             return "null"
         return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
