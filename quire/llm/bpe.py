@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from quire.llm.common import ship, table
 
-#: Words, and fragments, that a worker remembers before it starts anew.
-CACHE = 200_000
+#: Words, and fragments, of a generation that a worker remembers.
+CACHE = 150_000
 #: Characters of text that are encoded before a batch is handed back.
 SLICE_CHARS = 1_000_000
 #: White space that str.split doesn't share with the tokenizer's patterns.
@@ -68,6 +68,7 @@ class Codec:
         self.symbols = byte_symbols()
         self.inside = {pair for token in self.vocab for t in [self._split(token)] for pair in zip(t, t[1:], strict=False)}
         self.known_chunks: dict[str, tuple[int, ...]] = {}
+        self.older_chunks: dict[str, tuple[int, ...]] = {}
         self.known_fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
 
     def _split(self, token: str) -> list[str]:
@@ -79,22 +80,29 @@ class Codec:
 
     def fragments(self, word: str) -> list[tuple[str, ...]]:
         """The symbols of a word, cut at the pairs that no vocabulary token has inside."""
-        s = [self.symbols[b] for b in word.encode()]
+        symbols, inside = self.symbols, self.inside
+        s = [symbols[b] for b in word.encode()]
         s[-1] += self.end
-        cuts = [0, *(i for i in range(1, len(s)) if (s[i - 1], s[i]) not in self.inside), len(s)]
-        return [tuple(s[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        cuts = [i for i, pair in enumerate(zip(s, s[1:], strict=False), 1) if pair not in inside]
+        if not cuts:
+            return [tuple(s)]
+        return [tuple(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]
 
     def merge(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
         """The ids of a fragment: always the merge of least rank, the leftmost of equal ones."""
         if len(symbols) >= LONG:
             return self._merge_long(symbols)
-        s, ranks = list(symbols), self.ranks
-        while len(s) > 1:
-            rank, at = min((ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(s, s[1:], strict=False)))
-            if rank == 1 << 30:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
-        return tuple(self.vocab[x] for x in s if x in self.vocab)
+        s, get, never = list(symbols), self.ranks.get, 1 << 30
+        ranks = [get(pair, never) for pair in zip(s, s[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            at = ranks.index(least)
+            s[at] += s.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((s[at - 1], s[at]), never)
+            if at < len(ranks):
+                ranks[at] = get((s[at], s[at + 1]), never)
+        return tuple([self.vocab[x] for x in s if x in self.vocab])
 
     def _merge_long(self, symbols: tuple[str, ...]) -> tuple[int, ...]:
         s: list[str | None] = list(symbols)
@@ -128,10 +136,14 @@ class Codec:
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of a piece without white space."""
-        found = tuple(chain.from_iterable(self._fragment(f) for w in self.words.findall(chunk) for f in self.fragments(w)))
+        found = self.older_chunks.get(chunk)
+        if found is None:
+            # A run of ASCII letters is one word; other pieces are left to the tokenizer's pattern.
+            words = [chunk] if chunk.isascii() and chunk.isalpha() else self.words.findall(chunk)
+            found = tuple(chain.from_iterable([self._fragment(f) for w in words for f in self.fragments(w)]))
         if len(chunk) < LONG:
-            if len(self.known_chunks) >= CACHE:
-                self.known_chunks.clear()
+            if len(self.known_chunks) >= CACHE:  # words that come up again move on to the next generation
+                self.older_chunks, self.known_chunks = self.known_chunks, {}
             self.known_chunks[chunk] = found
         return found
 
