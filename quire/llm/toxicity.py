@@ -102,11 +102,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, ep
     if len(rows) == 0:
         return Machine(-0.01, w, v)
     n = len(rows)
-    counts = np.bincount(np.concatenate(rows), minlength=size)
+    counts = np.zeros(size, np.int64)
+    for at in range(0, n, 500):
+        counts += np.bincount(np.concatenate(rows[at : at + 500]), minlength=size)
     kept = np.flatnonzero(counts >= max(LEAST_DOCS, n // 400))
     k = len(kept)
-    dense = np.full(size, -1)
-    dense[kept] = np.arange(k)
+    dense = np.full(size, -1, np.int32)
+    dense[kept] = np.arange(k, dtype=np.int32)
     rows = [(d := dense[r])[d >= 0] for r in rows]
     rng = np.random.default_rng(seed)
     l1, l2 = 0.06 / n**0.5, 0.01
@@ -155,10 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
     ids = docs.select(F.col(id_col).alias("__id")).join(known, "__id").dropDuplicates(["__id"])
     chosen = hash_sample(ids, F.col("__id"), sample)  # at most sample pairs of numbers, so small enough to broadcast
-    hashed = F.pandas_udf(lambda texts: pd.Series([slots_of(t) for t in texts], dtype="object"), "array<int>")
+    # Bytes, since a list of Python integers would take the driver ten times the memory.
+    hashed = F.pandas_udf(lambda texts: pd.Series([np.asarray(slots_of(t), np.int32).tobytes() for t in texts], dtype="object"), "binary")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
     got = rows.select("__id", "__label", hashed("__text").alias("slots")).toPandas().sort_values("__id", kind="stable").drop_duplicates("__id")
-    return train([np.asarray(s, np.int64) for s in got["slots"]], got["__label"].to_numpy(np.float64))
+    return train([np.frombuffer(s, np.int32) for s in got["slots"]], got["__label"].to_numpy(np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
