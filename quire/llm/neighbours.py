@@ -2,9 +2,10 @@
 
 Centroids come from a bounded, hash-chosen sample of the vectors, by halving: each set is cut at the median of its
 projection on the line between two far centres, so lists are equally long. All vectors are then assigned: a vector near a
-boundary is put into several lists. Centroids are searched with a graph that links each to its nearest ones, by best-first
-search; it lies in memory, broadcast, at most LISTS x (dimensions + LINKS) numbers. A query reads the lists whose centroid is
-at most RATIO times as far as its nearest one. Lists meet queries by an equal join of list and block: long lists are cut into
+boundary is put into several lists. For that, centroids are searched with a graph that links each to its nearest ones, by
+best-first search; it lies in memory, broadcast, at most LISTS x (dimensions + LINKS) numbers. A query is compared with every
+centroid and reads all lists whose centroid is at most RATIO times as far as its nearest one, however many these are: where
+distances differ little (many dimensions, no clusters) that is nearly every list. Lists meet queries by an equal join of list and block: long lists are cut into
 blocks of bounded size, and so are the queries of a list. Distances are exact, in double precision, on original vectors.
 
 Copies of a vector are searched as one: of equal vectors only the k + 1 smallest ids can appear in a result, and equal
@@ -139,22 +140,30 @@ def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, lists: int | None = No
     return Graph.of(balanced_centroids(x, lists or int(min(LISTS, max(1, n // LIST_SIZE), len(x)))))
 
 
-def _assigned(df: DataFrame, graph, ratio: float, most: int, id_type: str) -> DataFrame:
-    """Rows (list, key, v) of rows (key, v): each vector with the lists it belongs to or asks."""
+def _assigned(df: DataFrame, graph, ratio: float, most: int | None, id_type: str) -> DataFrame:
+    """Rows (list, key, v) of rows (key, v): each vector with the lists it belongs to or asks.
+
+    At most `most` of the lists that the graph finds; without most, all lists within the ratio.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Graph(*graph.value)
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, len(batch), 256 if most is None else 2048):
+                part = batch.slice(at, 256 if most is None else 2048)
                 v = part.column(1)
                 x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
-                ids, d = g.search(x)
-                near = d <= ratio * d[:, :1]
-                near[:, most:] = False
-                rows, cols = np.nonzero(near)
+                if most is None:
+                    d = np.sqrt(_squares(x, g.centroids))
+                    rows, found = np.nonzero(d <= ratio * d.min(axis=1, keepdims=True))
+                else:
+                    ids, d = g.search(x)
+                    near = d <= ratio * d[:, :1]
+                    near[:, most:] = False
+                    rows, cols = np.nonzero(near)
+                    found = ids[rows, cols]
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows, cols].astype(np.int32)), part.column(0).take(take), v.take(take)], names=["list", "key", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), part.column(0).take(take), v.take(take)], names=["list", "key", "v"])
 
     return df.select("key", "v").mapInArrow(run, f"list int, key {id_type}, v array<float>")
 
@@ -191,7 +200,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     shared = spark.sparkContext.broadcast((graph.centroids, graph.links))
 
     posted = stored(_assigned(distinct, shared, NEAR, COPIES, "binary"), "lists")
-    asking = _assigned(distinct.join(asked.select("key").distinct(), "key", "left_semi"), shared, ratio, BEAM, "binary")
+    asking = _assigned(distinct.join(asked.select("key").distinct(), "key", "left_semi"), shared, ratio, None, "binary")
     asking = stored(asking.withColumnRenamed("key", "qkey").withColumnRenamed("v", "q"), "asking")
     # Long lists are cut into blocks, and the queries of a list into groups; one row for each list is broadcast.
     part = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))

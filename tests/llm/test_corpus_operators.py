@@ -252,3 +252,14 @@ def test_neighbours_of_odd_vectors(spark):
     few = df.where("vec_id < 4 or vec_id = 2000")
     assert neighbours.search(few, lambda i: i == 0).toPandas().vec_id.nunique() == 3
     assert neighbours.search(df.limit(0), lambda i: i == 0).count() == 0
+
+
+def test_neighbours_recall_with_hundreds_of_lists(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = neighbours.search(df, lambda i: i % 100 == 0, lists=200).toPandas()
+    want = brute_neighbours(list(range(3000)), x.astype(float), list(range(0, 3000, 100)), 10)
+    hit = sum(len({i for _, i in w} & set(out[out.query_id == q].vec_id)) for q, w in want.items())
+    assert hit >= 0.98 * 10 * len(want)
