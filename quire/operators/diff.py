@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
 from collections.abc import Iterator
+from difflib import Match, SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,39 +55,139 @@ def drop_furniture(text: Column) -> Column:
     return F.when(F.size(full) < 3, text).otherwise(F.array_join(kept, "\n"))
 
 
+#: Quotes, dashes, ligatures and blanks of text layers, as the reference maps them.
+SAME = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u00ad": "", "\u00a0": "", "\ufb01": "fi", "\ufb02": "fl", "\u2026": "..."}
+#: Common runs up to this length are found by sets of substrings, longer ones by an automaton.
+SHORT = 64
+
+
+def normalised(text: str) -> tuple[str, list[int], str]:
+    """The text without tags, entities, white space and case, where its characters stand in the plain text, and that.
+
+    Both sides of a comparison are normalised, since white space, quotes and dashes differ between layers everywhere.
+    """
+    plain = html.unescape(re.sub(r"<[^>]+>", " ", text))
+    out, at = [], []
+    for i, c in enumerate(plain):
+        if not c.isspace():
+            for x in unicodedata.normalize("NFKC", SAME.get(c, c)).lower():
+                if not x.isspace():
+                    out.append(x)
+                    at.append(i)
+    return "".join(out), at, plain
+
+
+def _automaton(a: str, b: str) -> tuple[int, int, int]:
+    """longest_common by b's suffix automaton, in time that grows with the lengths only."""
+    nexts, link, size, first, last = [{}], [-1], [0], [0], 0
+    for j, c in enumerate(b):
+        cur, p = len(size), last
+        nexts.append({})
+        size.append(j + 1)
+        first.append(j)
+        link.append(0)
+        while p >= 0 and c not in nexts[p]:
+            nexts[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = nexts[p][c]
+            if size[q] == size[p] + 1:
+                link[cur] = q
+            else:
+                clone = len(size)
+                nexts.append(nexts[q].copy())
+                size.append(size[p] + 1)
+                first.append(first[q])
+                link.append(link[q])
+                while p >= 0 and nexts[p].get(c) == q:
+                    nexts[p][c] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    best, state, n = (0, 0, 0), 0, 0
+    for i, c in enumerate(a):
+        while state and c not in nexts[state]:
+            state = link[state]
+            n = size[state]
+        if c in nexts[state]:
+            state, n = nexts[state][c], n + 1
+        if n > best[2]:
+            best = (i + 1 - n, first[state] + 1 - n, n)
+    return best
+
+
+def longest_common(a: str, b: str) -> tuple[int, int, int]:
+    """(i, j, n): the longest run a[i:i+n] == b[j:j+n], the first in a, then the first in b; n is 0 if there is none."""
+
+    def parts(text: str, k: int):
+        return (text[i : i + k] for i in range(len(text) - k + 1))
+
+    def common(k: int) -> bool:
+        return k <= len(a) and k <= len(b) and not set(parts(b, k)).isdisjoint(parts(a, k))
+
+    if not common(1):
+        return 0, 0, 0
+    low = 1
+    while common(2 * low):
+        low *= 2
+        if low == SHORT:
+            return _automaton(a, b)
+    high = 2 * low
+    while high - low > 1:
+        k = (low + high) // 2
+        low, high = (k, high) if common(k) else (low, k)
+    of_b = set(parts(b, low))
+    i = next(i for i, x in enumerate(parts(a, low)) if x in of_b)
+    return i, b.index(a[i : i + low]), low
+
+
+class Matcher(SequenceMatcher):
+    """difflib's matcher with the same results on strings, whose search doesn't grow with the product of the lengths."""
+
+    def __init__(self, a: str, b: str):
+        super().__init__(None, a, b, autojunk=False)
+
+    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None) -> Match:
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        i, j, n = longest_common(self.a[alo:ahi], self.b[blo:bhi])
+        return Match(alo + i, blo + j, n)
+
+
 def mostly_present(block: str, other: str) -> bool:
     """Whether other has the block, or 80 % of its characters in order."""
-    from difflib import SequenceMatcher
-
     if block in other:
         return True
-    m = SequenceMatcher(None, block, other, autojunk=False)
+    m = Matcher(block, other)
     if 0.8 * len(block) > len(other):
         return m.find_longest_match().size >= 0.8 * len(block)
     return sum(b.size for b in m.get_matching_blocks()) >= 0.8 * len(block)
 
 
 def page_diffs(left: str, right: str, least: int = 30) -> list[tuple[str, int, str]]:
-    """(direction, letters, snippet) of runs of at least least letters or digits that one side has and the other lacks."""
-    from difflib import SequenceMatcher
+    """(direction, letters, snippet) of runs of at least least letters or digits that one side has and the other lacks.
 
+    Texts are compared whole and normalised; a snippet is the beginning of the run as its text has it.
+    """
+    (a, a_at, a_plain), (b, b_at, b_plain) = normalised(left), normalised(right)
+    count = lambda x: sum(map(str.isalnum, x))
+    if a == b or max(count(a), count(b)) < least:
+        return []
     rows = []
-    for op, a0, a1, b0, b1 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        for direction, run, other in (("left_only", left[a0:a1], right), ("right_only", right[b0:b1], left)):
-            n = sum(map(str.isalnum, run))
+    for op, a0, a1, b0, b1 in Matcher(a, b).get_opcodes():
+        for direction, run, other, at, plain, start in (("left_only", a[a0:a1], b, a_at, a_plain, a0), ("right_only", b[b0:b1], a, b_at, b_plain, b0)):
+            n = count(run)
             if op != "equal" and n >= least and not mostly_present(run, other):
-                rows.append((direction, n, run[:120]))
+                rows.append((direction, n, " ".join(plain[at[start] : at[start + len(run) - 1] + 1].split())[:120]))
     return rows
 
 
 def layer_diff(pairs: DataFrame, least: int = 30) -> DataFrame:
-    """(page_no, direction, letters, snippet) of pairs (page_no, left, right) of normalised texts.
+    """(page_no, direction, letters, snippet) of pairs (page_no, left, right) of whole texts, which are normalised here.
 
-    Equal pairs, and pairs in which neither side has enough letters, are sorted out before the Python function.
+    Equal pairs are sorted out before the Python function.
     """
     ship(pairs.sparkSession)
-    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    few = pairs.where("left <> right").where((letters("left") >= least) | (letters("right") >= least))
+    few = pairs.where("left <> right")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

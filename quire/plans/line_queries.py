@@ -55,10 +55,10 @@ def layer(s, d):
 
 
 def diff_pairs(s, d):
-    """A page against the next one of its book, both cut for the comparison's sake of this query only."""
+    """A page against the next one of its book, both whole."""
     from quire.operators.detect import neighbours
 
-    return neighbours(pages(s, d)).where("next_text is not null").select(F.col("doc_id").alias("page_no"), F.left("text", F.lit(600)).alias("left"), F.left("next_text", F.lit(600)).alias("right"))
+    return neighbours(pages(s, d)).where("next_text is not null").select(F.col("doc_id").alias("page_no"), F.col("text").alias("left"), F.col("next_text").alias("right"))
 
 
 QUERIES = {

@@ -98,6 +98,31 @@ def test_page_diffs_and_furniture(spark):
     assert one(spark, "head\na\n\nb\n7", diff.drop_furniture) == "a\n\nb" and one(spark, "a\nb", diff.drop_furniture) == "a\nb"
 
 
+def test_matcher_equals_difflib():
+    from difflib import SequenceMatcher
+    from random import Random
+
+    rng = Random(1)
+    for k in range(60):
+        a = "".join(rng.choices("abcd " if k % 2 else "ab", k=rng.randint(0, 300)))
+        b = a[50:] + "x" * (k % 3) + a[:150] if k % 4 == 0 else "".join(rng.choices("abcd " if k % 2 else "ab", k=rng.randint(0, 300)))
+        assert diff.Matcher(a, b).get_opcodes() == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+        assert diff._automaton(a, b)[2] == diff.longest_common(a, b)[2]
+        assert not b or diff._automaton(a, b) == diff.longest_common(a, b)
+
+
+def test_layer_diff_of_whole_normalised_texts(spark):
+    from quire.plans.line_queries import diff_pairs
+
+    long = "".join(f"sentence number {i} of this page. " for i in range(60))
+    spaced = long.replace(" ", "\n ").replace("page", "<b>Page</b>").replace("of", "o&#102;")
+    data = [(1, long, long + "Only the “right” side has these words at its end."), (2, long, spaced), (3, "it’s – “so” " * 20, 'it\'s - "so" ' * 20)]
+    got = diff.layer_diff(rows(spark, data, "page_no long, left string, right string")).collect()
+    assert [(r.page_no, r.direction) for r in got] == [(1, "right_only")] and got[0].snippet.endswith("words at its end.")
+    pairs = diff_pairs(spark, "/root/testdata/sf0.001").agg(F.max(F.length("left")).alias("a"), F.max(F.length("right")).alias("b")).first()
+    assert min(pairs.a, pairs.b) > 600
+
+
 def test_edits(spark):
     books = rows(spark, [("b", "one two sepa-\nrated three two"), ("c", "x")], "book_id string, text string")
     schema = "book_id string, seq int, op string, find string, with_ string, expect int, occurrence int"
