@@ -10,7 +10,7 @@ The labelled pages are made by labelled_pages: layouts with the usual parts, in
 weights are a small table, which goes to the executors with the function.
 
 A null or empty html, and one without words above 0, gives an empty text. Broken markup is read leniently: unknown and
-unclosed tags, comments and scripts that never end, bare ``<``. Very long pages are read whole in one pass. Repeated
+unclosed tags, comments and scripts that never end, bare ``<``; ``/>`` ends an element at once (not a script or the like). Very long pages are read whole in one pass. Repeated
 rows get the same text; an empty table gives an empty result; further columns are carried along.
 """
 
@@ -33,8 +33,11 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 PART = re.compile(r"[a-zA-Z][a-z]*")
 
+#: Elements whose content is no markup: all up to the end tag, or to the end of the page, is theirs.
+RAW = frozenset(("script", "style", "textarea", "title"))
 #: Elements whose content is no text.
-RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "button"))
+NO_TEXT = frozenset(("noscript", "template", "svg", "iframe", "canvas", "select", "button"))
+NO_TEXT_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(" + "|".join(sorted(NO_TEXT)) + r")(?=[\s/>])(?:(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))", re.S | re.I)
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(("address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
@@ -58,6 +61,18 @@ def names_of(tag: str, name: str, inside: bool) -> list[str]:
     return found
 
 
+def closed(page: str) -> dict[int, int]:
+    """For each element of NO_TEXT that has an end tag: where its start tag ends, and where its end tag does."""
+    open_: dict[str, list[int]] = {}
+    found = {}
+    for m in NO_TEXT_TAG.finditer(page):
+        if m[3] and not m[2] and not m[0].endswith("/>"):
+            open_.setdefault(m[3].lower(), []).append(m.end())
+        elif m[2] and open_.get(m[3].lower()):
+            found[open_[m[3].lower()].pop()] = m.end()
+    return found
+
+
 class Run:
     """A piece of text or a tag: what the scan sees. text is None for tags."""
 
@@ -68,16 +83,23 @@ class Run:
 
 
 def tokens(page: str) -> Iterator[Run]:
-    """The page's texts, with the features of all elements around them, and its tags."""
+    """The page's texts, with the features of all elements around them, and its tags.
+
+    An element of NO_TEXT without an end tag ends at the next block or line break, or with the element around it.
+    """
     stack: list[tuple[str, frozenset[str]]] = []
     around: frozenset[str] = frozenset()
     at, n = 0, len(page)
     inside = 0
+    ends: dict[int, int] | None = None
+    mute: int | None = None
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         t = m[0]
         if t[0] != "<" or len(t) == 1:
+            if mute is not None:
+                continue
             if words := len(t.split()):
                 yield Run(around, "", t, words, False)
             elif t:
@@ -87,6 +109,8 @@ def tokens(page: str) -> Iterator[Run]:
         if not named:
             continue  # comments, doctypes and the like
         name = named[1].lower()
+        if name in BLOCKS or name == "br":
+            mute = None
         if t[1] == "/":
             k = len(stack) - 1
             while k >= 0 and stack[k][0] != name:
@@ -95,6 +119,16 @@ def tokens(page: str) -> Iterator[Run]:
                 inside -= sum(x in INNER for x, _ in stack[k:])
                 around = stack[k][1]
                 del stack[k:]
+                if mute is not None and k < mute:
+                    mute = None
+        elif name in NO_TEXT:
+            mute = None
+            if not t.endswith("/>"):
+                ends = closed(page) if ends is None else ends
+                if at in ends:
+                    at = ends[at]
+                else:
+                    mute = len(stack)
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n

@@ -120,6 +120,17 @@ def test_extraction_of_a_page_with_all_parts(spark):
     assert html_extract.main_text(PAGE, w) == "Title & more\n\nOne two\n\nthree four\n\nitem"
 
 
+@pytest.mark.parametrize(
+    ("odd", "kept"),
+    [("<svg/>", ""), ("<math/>", ""), ("<iframe src='x'/>", ""), ("<object/>", ""), ("<button>Share", ""), ("<select><option>A<option>B", ""), ("<svg><path d='m'>", ""), ("<button>a<button>b</button>", "")]
+    + [("<svg><svg><text>x</text></svg><p>y</p></svg>", ""), ("<noscript><p>Enable it</p></noscript>", ""), ("<button>a<script>'<button>'</script></button>", ""), ("<p>so <math><mi>x</mi></math> is</p>", "so x is"), ("<object><p>instead of it</p></object>", "instead of it")],
+)
+def test_extraction_keeps_what_follows_elements_without_text(odd, kept):
+    page = f"<html><body><article><p>one two three</p>{odd}<p>four five six</p><p>seven <b>eight</b></p></article><footer>me</footer></body></html>"
+    want = ["one two three", *filter(None, [kept]), "four five six", "seven eight"]
+    assert html_extract.main_text(page, html_extract.trained_weights()) == "\n\n".join(want)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- never closed <p>x", "<script>x", "<nav>menu</nav>", "a < b", "</p></div>", "<p " * 500, "<" * 5000])
 def test_extraction_of_broken_pages(page):
     assert isinstance(html_extract.main_text(page, html_extract.trained_weights()), str)
