@@ -31,7 +31,7 @@ BITS = 18
 FACTORS = 4
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 10_000
-#: Terms in fewer documents of the sample are not learned.
+#: Terms in fewer documents of the sample are not learned, however large it is; noise above that is left to the penalties.
 LEAST_DOCS = 3
 EPOCHS = 10
 #: Words that a worker remembers with their slots before it starts anew.
@@ -105,7 +105,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, ep
     counts = np.zeros(size, np.int64)
     for at in range(0, n, 500):
         counts += np.bincount(np.concatenate(rows[at : at + 500]), minlength=size)
-    kept = np.flatnonzero(counts >= max(LEAST_DOCS, n // 400))
+    kept = np.flatnonzero(counts >= LEAST_DOCS)
     k = len(kept)
     dense = np.full(size, -1, np.int32)
     dense[kept] = np.arange(k, dtype=np.int32)

@@ -65,6 +65,21 @@ def test_machine_learns_a_pair_that_weights_cannot():
     assert z(a, b) > 0 > max(z(a), z(b))
 
 
+def test_machine_learns_a_rare_insult_from_a_full_sample():
+    rng = np.random.default_rng(1)
+    n, often, rare = toxicity.SAMPLE, toxicity.slots_of("idiot"), toxicity.slots_of("numpty")
+    rows, labels = [], []
+    for i in range(n):
+        bad = often if i % 10 == 0 else rare if i % 417 == 1 else []
+        rows.append(np.unique([*rng.integers(1000, 1400, 30), *bad]).astype(np.int32))
+        labels.append(float(bool(bad)))
+    assert sum(i % 417 == 1 and i % 10 != 0 for i in range(n)) < n // 400
+    m = toxicity.train(rows, np.array(labels))
+    z = m.logits(np.concatenate(rows), np.cumsum([len(r) for r in rows]))
+    hit = [z[i] > 0 for i in range(n) if i % 417 == 1 and i % 10]
+    assert all(hit) and np.mean(z[np.array(labels) == 0] < 0) > 0.99
+
+
 def test_toxicity_on_held_out_rows(spark, tmp_path):
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
     docs = [(i, " ".join(words[(i * k) % 6] for k in range(1, 30)) + (" scum idiot" if i % 4 == 0 else "")) for i in range(600)]
