@@ -12,6 +12,9 @@ the same answer. An empty table gives an empty result. Further columns of the pa
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,16 +52,64 @@ def fitted(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("own"))
 
 
+def unescaped(text: Column, names: Column) -> Column:
+    """Character references decoded, as in the value of an HTML attribute: named (a map) and numeric ones."""
+    part = F.regexp_extract_all(text, F.lit(r"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z]+[0-9]*(?:;|(?![A-Za-z0-9=;]))|[^&]+|&"), F.lit(0))
+
+    def decoded(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        code = F.when(F.length(digits) > 7, F.lit(-1)).when(x.rlike("^&#[xX]"), F.conv(digits, 16, 10).try_cast("int")).otherwise(digits.try_cast("int"))
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(~x.startswith("&"), x).when(x.startswith("&#") & (F.length(x) > 2), number).otherwise(F.coalesce(F.try_element_at(names, F.substring(x, 2, 40)), x))
+
+    return F.array_join(F.transform(part, decoded), "")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute as it is written; empty if there is none."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(F.coalesce(tag, F.lit("")), pattern, i) for i in (1, 2, 3)])
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The target of a link on a page: absolute as it is, else against the base's scheme, host or directory; null without one."""
+    origin, path = F.regexp_extract(base, r"(?s)^([^/?#]*://[^/?#]*)", 1), F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest, whole = F.substr(target, F.length(path) + 1), F.concat(origin, path_of(base))
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(path_of(base) == "", "/").otherwise(F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)), path))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(full, "/")
+    straight = F.concat(F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step), "/"), F.when(full.rlike(r"(?s)/\.\.?$"), "/").otherwise(""))
+    relative = F.when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^([^/?#]*:)//", 1), target)).when(path != "", F.concat(origin, straight, rest))
+    relative = relative.when(target.startswith("?"), F.concat(whole, target)).when(target.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), target))
+    return F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target).when(origin != "", relative)
+
+
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (a, b) from pages to the absolute targets of their canonical links and meta-refresh redirects."""
+    """Edges (a, b) from pages to the targets of their canonical links and meta-refresh redirects.
+
+    Relative targets are resolved against the page's base element or url, character references decoded.
+    """
     html = F.col(html_col)
-    link = r"(?is)<link\b[^>]*>"
-    refresh = r"(?is)<meta\b[^>]*>"
-    links = F.filter(F.regexp_extract_all(html, F.lit(link), 0), lambda t: F.lower(t).rlike(r"rel\s*=\s*[\"']?\s*canonical"))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(refresh), 0), lambda t: F.lower(t).rlike(r"http-equiv\s*=\s*[\"']?\s*refresh"))
-    to = F.concat(F.transform(links, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)), F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)))
-    few = pages.where(html.rlike(r"(?i)canonical|refresh"))
-    return few.select(F.col(url_col).alias("a"), F.explode(to).alias("b")).where("a is not null and b like '%://%'")
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<{name}\b[^>]*>"), F.lit(0))
+    links = F.filter(tags("link"), lambda t: F.lower(t).rlike(r"rel\s*=\s*[\"']?\s*canonical"))
+    metas = F.filter(tags("meta"), lambda t: F.lower(t).rlike(r"http-equiv\s*=\s*[\"']?\s*refresh"))
+    kind = lambda name: lambda t: F.struct(F.lit(name).alias("kind"), t.alias("tag"))
+    few = pages.where(html.rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("a"), F.try_element_at(tags("base"), F.lit(1)).alias("base"), F.explode(F.concat(F.transform(links, kind("link")), F.transform(metas, kind("meta")))).alias("x"))
+    # Each step is a generator of one row, over which Spark doesn't merge the expressions (they'd grow manifold).
+    step = lambda df, **made: df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+    a, base, b = F.col("a"), F.col("base"), F.col("b")
+    names = pages.sparkSession.range(1).select(F.from_json(F.lit(json.dumps(html5)), "map<string,string>").alias("names"))
+    raw = F.array(attribute(base, "href"), F.when(F.col("x.kind") == "link", attribute(F.col("x.tag"), "href")).otherwise(attribute(F.col("x.tag"), "content")))
+    few = step(few, a=a, kind=F.col("x.kind"), raw=raw).crossJoin(F.broadcast(names))
+    few = step(few, a=a, kind=F.col("kind"), v=F.transform("raw", lambda t: F.trim(F.regexp_replace(unescaped(t, F.col("names")), r"[\t\r\n]+", ""))))
+    # A quoted target of a refresh goes up to its quote, another one to the end of the attribute.
+    after = F.regexp_extract(F.col("v")[1], r"(?is)^\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?(.*)$", 1)
+    few = step(few, a=a, base=F.col("v")[0], b=F.when(F.col("kind") == "link", F.col("v")[1]).otherwise(after), refresh=F.col("kind") != "link")
+    quoted = F.concat(F.regexp_extract(b, r"(?s)^\"([^\"]*)", 1), F.regexp_extract(b, r"(?s)^'([^']*)", 1))
+    few = step(few, a=a, base=F.when(base != "", resolved(a, base)), b=F.trim(F.when(F.col("refresh") & b.rlike("^[\"']"), quoted).otherwise(b)))
+    few = step(few.where("a is not null and b <> ''"), a=a, base=F.coalesce(base, a), b=b)
+    return step(few, a=a, b=resolved(base, b)).where("b like '%://%'")
 
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:

@@ -218,6 +218,30 @@ def test_urls_rules_and_aliases(spark):
     assert url_filter.judge(pages.limit(0), url_filter.rules_table(spark), edges.limit(0)).count() == 0
 
 
+def test_edges_of_relative_quoted_and_escaped_targets(spark):
+    link, refresh = "<link rel='canonical' href={}>".format, "<meta http-equiv=refresh content={}>".format
+    cases = [
+        ("http://a.org/x/y?q", link("'/b'"), "http://a.org/b"),
+        ("http://a.org/x/y?q", link("'//C.org/d'"), "http://C.org/d"),
+        ("http://a.org/x/y?q", link("z?k=1/2"), "http://a.org/x/z?k=1/2"),
+        ("http://a.org/x/y?q", link("'../../w/./v/..'"), "http://a.org/w/"),
+        ("http://a.org", link("b c.html".join("''")), "http://a.org/b c.html"),
+        ("https://a.org/p#f", link("'?a=1&amp;b=2'"), "https://a.org/p?a=1&b=2"),
+        ("http://a.org/", link("'http://b.org/?a=1&#38;b=&#x20AC;&copy=&eacute;&nonsense;&#99999999;'"), "http://b.org/?a=1&b=€&copy=é&nonsense;\ufffd"),
+        ("http://a.org/", refresh("'0; url=http://b.org/p;v=1?x;y'"), "http://b.org/p;v=1?x;y"),
+        ("http://a.org/k/", refresh("\"5;URL='m;n' \""), "http://a.org/k/m;n"),
+        ("http://a.org/k/", refresh("0;url=n"), "http://a.org/k/n"),
+        ("http://a.org/k/", "<base href='/z/'>" + link("n"), "http://a.org/z/n"),
+        ("http://a.org/k/", link("'mailto:x@y'") + refresh("5"), None),
+        ("no scheme", link("'/b'"), None),
+    ]
+    for url, html, want in cases:
+        got = [r.b for r in url_filter.html_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()]
+        assert got == ([want] if want else []), html
+    pages = spark.createDataFrame([(1, "http://x.org/a", link("'//example.com/en/?a=1&amp;b=2'"))], "page_id long, url string, html string")
+    assert url_filter.judge(pages, url_filter.rules_table(spark), url_filter.html_edges(pages)).first().verdict == "block"
+
+
 def brute_neighbours(ids, x, queries, k):
     out = {}
     for q in queries:
