@@ -7,16 +7,20 @@ key when each chunk is written once for each position left out: these keys enume
 equal join of keys meets every pair within DISTANCE. Pairs farther apart that share a key are looked at as well, up to FAR,
 so a pair of similarity 0.8 escapes with a probability of about 0.0002, and one of 0.85 with 0.00001. Every link is confirmed on the full shingle sets.
 
-Documents with equal sets are one node from the start. A key's documents don't meet pairwise: first each is compared with
-the key's least document; then, only in keys whose documents are not yet in one component, further documents in turn are
-compared with those of other components and of like set size, more in each round, until every pair of a key is confirmed,
-refuted, or in one component. Signatures are compared in the join, so that only close pairs leave it. So no link between components is lost, there is no cap, and a group of n near copies costs n comparisons.
+Documents with equal sets are one node from the start. A key's documents don't meet pairwise: each is compared with the
+key's pivot, the document whose keys are shared most, and links so found make components. Only keys whose documents are then
+not in one component are looked at further. Keys that share documents form a cell, so each document of those keys is read
+once, with its full set. Of a cell, documents that no other can be linked with leave first: those of whose shingles too many
+stand in no other document of the cell. The cell's largest component needs no comparison in itself; every other document is
+compared with all of the cell, exactly, on full sets. Cells are cut into blocks of bounded size, and a task takes two of them,
+so a cell may be of any size; only links that join components leave the task. So no link between components is lost, there is
+no cap, and a group of n near copies costs n comparisons and those of its stragglers. Documents of which each could be linked
+with the others by its size and its shared shingles, but isn't, are compared pairwise, in blocks.
 
 Words are maximal runs of other characters than ``[\\x20\\x09-\\x0D]``, with A-Z lower-cased. A document with fewer words
 than a shingle has one shingle, all its words. A null, empty or blank text has none and is linked with nothing. A null id
-is linked with nothing, has a null component, and is kept. Ids are taken to be unique; rows that repeat one share a node if
-their texts have the same set, and are linked with each other if both are the least of their sets. An empty table gives an
-empty result.
+is linked with nothing, has a null component, and is kept. Rows that repeat an id are told apart by their texts; rows equal in
+both are one document. An empty table gives an empty result. Very long texts are worked on whole; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,8 +41,8 @@ POSITIONS, CHUNKS, BITS = 48, 8, 16
 WIDTH = POSITIONS // CHUNKS
 #: Signature distance up to which pairs are certain to share a key, and up to which pairs that do are compared.
 DISTANCE, FAR = 2 * CHUNKS - 1, 21
-#: Documents of a key that are compared with its others in the first round after the least one; eight times more in each next.
-PIVOTS = 64
+#: Shingles of a block of documents, on average; a task holds two blocks.
+BLOCK = 65_536
 #: Words that a worker remembers with their hashes before it starts anew.
 CACHE = 300_000
 
@@ -97,49 +102,49 @@ def keys_of(symbols: np.ndarray) -> np.ndarray:
         packed = np.zeros(len(s), np.uint64)
         for p in positions:
             packed = (packed << np.uint64(BITS)) | s[:, p]
-        out[:, k] = _mixed(_mixed(packed + GOLDEN) + np.uint64(k) * GOLDEN)
+        out[:, k] = _mixed(_mixed(packed + GOLDEN) + np.uint64(k * int(GOLDEN) % 2**64))
     return out.view(np.int64)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[tuple[pa.Array, list[str | None]]]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), rows):
-            part = batch.slice(at, rows)
-            yield part.column(0), part.column(1).to_pylist()
+            yield batch.slice(at, rows)
 
 
 def _lists(flat: np.ndarray, sizes: list[int], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(flat, kind))
 
 
-def signed(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n, same, symbols): the set's size, a digest that equal sets share, and the signature; null if empty."""
+def signed(texts: DataFrame, size: int) -> DataFrame:
+    """Rows (id, t, n, same, symbols) of rows (id, t, text): the set's size, a digest that equal sets share, and the signature; null if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
-            sets = [shingles(t, size) for t in texts]
+        for part in _slices(batches):
+            sets = [shingles(t, size) for t in part.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
             symbols = signatures(full) if full else np.zeros((0, POSITIONS), np.int32)
             same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
             listed = _lists(symbols.ravel(), [POSITIONS if len(s) else 0 for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), same, listed], names=["id", "n", "same", "symbols"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), same, listed], names=["id", "t", "n", "same", "symbols"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, same binary, symbols array<int>")
+    return texts.select("id", "t", "text").mapInArrow(run, "id long, t long, n long, same binary, symbols array<int>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (id, set) of rows (id, text)."""
+def full_sets(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Rows (node, set) of the nodes (node, id, t), a node's set made of its text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
-            sets = [shingles(t, size).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, _lists(np.concatenate(sets), [len(s) for s in sets], pa.int64())], names=["id", "set"])
+        for part in _slices(batches):
+            sets = [shingles(t, size).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(np.concatenate(sets), [len(s) for s in sets], pa.int64())], names=["node", "set"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, set array<bigint>")
+    found = texts.join(nodes.select("node", "id", "t"), ["id", "t"]).dropDuplicates(["node"])
+    return stored(found.select("node", "text").mapInArrow(run, "node long, set array<bigint>"), "sets")
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """Rows (key, id) of rows (id, symbols)."""
+    """Rows (key, node) of rows (node, symbols)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +152,9 @@ def _keyed(nodes: DataFrame) -> DataFrame:
             for at in range(0, len(s), 5000):
                 k = keys_of(s[at : at + 5000])
                 ids = batch.column(0).slice(at, len(k)).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids, len(KEYS)))], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids, len(KEYS)))], names=["key", "node"])
 
-    return nodes.select("id", "symbols").mapInArrow(run, "key long, id long")
+    return nodes.select("node", "symbols").mapInArrow(run, "key long, node long")
 
 
 def _differ(a: str, b: str) -> Column:
@@ -162,69 +167,124 @@ def _like(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(close: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b, na, nb), those whose full sets have 100 * intersection >= percent * union.
-
-    Sets are made of the texts of the pairs' documents only, and once for each.
-    """
-    wanted = stored(close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct(), "wanted")
-    sets = stored(_sets(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), size), "sets")
-    both = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("seta")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("setb")), "b")
+def confirmed(close: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b, na, nb), those whose full sets have 100 * intersection >= percent * union."""
+    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = full_sets(nodes.join(wanted, "node", "left_semi"), texts, size)
+    both = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("seta")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("setb")), "b")
     common = F.size(F.array_intersect("seta", "setb"))
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _links_of_blocks(part: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links between documents of side 0 and those of side 1, or among those of side 2, that join components."""
+    node, component, side = (part[c].to_numpy() for c in ("node", "component", "side"))
+    sets = [np.asarray(s) for s in part["set"]]
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    columns = np.flatnonzero(side != 0)
+    # The columns that have each shingle: a list for each code, one after the other.
+    holder = np.repeat(np.arange(len(columns)), size[columns])
+    codes = np.concatenate([code[ends[c] - size[c] : ends[c]] for c in columns]) if len(columns) else np.zeros(0, np.int64)
+    holder = holder[np.argsort(codes, kind="stable")]
+    stops = np.cumsum(np.bincount(codes, minlength=int(code.max()) + 1))
+    starts = np.concatenate([[0], stops[:-1]])
+    above = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while above[c] != c:
+            above[c] = c = above[above[c]]
+        return c
+
+    found = []
+    for r in np.flatnonzero(side != 1):
+        mine = code[ends[r] - size[r] : ends[r]]
+        common = np.bincount(np.concatenate([holder[a:b] for a, b in zip(starts[mine], stops[mine], strict=True)]), minlength=len(columns))
+        for k in np.flatnonzero(100 * common >= percent * (size[r] + size[columns] - common)):
+            x, y = root(int(component[r])), root(int(component[columns[k]]))
+            if x != y:
+                above[x] = y
+                found.append((node[r], node[columns[k]]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def cell_links(left: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join components, of rows (cell, node, component): every two rows of a cell are compared, but for those of its largest component."""
+    left = stored(left.join(nodes.select("node", "id", "t", "n"), "node"), "cells")
+    sets = full_sets(left, texts, size)
+    # Shingles that no other document of the cell has are in no intersection: with too many of them nothing can be linked.
+    alone = left.join(sets, "node").select("cell", "node", F.explode("set").alias("shingle")).groupBy("cell", "shingle").agg(F.count("*").alias("many"), F.min("node").alias("node"))
+    alone = alone.where("many = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    left = left.join(alone, "node", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
+    left = stored(left.select("cell", "node", "component", "n"), "cells")
+    parts = left.groupBy("cell", "component").agg(F.sum("n").alias("size"))
+    cells = parts.groupBy("cell").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    cells = stored(cells.select("cell", F.col("main.component").alias("main"), count(F.col("main.size")).alias("mains"), count(F.col("all") - F.col("main.size")).alias("others")), "cells")
+    placed = left.join(cells, "cell").withColumn("inner", F.col("component") == F.col("main"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # Blocks of others are numbered first. Task (i, j), i <= j: block i of the others with block j of all.
+    block, others = F.col("block"), F.col("others")
+    task = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    as_other = F.concat(F.array(task(block, block, 2)), F.transform(upto(others + F.col("mains") - block - 1), lambda k: task(block, block + k + 1, 0)), F.transform(upto(block), lambda i: task(i, block, 1)))
+    tasks = F.when(F.col("inner"), F.transform(upto(others), lambda i: task(i, others + block, 1))).otherwise(as_other)
+    dealt = placed.select("cell", "node", "component", tasks.alias("tasks")).join(sets, "node").select("cell", "node", "component", "set", F.explode("tasks").alias("task"))
+    dealt = dealt.select("cell", "task.i", "task.j", "task.side", "node", "component", "set")
+    return dealt.groupBy("cell", "i", "j").applyInPandas(lambda part: _links_of_blocks(part, percent), "a long, b long")
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least id reachable by links), kept (it is the own id)."""
+    out = _grouped(docs, size, percent, id_col, text_col)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("stays").alias("kept"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, t, n, component_id, stays) for the rows of docs; t is a hash of the text."""
     ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(signed(texts, size, "id"), "signatures")
-    least = Window.partitionBy("same").orderBy("id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    rows = stored(signed(texts, size), "signatures")
+    least = Window.partitionBy("same").orderBy("id", "t")
     nodes = rows.where("id is not null and same is not null").withColumn("nth", F.row_number().over(least)).where("nth = 1")
-    nodes = stored(nodes.select("same", "id", "n", "symbols"), "nodes")
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "id", "t", "n", "symbols"), "nodes")
 
     members = _keyed(nodes)
-    shared = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("many")).where("many > 1")
-    buckets = stored(members.join(shared, "key").where("id <> pivot"), "buckets")
-    side = lambda x: nodes.select(F.col("id").alias(x), F.col("symbols").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    pairs = buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    tried = stored(pairs.where(_like("na", "nb", percent)).where(_differ("sa", "sb") <= FAR).select("a", "b", "na", "nb"), "pairs")
-    group = stored(components(confirmed(tried, texts, size, percent)), "components")
-    # What is left to compare: keys with several documents beside the least one, parted by set size. Sets that can be
-    # similar have sizes in the same class or in neighbouring ones, so each document stands in its own class and the next.
-    step = F.floor(F.log(100.0001 / percent, F.col("n"))).cast("int")
-    parted = buckets.where("many > 2").select("key", "id").join(nodes.select("id", "n"), "id")
-    rest, pivots = parted.select("key", "id", "n", F.explode(F.array(step, step + 1)).alias("class")), PIVOTS
-    keys = ["key", "class"]
-    while True:
-        at = rest.join(group, F.col("id") == F.col("node"), "left").select(*keys, "id", "n", F.coalesce("component", "id").alias("in"))
-        open_ = at.groupBy(*keys).agg(F.min("in").alias("x"), F.max("in").alias("y")).where("x <> y").select(*keys)
-        rest = stored(at.join(open_, keys, "left_semi").join(nodes.select("id", "symbols"), "id"), "open")
-        if rest.isEmpty():
-            break
-        few = rest.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("nth") <= pivots).drop("nth")
-        p = few.select(*keys, F.col("id").alias("p"), F.col("in").alias("pin"), F.col("n").alias("pn"), F.col("symbols").alias("ps"))
-        close = p.join(rest, (p["key"] == rest["key"]) & (p["class"] == rest["class"]) & (F.col("pin") != F.col("in")) & _like("pn", "n", percent) & (_differ("ps", "symbols") <= FAR))
-        ordered = F.when(F.col("p") < F.col("id"), F.struct(F.col("p").alias("a"), F.col("id").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"))).otherwise(F.struct(F.col("id").alias("a"), F.col("p").alias("b"), F.col("n").alias("na"), F.col("pn").alias("nb")))
-        fresh = stored(close.select(ordered.alias("x")).select("x.*").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            links = confirmed(fresh, texts, size, percent)
-            group = stored(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)), "components")
-            tried = tried.unionAll(fresh)
-        rest = rest.select(*keys, "id", "n").join(few.select(*keys, "id"), [*keys, "id"], "left_anti")
-        pivots *= 8
-
-    node = nodes.select("same", F.col("id").alias("node_id")).join(group, F.col("node_id") == F.col("node"), "left")
-    node = node.select(F.col("same").alias("__same"), F.coalesce("component", "node_id").alias("__component"))
-    out = rows.join(node, rows["same"] == node["__same"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("__component", "id")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    shared = stored(members.join(members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key"), "buckets")
+    # A key's pivot is the document that stands in the most and longest keys: near copies gather around it.
+    weight = shared.groupBy("node").agg(F.sum("many").alias("weight"))
+    pivots = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("best"))
+    spokes = stored(shared.join(pivots.select("key", (-F.col("best.less")).alias("pivot")), "key").where("node <> pivot"), "spokes")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("symbols").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    pairs = spokes.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    close = stored(pairs.where(_like("na", "nb", percent)).where(_differ("sa", "sb") <= FAR).select("a", "b", "na", "nb"), "pairs")
+    links = stored(confirmed(close, nodes, texts, size, percent), "links")
+    group = stored(components(links), "components")
+
+    at = shared.where("many > 2").join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    open_ = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    cells = stored(components(spokes.join(open_, "key", "left_semi").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "cells")
+    if not cells.isEmpty():
+        left = cells.withColumnRenamed("component", "cell").join(group, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
+        more = stored(cell_links(left, nodes, texts, size, percent), "links")
+        if not more.isEmpty():
+            group = stored(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+
+    # A component is named by its least document, whatever the numbers of its nodes.
+    known = nodes.select("node", "same", "id").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = known.groupBy("component").agg(F.min(F.struct("id", "same")).alias("best"))
+    named = known.join(names, "component").select(F.col("same").alias("__same"), F.col("best.id").alias("__name"), (F.col("best.same") == F.col("same")).alias("__first"))
+    out = rows.join(named, rows["same"] == named["__same"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("__name", "id")))
+    first = F.coalesce(F.col("__first") | F.col("__name").isNull(), F.lit(True))
+    return out.select("id", "t", "n", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("stays"), first.alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns, one document of each group."""
-    lost = near_groups(docs, size, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
+    """docs with all its columns, one document of each group. Of texts with the same id and near to each other one stays, too."""
+    lost = _grouped(docs, size, percent, id_col, text_col).where("not stays or not first").select(F.col("id").alias("__lost"), F.col("t").alias("__t")).where("__lost is not null").distinct()
     lost = stored(lost, "lost")
-    return docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
+    return docs.join(lost, (docs[id_col].cast("long") == lost["__lost"]) & (F.xxhash64(docs[text_col]) == lost["__t"]), "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,37 @@ def test_near_groups_equal_brute_force(spark, size, percent):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_near_groups_of_two_thousand_texts_that_share_a_passage(spark):
+    """Pairs at a similarity of about 0.7, of 0.78 with pairs above 0.8 among them, and copies of one text with many edits."""
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(100)]
+    own = lambda k, n: [f"u{k}_{i}" for i in range(n)]
+    texts = [passage + own(k, 20) for k in range(1900)] + [passage + own(k, int(rng.integers(9, 14))) for k in range(2000, 2100)]
+    for k in range(200):
+        w = list(passage)
+        for at in rng.choice(100, int(rng.integers(4, 12)), replace=False):
+            w[at] = f"e{rng.integers(0, 40)}"
+        texts.append(w)
+    texts = {i: " ".join(texts[j]) for i, j in enumerate(rng.permutation(len(texts)))}
+    want = brute_components(texts, 2, 80)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, 2).collect()} == want
+    assert len({c for _, c in want.values()}) > 1900
+
+
+def test_near_links_of_blocks_equal_those_of_whole_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 600)
+    texts = near_texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, 2).collect()} == brute_components(texts, 2, 80)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, a + " x"), (7, a), (7, b), (9, b), (9, b), (7, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[0]) for r in near_dedup.drop_near_duplicates(docs, 5).collect()) == [(3, "a"), (7, "b")]
+
+
 def test_near_groups_of_nulls_and_nothing(spark):
     docs = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (2, None)], "doc_id long, text string")
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs, 2).collect()}
