@@ -23,22 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where a session has none (local tests) a temporary folder is set instead.
+    Only where a local session has none (as in tests) a temporary folder is set instead; on a cluster that is an error, since
+    executors couldn't read what the driver writes to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/quire/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators have stored; for use when their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again.
 
-    This cuts the lineage, survives lost executors, and gives the planner the real size of the table.
+    This cuts the lineage, survives lost executors, and gives the planner the real size of the table. Results read such
+    tables, so they stay until the application calls clear.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quire/{what}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,14 +65,14 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
 def hash_sample(df: DataFrame, key: Column, bound: int, seed: int = 0) -> DataFrame:
     """At most bound rows, chosen by a hash of key: the same rows on every run.
 
-    For fitting models only. Rows are counted first, so that a filter does the work and the limit
-    only cuts the few rows by which the filter overshoots.
+    For fitting models only. Rows are counted first, so that a filter does the work; the few rows by which the filter
+    overshoots are cut in the order of their hashes.
     """
     n = df.count()
-    if n > bound:
-        share = int(2**30 * min(1.0, 0.98 * bound / n))
-        df = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2**30)) < share)
-    return df.limit(bound)
+    if n <= bound:
+        return df
+    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2**30))
+    return df.where(place < int(2**30 * 0.98 * bound / n)).orderBy(place, key).limit(bound)
 
 
 _shipped: set[str] = set()

@@ -2,13 +2,14 @@
 
 A Misra-Gries summary finds the digests that may be frequent. Their groups are counted and their winners
 chosen exactly; these at most ``1 / SUPPORT`` winners are broadcast, so the rows of hot groups are settled where
-they are read and never meet in one task. All other digests are shuffled as usual; none of their groups holds
-more than SUPPORT of all rows.
+they are read and never meet in one task. All other digests are shuffled as usual: counts and winners of their groups are
+combined before the shuffle, and only rows of groups of several are looked up in them.
 
 Texts are equal when identical after deleting every ``[\\x20\\x09-\\x0D]``; null counts as empty, so null, empty and
 blank texts form one group. Of equal texts stays the row with the most code points in the original text, then the
 smallest doc_id (null last); of rows that tie in both, one. Empty tables give empty results. Further columns are
-carried by drop_duplicates and ignored by exact_groups.
+carried by drop_duplicates and ignored by exact_groups, whatever their names. Very long texts are read whole, and only
+their digests and lengths are kept.
 """
 
 from __future__ import annotations
@@ -58,9 +59,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = [F.col("__id").alias("doc_id"), F.col("__keep").alias("keep_id"), F.col("__n").cast("long").alias("group_size"), F.col("__kept").alias("kept"), F.lower(F.hex("__digest")).alias("text_sha256")]
     hot = keyed.join(F.broadcast(winners), "__digest").withColumn("__keep", F.col("__best.id")).withColumn("__kept", F.col("__tie") == F.col("__best.tie"))
     rest = keyed.join(F.broadcast(winners.select("__digest")), "__digest", "left_anti")
-    group = Window.partitionBy("__digest")
-    order = group.orderBy(F.desc("__chars"), F.asc_nulls_last("__id"), "__tie")
-    rest = rest.withColumn("__rank", F.row_number().over(order)).withColumn("__keep", F.first("__id").over(order)).withColumn("__n", F.count("*").over(group)).withColumn("__kept", F.col("__rank") == 1)
+    groups = rest.groupBy("__digest").agg(F.count("*").alias("__n"), F.min(_best("__chars", "__id", "__tie")).alias("__best")).where("__n > 1")
+    groups = stored(groups, "groups").withColumnRenamed("__digest", "__of")
+    rest = rest.join(groups, rest["__digest"] == groups["__of"], "left")
+    rest = rest.withColumn("__keep", F.when(F.col("__of").isNull(), F.col("__id")).otherwise(F.col("__best.id"))).withColumn("__kept", F.col("__of").isNull() | (F.col("__tie") == F.col("__best.tie"))).withColumn("__n", F.coalesce("__n", F.lit(1)))
     return hot.select(*out).unionAll(rest.select(*out))
 
 
@@ -73,7 +75,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     text = F.col(text_col)
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(id_col).alias("__id"), _digest(text).alias("__digest"), _chars(text).alias("__chars"), F.lit(0).alias("__tie"))
-    winners = stored(heavy_winners(wide.drop("__row")), "winners")
+    winners = stored(heavy_winners(stored(wide.drop("__row"), "digests")), "winners")
     best = winners.select("__digest", F.col("__best.less").alias("__less"), F.col("__best.id").alias("__win"))
     wide = wide.join(F.broadcast(best), "__digest", "left")
     lost = F.col("__less").isNotNull() & ~((F.col("__less") == -F.col("__chars")) & F.col("__win").eqNullSafe(F.col("__id")))

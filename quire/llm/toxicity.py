@@ -10,7 +10,8 @@ size and is broadcast. Texts are scored whole.
 
 A null or empty text, or one without letters, scores as an empty set of terms does. Labels that are null are left out; of
 a document's several labels the largest counts. Without any usable label every score is 0.5 minus a little, so nothing
-is rejected. Repeated rows get the same score; an empty table gives an empty result.
+is rejected. Repeated rows get the same score, whatever texts are scored with them; an empty table gives an empty result. A
+column that has the name of the score is replaced, other columns are carried along.
 """
 
 from __future__ import annotations
@@ -67,9 +68,13 @@ class Machine:
 
     def logits(self, slots: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of texts whose slots stand one after the other; ends has where each text's end."""
-        sums = lambda x: np.diff(np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0, dtype=np.float64)])[np.concatenate([[0], ends])], axis=0)
-        v = self.v[slots]
-        return self.bias + sums(self.w[slots]) + 0.5 * (sums(v) ** 2 - sums(v * v)).sum(axis=1)
+        of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        sums = lambda x: np.bincount(of, x, len(ends))  # noqa: E731  text by text, whatever its neighbours
+        z = self.bias + sums(self.w[slots])
+        for f in range(self.v.shape[1]):
+            x = self.v[slots, f].astype(np.float64)
+            z += 0.5 * (sums(x) ** 2 - sums(x * x))
+        return z
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         slots = [slots_of(t) for t in texts]

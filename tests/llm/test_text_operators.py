@@ -1,6 +1,8 @@
 """BPE, toxicity, language identification and HTML extraction."""
 
 import hashlib
+import html
+import re
 import zlib
 
 import numpy as np
@@ -65,6 +67,36 @@ def test_machine_learns_a_pair_that_weights_cannot():
     assert z(a, b) > 0 > max(z(a), z(b))
 
 
+def test_logits_equal_a_loop_over_pairs_and_no_text_depends_on_its_neighbours():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(0.3, rng.normal(size=1 << toxicity.BITS).astype(np.float32), rng.normal(size=(1 << toxicity.BITS, toxicity.FACTORS)).astype(np.float32))
+    texts = ["you absolute fool", "", None, "a b c d e f g", "fool fool Fool", "x " * 3000]
+    for t, got in zip(texts, m.scores(texts)):
+        s = toxicity.slots_of(t)
+        z = m.bias + sum(float(m.w[i]) for i in s) + sum(float(np.dot(m.v[i].astype(float), m.v[j].astype(float))) for k, i in enumerate(s) for j in s[k + 1 :])
+        assert abs(got - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+        assert got == m.scores([t])[0] == m.scores([texts[3], t])[1]
+
+
+def test_training_lowers_the_loss_along_its_gradient():
+    """One step on two texts: each weight and the bias move against the loss's slope, taken by differences."""
+    a, b = toxicity.slots_of("grumbles")[:2], toxicity.slots_of("kindness")[:2]
+    rows, labels = [np.array(sorted(a))] * 6 + [np.array(sorted(b))] * 6, np.array([1.0] * 6 + [0.0] * 6)
+    m = toxicity.train(rows, labels, epochs=3)
+
+    def loss(machine):
+        z = machine.logits(np.concatenate(rows), np.cumsum([len(r) for r in rows]))
+        return np.mean(np.log1p(np.exp(z)) - labels * z)
+
+    for slot, sign in ((a[0], -1), (b[0], 1)):
+        w = np.zeros_like(m.w)
+        at_zero = toxicity.Machine(0.0, w, np.zeros_like(m.v))
+        up = w.copy()
+        up[slot] = 1e-3
+        slope = (loss(toxicity.Machine(0.0, up, at_zero.v)) - loss(at_zero)) / 1e-3
+        assert np.sign(slope) == sign == -np.sign(m.w[slot])
+
+
 def test_machine_learns_a_rare_insult_from_a_full_sample():
     rng = np.random.default_rng(1)
     n, often, rare = toxicity.SAMPLE, toxicity.slots_of("idiot"), toxicity.slots_of("numpty")
@@ -115,6 +147,28 @@ def test_language_of_odd_texts(spark, odd):
     assert language_id.fit(odd.limit(0).withColumn("lang", F.lit("en"))) is None
 
 
+def test_prediction_equals_plain_loops(spark):
+    """Windows, convolution, maxima, softmax and mean, step by step."""
+    net = language_id.train(["the cat and the dog", "der hund und die katze"] * 20, ["en", "de"] * 20)
+    texts = ["the dog", "die katze " * 40, "ÜBER " * 60, "x"]
+    for text, lang, score in zip(texts, *net.predict(texts)):
+        data = text.lower().encode()
+        total, size = np.zeros(2), 0
+        for at in range(0, len(data), language_id.WINDOW):
+            part = data[at : at + language_id.WINDOW]
+            w = part.ljust(language_id.WINDOW, b"\0")
+            h = [max(sum(float(t[j][w[p + j]][f]) for j in range(len(t))) for p in range(len(w) - len(t) + 1)) for t in net.tables for f in range(language_id.FILTERS)]
+            z = np.maximum(np.array(h) + net.bias, 0) @ net.out + net.out_bias
+            e = np.exp(z - z.max())
+            total, size = total + e / e.sum() * len(part), size + len(part)
+        assert lang == net.languages[int(total.argmax())] and abs(score - total.max() / size) < 1e-4
+
+
+def test_language_of_an_empty_table(spark, odd):
+    net = language_id.train(["the cat", "der hund"] * 5, ["en", "de"] * 5)
+    assert language_id.identified(odd.limit(0), net).count() == 0
+
+
 def test_maxima_equal_a_plain_convolution():
     net = language_id.train(["abcabc", "xyzxyz"] * 8, ["a", "b"] * 8, epochs=1)
     w, _, _ = language_id.windows(["hello world, this is a text"])
@@ -151,6 +205,45 @@ def test_extraction_of_broken_pages(page):
     assert isinstance(html_extract.main_text(page, html_extract.trained_weights()), str)
 
 
+def labelled_text(pieces):
+    blocks = [b for p, good in pieces if good for b in re.split(r"</?(?:p|h\d|li|ul|ol|div|header|blockquote|table|tr|td|pre|figure|figcaption)\b[^>]*>", p.replace("<br>", " "))]
+    return "\n\n".join(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)))
+
+
+def test_extraction_of_held_out_layouts_and_names():
+    """Made pages of another seed: half of the class names mean nothing, and none of these was seen."""
+    w = html_extract.trained_weights()
+    pages = html_extract.labelled_pages(80, seed=99)
+    same = [labelled_text(p) == html_extract.main_text("".join(x for x, _ in p), w) for p in pages]
+    assert np.mean(same) > 0.8
+
+
+@pytest.mark.parametrize("name", ["skyscraper", "zone7", "qx-17"])
+def test_extraction_leaves_out_parts_with_unseen_names(name):
+    body = "".join(f"<p>{'one two three four five six seven eight nine ten ' * 3}{i}</p>" for i in range(6))
+    page = f"<body><div class='top'>Site</div><article><h1>Head</h1>{body}<div class='{name}'><p>Buy this now</p></div>{body}</article><div class='{name}'><p>I disagree with all of this</p></div></body>"
+    text = html_extract.main_text(page, html_extract.trained_weights())
+    assert text.startswith("Head\n\none two") and "Buy" not in text and "disagree" not in text and "Site" not in text and text.count("one two") == 36
+
+
+def test_the_region_decides(monkeypatch):
+    w = html_extract.trained_weights()
+    pages = pd.read_parquet(f"{SF}/pages.parquet").html.tolist()
+    found = [html_extract.main_text(p, w) for p in pages]
+    scored = [w.scores(html_extract.parsed(p)[0]) for p in pages]
+    assert all(s >= 0 for x, p in zip(scored, pages) for s, r in zip(x, html_extract.parsed(p)[0]) if r.text is not None)
+    assert all(s < 0 for x, p in zip(scored, pages) for s, r in zip(x, html_extract.parsed(p)[0]) if r.text is None)
+    monkeypatch.setattr(html_extract, "region", lambda scores: (0, len(scores)))
+    assert np.mean([html_extract.main_text(p, w) != t for p, t in zip(pages, found)]) > 0.9
+
+
+def test_extraction_of_repeated_rows_clashing_columns_and_nothing(spark):
+    rows = spark.createDataFrame([(1, PAGE, "old", 5), (1, PAGE, "old", 5), (2, None, None, None)], "page_id long, html string, text string, n_chars long")
+    out = html_extract.extracted(rows)
+    assert out.columns == rows.columns and sorted(r.text for r in out.collect()) == ["", *["Title & more\n\nOne two\n\nthree four\n\nitem"] * 2]
+    assert html_extract.extracted(rows.limit(0)).count() == 0
+
+
 def test_region_is_the_maximum_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -161,9 +254,6 @@ def test_region_is_the_maximum_subsequence():
 
 
 def test_extraction_on_the_tables(spark):
-    import html
-    import re
-
     out = html_extract.op7_html_extract(spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/pages.parquet"), on="page_id")
     for r in out.itertuples():
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1].replace("<br>", " ")
