@@ -22,17 +22,23 @@ def flattened_outline(entries: DataFrame, keep_broken: bool = False) -> DataFram
 
 def packed_chapters(chapters: DataFrame, max_pages: int) -> DataFrame:
     """(book_id, seq, part): consecutive chapters (book_id, seq, n_pages) share a part while its pages stay within max_pages; a
-    longer chapter has a part of its own. A fold over one book's chapters, as an aggregate."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "n_pages")))
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<seq:bigint,part:int>>").alias("out"))
+    longer chapter has a part of its own. Where a part ends depends on all parts before, so a book is one sequential pass, over
+    two numbers for each chapter."""
+    ship(chapters.sparkSession)
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["used"] > 0) & (acc["used"] + x["n_pages"] > max_pages)
-        part = acc["part"] + new.cast("int")
-        used = F.when(new, F.lit(0).cast("long")).otherwise(acc["used"]) + x["n_pages"]
-        return F.struct(part.alias("part"), used.cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("long").alias("seq"), part.alias("part")))).alias("out"))
+    def fold(book: pd.DataFrame) -> pd.DataFrame:
+        book = book.sort_values("seq")
+        part = used = 0
+        parts = []
+        for n in book["n_pages"].tolist():
+            if used and used + n > max_pages:
+                part, used = part + 1, 0
+            used += n
+            parts.append(part)
+        return pd.DataFrame({"book_id": book["book_id"], "seq": book["seq"], "part": pd.Series(parts, index=book.index, dtype="int32")})
 
-    return chapters.groupBy("book_id").agg(F.aggregate(rows, start, step)["out"].alias("o")).select("book_id", F.explode("o").alias("o")).select("book_id", "o.seq", "o.part")
+    rows = chapters.select(F.col("book_id").cast("string").alias("book_id"), F.col("seq").cast("long").alias("seq"), F.col("n_pages").cast("long").alias("n_pages"))
+    return rows.groupBy("book_id").applyInPandas(fold, "book_id string, seq long, part int")
 
 
 def matching(key: str, heading: str) -> bool:
@@ -41,7 +47,7 @@ def matching(key: str, heading: str) -> bool:
         return False
     if key == heading:
         return True
-    if min(len(key), len(heading)) > 12 and (key in heading or heading in key):
+    if len(key) > 12 and (key in heading or heading in key):
         return True
     return key[:8] == heading[:8] and len(key) >= 8 and abs(len(key) - len(heading)) < 12
 

@@ -1,7 +1,7 @@
 """Detectors of anomalies in the text of pages. Each gives rows of one findings schema, so they can be unioned.
 
 findings(detector, book_id, page_no, n, evidence). Detectors on single pages are maps over the pages; those on neighbours
-are one window a book.
+are an equal join of what they need of a page and of the next one. all_findings reads each text once.
 """
 
 from __future__ import annotations
@@ -73,12 +73,19 @@ def page_stamps(text: Column) -> Column:
 def short_pages(pages: DataFrame) -> DataFrame:
     """Empty pages, and pages under the greater of 60 characters and 15 % of the book's median page.
 
-    The median is the upper one: the middle value, or the higher of the two.
+    The median is the upper one: the middle value, or the higher of the two. It comes from counts of the book's sizes.
     """
-    sized = pages.select("book_id", "page_no", F.length(ustrip(F.coalesce("text", F.lit("")))).alias("size"))
-    order = Window.partitionBy("book_id").orderBy("size", "page_no")
-    ranked = sized.withColumn("i", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy("book_id")))
-    median = ranked.where("i = m div 2 + 1").select("book_id", F.col("size").alias("median"))
+    return _short(pages.select("book_id", "page_no", _size(F.col("text")).alias("size")))
+
+
+def _size(text: Column) -> Column:
+    return F.length(ustrip(F.coalesce(text, F.lit(""))))
+
+
+def _short(sized: DataFrame) -> DataFrame:
+    by = Window.partitionBy("book_id")
+    counts = sized.groupBy("book_id", "size").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(by.orderBy("size"))).withColumn("m", F.sum("k").over(by))
+    median = counts.where("upto >= m div 2 + 1 and upto - k < m div 2 + 1").select("book_id", F.col("size").alias("median"))
     out = sized.join(median, "book_id").where("size < greatest(60, 0.15 * median)")
     return out.select(F.when(F.col("size") == 0, "empty_page").otherwise("short_page").alias("detector"), "book_id", "page_no", F.col("size").cast("long").alias("n"), F.col("median").cast("string").alias("evidence"))
 
@@ -88,7 +95,13 @@ def repeated_paragraphs(pages: DataFrame, least: int = 40) -> DataFrame:
 
     A group's pages aren't collected, since a paragraph may be on a third of all pages; paragraph_pages gives them as rows.
     """
-    return paragraph_pages(pages, least).groupBy("paragraph").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_page"), F.max("doc_id").alias("last_page")).where("n >= 2")
+    return _repeated(paragraph_pages(pages, least), "paragraph")
+
+
+def _repeated(rows: DataFrame, what: str) -> DataFrame:
+    """Texts are counted by their digests; the text itself is one of a partition's, so it is shuffled once for each of these."""
+    counted = rows.groupBy(F.sha2(what, 256).alias("digest")).agg(F.first(what).alias(what), F.count("*").alias("n"), F.min("doc_id").alias("first_page"), F.max("doc_id").alias("last_page"))
+    return counted.where("n >= 2").drop("digest")
 
 
 def paragraph_pages(pages: DataFrame, least: int = 40) -> DataFrame:
@@ -99,20 +112,28 @@ def paragraph_pages(pages: DataFrame, least: int = 40) -> DataFrame:
 def repeated_lines(pages: DataFrame, least: int = 40) -> DataFrame:
     """The same for lines."""
     p = pages.select("doc_id", F.explode(lines(F.col("text"))).alias("line")).withColumn("line", ustrip(F.col("line"))).where(F.length("line") >= least)
-    return p.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_page"), F.max("doc_id").alias("last_page")).where("n >= 2")
+    return _repeated(p, "line")
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """Pages with the next page's number and text."""
-    order = Window.partitionBy("book_id").orderBy("page_no")
-    return pages.withColumn("next_no", F.lead("page_no").over(order)).withColumn("next_text", F.lead("text").over(order))
+def neighbours(pages: DataFrame, *columns: str) -> DataFrame:
+    """Pages with the given columns of the next page, as next_<column>: the page of the same book with the next number."""
+    after = pages.select(F.col("book_id").alias("__book"), (F.col("page_no") - 1).alias("__no"), *[F.col(c).alias(f"next_{c}") for c in columns])
+    return pages.join(after, F.col("book_id").eqNullSafe(F.col("__book")) & (F.col("page_no") == F.col("__no"))).drop("__book", "__no")
 
 
 def same_heads(pages: DataFrame, size: int = 80) -> DataFrame:
     """Neighbouring pages that begin with the same characters."""
-    cut = pages.select("book_id", "page_no", F.left(ustrip(F.col("text")), F.lit(size)).alias("text"))
-    hit = neighbours(cut).where((F.length("text") == size) & (F.col("text") == F.col("next_text")))
-    return findings(hit, "same_head", F.lit(1), F.col("text"))
+    return _same(neighbours(pages.select("book_id", "page_no", _head(F.col("text"), size).alias("head")).where("head is not null"), "head"))
+
+
+def _head(text: Column, size: int = 80) -> Column:
+    """The stripped text's beginning, null if it is shorter."""
+    cut = F.left(ustrip(text), F.lit(size))
+    return F.when(F.length(cut) == size, cut)
+
+
+def _same(n: DataFrame) -> DataFrame:
+    return findings(n.where("head = next_head"), "same_head", F.lit(1), F.col("head"))
 
 
 def heads(pages: DataFrame, size: int = 80) -> DataFrame:
@@ -123,10 +144,20 @@ def heads(pages: DataFrame, size: int = 80) -> DataFrame:
 
 def page_breaks(pages: DataFrame) -> DataFrame:
     """Pages whose last sentence seems to go on on the next page: the end is no sentence's, the beginning no block's."""
-    cut = pages.select("book_id", "page_no", ustrip(F.col("text")).alias("text"))
-    n = neighbours(cut).where("next_no = page_no + 1 and text <> '' and next_text <> ''")
-    hit = n.where(~F.col("text").rlike(NO_BREAK_TAIL) & ~F.col("next_text").rlike(BLOCK_START) & ~F.col("next_text").rlike(NO_BREAK_HEAD))
-    return findings(hit, "page_break", F.col("next_no"), F.concat(F.right("text", F.lit(18)), F.lit(" | "), F.left("next_text", F.lit(18))))
+    ends = pages.select("book_id", "page_no", *_ends(F.col("text")))
+    return _breaks(neighbours(ends, "first"))
+
+
+def _ends(text: Column) -> list[Column]:
+    """first: a page's beginning, null if it can't go on from another page; last: its end, null if it can't go on."""
+    t = ustrip(text)
+    first = F.when((t != "") & ~t.rlike(BLOCK_START) & ~t.rlike(NO_BREAK_HEAD), F.left(t, F.lit(18)))
+    return [first.alias("first"), F.when((t != "") & ~t.rlike(NO_BREAK_TAIL), F.right(t, F.lit(18))).alias("last")]
+
+
+def _breaks(n: DataFrame) -> DataFrame:
+    hit = n.where("last is not null and next_first is not null")
+    return findings(hit, "page_break", F.col("page_no") + 1, F.concat("last", F.lit(" | "), "next_first"))
 
 
 def odd_dollars(pages: DataFrame) -> DataFrame:
@@ -144,7 +175,8 @@ def adjacent_overlaps(pages: DataFrame, least: int = 120) -> DataFrame:
     """
     ship(pages.sparkSession)
     cut = pages.select("book_id", "page_no", plain(F.coalesce("text", F.lit(""))).alias("text"))
-    n = neighbours(cut).where("next_no = page_no + 1").select("book_id", "page_no", F.right("text", F.lit(2000)).alias("a"), F.left("next_text", F.lit(4000)).alias("b"))
+    n = neighbours(cut.select("book_id", "page_no", F.right("text", F.lit(2000)).alias("a"), F.left("text", F.lit(4000)).alias("b")), "b")
+    n = n.select("book_id", "page_no", "a", F.col("next_b").alias("b"))
     half = least // 2
     pieces = F.transform(F.sequence(F.lit(0), F.lit(2000 // half)), lambda i: F.substring("a", i * half + 1, F.lit(half)))
     n = n.where((F.length("a") >= least) & (F.length("b") >= least)).where(F.exists(pieces, lambda p: (F.length(p) == half) & F.contains("b", p)))
@@ -165,10 +197,17 @@ def adjacent_overlaps(pages: DataFrame, least: int = 120) -> DataFrame:
 
 
 def all_findings(pages: DataFrame) -> DataFrame:
-    """The union of the detectors. pages: book_id, page_no, doc_id, text."""
-    dollars = odd_dollars(pages).groupBy("doc_id").agg(F.count("*").alias("n")).join(pages.select("doc_id", "book_id", "page_no"), "doc_id")
-    parts = [pattern_counts(pages), bare_latex(pages), short_pages(pages), same_heads(pages), page_breaks(pages), findings(dollars, "odd_dollar", F.col("n"), F.lit(""))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The union of the detectors. pages: book_id, page_no, doc_id, text.
+
+    One map over the texts gives what single pages show, as an array, and what the detectors of neighbours and of short pages
+    need: a head, two ends and a size. Those rows are narrow, and shuffled once for the neighbours and once for the sizes.
+    """
+    text = F.col("text")
+    one = lambda name, n, evidence: F.struct(F.lit(name).alias("detector"), n.cast("long").alias("n"), evidence.alias("evidence"))
+    latex = F.regexp_extract_all(strip_math(text), F.lit(BARE_LATEX), F.lit(0))
+    odd = lambda x: (F.regexp_count(x, F.lit(r"\$")) % 2 == 1) & ~ustrip(x).startswith("<!--")
+    single = F.array(*[one(k, F.regexp_count(text, F.lit(p)), F.regexp_extract(text, p, 0)) for k, p in PATTERNS.items()], one("bare_latex", F.size(latex), F.get(latex, F.lit(0))), one("odd_dollar", F.size(F.filter(lines(text), odd)), F.lit("")))
+    seen = pages.select("book_id", "page_no", F.filter(single, lambda x: x["n"] > 0).alias("single"), _size(text).alias("size"), _head(text).alias("head"), *_ends(text))
+    n = neighbours(seen.drop("single", "size"), "head", "first")
+    found = seen.select("book_id", "page_no", F.explode("single").alias("f")).select("f.detector", "book_id", "page_no", "f.n", "f.evidence")
+    return found.unionByName(_same(n)).unionByName(_breaks(n)).unionByName(_short(seen.select("book_id", "page_no", "size")))

@@ -10,8 +10,9 @@ OVERLAP = 0.5
 
 
 def score_norm(c: Column) -> Column:
-    """0 to 1 as it is, above 1 to 100 as percent, else null."""
-    v = c.cast("double")
+    """0 to 1 as it is, above 1 to 100 as percent, else null; so is a boolean, as a column or as a text."""
+    text = c.cast("string")
+    v = F.when(~F.lower(text).isin("true", "false"), text.try_cast("double"))
     return F.when((v >= 0) & (v <= 1), v).when((v > 1) & (v <= 100), v / 100)
 
 

@@ -6,8 +6,6 @@ engines and treats accented letters in different ways.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +46,7 @@ MEDIUM = (
     r"(?i)^(File|Simulation|Bluesim|SystemC|Verilog|Foreign|User|Elaborated|code generation)" + END,
     r"^[A-Za-z_][\w$]*\s+\S+\s+[A-Za-z_][\w$]*\s*$",
 )
+# Marks of bullets, headings, images, command lines and contents lines.
 BULLET = r"^([•·]\s*|-\s+|☐\s*|□\s*)"
 HEADING = r"^(#{1,6})\s+(.*)$"
 IMAGE = r"^!\[[^\]]*\]\([^)]*\)"
@@ -59,18 +58,23 @@ TOC_TAIL = r"^(.*?)[\s.．]*(\d+(?:[-–]\d+)?(?:\s*,\s*\d+(?:[-–]\d+)?)*)\s*$
 
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (c.rlike(p) for p in patterns))
+    """Whether one of the patterns is found: one scan of the line, by their alternation."""
+    return c.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def prose_hits(c: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.size(F.filter(words, lambda w: w.isin(PROSE_WORDS)))
+    """How many of the line's words are words of running text."""
+    return F.regexp_count(F.lower(c), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(PROSE_WORDS)})(?![\p{{L}}\p{{N}}_])"))
 
 
 def prose_score(c: Column) -> Column:
     """2 for clear running text, 1 for probable, else 0; under eight words always 0."""
     words, hits = F.regexp_count(c, F.lit("[A-Za-z]{2,}")), prose_hits(c)
-    return F.when(words < 8, 0).when((hits >= 4) & c.rlike(r"[.:;)\]]$"), 2).when(hits >= 6, 1).otherwise(0)
+    return F.when(words < 8, 0).otherwise(_score(hits, c))
+
+
+def _score(hits: Column, c: Column) -> Column:
+    return F.when((hits >= 4) & c.rlike(r"[.:;)\]]$"), 2).when(hits >= 6, 1).otherwise(0)
 
 
 def is_command_heading(title: Column) -> Column:
@@ -78,13 +82,16 @@ def is_command_heading(title: Column) -> Column:
 
 
 def is_definitely_code(c: Column) -> Column:
-    return c.rlike(COMMAND_LINE) | _any(c, CONTAINS) | _any(c, STRONG)
+    return _any(c, (COMMAND_LINE, *CONTAINS, *STRONG))
 
 
 def line_kind(line: Column) -> Column:
     """blank, html, math, bullet, heading, code or prose."""
-    s = ustrip(line)
-    score = prose_score(s)
+    return stripped_kind(ustrip(line))
+
+
+def stripped_kind(s: Column) -> Column:
+    """The kind of a stripped line. The score is taken once: what it leaves open is one more cascade, over an array of it."""
     token = s.rlike(TOKEN) & (F.length(s) >= 8) & s.rlike(r"[_./$(]")
     return (
         F.when(s == "", "blank")
@@ -92,20 +99,22 @@ def line_kind(line: Column) -> Column:
         .when(s.startswith("$$") | s.endswith("$$"), "math")
         .when(s.rlike(BULLET), "bullet")
         .when(s.rlike(HEADING), F.when(is_command_heading(F.regexp_extract(s, HEADING, 2)), "code").otherwise("heading"))
-        .when(score >= 2, "prose")
-        .when(_any(s, STRONG), "code")
-        .when(score >= 1, "prose")
-        .when(_any(s, CONTAINS) | token | _any(s, MEDIUM), "code")
-        .otherwise("prose")
+        .otherwise(F.get(F.transform(F.array(prose_score(s)), lambda score: _by_score(score, s, token)), F.lit(0)))
     )
 
 
+def _by_score(score: Column, s: Column, token: Column) -> Column:
+    weak = F.when(_any(s, CONTAINS) | token | _any(s, MEDIUM), "code").otherwise("prose")
+    return F.when(score >= 2, "prose").when(_any(s, STRONG), "code").when(score >= 1, "prose").otherwise(weak)
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line), 1-based."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
 
 
 def kinds(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line, kind)."""
     return numbered_lines(docs).withColumn("kind", line_kind(F.col("line")))
 
 
@@ -119,7 +128,9 @@ def blocks(kinds: DataFrame) -> DataFrame:
     k = kinds.where("kind <> 'blank'")
     before, line = F.lag("kind").over(order), F.lag("line_no").over(order)
     new = before.isNull() | (before != F.col("kind")) | F.col("kind").isin("heading", "math", "html") | ((F.col("kind") == "prose") & (line < F.col("line_no") - 1))
-    k = k.withColumn("island", F.sum(new.cast("int")).over(order)).withColumn("hard", is_definitely_code(ustrip(F.col("line"))))
+    # Only single code lines need the hard evidence; the lines themselves go no further.
+    k = k.select("doc_id", "line_no", "kind", F.when(F.col("kind") == "code", is_definitely_code(ustrip(F.col("line")))).otherwise(False).alias("hard"))
+    k = k.withColumn("island", F.sum(new.cast("int")).over(order))
     b = k.groupBy("doc_id", "island", "kind").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count("*").alias("n_lines"), F.max("hard").alias("hard"))
     kind = F.when((F.col("kind") == "code") & (F.col("n_lines") == 1) & ~F.col("hard"), "prose").when(F.col("kind") == "bullet", "bullets").otherwise(F.col("kind"))
     return b.select("doc_id", "start_line", "end_line", kind.alias("kind"), "n_lines")
@@ -140,7 +151,7 @@ def block_is_code(block: Column) -> Column:
 
 
 def heading_level(title: Column) -> Column:
-    """2 to 4 by the parts of a leading number; null for an upper-case mnemonic, which is code."""
+    """2 to 4 by the parts of a leading number; null for an upper-case mnemonic, which is code. The patterns are fixed values."""
     number = F.regexp_extract(title, r"^((?:\d+|[A-Z])(?:\.(?:\d+|\w+))*)[\s.、]", 1)
     dots = F.regexp_count(number, F.lit(r"\."))
     code = title.rlike(r"^[A-Z][A-Z0-9]{1,6}(\s|$)") & ~title.rlike(r"[\x{4e00}-\x{9fff}]")
@@ -153,7 +164,7 @@ def toc_tail(line: Column) -> Column:
 
 
 def toc_title(title: Column) -> Column:
-    """A heading without math and doubled spaces; as it is if nothing would be left."""
+    """A heading without math and doubled spaces; as it is if nothing would be left. The patterns are fixed values."""
     short = F.trim(F.regexp_replace(F.regexp_replace(title, r"\$\s*[^$]*\$\s*", ""), r"\s{2,}", " "))
     return F.coalesce(F.nullif(short, F.lit("")), title)
 
@@ -161,11 +172,17 @@ def toc_title(title: Column) -> Column:
 def toc_parents(entries: DataFrame) -> DataFrame:
     """Entries (toc, seq, level) with parent_seq: the nearest one before with a smaller level.
 
-    The last position of each of the six heading levels is a running maximum; no self join.
+    An entry asks each smaller level of its contents for its last position so far: a running maximum for each contents and
+    level. Levels may be any numbers; a table of contents has few.
     """
-    before = Window.partitionBy("toc").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.when(F.lit(level) < F.col("level"), F.max(F.when(F.col("level") == level, F.col("seq"))).over(before)) for level in range(1, 7)]
-    return entries.withColumn("parent_seq", F.greatest(*last))
+    levels = entries.groupBy("toc").agg(F.collect_set("level").alias("__levels"))
+    at = entries.join(levels, "toc").select("toc", "seq", F.explode(F.filter("__levels", lambda x: x < F.col("level"))).alias("__below"))
+    marks = entries.select("toc", "seq", F.col("level").alias("__below"), F.lit(True).alias("__mark"))
+    asks = at.select("toc", "seq", "__below", F.lit(False).alias("__mark"))
+    by = Window.partitionBy("toc", "__below").orderBy("seq", "__mark").rowsBetween(Window.unboundedPreceding, -1)
+    last = marks.unionByName(asks).withColumn("__last", F.max(F.when(F.col("__mark"), F.col("seq"))).over(by)).where("not __mark")
+    parents = last.groupBy("toc", "seq").agg(F.max("__last").alias("parent_seq"))
+    return entries.join(parents, ["toc", "seq"], "left")
 
 
 def chapter_spans(starts: DataFrame, counts: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ one pandas function over the entries, since Spark's xpath fails a whole job on m
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from quire.shipping import ship
 
 SEVERITIES = ("FATAL", "ERROR", "WARNING", "INFO")
+# A line of a checker's text report, and the place in it.
+CHECKER = r"^(FATAL|ERROR|WARNING|INFO|USAGE)\(([A-Za-z0-9_-]+)\):\s*(.*)$"
+LOCATION = r"^(.*?)\((\d+),(\d+)\)$"
 #: Schemes of remote references.
 REMOTE = r"^(https?:|ftp:)?//"
 ISSUE = "id string, severity string, message string, path string, line int"
@@ -58,11 +63,70 @@ def archive_issues(entries: DataFrame) -> DataFrame:
     out = wrong(F.col("name") != "mimetype", "FATAL", "mimetype is not the first entry")
     out = out.unionAll(wrong((F.col("name") == "mimetype") & ~F.col("stored"), "ERROR", "mimetype is compressed"))
     out = out.unionAll(wrong((F.col("name") == "mimetype") & (text != "application/epub+zip"), "FATAL", "mimetype has other content"))
+    # An archive that can't be read, or has nothing in it, is one row without a name.
+    empty = lambda cond, rule, message: entries.where("name is null").where(cond).select(F.lit(rule), F.lit("FATAL"), F.lit(message), F.col("epub"), F.lit(0))
+    out = out.unionAll(empty(F.col("content").isNotNull(), "PKG-001", "no zip archive")).unionAll(empty(F.col("content").isNull(), "PKG-006", "the archive is empty"))
     have = entries.where("name = 'META-INF/container.xml'").select("epub")
-    lacking = entries.select("epub").distinct().join(have, "epub", "left_anti")
+    lacking = entries.where("name is not null").select("epub").distinct().join(have, "epub", "left_anti")
     return out.unionAll(lacking.select(F.lit("PKG-002"), F.lit("FATAL"), F.lit("no META-INF/container.xml"), F.col("epub"), F.lit(0)))
 
 
+def rootfile_issues(entries: DataFrame) -> DataFrame:
+    """Whether each archive's container names a package document that is there. entries: epub, name, content."""
+    box = entries.where("name = 'META-INF/container.xml'").select("epub", F.decode("content", "UTF-8").alias("text"))
+    value = lambda a: F.regexp_extract("tag", rf"\s{a}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    tags = box.select("epub", F.regexp_extract("text", r"<(?:[\w.-]+:)?rootfile\b[^>]*>", 0).alias("tag"))
+    at = tags.select("epub", "tag", value("full-path").alias("target"), value("media-type").alias("media_type"))
+    have = entries.where("name is not null").select("epub", F.col("name").alias("target")).distinct().withColumn("there", F.lit(True))
+    seen = at.join(have, ["epub", "target"], "left").withColumn("there", F.col("there") & (F.col("target") != ""))
+    place = F.concat("epub", F.lit("!META-INF/container.xml"))
+    issue = lambda rows, severity, message, path=place: rows.select(F.lit("PKG-003").alias("id"), F.lit(severity).alias("severity"), message.alias("message"), path.alias("path"), F.lit(0).alias("line"))
+    out = issue(seen.where("tag = ''"), "FATAL", F.lit("no rootfile"))
+    out = out.unionAll(issue(seen.where("tag <> '' and media_type <> 'application/oebps-package+xml'"), "ERROR", F.concat(F.lit("rootfile media type: "), "media_type")))
+    out = out.unionAll(issue(seen.where("tag <> '' and there is null"), "FATAL", F.concat(F.lit("rootfile names a missing entry: "), "target")))
+    # Without a rootfile that is there, the only package document of the archive counts; several or none can't be told apart.
+    lost = entries.where("name is not null").groupBy("epub").agg(F.count(F.when(F.col("name").endswith(".opf"), 1)).alias("n")).join(seen.where("there").select("epub"), "epub", "left_anti")
+    return out.unionAll(issue(lost.where("n <> 1"), "FATAL", F.lit("the package document can't be located"), F.col("epub")))
+
+
+def manifest_target_issues(entries: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Local manifest items (epub, opf, href) whose target is no entry of the archive."""
+    asked = manifest.where(~F.col("href").rlike(REMOTE) & (F.col("href") != "")).withColumn("target", resolve(F.col("opf"), F.col("href")))
+    missing = asked.join(entries.where("name is not null").select("epub", F.col("name").alias("target")), ["epub", "target"], "left_anti")
+    return missing.select(F.lit("RSC-007").alias("id"), F.lit("ERROR").alias("severity"), F.concat(F.lit("the manifest names a missing file: "), "href").alias("message"), F.col("opf").alias("path"), F.lit(0).alias("line"))
+
+
+def manifest_items(entries: DataFrame) -> DataFrame:
+    """(epub, opf, href) of the package documents among the entries (epub, name, content)."""
+    tags = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"<(?:[\w.-]+:)?item\s[^>]*>"), F.lit(0))
+    items = entries.where(F.col("name").endswith(".opf")).select("epub", F.col("name").alias("opf"), F.explode(tags).alias("tag"))
+    return items.select("epub", "opf", F.regexp_extract("tag", r"\shref\s*=\s*[\"']([^\"']*)[\"']", 1).alias("href")).where("href <> ''")
+
+
+def checker_lines(reports: DataFrame) -> DataFrame:
+    """(id, severity, message, path, line, col) of a checker's text reports (text): lines like ``ERROR(RSC-005): a.xhtml(3,7): why``."""
+    found = reports.select(F.explode(F.split("text", r"\r?\n")).alias("l")).select(F.trim("l").alias("l")).where(F.col("l").rlike(CHECKER))
+    rest = F.regexp_extract("l", CHECKER, 3)
+    place, tail = F.split_part(rest, F.lit(":"), F.lit(1)), F.trim(F.substr(rest, F.locate(":", rest) + 1))
+    parts = found.select(F.regexp_extract("l", CHECKER, 2).alias("id"), F.regexp_extract("l", CHECKER, 1).alias("severity"), F.when(rest.contains(":"), tail).otherwise(rest).alias("message"), F.when(rest.contains(":"), F.trim(place)).otherwise("").alias("place"))
+    at = lambda i: F.regexp_extract("place", LOCATION, i)
+    placed = F.col("place").rlike(LOCATION)
+    return parts.select("id", "severity", "message", F.when(placed, at(1)).otherwise(F.col("place")).alias("path"), F.when(placed, at(2).cast("int")).otherwise(0).alias("line"), F.when(placed, at(3).cast("int")).otherwise(0).alias("col"))
+
+
+def checker_messages(reports: DataFrame) -> DataFrame:
+    """(id, severity, message, path, line, col) of a checker's JSON reports (value): a row for each place of a message."""
+    shape = "struct<messages:array<struct<ID:string,severity:string,message:string,locations:array<struct<path:string,line:int,column:int>>>>>"
+    m = reports.select(F.explode(F.from_json("value", shape)["messages"]).alias("m"))
+    at = m.select("m", F.explode_outer("m.locations").alias("at"))
+    return at.select(F.col("m.ID").alias("id"), F.upper("m.severity").alias("severity"), F.col("m.message").alias("message"), F.coalesce("at.path", F.lit("")).alias("path"), F.coalesce("at.line", F.lit(0)).alias("line"), F.coalesce("at.column", F.lit(0)).alias("col"))
+
+
+def ordered(issues: DataFrame) -> DataFrame:
+    """Issues in a report's order: the gravest first, then by rule, path and line."""
+    return issues.orderBy(severity_rank(F.col("severity")), "id", "path", "line", "message")
+
+
 def resolve(base: Column, href: Column) -> Column:
     """A reference as a path from the archive's root: without query and fragment, decoded, with .. and . folded."""
     clean = F.regexp_replace(href, "[?#].*$", "")
@@ -131,15 +195,20 @@ def _package_issues(source: bytes) -> list[tuple[str, str, str, int]]:
     out = []
     if not (root.get("version") or "").startswith("3"):
         out.append(("OPF-001", "WARNING", f"version {root.get('version')}", 0))
-    ids = list(root.iter(f"{dc}identifier"))
-    if not any((x.text or "").strip() and x.get("id") == root.get("unique-identifier") for x in ids):
+    ids, named = list(root.iter(f"{dc}identifier")), root.get("unique-identifier")
+    if not ids:
+        out.append(("OPF-001", "ERROR", "no dc:identifier", 0))
+    elif named and named not in [x.get("id") for x in ids]:
         out.append(("OPF-001", "ERROR", "no dc:identifier that the package names", 0))
+    out += [("OPF-001", "ERROR", "empty dc:identifier", 0) for x in ids if not (x.text or "").strip()]
     for tag in ("title", "language"):
         if not any((x.text or "").strip() for x in root.iter(dc + tag)):
             out.append(("OPF-001", "ERROR", f"no dc:{tag}", 0))
     modified = [x.text or "" for x in root.iter(f"{opf}meta") if x.get("property") == "dcterms:modified"]
-    if len(modified) != 1 or not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", modified[0].strip()):
-        out.append(("OPF-001", "ERROR", "dcterms:modified is missing or malformed", 0))
+    if not modified:
+        out.append(("OPF-001", "ERROR", "no dcterms:modified", 0))
+    out += [("OPF-001", "ERROR", f"malformed dcterms:modified: {m}", 0) for m in modified if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", m.strip())]
+    out += [("OPF-003", "ERROR", f"id occurs more than once in the document: {k}", 0) for k, n in Counter(x.get("id") for x in root.iter() if x.get("id")).items() if n > 1]
     out += [("OPF-001", "WARNING", f"old meta: {x.get('name')}", 0) for x in root.iter(f"{opf}meta") if x.get("name") not in (None, "cover")]
     items = list(root.iter(f"{opf}item"))
     out += [("OPF-003", "ERROR", "item lacks id or href", 0) for x in items if not x.get("id") or not x.get("href")]
@@ -172,7 +241,8 @@ def document_issues(entries: DataFrame) -> DataFrame:
 def lint(entries: DataFrame) -> DataFrame:
     """All issues of archives given as entries (epub, ord, name, stored, content)."""
     docs = entries.where(F.col("name").rlike(r"\.(xhtml|html|htm)$")).select("epub", "name", F.decode("content", "UTF-8").alias("text"))
-    return archive_issues(entries).unionByName(document_issues(entries)).unionByName(reference_issues(docs, entries))
+    parts = [archive_issues(entries), rootfile_issues(entries), document_issues(entries), reference_issues(docs, entries), manifest_target_issues(entries, manifest_items(entries))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merged(reports: DataFrame) -> DataFrame:

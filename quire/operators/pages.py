@@ -1,7 +1,8 @@
 """Pages of books: chunk plans, coverage, seams, and reconciliation.
 
-A page relation has book_id, page_no (1-based, within the book) and text. Windows are always partitioned by book, so books
-are worked on in parallel and the longest book bounds a task.
+A page relation has book_id, page_no (1-based, within the book) and text. A book may hold a third of all pages, so texts never
+meet by book: pages are numbered in ranges of ids, neighbours find each other by an equal join of their numbers, and windows
+over a book see plans, counts and flags only.
 """
 
 from __future__ import annotations
@@ -13,12 +14,33 @@ from quire.functions.text import ustrip
 
 #: A page with this many characters on average has a text layer.
 TEXT_LAYER_CHARS = 40
+# The marker of a page in a paged source, as it is written and as it is found.
+MARKER = "<!-- ===== 原书第 %d 页（%s）===== -->"
+MARKED = r"<!-- ===== 原书第 (\d+) 页（([^）]*)）===== -->"
+# Beginnings of a block, and ends of a sentence.
+BLOCK_START = r"^\s*(#|【|例|图|表|注|解|分析|证明|题型|习题|第\s*\d+\s*[章节讲]|<!--)"
+SENTENCE_ENDS = "。！？…；;!?：:"
+#: Pages of a range in a page specification, at most.
+SPEC_PAGES = 100_000
+
+
+#: Ids of a range in which pages are numbered. Ids far apart make more ranges, of fewer pages.
+RANGE_IDS = 4096
 
 
 def book_pages(docs: DataFrame) -> DataFrame:
-    """(book_id, page_no, doc_id, text): the documents of a source, by id, as the pages of a book."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return docs.select(F.col("source").alias("book_id"), F.row_number().over(order).alias("page_no"), "doc_id", "text")
+    """(book_id, page_no, doc_id, text): the documents of a source, by id, as the pages of a book.
+
+    Pages are ranked within ranges of ids, and a range begins where the counts of those before it end. A window thus holds
+    RANGE_IDS ids of a source at most, whatever the source's size; only counts, one row a range, meet by source.
+    """
+    rows = docs.select(F.col("source").alias("book_id"), "doc_id", "text", F.floor(F.col("doc_id") / RANGE_IDS).alias("__range"))
+    before = Window.partitionBy("book_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("book_id", "__range").agg(F.count("*").alias("n"))
+    starts = sizes.select(F.col("book_id").alias("__of"), F.col("__range").alias("__at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("book_id", "__range").orderBy("doc_id"))
+    placed = rows.withColumn("__nth", nth).join(starts, F.col("book_id").eqNullSafe(F.col("__of")) & F.col("__range").eqNullSafe(F.col("__at")))
+    return placed.select("book_id", (F.col("__start") + F.col("__nth")).cast("int").alias("page_no"), "doc_id", "text")
 
 
 def books(pages: DataFrame) -> DataFrame:
@@ -69,6 +91,53 @@ def with_chunk(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_id", F.last("start_chunk", ignorenulls=True).over(order)).where("kind = 1").select("book_id", "page_no", "doc_id", "chunk_id")
 
 
+def paged_pieces(pages: DataFrame) -> DataFrame:
+    """(book_id, page_no, piece) of pages (book_id, page_no, chunk_id, text): each page behind its marker. A book's pieces in their
+    order, joined by line breaks, are its paged source; they are rows, since a book may be long."""
+    mark = F.format_string(MARKER, "page_no", "chunk_id")
+    return pages.select("book_id", "page_no", F.concat(mark, F.lit("\n\n"), ustrip(F.coalesce("text", F.lit(""))), F.lit("\n")).alias("piece"))
+
+
+def pages_of_markdown(sources: DataFrame) -> DataFrame:
+    """(book_id, page_no, chunk_id, text) of paged sources (book_id, markdown): what stands between two page markers."""
+    numbers = F.regexp_extract_all("markdown", F.lit(MARKED), F.lit(1))
+    chunks = F.regexp_extract_all("markdown", F.lit(MARKED), F.lit(2))
+    texts = F.transform(F.slice(F.split("markdown", MARKED), 2, 2_000_000_000), lambda t: F.regexp_replace(t, r"^\n+|\n+$", ""))
+    zipped = F.arrays_zip(numbers.alias("n"), chunks.alias("c"), texts.alias("t"))
+    return sources.select("book_id", F.explode(zipped).alias("p")).select("book_id", F.col("p.n").cast("int").alias("page_no"), F.col("p.c").alias("chunk_id"), F.col("p.t").alias("text"))
+
+
+def fixed_split(counts: DataFrame, size: int) -> DataFrame:
+    """(book_id, page_start, page_end), 1-based: books (book_id, page_count) in parts of size pages."""
+    parts = counts.where("page_count > 0").select("book_id", "page_count", F.explode(F.sequence(F.lit(1), F.col("page_count"), F.lit(size))).alias("page_start"))
+    return parts.select("book_id", "page_start", F.least(F.col("page_count"), F.col("page_start") + size - 1).alias("page_end"))
+
+
+def pending(chunks: DataFrame, extracted: DataFrame) -> DataFrame:
+    """The chunks without a result (book_id, chunk_id)."""
+    return chunks.join(extracted.select("book_id", "chunk_id"), ["book_id", "chunk_id"], "left_anti")
+
+
+def seam_texts(seams: DataFrame, pages: DataFrame, size: int = 160) -> DataFrame:
+    """Seams with the end of the left page, the beginning of the right one and how they look together: block (the right page
+    begins a block), sentence (the left one ends a sentence) or suspicious. seams: book_id, left_page, right_page; pages:
+    book_id, page_no, text. Pages find their seam by an equal join; of texts, size characters go along."""
+    flat = F.regexp_replace(ustrip(F.coalesce("text", F.lit(""))), r"\s+", " ")
+    left = pages.select("book_id", F.col("page_no").alias("left_page"), F.right(flat, F.lit(size)).alias("tail"))
+    right = pages.select("book_id", F.col("page_no").alias("right_page"), F.left(flat, F.lit(size)).alias("head"))
+    j = seams.join(left, ["book_id", "left_page"], "left").join(right, ["book_id", "right_page"], "left")
+    tail, head = F.coalesce("tail", F.lit("")), F.coalesce("head", F.lit(""))
+    look = F.when(head.rlike(BLOCK_START), "block").when((tail != "") & F.lit(SENTENCE_ENDS).contains(F.right(tail, F.lit(1))), "sentence").otherwise("suspicious")
+    return j.withColumns({"tail": tail, "head": head}).withColumn("look", look)
+
+
+def work_pages(low: DataFrame, seams: DataFrame, counts: DataFrame, around: int = 1) -> DataFrame:
+    """(book_id, page_no, is_seam): the pages to look at: low ones with their neighbours, and both pages of every seam."""
+    at = seams.select("book_id", F.explode(F.array("left_page", "right_page")).alias("page_no"), F.lit(True).alias("is_seam")).where("page_no is not null")
+    near = context_pages(low, counts, around).withColumn("is_seam", F.lit(False))
+    return near.unionByName(at).groupBy("book_id", "page_no").agg(F.max("is_seam").alias("is_seam"))
+
+
 def seams(chunks: DataFrame, chars: DataFrame) -> DataFrame:
     """(book_id, left_chunk, right_chunk, left_page, right_page, left_chars, right_chars, verdict) of neighbouring chunks.
 
@@ -111,11 +180,14 @@ def uncovered_pages(counts: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def page_spec(spec: Column) -> Column:
-    """An array of the distinct pages, sorted, of lists like "3, 5-7 9"; parts that aren't numbers above 0 are left out."""
+    """An array of the distinct pages, sorted, of lists like "3, 5-7 9"; parts that aren't numbers above 0 are left out.
+
+    A range of more than SPEC_PAGES pages is an error, since no book has so many.
+    """
     parts = F.filter(F.split(spec, r"[\s,，]+"), lambda p: p.rlike(r"^\d{1,9}(-\d{1,9})?$"))
     one = lambda p: F.split_part(p, F.lit("-"), F.lit(1)).cast("int")
     to = lambda p: F.element_at(F.split(p, "-"), -1).cast("int")
-    pages = F.flatten(F.transform(parts, lambda p: F.when(one(p) <= to(p), F.sequence(one(p), to(p))).otherwise(F.array().cast("array<int>"))))
+    pages = F.flatten(F.transform(parts, lambda p: F.when(to(p) - one(p) >= SPEC_PAGES, F.raise_error(F.concat(F.lit("too many pages: "), p)).cast("array<int>")).when(one(p) <= to(p), F.sequence(one(p), to(p))).otherwise(F.array().cast("array<int>"))))
     return F.array_sort(F.array_distinct(F.filter(pages, lambda x: x > 0)))
 
 

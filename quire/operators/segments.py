@@ -1,20 +1,212 @@
-"""Segments from parse results of unknown shape: JSON of several layouts as one relation."""
+"""Segments from parse results of unknown shape: JSON of several layouts as one relation.
+
+Documents are read by one Arrow-batched function each: JSON trees have any depth and shape, so what a node says (its score,
+text, page, kind and box) is looked up by names in any case. Everything behind that is relational: ids, thresholds, layout
+scores by overlap, counts of pages.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Names under which a score, a text, a box and a kind are found, in order of preference.
-SCORE_KEYS = ("score", "confidence", "conf", "prob", "probability")
-TEXT_KEYS = ("text", "content", "md", "latex", "html")
+from quire.operators.geometry import layout_scores, to_unit
+from quire.shipping import ship
+
+# Names under which a score, a text, captions, an image, a page, a box, a kind and a page's parts are found, in
+# order of preference.
+SCORE_KEYS = ("score", "confidence", "conf", "probability", "avg_score")
+TEXT_KEYS = ("text", "content", "table_body", "html", "latex", "markdown")
+CAPTION_KEYS = ("image_caption", "table_caption", "caption", "img_caption", "footnote")
+IMAGE_KEYS = ("img_path", "image_path", "img", "image")
+PAGE_KEYS = ("page_idx", "page_index", "page_no", "page_number", "page")
+ONE_BASED = ("page_no", "page_number")
 BBOX_KEYS = ("bbox", "box", "poly", "polygon")
 KIND_KEYS = ("type", "category", "label", "block_type")
+PAGE_LISTS = ("pages", "page_info", "pdf_info")
+COUNT_KEYS = ("pages", "page_info", "layout_dets")
+#: How deep a scored node's descendants are looked at for its text.
+TEXT_DEPTH = 3
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+NODE = f"struct<path:string,page_idx:int,kind:string,text:string,score:double,source:string,box:{BOX}>"
+
+
+def named(node: dict, names: tuple[str, ...]) -> list[tuple[str, object]]:
+    """The node's values under these names, in any case: the preferred name first, and its exact spelling before others."""
+    order = {name: i for i, name in enumerate(names)}
+    hits = sorted((order[k.lower()], k != k.lower(), k) for k in node if k.lower() in order)
+    return [(names[i], node[k]) for i, _, k in hits]
+
+
+def first_named(node: dict, names: tuple[str, ...]):
+    return next((v for _, v in named(node, names)), None)
+
+
+def number(value) -> float | None:
+    """A number or a text that is one; the mean of a list's numbers; booleans are none."""
+    if isinstance(value, list):
+        known = [x for x in map(number, value) if x is not None]
+        return sum(known) / len(known) if known else None
+    try:
+        return None if isinstance(value, (bool, dict)) or value is None else float(value)
+    except ValueError:
+        return None
+
+
+def scale(value: float | None) -> float | None:
+    """Shares as they are, percents as shares, anything else as unknown."""
+    if value is None or not 0 <= value <= 100:
+        return None
+    return value if value <= 1 else value / 100
+
+
+def score_of(node: dict, below: int = 0) -> tuple[float | None, str]:
+    """A node's score and the name it was found under; with below, also from objects so many levels down, as child.name."""
+    own = ((scale(number(v)), name) for name, v in named(node, SCORE_KEYS) if not isinstance(v, (list, dict)))
+    found = next((x for x in own if x[0] is not None), None)
+    if found is None and below:
+        inner = ((score_of(v, below - 1), k) for k, v in node.items() if isinstance(v, dict))
+        found = next(((s, f"{k}.{name}") for (s, name), k in inner if s is not None), None)
+    return found or (None, "")
+
+
+def strings(value) -> list[str]:
+    """A text, or a list's texts, stripped, without empty ones."""
+    return [x.strip() for x in (value if isinstance(value, list) else [value]) if isinstance(x, str) and x.strip()]
+
+
+def text_of(node: dict) -> str:
+    """The first text that isn't empty, then all captions; a picture's path if there is neither."""
+    texts = [" ".join(strings(v)) for _, v in named(node, TEXT_KEYS)]
+    parts = [t for t in texts if t][:1] + [s for name in CAPTION_KEYS for s in strings(first_named(node, (name,)))]
+    image = strings(first_named(node, IMAGE_KEYS)) if not parts else []
+    return "\n".join(parts or [f"[图片] {p}" for p in image[:1]])
+
+
+def page_of(node, otherwise: int) -> int:
+    """The page a node names, from 0; names of pages that count from 1 go first."""
+    value = first_named(node, PAGE_KEYS) if isinstance(node, dict) else None
+    if not isinstance(value, int) or isinstance(value, bool):
+        return otherwise
+    return value - 1 if named(node, ONE_BASED) else value
+
+
+def kind_of(node: dict) -> str:
+    value = first_named(node, KIND_KEYS)
+    if isinstance(value, str) and value.strip():
+        return value.strip().lower()
+    return f"category_{value}" if isinstance(value, int) and not isinstance(value, bool) else "unknown"
+
+
+def box_of(node: dict) -> dict | None:
+    """The box of four numbers, or of the hull of eight."""
+    value = first_named(node, BBOX_KEYS)
+    v = [x for x in map(number, value) if x is not None] if isinstance(value, list) else []
+    if len(v) == 8:
+        v = [min(v[::2]), min(v[1::2]), max(v[::2]), max(v[1::2])]
+    return dict(zip(("x0", "y0", "x1", "y1"), v, strict=True)) if len(v) == 4 else None
+
+
+def page_nodes(payload) -> list[tuple[str, int, object]]:
+    """(path, page, node) of the pages at a document's top: a list's items, those of a list of pages, or all as one page."""
+    at, items = "$", payload if isinstance(payload, list) else None
+    if isinstance(payload, dict):
+        name = next((k for k in payload if k.lower() in PAGE_LISTS and isinstance(payload[k], list)), None)
+        if name is None:
+            return [("$", 0, payload)]
+        at, items = f"$/{name}", payload[name]
+    return [(f"{at}/{i}", page_of(x, i), x) for i, x in enumerate(items or [])]
 
 
-def first_of(node: Column, keys: tuple[str, ...], kind: str) -> Column:
-    """The first of the keys that a variant object has, as kind."""
-    return F.coalesce(*[F.try_variant_get(node, f"$.{k}", kind) for k in keys])
+def descendants(node, depth: int) -> Iterator[dict]:
+    """Objects below a node, down to a depth, in order."""
+    for child in node.values() if isinstance(node, dict) else node if isinstance(node, list) else ():
+        if depth and isinstance(child, (dict, list)):
+            if isinstance(child, dict):
+                yield child
+            yield from descendants(child, depth - 1)
+
+
+def scored_of(value: str | None) -> list[dict]:
+    """Every object of a JSON text that has a score of its own and a text, its own or its descendants'."""
+    try:
+        todo = page_nodes(json.loads(value or "null"))[::-1]
+    except ValueError:
+        return []
+    out = []
+    while todo:
+        path, page, node = todo.pop()
+        if isinstance(node, dict):
+            page = page_of(node, page)
+            score, source = score_of(node)
+            if score is not None:
+                text = text_of(node) or " ".join(filter(None, map(text_of, descendants(node, TEXT_DEPTH))))
+                if text:
+                    out.append({"path": path, "page_idx": page, "kind": kind_of(node), "text": text, "score": score, "source": source, "box": box_of(node)})
+        inner = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
+        todo += [(f"{path}/{k}", page, x) for k, x in inner if isinstance(x, (dict, list))][::-1]
+    return out
+
+
+def items_of(value: str | None) -> list[dict]:
+    """The objects of a content list that have a text; scores are their own or a child object's."""
+    try:
+        payload = json.loads(value or "null")
+    except ValueError:
+        return []
+    out = []
+    for i, node in enumerate(x for x in (payload if isinstance(payload, list) else []) if isinstance(x, dict)):
+        if text := text_of(node):
+            score, source = score_of(node, 1)
+            out.append({"path": f"$/{i}", "page_idx": page_of(node, 0), "kind": kind_of(node), "text": text, "score": score, "source": source or "none", "box": box_of(node)})
+    return out
+
+
+def _nodes(documents: DataFrame, key: str, read) -> DataFrame:
+    ship(documents.sparkSession)
+    nodes = F.pandas_udf(lambda values: pd.Series([read(v) for v in values], dtype="object"), f"array<{NODE}>")
+    return documents.select(key, F.posexplode(nodes("value")).alias("ord", "n")).select(key, "ord", "n.*")
+
+
+def scored_nodes(documents: DataFrame) -> DataFrame:
+    """(doc, ord, path, page_idx, kind, text, score, source, box) of every object in JSON documents (doc, value) that has a
+    score and a text, at any depth. What is no JSON gives no rows."""
+    return _nodes(documents, "doc", scored_of)
+
+
+def content_segments(lists: DataFrame) -> DataFrame:
+    """(bundle, ord, segment_id, page_idx, kind, text, score, source, box) of content lists (bundle, value): one row for each
+    item with a text, in order; ids begin anew in each bundle. Items without a score keep null, for layout_scored."""
+    return _nodes(lists, "bundle", items_of).withColumn("segment_id", F.format_string("S%05d", F.col("ord") + 1)).drop("path")
+
+
+def layout_scored(segments: DataFrame, layout: DataFrame, systems: DataFrame) -> DataFrame:
+    """Segments whose missing scores come from layout boxes (bundle, page, box, score, source) that overlap them.
+
+    systems: (bundle, system, width, height), the coordinate system of the segments' boxes (geometry.coordinate_systems);
+    layout boxes are on the scale 0 to 1. A segment without a box, or of an unknown system, keeps null.
+    """
+    at = segments.join(systems, "bundle", "left").withColumn("unit", to_unit(F.col("box"), F.col("system"), F.col("width"), F.col("height")))
+    asking = at.where("score is null and unit is not null").select(F.struct("bundle", "segment_id").alias("target_id"), F.struct("bundle", F.col("page_idx").alias("page")).alias("page"), F.col("unit").alias("box"))
+    found = layout_scores(asking, layout.select(F.struct("bundle", "page").alias("page"), "box", "score", F.col("source")))
+    found = found.select("target_id.*", F.col("score").alias("l_score"), F.col("source").alias("l_source"), "hits")
+    out = segments.join(found, ["bundle", "segment_id"], "left")
+    return out.select(*[c for c in segments.columns if c not in ("score", "source")], F.coalesce("score", "l_score").alias("score"), F.when(F.col("score").isNull() & F.col("l_score").isNotNull(), F.col("l_source")).otherwise(F.col("source")).alias("source"), F.coalesce("hits", F.lit(0)).alias("lines"))
+
+
+def parsed_page_count(results: DataFrame) -> DataFrame:
+    """(bundle, parsed_pages) of results (bundle, content, model), both JSON: one more than the content list's last page, else
+    the number of the model's pages; null if neither says it."""
+    content, model = F.try_parse_json("content"), F.try_parse_json("model")
+    listed = F.from_json("content", "array<struct<page_idx:int>>")
+    last = F.array_max(F.transform(listed, lambda x: x["page_idx"]))
+    sized = lambda path: F.nullif(F.size(F.try_variant_get(model, path, "array<variant>")), F.lit(0))
+    known = F.coalesce(*[F.when(F.coalesce(sized(p), F.lit(-1)) > 0, sized(p)) for p in ("$", *(f"$.{k}" for k in COUNT_KEYS))])
+    return results.select("bundle", F.coalesce(F.when(content.isNotNull(), last + 1), known).alias("parsed_pages"))
 
 
 def result_pages(lines: DataFrame) -> DataFrame:
@@ -22,35 +214,8 @@ def result_pages(lines: DataFrame) -> DataFrame:
 
     A line that is no JSON raises; blank lines are skipped.
     """
-    from pyspark.sql import Window
-
     shape = "struct<result:struct<layoutParsingResults:array<struct<markdown:struct<text:string,images:map<string,string>>>>>>"
     rows = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", shape, {"mode": "FAILFAST"}))
     pages = rows.select("file", "line_no", F.posexplode("r.result.layoutParsingResults").alias("i", "p"))
     order = Window.partitionBy("file").orderBy("line_no", "i")
     return pages.select("file", (F.row_number().over(order) - 1).alias("page_idx"), F.coalesce("p.markdown.text", F.lit("")).alias("text"), "p.markdown.images")
-
-
-def scored_nodes(documents: DataFrame, depth: int = 12) -> DataFrame:
-    """(doc, path, page_idx, kind, text, score) of every object in JSON documents (doc, value) that has a score and a text.
-
-    Levels are unfolded one by one with variant_explode, as deep as the documents go, depth at most.
-    """
-    spark = documents.sparkSession
-    level = documents.select("doc", F.lit("$").alias("path"), F.lit(None).cast("int").alias("page_idx"), F.try_parse_json("value").alias("node"))
-    found = []
-    for i in range(depth):
-        score = first_of(F.col("node"), SCORE_KEYS, "double")
-        norm = F.when((score >= 0) & (score <= 1), score).when((score > 1) & (score <= 100), score / 100)
-        text = first_of(F.col("node"), TEXT_KEYS, "string")
-        kind = F.lower(F.coalesce(first_of(F.col("node"), KIND_KEYS, "string"), F.lit("")))
-        found.append(level.select("doc", "path", "page_idx", kind.alias("kind"), text.alias("text"), norm.alias("score")).where("score is not null and text is not null"))
-        view = f"quire_level_{i}_{id(documents)}"
-        level.createOrReplaceTempView(view)
-        page = "coalesce(try_variant_get(e.value, '$.page_idx', 'int'), try_variant_get(e.value, '$.page_index', 'int'), try_variant_get(e.value, '$.page_no', 'int') - 1, t.page_idx)"
-        level = spark.sql(f"SELECT t.doc, concat(t.path, '/', coalesce(e.key, cast(e.pos AS string))) AS path, {page} AS page_idx, e.value AS node FROM {view} t, LATERAL variant_explode_outer(t.node) e WHERE e.value IS NOT NULL AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'")
-        spark.catalog.dropTempView(view)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionAll(f)
-    return out

@@ -29,6 +29,48 @@ def exit_code(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.when(F.coalesce(F.bool_or(F.col("severity").isin(*LEVELS[1:])), F.lit(False)), 2).otherwise(0).alias("exit_code"))
 
 
+def noticed(alerts: DataFrame, severity: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest alerts of a severity, or of any; a report, whose limit is its feature."""
+    few = alerts if severity is None else alerts.where(F.upper("severity") == severity.upper())
+    return few.orderBy(F.desc("ts"), F.desc("alert_id")).limit(limit)
+
+
+def last_severity(alerts: DataFrame) -> DataFrame:
+    """(code, severity): what each code was when it came up last."""
+    return alerts.groupBy("code").agg(F.max_by("severity", F.struct("ts", "alert_id")).alias("severity"))
+
+
+def known_states(lines: DataFrame, schema: str) -> DataFrame:
+    """States (file, value) read as JSON objects of a schema; a state that can't be read is left out, the others stay."""
+    read = lines.withColumn("s", F.from_json("value", f"struct<{schema}, _bad: string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return read.where("s is not null and s._bad is null").select("file", "s.*").drop("_bad")
+
+
+def local_time(epoch):
+    """Seconds since 1970 as an ISO time in the session's zone."""
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def duration(start, end):
+    """Seconds between two times in seconds, to the millisecond."""
+    return F.round(end - start, 3)
+
+
+def stale(sources: DataFrame, seen: DataFrame) -> DataFrame:
+    """(name, digest, status) of sources (name, content): new, changed or same against the digests (name, digest) seen before."""
+    now = sources.select("name", F.sha2("content", 256).alias("digest"))
+    j = now.join(seen.select("name", F.col("digest").alias("before")), "name", "left")
+    return j.select("name", "digest", F.when(F.col("before").isNull(), "new").when(F.col("before") != F.col("digest"), "changed").otherwise("same").alias("status"))
+
+
+def to_run(stages: DataFrame, until: int | None = None) -> DataFrame:
+    """(run_id, stage, ord) of the stages that a resumed run still has to go through: the first incomplete one and all after it,
+    whatever their status, up to the stage with the number until. stages: run_id, stage, ord, status."""
+    first = stages.where(~F.col("status").isin("DONE", "SKIPPED")).groupBy("run_id").agg(F.min("ord").alias("first"))
+    left = stages.join(first, "run_id").where("ord >= first")
+    return (left if until is None else left.where(F.col("ord") <= until)).select("run_id", "stage", "ord")
+
+
 def fingerprint(row: list[str]):
     """16 hex digits of the canonical JSON of columns, in the order given."""
     return F.left(F.sha2(F.to_json(F.struct(*row)), 256), F.lit(16))

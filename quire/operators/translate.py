@@ -47,17 +47,37 @@ def back_filled(lines: DataFrame, cache: DataFrame) -> DataFrame:
 def batches(lines: DataFrame, budget: int = 5500) -> DataFrame:
     """lines (doc_id, line_no, line) with the number of the request each goes into: as many lines as the budget of bytes holds.
 
-    The fold starts anew at each request, so it is a small loop over one document's lines, as an aggregate over their sizes.
+    The fold over one document's sizes notes only where a request begins; a line's number is that of the beginnings up to it.
     """
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.octet_length("line").alias("n")))), lambda x: x)
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<struct<line_no:int,batch:int>>").alias("out"))
+    sizes = F.array_sort(F.collect_list(F.struct("line_no", F.octet_length("line").alias("n"))))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("begins"))
 
     def step(acc: Column, x: Column) -> Column:
         new = (acc["used"] > 0) & (acc["used"] + x["n"] > budget)
-        batch = acc["batch"] + new.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["line_no"].alias("line_no"), batch.alias("batch")))).alias("out"))
+        begins = F.when(new, F.concat(acc["begins"], F.array(x["line_no"].cast("int")))).otherwise(acc["begins"])
+        return F.struct((F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), begins.alias("begins"))
 
-    return lines.groupBy("doc_id").agg(F.aggregate(sizes, start, step)["out"].alias("o")).select("doc_id", F.explode("o").alias("o")).select("doc_id", "o.line_no", "o.batch")
+    folded = lines.groupBy("doc_id").agg(sizes.alias("s")).withColumn("begins", F.aggregate("s", start, step)["begins"])
+    batch = lambda x: F.struct(x["line_no"].alias("line_no"), F.size(F.filter("begins", lambda b: b <= x["line_no"])).alias("batch"))
+    return folded.select("doc_id", F.explode(F.transform("s", batch)).alias("o")).select("doc_id", "o.line_no", "o.batch")
+
+
+def isolated(results: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of batches' results (batch, ok): the lines (batch, line_no, line) of failed batches, to be asked for one by one, and
+    those of the others. No line is dropped."""
+    bad = results.where(~F.col("ok")).select("batch").distinct()
+    return lines.join(bad, "batch", "left_semi"), lines.join(bad, "batch", "left_anti")
+
+
+def upserted(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The cache (key, translated) with fresh translations in place of older ones of the same key."""
+    return cache.join(fresh.select("key"), "key", "left_anti").unionByName(fresh.select("key", "translated").dropDuplicates(["key"]))
+
+
+def titles_translated(titles: DataFrame, cache: DataFrame) -> DataFrame:
+    """titles (title) with their translation, or as they are."""
+    keyed = titles.withColumn("key", cache_key(F.col("title")))
+    return keyed.join(cache.select("key", "translated"), "key", "left").select(*titles.columns, F.coalesce("translated", "title").alias("shown"))
 
 
 def regrouped(sources: DataFrame, fragments: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from quire.operators import package as K
 from quire.operators import segments as J
 from quire.operators import state as S
 from quire.operators import tables as H
-from quire.plans.common import docs, quoted, table
+from quire.plans.common import docs, quoted, table, us
 from quire.streaming import folds
 
 #: Pages with tables: plain, ragged, wide, long and with a caption.
@@ -79,12 +79,25 @@ def structure(s, d):
     return table(s, d, "pages").select("page_id", title.alias("has_title"), count("<h1[ >]").alias("n_h1"), (count("<p[ >]") - count("</p>")).alias("open_p"), (count("<body[ >]") > 0).alias("has_body"))
 
 
-def words_as_ids(s, d):
-    """Ids that occur more than once in a document; list items' targets stand for ids."""
+def repeated_links(s, d):
+    """Targets that a document links to more than once."""
     ids = table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="/([^"]*)"'), F.lit(1))).alias("name"))
     return ids.groupBy("page_id", "name").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def with_ids(s, d):
+    """A well-formed document for each text, whose words are the ids of its elements."""
+    word = lambda w: F.concat(F.lit('<p id="'), w, F.lit('"/>'))
+    body = F.array_join(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), word), "")
+    page = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>t</title></head><body>'), body, F.lit("</body></html>"))
+    return docs(s, d).select(F.concat("doc_id", F.lit(".xhtml")).alias("name"), F.encode(page, "UTF-8").alias("content"))
+
+
+def duplicate_ids(s, d):
+    found = I.document_issues(with_ids(s, d)).where("id = 'RSC-005'")
+    return found.select("path", F.substring_index("message", ": ", -1).alias("name"), "severity")
+
+
 def files(s, d):
     return table(s, d, "pages").select(F.concat(F.lit("b"), F.col("page_id") % 7).alias("book_id"), F.concat(F.lit("t/"), "page_id", F.element_at(F.array(F.lit(".xhtml"), F.lit(".png"), F.lit(".dat")), (F.col("page_id") % 3 + 1).cast("int"))).alias("href"), F.col("html").alias("text"), "page_id")
 
@@ -93,14 +106,17 @@ def spine(s, d):
     return files(s, d).where("page_id % 2 = 0").select("book_id", (-F.col("page_id")).alias("ord"), "href")
 
 
-def streamed(s, d, fold, mode):
+def streamed(s, d, fold, mode, name="events"):
     import os
     import tempfile
 
-    batch = table(s, d, "events")
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+    batch = table(s, d, name)
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.mkdtemp(prefix="quire-")
     checkpoint = f"{shared.rstrip('/')}/stream-{os.urandom(8).hex()}"
-    return folds.finished(fold(folds.events(s, f"{d}/events.parquet*", batch.schema)), mode, checkpoint)
+    return folds.finished(fold(folds.events(s, f"{d}/{name}.parquet*", batch.schema)), mode, checkpoint)
 
 
 def table_pages(s):
@@ -108,8 +124,9 @@ def table_pages(s):
 
 
 def json_nodes(s, d):
-    value = F.to_json(F.struct(F.array(F.struct(F.col("doc_id").alias("page_idx"), F.array(F.struct(F.lit("Text").alias("type"), F.left("text", F.lit(20)).alias("text"), (F.col("doc_id") % 130).alias("score"))).alias("blocks"))).alias("pages")))
-    return J.scored_nodes(docs(s, d).select(F.col("doc_id").alias("doc"), value.alias("value")), 6)
+    value = F.to_json(F.struct(F.array(F.struct(F.col("doc_id").alias("page_idx"), F.array(F.struct(F.lit("Text").alias("type"), F.col("text"), (F.col("doc_id") % 130).alias("Confidence"))).alias("blocks"))).alias("pages")))
+    found = J.scored_nodes(docs(s, d).select(F.col("doc_id").alias("doc"), value.alias("value")))
+    return found.select("doc", "path", "page_idx", "kind", F.sha2("text", 256).alias("digest"), "score", "source")
 
 
 QUERIES = {
@@ -126,7 +143,8 @@ QUERIES = {
     "html_structure": structure,
     "html_links": lambda s, d: I.references(xhtml(s, d)).groupBy("name", "href").agg(F.count("*").alias("n")),
     "missing_refs": missing_refs,
-    "duplicate_ids": words_as_ids,
+    "duplicate_ids": duplicate_ids,
+    "repeated_links": repeated_links,
     "fix_img": lambda s, d: table(s, d, "pages").select("page_id", F.sha2(K.fixed_images(F.concat("html", F.lit('<img src="images/a.png" width="79%" alt="">'))), 256).alias("digest")),
     "media_types": lambda s, d: files(s, d).select("href", K.media_type(F.col("href")).alias("media_type")),
     "manifest": lambda s, d: K.manifest(files(s, d)).select("book_id", "href", "media_type", "item_id", "properties"),
@@ -169,7 +187,8 @@ SQL = {
     "html_structure": "SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) <> '' AS has_title, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, len(regexp_extract_all(html, '<p[ >]')) - len(regexp_extract_all(html, '</p>')) AS open_p, regexp_matches(html, '<body[ >]') AS has_body FROM pages",
     "html_links": f"WITH {_REFS} SELECT name, href, count(*) AS n FROM rf WHERE href <> '' GROUP BY 1, 2",
     "missing_refs": f"WITH {_REFS}, g AS (SELECT name, href, regexp_matches(href, {quoted(I.REMOTE)}) AS remote, regexp_replace(href, '[?#].*$', '') AS c FROM rf WHERE href <> '') SELECT CASE WHEN remote THEN 'RSC-006' ELSE 'RSC-007' END AS id, name AS path, count(*) AS n FROM g WHERE remote OR (NOT regexp_matches(href, '^(mailto|tel):') AND NOT starts_with(href, '#') AND ltrim(c, '/') NOT IN (SELECT 'en/' || page_id || '.xhtml' FROM pages)) GROUP BY 1, 2",
-    "duplicate_ids": "SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS name FROM pages) GROUP BY 1, 2 HAVING count(*) > 1",
+    "duplicate_ids": "SELECT doc_id || '.xhtml' AS path, name, 'ERROR' AS severity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM documents) GROUP BY doc_id, name HAVING count(*) > 1",
+    "repeated_links": "SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS name FROM pages) GROUP BY 1, 2 HAVING count(*) > 1",
     "fix_img": "SELECT page_id, sha256(regexp_replace(replace(html || '<img src=\"images/a.png\" width=\"79%\" alt=\"\">', 'src=\"images/', 'src=\"../images/'), '\\swidth=\"(\\d+(?:\\.\\d+)?)%\"', ' style=\"width:\\1%\"', 'g')) AS digest FROM pages",
     "media_types": f"WITH {_FILES} SELECT fl.href, media_type FROM fl LEFT JOIN mf USING (href)",
     "manifest": f"WITH {_FILES} SELECT book_id, href, media_type, 'i-' || page_id AS item_id, CASE WHEN media_type = 'application/xhtml+xml' AND regexp_matches(html, '<math[\\s>]|1998/Math/MathML') THEN 'mathml' ELSE '' END AS properties FROM mf",
@@ -183,7 +202,7 @@ SQL = {
     "exit_code": f"SELECT CASE WHEN bool_or({_LEVEL} IN ('WARNING', 'ERROR')) THEN 2 ELSE 0 END AS exit_code FROM events",
     "alert_fold": f"SELECT event_type AS code, props AS message, count(*) AS occurrences, max(ts) AS created_at, arg_min({_LEVEL}, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS severity FROM events GROUP BY 1, 2",
     "first_incomplete": "WITH r AS (SELECT user_id AS run_id, event_type AS stage, max(value) > 120 AS done FROM events GROUP BY 1, 2) SELECT run_id, min(stage) AS stage FROM r WHERE NOT done GROUP BY 1",
-    "json_segments": "SELECT doc_id AS doc, '$/pages/0/blocks/0' AS path, doc_id AS page_idx, 'text' AS kind, left(text, 20) AS text, CASE WHEN doc_id % 130 <= 1 THEN (doc_id % 130)::DOUBLE ELSE (doc_id % 130) / 100 END AS score FROM documents WHERE doc_id % 130 <= 100",
+    "json_segments": f"SELECT doc_id AS doc, '$/pages/0/blocks/0' AS path, doc_id AS page_idx, 'text' AS kind, sha256({us('text')}) AS digest, 'confidence' AS source, CASE WHEN doc_id % 130 <= 1 THEN (doc_id % 130)::DOUBLE ELSE (doc_id % 130) / 100 END AS score FROM documents WHERE doc_id % 130 <= 100 AND {us('text')} <> ''",
     "stream_alert_fold": "SELECT event_type, props, count(*) AS occurrences, max(event_id) AS last_event FROM events GROUP BY 1, 2",
     "stream_latest_state": "SELECT user_id, count(*) AS n_events, arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1",
 }

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import detect
-from quire.plans import box_queries, line_queries, page_queries
+from quire.plans import box_queries, line_queries, page_queries, record_queries
 from quire.plans.common import pages
 
-MODULES = (page_queries, line_queries, box_queries)
+MODULES = (page_queries, line_queries, box_queries, record_queries)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

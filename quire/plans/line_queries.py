@@ -27,9 +27,9 @@ def cache(s, d):
 
 
 def titles(s, d):
-    """Pages with a heading-like first line: where chapters begin."""
-    head = F.left(F.split("text", "\n")[0], F.lit(60))
-    return pages(s, d).where("doc_id % 5 = 0").select("book_id", F.col("page_no").alias("start_page"), head.alias("title"))
+    """Pages whose first line begins with a capital of the alphabet's first half: where chapters begin."""
+    head = F.split("text", "\n")[0]
+    return pages(s, d).where(head.rlike("^[A-M]")).select("book_id", F.col("page_no").alias("start_page"), head.alias("title"))
 
 
 def outline(s, d):
@@ -58,16 +58,16 @@ def diff_pairs(s, d):
     """A page against the next one of its book, both whole."""
     from quire.operators.detect import neighbours
 
-    return neighbours(pages(s, d)).where("next_text is not null").select(F.col("doc_id").alias("page_no"), F.col("text").alias("left"), F.col("next_text").alias("right"))
+    return neighbours(pages(s, d), "text").where("next_text is not null").select(F.col("doc_id").alias("page_no"), F.col("text").alias("left"), F.col("next_text").alias("right"))
 
 
 QUERIES = {
     "line_kind": lambda s, d: kinds(s, d).select("doc_id", "line_no", "kind"),
     "prose_score": lambda s, d: L.numbered_lines(docs(s, d)).select("doc_id", "line_no", L.prose_score(F.col("line")).alias("score")),
     "block_is_code": lambda s, d: docs(s, d).select("doc_id", L.block_is_code(F.col("text")).alias("is_code")),
-    "heading_level": lambda s, d: docs(s, d).select("doc_id", L.heading_level(F.concat(F.array_join(F.slice(F.array(F.lit("3"), F.lit("1"), F.lit("4")), F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), "."), F.lit(" "), F.left("text", F.lit(30)))).alias("level")),
-    "toc_tail": lambda s, d: docs(s, d).select("doc_id", L.toc_tail(F.concat(F.left(F.split("text", "\n")[0], F.lit(30)), F.lit(" .... "), F.col("doc_id"))).alias("t")).select("doc_id", "t.*"),
-    "toc_title": lambda s, d: docs(s, d).select("doc_id", L.toc_title(F.left(F.split("text", "\n")[0], F.lit(60))).alias("title")),
+    "heading_level": lambda s, d: docs(s, d).select("doc_id", L.heading_level(F.concat(F.array_join(F.slice(F.array(F.lit("3"), F.lit("1"), F.lit("4")), F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), "."), F.lit(" "), F.split("text", "\n")[0])).alias("level")),
+    "toc_tail": lambda s, d: docs(s, d).select("doc_id", L.toc_tail(F.concat(F.split("text", "\n")[0], F.lit(" .... "), F.col("doc_id"))).alias("t")).select("doc_id", "t.*"),
+    "toc_title": lambda s, d: docs(s, d).select("doc_id", L.toc_title(F.split("text", "\n")[0]).alias("title")),
     "line_blocks": lambda s, d: L.blocks(kinds(s, d)),
     "needs_translation": lambda s, d: L.numbered_lines(docs(s, d)).select("doc_id", "line_no", needs_translation(F.col("line")).alias("needed")),
     "translatable_lines": lambda s, d: L.translatable(kinds(s, d)).select("doc_id", "line_no", "kind"),
@@ -87,11 +87,11 @@ QUERIES = {
     "guarded_replace": lambda s, d: E.guarded_replace(docs(s, d), "thing", "THING", 2).select("doc_id", "hits", "status", F.sha2("new_text", 256).alias("digest")),
     "image_dedup": lambda s, d: K.image_choice(table(s, d, "documents").select(F.concat("source", F.lit(".png")).alias("name"), F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("ord"))).select("ord", "stored_as"),
     "packed_chapters": lambda s, d: C.packed_chapters(pages(s, d).select("book_id", F.col("page_no").alias("seq"), (F.col("doc_id") % 9 + 1).alias("n_pages")), 20),
-    "outline_lines": lambda s, d: C.outline_lines(headings(s, d).where("doc_id % 3 <> 0").select("book_id", F.col("line_no").alias("seq"), "title"), headings(s, d).select("book_id", "line_no", "title")),
+    "outline_lines": lambda s, d: C.outline_lines(headings(s, d).select("book_id", F.col("line_no").alias("seq"), "title"), headings(s, d).select("book_id", "line_no", "title")),
     "rendered_blocks": lambda s, d: C.rendered_blocks(L.blocks(kinds(s, d)), kinds(s, d)).select("doc_id", "start_line", F.sha2("html", 256).alias("digest")),
     "chapters": lambda s, d: C.chapters(C.rendered_blocks(L.blocks(kinds(s, d)), kinds(s, d)), docs(s, d).select("doc_id", F.left("text", F.lit(30)).alias("title"))).select("doc_id", F.length("xhtml").alias("n_chars")),
     "toc_levels": lambda s, d: C.toc_levels(nested(s, d).withColumn("part_level", F.col("toc") % 2 + 1)),
-    "inline_markup": lambda s, d: docs(s, d).select("doc_id", F.sha2(C.inline(F.left("text", F.lit(400))), 256).alias("digest")),
+    "inline_markup": lambda s, d: docs(s, d).select("doc_id", F.sha2(C.inline(F.col("text")), 256).alias("digest")),
     "fingerprint": lambda s, d: table(s, d, "documents").select("doc_id", S.fingerprint(["doc_id", "lang", "source"]).alias("fingerprint")),
 }
 
@@ -120,9 +120,9 @@ SQL = {
     "line_kind": f"WITH {_KINDS} SELECT doc_id, line_no, kind FROM k",
     "prose_score": f"WITH {_LINES} SELECT doc_id, line_no, {_SCORE('line')} AS score FROM dl",
     "block_is_code": f"WITH b AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {us('x')} <> '') AS l FROM documents), h AS (SELECT doc_id, l, len(list_filter(l, lambda x: regexp_matches(x, {quoted(L.CODE_LINE)}) OR regexp_matches(x, {quoted(L.ASM_LINE)}))) AS hits FROM b) SELECT doc_id, CASE WHEN len(l) = 0 THEN false WHEN len(l) = 1 THEN regexp_matches(l[1], {quoted(L.CODE_START)}) AND hits = 1 ELSE hits >= greatest(2, floor(len(l) * 0.6)) END AS is_code FROM h",
-    "heading_level": "WITH t AS (SELECT doc_id, array_to_string(['3', '1', '4'][1:doc_id % 3 + 1], '.') || ' ' || left(text, 30) AS title FROM documents), n AS (SELECT *, regexp_extract(title, '^((?:\\d+|[A-Z])(?:\\.(?:\\d+|\\w+))*)[\\s.、]', 1) AS num FROM t) SELECT doc_id, CASE WHEN regexp_matches(title, '^[A-Z][A-Z0-9]{1,6}(\\s|$)') AND NOT regexp_matches(title, '[\\x{4e00}-\\x{9fff}]') THEN NULL WHEN num <> '' AND len(regexp_extract_all(num, '\\.')) = 1 THEN 2 WHEN num <> '' AND len(regexp_extract_all(num, '\\.')) >= 2 THEN 3 ELSE 4 END AS level FROM n",
-    "toc_tail": f"WITH t AS (SELECT doc_id, left(string_split(text, chr(10))[1], 30) || ' .... ' || doc_id AS line FROM documents) SELECT doc_id, regexp_extract(line, {quoted(L.TOC_TAIL)}, 1) AS title, regexp_extract(line, {quoted(L.TOC_TAIL)}, 2) AS page FROM t",
-    "toc_title": "WITH t AS (SELECT doc_id, left(string_split(text, chr(10))[1], 60) AS x FROM documents) SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(x, '\\$\\s*[^$]*\\$\\s*', '', 'g'), '\\s{2,}', ' ', 'g')), ''), x) AS title FROM t",
+    "heading_level": "WITH t AS (SELECT doc_id, array_to_string(['3', '1', '4'][1:doc_id % 3 + 1], '.') || ' ' || string_split(text, chr(10))[1] AS title FROM documents), n AS (SELECT *, regexp_extract(title, '^((?:\\d+|[A-Z])(?:\\.(?:\\d+|\\w+))*)[\\s.、]', 1) AS num FROM t) SELECT doc_id, CASE WHEN regexp_matches(title, '^[A-Z][A-Z0-9]{1,6}(\\s|$)') AND NOT regexp_matches(title, '[\\x{4e00}-\\x{9fff}]') THEN NULL WHEN num <> '' AND len(regexp_extract_all(num, '\\.')) = 1 THEN 2 WHEN num <> '' AND len(regexp_extract_all(num, '\\.')) >= 2 THEN 3 ELSE 4 END AS level FROM n",
+    "toc_tail": f"WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] || ' .... ' || doc_id AS line FROM documents) SELECT doc_id, regexp_extract(line, {quoted(L.TOC_TAIL)}, 1) AS title, regexp_extract(line, {quoted(L.TOC_TAIL)}, 2) AS page FROM t",
+    "toc_title": "WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS x FROM documents) SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(x, '\\$\\s*[^$]*\\$\\s*', '', 'g'), '\\s{2,}', ' ', 'g')), ''), x) AS title FROM t",
     "line_blocks": f"WITH {_KINDS}, nb AS (SELECT *, lag(kind) OVER w AS pk, lag(line_no) OVER w AS pl, {_DEF} AS hard FROM k WHERE kind <> 'blank' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), isl AS (SELECT *, sum((pk IS NULL OR pk <> kind OR kind IN ('heading', 'math', 'html') OR (kind = 'prose' AND pl < line_no - 1))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM nb) SELECT doc_id, min(line_no) AS start_line, max(line_no) AS end_line, CASE WHEN kind = 'code' AND count(*) = 1 AND NOT bool_or(hard) THEN 'prose' WHEN kind = 'bullet' THEN 'bullets' ELSE kind END AS kind, count(*) AS n_lines FROM isl GROUP BY doc_id, island, isl.kind",
     "needs_translation": f"WITH {_LINES} SELECT doc_id, line_no, {_NEED} AS needed FROM dl",
     "translatable_lines": f"WITH {_TL} SELECT doc_id, line_no, kind FROM tl",
@@ -131,7 +131,7 @@ SQL = {
     "marker_split": f"WITH {_LINES} SELECT doc_id, line_no, CASE WHEN len(regexp_extract_all({_BODY}, '[A-Za-z]')) >= 4 THEN length(regexp_extract(line, '^(\\s*(?:#{{1,6}}|[-•·☐□])\\s+)(.*)$', 1)) ELSE 0 END AS mark, sha256(CASE WHEN len(regexp_extract_all({_BODY}, '[A-Za-z]')) >= 4 THEN {_BODY} ELSE line END) AS body FROM dl",
     "protect_restore": f"SELECT doc_id, regexp_replace(regexp_replace({_PROT}, '<keep k=\"c\">(.*?)</keep>', '`\\1`', 'g'), '<keep k=\"m\">(.*?)</keep>', '$\\1$', 'g') = text AS same, sha256({_PROT}) AS digest FROM documents",
     "toc_parent": "WITH e AS (SELECT conv_id AS toc, turn AS seq, 1 + length(text) % 3 AS level FROM conversations) SELECT a.toc, a.seq, a.level, max(b.seq) AS parent_seq FROM e a LEFT JOIN e b ON a.toc = b.toc AND b.seq < a.seq AND b.level < a.level GROUP BY 1, 2, 3",
-    "chapter_spans": f"WITH {BK} SELECT b.book_id, page_no AS start_page, coalesce(lead(page_no) OVER (PARTITION BY b.book_id ORDER BY page_no) - 1, page_count) AS end_page, left(string_split(text, chr(10))[1], 60) AS title FROM bp b JOIN bk USING (book_id) WHERE doc_id % 5 = 0",
+    "chapter_spans": f"WITH {BK} SELECT b.book_id, page_no AS start_page, coalesce(lead(page_no) OVER (PARTITION BY b.book_id ORDER BY page_no) - 1, page_count) AS end_page, string_split(text, chr(10))[1] AS title FROM bp b JOIN bk USING (book_id) WHERE regexp_matches(string_split(text, chr(10))[1], '^[A-M]')",
     "monotone_outline": f"WITH {BP}, o AS (SELECT book_id, page_no AS seq, doc_id * 7919 % 101 AS page FROM bp), m AS (SELECT *, max(page) OVER (PARTITION BY book_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM o) SELECT book_id, seq, page FROM m WHERE most IS NULL OR page > most",
     "toc_near": f"WITH {BP}, f AS (SELECT *, {squashed_sql('text')} AS flat FROM bp), t AS (SELECT book_id, page_no AS seq, page_no + doc_id % 3 - 1 AS page, left(flat, 20) AS key FROM f) SELECT t.book_id, seq, page, (SELECT f.page_no FROM f WHERE f.book_id = t.book_id AND abs(f.page_no - t.page) <= 1 AND contains(f.flat, t.key) ORDER BY abs(f.page_no - t.page), f.page_no LIMIT 1) AS found_page FROM t",
     "token_missing": _MISSING("b", "a"),
@@ -141,6 +141,6 @@ SQL = {
     "image_dedup": "WITH i AS (SELECT source || '.png' AS name, source, sha256(text) AS digest, doc_id AS ord FROM documents), g AS (SELECT name, source, digest, min(ord) AS o FROM i GROUP BY name, source, digest), f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o) AS nth FROM g) SELECT ord, CASE WHEN nth = 1 THEN f.name ELSE f.source || '_' || nth || '.png' END AS stored_as FROM i JOIN f USING (name, digest)",
     "packed_chapters": f"WITH RECURSIVE {BP}, c AS (SELECT book_id, page_no AS seq, doc_id % 9 + 1 AS n FROM bp), f AS (SELECT book_id, seq, 0 AS part, n AS used FROM c WHERE seq = 1 UNION ALL SELECT c.book_id, c.seq, part + (used + n > 20)::INT, CASE WHEN used + n > 20 THEN n ELSE used + n END FROM f JOIN c ON c.book_id = f.book_id AND c.seq = f.seq + 1) SELECT book_id, seq, part FROM f",
     "toc_levels": "SELECT conv_id AS toc, turn AS seq, 1 + length(text) % 3 AS level, conv_id % 2 + 1 AS part_level, conv_id % 2 + 1 + length(text) % 3 AS book_level FROM conversations",
-    "inline_markup": "WITH t AS (SELECT doc_id, regexp_replace(replace(replace(replace(left(text, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`([^`]+)`', '<code>\\1</code>', 'g') AS c, len(regexp_extract_all(left(text, 400), '\\$')) AS n FROM documents) SELECT doc_id, sha256(CASE WHEN n % 2 = 0 THEN regexp_replace(c, '\\$([^$]+)\\$', '<code class=\"math\">\\1</code>', 'g') ELSE c END) AS digest FROM t",
+    "inline_markup": "WITH t AS (SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '`([^`]+)`', '<code>\\1</code>', 'g') AS c, len(regexp_extract_all(text, '\\$')) AS n FROM documents) SELECT doc_id, sha256(CASE WHEN n % 2 = 0 THEN regexp_replace(c, '\\$([^$]+)\\$', '<code class=\"math\">\\1</code>', 'g') ELSE c END) AS digest FROM t",
     "fingerprint": "SELECT doc_id, left(sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}'), 16) AS fingerprint FROM documents",
 }

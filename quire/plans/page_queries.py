@@ -76,8 +76,8 @@ QUERIES = {
     "strip_math": lambda s, d: docs(s, d).select("doc_id", F.sha2(X.strip_math(F.col("text")), 256).alias("digest"), F.length(X.strip_math(F.col("text"))).alias("n")),
     "blocks": lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("i", "block")).select("doc_id", "i", F.sha2("block", 256).alias("digest")),
     "excerpt": lambda s, d: docs(s, d).select("doc_id", X.excerpt(F.col("text"), F.substring("text", 301, 40), 200).alias("excerpt")),
-    "slug": lambda s, d: docs(s, d).select("doc_id", X.slug(F.left("text", F.lit(120))).alias("slug")),
-    "title_key": lambda s, d: docs(s, d).select("doc_id", X.title_key(F.left("text", F.lit(80))).alias("title_key")),
+    "slug": lambda s, d: docs(s, d).select("doc_id", X.slug(F.col("text")).alias("slug")),
+    "title_key": lambda s, d: docs(s, d).select("doc_id", X.title_key(F.col("text")).alias("title_key")),
     "plain_text": lambda s, d: table(s, d, "pages").select("page_id", F.sha2(X.plain(F.col("html")), 256).alias("digest"), F.length(X.plain(F.col("html"))).alias("n")),
     "squash": lambda s, d: docs(s, d).select("doc_id", F.sha2(X.squashed(F.col("text")), 256).alias("digest")),
     "safe_name": lambda s, d: table(s, d, "pages").select("page_id", X.safe_name(F.col("url")).alias("name")),
@@ -124,8 +124,8 @@ SQL = {
     "strip_math": f"SELECT doc_id, sha256({strip_math_sql('text')}) AS digest, length({strip_math_sql('text')}) AS n FROM documents",
     "blocks": f"SELECT doc_id, i - 1 AS i, sha256(b[i]) AS digest FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: {us('x')}), lambda x: x <> '') AS b FROM documents))",
     "excerpt": f"WITH k AS (SELECT doc_id, text, left(string_split({us('substring(text, 301, 40)')}, chr(10))[1], 60) AS key FROM documents), a AS (SELECT *, CASE WHEN key = '' THEN 0 ELSE strpos(text, key) END AS pos FROM k), c AS (SELECT *, greatest(0, pos - 101) AS s, least(length(text), pos + 99) AS e FROM a) SELECT doc_id, CASE WHEN pos = 0 THEN '' ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substring(text, s + 1, e - s) || CASE WHEN e < length(text) THEN '…' ELSE '' END END AS excerpt FROM c",
-    "slug": "SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(left(text, 120), '[^\\p{L}\\p{N}_-]+', '-', 'g'), '^-+|-+$', '', 'g'), '-{2,}', '-', 'g'), 60) AS slug FROM documents",
-    "title_key": "SELECT doc_id, regexp_replace(lower(left(text, 80)), '[^\\p{L}\\p{N}]+', '', 'g') AS title_key FROM documents",
+    "slug": "SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_-]+', '-', 'g'), '^-+|-+$', '', 'g'), '-{2,}', '-', 'g'), 60) AS slug FROM documents",
+    "title_key": "SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS title_key FROM documents",
     "plain_text": f"SELECT page_id, sha256({plain_sql('html')}) AS digest, length({plain_sql('html')}) AS n FROM pages",
     "squash": "SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\\s\\x{a0}]+', '', 'g'))) AS digest FROM documents",
     "safe_name": "SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '([^/\\\\]*)$', 1), '[^\\p{L}\\p{N}_.\\-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS name FROM pages",

@@ -13,8 +13,8 @@ ENTRY = "epub string, ord int, name string, stored boolean, content binary"
 
 
 def entries(archives: DataFrame) -> DataFrame:
-    """(epub, ord, name, stored, content) of archives (path, content), in their order. A file that is no zip gives one row
-    with a null name. Names that leave the archive (absolute, or with ..) are skipped. An archive is read in one task."""
+    """(epub, ord, name, stored, content) of archives (path, content), in their order. A file that is no zip, or an
+    empty one, gives one row with a null name; its content is empty, or null. Names that leave the archive (absolute, or with ..) are skipped. An archive is read in one task."""
     ship(archives.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,8 +26,10 @@ def entries(archives: DataFrame) -> DataFrame:
                 try:
                     z = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
-                    yield pd.DataFrame({"epub": [path], "ord": [-1], "name": [None], "stored": [None], "content": [None]})
+                    yield pd.DataFrame({"epub": [path], "ord": [-1], "name": [None], "stored": [None], "content": [b""]})
                     continue
+                if not z.infolist():
+                    yield pd.DataFrame({"epub": [path], "ord": [-1], "name": [None], "stored": [None], "content": [None]})
                 for i, e in enumerate(z.infolist()):
                     if not e.filename.startswith("/") and ".." not in e.filename.split("/"):
                         yield pd.DataFrame({"epub": [path], "ord": [i], "name": [e.filename], "stored": [e.compress_type == zipfile.ZIP_STORED], "content": [z.read(e)]})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,20 @@ def windowed_counts(stream: DataFrame, late: str = "10 minutes", size: str = "1
     return timed.groupBy(F.window("at", size), "event_type").agg(F.count("*").alias("n"))
 
 
-def finished(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """The result of a stream over all files there are now, through a memory table. For small results, such as tests."""
-    name = f"quire_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def finished(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """The result of a stream over all files there are now. Appended rows go to files; each micro-batch of a complete result is written to the shared
+    folder, and the last one is read; nothing goes through the driver."""
+    out = f"{folder.rstrip('/')}/out-{uuid.uuid4().hex}"
+    if mode == "append":
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{folder.rstrip('/')}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/{n}")).option("checkpointLocation", f"{folder.rstrip('/')}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = (query.lastProgress or {}).get("batchId", 0)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/{last}")
+
+
+def flagged_pages(stream: DataFrame, detectors) -> DataFrame:
+    """Findings of a stream of pages (book_id, page_no, doc_id, text), by detectors of single pages: a map, without state."""
+    return reduce(DataFrame.unionByName, [d(stream) for d in detectors])
