@@ -1,20 +1,25 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 Centroids come from a bounded, hash-chosen sample of the vectors, by halving: each set is cut at the median of its
-projection on the line between two far centres, so lists are equally long. All vectors are then assigned: a vector near a
-boundary is put into several lists. For that, centroids are searched with a graph that links each to its nearest ones, by
-best-first search; it lies in memory, broadcast, at most LISTS x (dimensions + LINKS) numbers. A query is compared with every
-centroid and reads all lists whose centroid is at most RATIO times as far as its nearest one, however many these are: where
-distances differ little (many dimensions, no clusters) that is nearly every list. Lists meet queries by an equal join of list and block: long lists are cut into
-blocks of bounded size, and so are the queries of a list. Distances are exact, in double precision, on original vectors.
+projection on the line between two far centres, so lists are equally long. Where the table is so large that lists would be
+longer than LIST_SIZE, each list is halved again in the same way, on the executors, from at most SAMPLE_OF_LIST of its
+vectors. All vectors are then assigned: a vector near a boundary is put into several lists. For that, centroids are searched
+with a graph that links each to its nearest ones, by best-first search; it lies in memory, broadcast, at most
+LISTS x SPLITS x (dimensions + LINKS) numbers. A query reads its FEWEST nearest lists and all whose centroid is at most RATIO times as far as its
+nearest one, however many these are: the search's beam is doubled until it holds a centroid beyond the ratio.
+
+Halving numbers lists so that neighbours in number are neighbours in space. SPAN lists in a row are searched together, in
+one task: a vector that stands in several of them is compared once, and a query gives its best ones of all of them. Many
+vectors of such a span are cut into blocks of bounded size, and so are its queries. Distances are exact, in double precision,
+on original vectors.
 
 Copies of a vector are searched as one: of equal vectors only the k + 1 smallest ids can appear in a result, and equal
 queries share one search. Thus a vector that a third of all rows repeat costs as much as any other.
 
 Vectors that are null, zero, or have null or non-finite components take no part, neither do those whose length is not the
 most frequent one (the shorter of equally frequent ones). Rows with null ids take no part. Ties go to the smaller id. With
-fewer candidates than k all are found. An empty table gives an empty result. Further columns are ignored. A repeated id with
-the same vector is one row; with different vectors, each of them is a candidate.
+fewer candidates than k all are found. An empty table gives an empty result. Further columns are ignored, whatever their
+names. A repeated id with the same vector is one row; with different vectors, each of them is a candidate.
 """
 
 from __future__ import annotations
@@ -32,19 +37,25 @@ from quire.llm.common import hash_sample, ship, stored, table
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 20_000
-#: Lists, at most, and vectors of a list as long as there are fewer lists than that.
+#: Lists of the first halving, at most, and how many each of them is cut into in a large table, at most.
 LISTS = 1024
+SPLITS = 64
+#: Vectors of a list, if the table isn't larger than LISTS * SPLITS lists of that size; copies of boundary vectors not counted.
 LIST_SIZE = 128
-#: Links of a centroid in the graph, and how many centroids a search keeps in view.
+#: Vectors of a list that its second halving is fitted on, at most.
+SAMPLE_OF_LIST = 4096
+#: Links of a centroid in the graph, and how many centroids a search keeps in view at first.
 LINKS = 16
-BEAM = 48
+BEAM = 32
 #: A vector goes to lists whose centroid is at most so many times as far as the nearest, COPIES at most.
 NEAR = 1.10
 COPIES = 4
-#: A query reads lists whose centroid is at most so many times as far as the nearest.
-RATIO = 1.35
-#: Vectors of a block, and queries that meet it at once, on average.
-BLOCK = 2048
+#: A query reads lists whose centroid is at most so many times as far as the nearest, and its FEWEST nearest ones in any case.
+RATIO = 1.10
+FEWEST = 8
+#: Lists that are searched together, vectors of a block of them, and queries that meet it at once, on average.
+SPAN = 32
+BLOCK = 4096
 
 
 @dataclass
@@ -103,6 +114,26 @@ class Graph:
         return (np.concatenate(ids), np.concatenate(dists)) if ids else (np.zeros((0, beam), np.int64), np.zeros((0, beam)))
 
 
+    def within(self, vectors: np.ndarray, ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a vector's number and a centroid at most ratio times as far as its nearest one: most of them, or all."""
+        rows, found = [], []
+        left, beam = np.arange(len(vectors)), BEAM if most is None else max(BEAM, most)
+        while len(left):
+            ids, d = self.search(vectors[left], beam)
+            near = d <= ratio * d[:, :1]
+            if most is None:
+                near[:, :FEWEST] = True
+            # All of them are known as soon as one in view lies beyond the ratio, or none is missing.
+            done = ~near[:, -1] | (ids.shape[1] >= len(self.centroids)) if most is None else np.ones(len(left), bool)
+            if most is not None:
+                near[:, most:] = False
+            r, c = np.nonzero(near & done[:, None])
+            rows.append(left[r])
+            found.append(ids[r, c])
+            left, beam = left[~done], 2 * beam
+        return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0)
 
@@ -130,50 +161,75 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
     return np.array(out)
 
 
+def _stacked(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors])
+
+
 def fit(vectors: DataFrame, n: int, sample: int = SAMPLE, lists: int | None = None) -> Graph | None:
-    """The graph of centroids of at most sample of the vectors (id, v); None if there is none. n: their number."""
+    """The graph of centroids of the n vectors (key, v); None if there is none."""
     got = hash_sample(vectors, F.col("v"), sample).select("v").toPandas()["v"]
     if not len(got):
         return None
-    x = np.stack([np.asarray(v, np.float64) for v in got])
+    x = _stacked(got)
     x = x[np.lexsort(x.T[::-1])]
-    return Graph.of(balanced_centroids(x, lists or int(min(LISTS, max(1, n // LIST_SIZE), len(x)))))
-
-
-def _assigned(df: DataFrame, graph, ratio: float, most: int | None, id_type: str) -> DataFrame:
+    first = balanced_centroids(x, lists or int(min(LISTS, max(1, n // LIST_SIZE), len(x))))
+    if lists or n <= 2 * LIST_SIZE * len(first):
+        return Graph.of(first)
+    # A table too large for these: each list is halved further. A list's sample is its vectors of least hash.
+    graph = Graph.of(first)
+    shared = vectors.sparkSession.sparkContext.broadcast((graph.centroids, graph.links))
+    placed = _assigned(vectors, shared, 1.0, 1, vectors.schema["key"].dataType.simpleString(), vectors.schema["v"].dataType.simpleString())
+    sizes = placed.groupBy("list").agg(F.count("*").alias("n"))
+    share = F.greatest(F.lit(1.0), F.col("n") / SAMPLE_OF_LIST)
+    few = placed.join(F.broadcast(sizes), "list").where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(2**30)) * share < 2**30)
+
+    def halved(part: pd.DataFrame) -> pd.DataFrame:
+        y = _stacked(part["v"].to_numpy())
+        k = int(min(SPLITS, max(1, round(part["n"].iloc[0] / LIST_SIZE)), len(y)))
+        return pd.DataFrame({"list": part["list"].iloc[0], "centroid": list(balanced_centroids(y[np.lexsort(y.T[::-1])], k))})
+
+    cut = few.select("list", "n", "v").groupBy("list").applyInPandas(halved, "list int, centroid array<double>").toPandas()
+    return Graph.of(_stacked(cut.sort_values("list", kind="stable")["centroid"]))
+
+
+def _assigned(df: DataFrame, graph, ratio: float, most: int | None, id_type: str, vector_type: str) -> DataFrame:
     """Rows (list, key, v) of rows (key, v): each vector with the lists it belongs to or asks.
 
-    At most `most` of the lists that the graph finds; without most, all lists within the ratio.
+    At most `most` of the lists that the graph finds; without most, all lists within the ratio that it reaches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Graph(*graph.value)
         for batch in batches:
-            for at in range(0, len(batch), 256 if most is None else 2048):
-                part = batch.slice(at, 256 if most is None else 2048)
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
                 v = part.column(1)
                 x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
-                if most is None:
-                    d = np.sqrt(_squares(x, g.centroids))
-                    rows, found = np.nonzero(d <= ratio * d.min(axis=1, keepdims=True))
-                else:
-                    ids, d = g.search(x)
-                    near = d <= ratio * d[:, :1]
-                    near[:, most:] = False
-                    rows, cols = np.nonzero(near)
-                    found = ids[rows, cols]
+                rows, found = g.within(x, ratio, most)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), part.column(0).take(take), v.take(take)], names=["list", "key", "v"])
 
-    return df.select("key", "v").mapInArrow(run, f"list int, key {id_type}, v array<float>")
-
-
-def _exact(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Euclidean distances, one by one, so that a pair's doesn't depend on the others at hand."""
-    out = np.empty((len(queries), len(block)))
-    for i, q in enumerate(queries):
-        out[i] = np.sqrt(((block - q) ** 2).sum(axis=1))
-    return out
+    return df.select("key", "v").mapInArrow(run, f"list int, key {id_type}, v {vector_type}")
+
+
+def _best(lists: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each query the k + 1 nearest vectors of the lists it reads, and all that are as near as the last of these."""
+    out: dict[str, list] = {"qkey": [], "key": [], "score": []}
+    if len(lists) and len(queries):
+        keys, first, which = np.unique(lists["key"].to_numpy(), return_index=True, return_inverse=True)
+        x = _stacked(lists["v"].to_numpy()[first])
+        members = {n: which[at] for n, at in lists.groupby("list").indices.items()}
+        for qkey, at in queries.groupby("qkey").indices.items():
+            read = [members[n] for n in queries["list"].to_numpy()[at] if n in members]
+            if not read:
+                continue
+            some = np.unique(np.concatenate(read))
+            d = np.sqrt(((x[some] - np.asarray(queries["q"].iloc[at[0]], np.float64)) ** 2).sum(axis=1))
+            near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
+            out["qkey"] += [qkey] * len(near)
+            out["key"] += list(keys[some[near]])
+            out["score"] += d[near].tolist()
+    return pd.DataFrame({"qkey": pd.Series(out["qkey"], dtype="object"), "key": pd.Series(out["key"], dtype="object"), "score": np.array(out["score"], float)})
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", ratio: float = RATIO, sample: int = SAMPLE, lists: int | None = None) -> DataFrame:
@@ -181,8 +237,10 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     spark = vectors.sparkSession
     ship(spark)
     v = F.col("v")
+    given = vectors.schema[vector_col].dataType.simpleString()
+    kind = given if given in ("array<float>", "array<double>") else "array<double>"
     ok = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(ok)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where(ok)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
     rows = rows.join(F.broadcast(sizes.select("n")), F.size("v") == F.col("n"), "left_semi").withColumn("query", is_query(F.col("id")))
     # One row for each distinct vector: its key, the k + 1 smallest ids. Ranks are limited before the shuffle too.
@@ -199,32 +257,20 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         return spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (p.split() for p in empty.split(", "))])
     shared = spark.sparkContext.broadcast((graph.centroids, graph.links))
 
-    posted = stored(_assigned(distinct, shared, NEAR, COPIES, "binary"), "lists")
-    asking = _assigned(distinct.join(asked.select("key").distinct(), "key", "left_semi"), shared, ratio, None, "binary")
-    asking = stored(asking.withColumnRenamed("key", "qkey").withColumnRenamed("v", "q"), "asking")
-    # Long lists are cut into blocks, and the queries of a list into groups; one row for each list is broadcast.
-    part = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    span = F.floor(F.col("list") / SPAN).cast("int")
+    posted = stored(_assigned(distinct, shared, NEAR, COPIES, "binary", kind).withColumn("span", span), "lists")
+    asking = _assigned(distinct.join(asked.select("key").distinct(), "key", "left_semi"), shared, ratio, None, "binary", kind)
+    asking = stored(asking.withColumnRenamed("key", "qkey").withColumnRenamed("v", "q").withColumn("span", span), "asking")
+    # Long spans are cut into blocks, and the queries of a span into groups; one row for each span is broadcast.
+    part = lambda df, name: df.groupBy("span").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     blocks, groups = F.broadcast(part(posted, "blocks")), F.broadcast(part(asking, "groups"))
     lay = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = posted.join(blocks, "list").join(groups, "list").withColumn("block", lay("key", "blocks")).withColumn("group", every("groups"))
-    right = asking.join(blocks, "list").join(groups, "list").withColumn("group", lay("qkey", "groups")).withColumn("block", every("blocks"))
-
-    def best(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(lists) or not len(queries):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("qkey", "object"), ("key", "object"), ("score", "float64"))})
-        x, q = np.stack(lists["v"].to_numpy()).astype(np.float64), np.stack(queries["q"].to_numpy()).astype(np.float64)
-        keys, out = lists["key"].to_numpy(), []
-        for i in range(0, len(q), 256):
-            d = _exact(q[i : i + 256], x)
-            # The (k + 1)-th distance and all that equal it, so that ties are settled by ids later.
-            kth = np.partition(d, k, axis=1)[:, k : k + 1] if d.shape[1] > k + 1 else np.full((len(d), 1), np.inf)
-            r, c = np.nonzero(d <= kth)
-            out.append(pd.DataFrame({"qkey": queries["qkey"].to_numpy()[i + r], "key": keys[c], "score": d[r, c]}))
-        return pd.concat(out)
-
-    keys = ["list", "block", "group"]
-    found = left.select(*keys, "key", "v").groupBy(*keys).cogroup(right.select(*keys, "qkey", "q").groupBy(*keys)).applyInPandas(best, "qkey binary, key binary, score double").distinct()
+    left = posted.join(blocks, "span").join(groups, "span").withColumn("block", lay("key", "blocks")).withColumn("group", every("groups"))
+    right = asking.join(blocks, "span").join(groups, "span").withColumn("group", lay("qkey", "groups")).withColumn("block", every("blocks"))
+    keys = ["span", "block", "group"]
+    made = left.select(*keys, "list", "key", "v").groupBy(*keys).cogroup(right.select(*keys, "list", "qkey", "q").groupBy(*keys))
+    found = made.applyInPandas(lambda a, b: _best(a, b, k), "qkey binary, key binary, score double").distinct()
     found = found.join(distinct.select("key", "ids"), "key").select("qkey", F.explode("ids").alias("vec_id"), "score")
     near = Window.partitionBy("qkey").orderBy("score", "vec_id")
     found = found.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k + 1).groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
