@@ -1,18 +1,22 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame operations only).
 
 Every source is cut into blocks of documents, ranges of a hash of the document, so the order of blocks and of the
-documents in them is a random permutation. A source's target in words is a number of whole passes over its blocks, a
-number of further blocks, and a last block of which only some documents are taken. These block quotas, one for
+documents in them is a random permutation. A source's target in words is a number of block copies: whole passes over its
+blocks, a number of further blocks, and a last one of which only some documents are taken. These block quotas, one for
 each source, stand at the root of a binary tree with the output shards as leaves. Each node shares its blocks
 between its children by drawing without replacement (a multivariate-hypergeometric draw: source by source, block by
-block, with a hash as the coin), so quotas are kept exactly. A shard then owns a run of each source's permuted
-blocks, disjoint from all other shards', and orders its documents by another hash.
+block, with a hash as the coin), so quotas are kept exactly. A shard draws the next run of each source's permuted
+blocks that the tree leaves it, disjoint from all other shards' runs; a document's copies are those that its block has in
+the shards' runs, and each shard orders its documents by another hash.
 
-The tree sees only quotas: sources x shards numbers. Documents are read where they are, joined only with the
-table of sources and with the chosen documents of the last blocks, and shuffled once, into their shards.
+The tree sees only quotas: sources x shards numbers, in one row for a node of the tree; more than SOURCES sources are an
+error. Documents are read where they are, joined only with the table of sources and with the chosen documents of the last
+blocks, and shuffled once, into their shards. The last block of a large source is cut once more, into parts by further bits
+of the hash, so that single documents are chosen from some hundreds of them at any size of the source.
 
 A null text counts 0 words, a null source is a source (the last one), a null id is an id like others. Rows equal in
-id and text are taken together. An empty table gives an empty mix. Sources without words have the target 0.
+id and text are taken together. Very long texts are documents like others: whole, or not taken. An empty table gives an empty
+mix. Sources without words have the target 0. mixed carries all columns whatever their names; op4_mixing reads three.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import WORD, stored, table
 
-#: Documents that a block holds on average, as long as a source has at most BLOCKS blocks.
+#: Documents that a block holds on average, as long as a source has at most BLOCKS blocks; else those of a part of its last block.
 BLOCK_DOCS = 256
 BLOCKS = 4096
+#: Sources, at most.
+SOURCES = 100_000
 #: No source is taken more often than this.
 MOST = 3
 #: Weights by the sources' order, repeating.
@@ -41,8 +47,8 @@ def words(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs with __size, __source and __hash (30 random bits that only id and text decide)."""
-    h = F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.lit(seed)), F.lit(2**30))
+    """docs with __size, __source and __hash (60 random bits that only id and text decide)."""
+    h = F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.lit(seed)), F.lit(2**60))
     return docs.withColumns({"__size": words(F.col(text_col)), "__source": F.col(source_col), "__id": F.col(id_col), "__hash": h})
 
 
@@ -107,62 +113,90 @@ def split_quotas(sources: DataFrame, shards: int = SHARDS, seed: int = 0) -> Dat
     return ends.select("no", F.transform("e", lambda x: x["end"]).alias("ends"))
 
 
+def _block(h: str, blocks: str) -> Column:
+    """The block of a document, by the first 30 bits of its hash."""
+    return F.expr(f"({h} div 1073741824) * {blocks} div 1073741824")
+
+
+def _part(h: str, parts: str) -> Column:
+    """The part of its block that a document is in, by the last 30 bits of its hash."""
+    return F.expr(f"({h} % 1073741824) * {parts} div 1073741824")
+
+
+def _reached(pieces: DataFrame, piece: str, room: str) -> DataFrame:
+    """Of rows (no, piece, words) with a room for each no: the piece in which the room ends, and what is left of the room there.
+
+    All pieces before it are taken whole. Pieces may be missing; without words after the room's end there is no row.
+    """
+    before = Window.partitionBy("no").orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    start = pieces.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    return start.where(f"start <= {room} and start + words > {room}").select("no", F.col(piece).alias(f"last_{piece}"), (F.col(room) - F.col("start")).alias(f"{piece}_room"))
+
+
 def _plan(sized: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The table of sources, and of the documents that their last blocks give (source, id, hash)."""
+    """The table of sources, and of the documents that the last parts of their last blocks give (source, id, hash)."""
     sizes = sized.groupBy(F.col("__source").alias("source")).agg(F.count("*").alias("n"), F.sum("__size").alias("source_size"))
-    plan = targets(sizes).withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK_DOCS))).cast("long"))
+    sizes = stored(sizes, "sources")
+    if sizes.count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    up = lambda x, most: F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(x))).cast("long")
+    plan = targets(sizes).withColumn("blocks", up(F.col("n") / BLOCK_DOCS, BLOCKS))
+    plan = plan.withColumn("parts", up(F.col("n") / F.col("blocks") / BLOCK_DOCS, BLOCKS))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = stored(plan.withColumn("passes", passes.cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
-    placed = sized.join(plan, sized["__source"].eqNullSafe(plan["source"])).withColumn("__block", F.expr("__hash * blocks div 1073741824"))
-    blocks = placed.groupBy("no", "rest", "__block").agg(F.sum("__size").alias("words"))
-    before = Window.partitionBy("no").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    # The last block is the one in which the rest ends; all blocks before it are taken whole. Blocks may be empty.
-    last = blocks.where("start <= rest and start + words > rest").select("no", F.col("__block").alias("last"), (F.col("rest") - F.col("start")).alias("room"))
-    plan = plan.join(last, "no", "left").withColumns({"last": F.coalesce("last", F.lit(0)), "room": F.coalesce("room", F.lit(0.0))})
+    placed = sized.join(plan, sized["__source"].eqNullSafe(plan["source"])).withColumn("block", _block("__hash", "blocks"))
+    last = _reached(placed.groupBy("no", "rest", "block").agg(F.sum("__size").alias("words")), "block", "rest")
+    plan = plan.join(last, "no", "left").withColumns({"last": F.coalesce("last_block", F.lit(0)), "room": F.coalesce("block_room", F.lit(0.0))}).drop("last_block", "block_room")
     plan = plan.withColumn("quota", F.col("passes") * F.col("blocks") + F.col("last") + (F.col("room") > 0).cast("long"))
     plan = stored(plan.join(split_quotas(plan, shards, seed), "no"), "quotas")
 
-    few = sized.join(plan, sized["__source"].eqNullSafe(plan["source"])).where("room > 0 and __hash * blocks div 1073741824 = last")
-    few = few.groupBy("no", "__id", "__hash", "room").agg(F.sum("__size").alias("words"), F.min("__size").alias("size")).withColumn("taken", F.lit(False))
+    few = sized.join(plan, sized["__source"].eqNullSafe(plan["source"])).where((F.col("room") > 0) & (_block("__hash", "blocks") == F.col("last"))).withColumn("part", _part("__hash", "parts"))
+    few = stored(few.groupBy("no", "__id", "__hash", "room", "part").agg(F.sum("__size").alias("words")), "last-blocks")
+    ends = _reached(few.groupBy("no", "room", "part").agg(F.sum("words").alias("words")), "part", "room")
+    plan = stored(plan.join(ends, "no", "left").withColumns({"last_part": F.coalesce("last_part", F.lit(0)), "part_room": F.coalesce("part_room", F.lit(0.0))}), "parts")
+
+    few = few.join(ends, "no").where("part = last_part").withColumn("taken", F.lit(False))
     by = Window.partitionBy("no")
     for i in range(FILLS):
-        few = few.withColumn("open", F.col("room") - F.sum(F.when(F.col("taken"), F.col("words")).otherwise(0)).over(by))
+        few = few.withColumn("open", F.col("part_room") - F.sum(F.when(F.col("taken"), F.col("words")).otherwise(0)).over(by))
         fits = ~F.col("taken") & (F.col("words") <= F.col("open"))
         order = by.orderBy("__hash", "__id") if i == 0 else by.orderBy(F.desc("words"), "__hash", "__id")
         few = few.withColumn("upto", F.sum(F.when(fits, F.col("words")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         few = few.withColumn("taken", F.col("taken") | (fits & (F.col("upto") <= F.col("open"))))
     # Nothing that is left fits; the document that comes nearest goes over the target if that is nearer than staying below.
-    few = few.withColumn("open", F.col("room") - F.sum(F.when(F.col("taken"), F.col("words")).otherwise(0)).over(by))
+    few = few.withColumn("open", F.col("part_room") - F.sum(F.when(F.col("taken"), F.col("words")).otherwise(0)).over(by))
     over = F.abs(F.col("open") - F.col("words"))
     few = few.withColumn("nth", F.row_number().over(by.orderBy("taken", over, "__hash", "__id")))
     few = few.withColumn("taken", F.col("taken") | ((F.col("nth") == 1) & (over < F.col("open"))))
-    chosen = stored(few.where("taken").select(F.col("no").alias("__no"), F.col("__id").alias("__cid"), F.col("__hash").alias("__chash")), "last-blocks")
+    chosen = stored(few.where("taken").select(F.col("no").alias("__no"), F.col("__id").alias("__cid"), F.col("__hash").alias("__chash")), "chosen")
     return plan, chosen
 
 
 def placements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0, sized: DataFrame | None = None) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies: the mix's copies as array<struct<pass, shard, key>>.
+    """docs with __size, __source_size, __target and __copies: the mix's copies as array<struct<pass, block, shard, key>>.
 
     An empty array means that the mix leaves the document out. key orders a shard's documents.
     sized may hold the stored columns __id, __source, __size, __hash of the same rows, to read the texts once only.
     """
     wide = docs if sized is not None else _keyed(docs, id_col, text_col, source_col, seed)
     plan, chosen = _plan(sized if sized is not None else wide.select("__id", "__source", "__size", "__hash"), shards, seed)
-    p = plan.select(*[F.col(c).alias(f"__{c}") for c in ("no", "passes", "blocks", "last", "room", "ends", "source_size", "target")], F.col("source").alias("__of"))
-    out = wide.join(p, wide["__source"].eqNullSafe(p["__of"])).withColumn("__block", F.expr("__hash * __blocks div 1073741824"))
+    p = plan.select(*[F.col(c).alias(f"__{c}") for c in ("no", "blocks", "parts", "last_part", "room", "ends", "source_size", "target")], F.col("source").alias("__of"))
+    out = wide.join(p, wide["__source"].eqNullSafe(p["__of"])).withColumn("__block", _block("__hash", "__blocks"))
     c = chosen.withColumnRenamed("__no", "__cno")
     out = out.join(c, (out["__no"] == c["__cno"]) & out["__id"].eqNullSafe(c["__cid"]) & (out["__hash"] == c["__chash"]), "left")
-    once = (F.col("__block") < F.col("__last")) | F.col("__cno").isNotNull()
-    times = (F.col("__passes") + once.cast("long")).cast("long")
+    # A copy is in the shard whose run of the source's block copies holds the block's place in that pass. The last place of all
+    # is that of a block of which only some documents are taken, if there is room for a part of one.
+    quota = F.element_at("__ends", -1)
+    some = (_part("__hash", "__parts") < F.col("__last_part")) | F.col("__cno").isNotNull()
 
     def copy(i: Column) -> Column:
-        at = (i - 1) * F.col("__blocks") + F.col("__block")
+        at = i * F.col("__blocks") + F.col("__block")
         shard = F.size(F.filter("__ends", lambda e: e <= at))
-        return F.struct((i - 1).cast("int").alias("pass"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("__hash"), i).alias("key"))
+        whole = (at < quota - 1) | (F.col("__room") <= 0) | some
+        return F.when((at < quota) & whole, F.struct(i.cast("int").alias("pass"), F.col("__block").alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("__hash"), i).alias("key")))
 
-    copies = F.transform(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>")), copy)
-    return out.withColumn("__copies", copies).drop("__no", "__passes", "__blocks", "__last", "__room", "__ends", "__of", "__block", "__cno", "__cid", "__chash")
+    copies = F.array_compact(F.transform(F.array(*[F.lit(i).cast("long") for i in range(MOST)]), copy))
+    return out.withColumn("__copies", copies).drop("__no", "__blocks", "__parts", "__last_part", "__room", "__ends", "__of", "__block", "__cno", "__cid", "__chash")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -175,10 +209,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and each copy's pass, block, shard and key."""
     docs = _keyed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source", 0)
     sized = stored(docs.select("doc_id", "__id", "__source", "__size", "__hash"), "sizes")
     out = placements(sized, sized=sized)
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__copies")).alias("taken"))
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__copies")).alias("taken"), F.col("__copies").alias("copies"))
 
 
 SQL: dict[str, str] = {}
