@@ -1,27 +1,35 @@
 """Main text of HTML pages as the maximum-scoring subsequence of their tokens.
 
-A page is a sequence of words and tags. A word scores by where it stands (the elements around it and their class names):
-about +1 in running text and below 0 in menus, adverts, comments and the like; a tag scores a little below 0. One
-linear scan finds the contiguous run of tokens with the greatest sum: the content region. The weights come from
-labelled pages, on which a perceptron learns which tokens belong to the article. Inside the region, elements whose
-words score below 0 (an advert in the middle of an article) are left out.
+A page is a sequence of words and tags. A word scores above 0, at most 1: nearly 1 in running text, hardly anything in
+menus, adverts, comments and the like. What decides is where it stands: the elements around it, the words of their class
+names, how long its block is and how much of it is linked, and whether it stands outside the page's article element. A tag
+scores below 0, and farther below if it stands outside the article element and is one that articles hardly have. One linear scan finds the contiguous run of tokens
+with the greatest sum: the content region. All that lies outside goes: what stands before, after and around the article.
 
-The labelled pages are made by labelled_pages: layouts with the usual parts, in which the article is known. The trained
-weights are a small table, which goes to the executors with the function.
+What is put into an article, such as an advert between two paragraphs, lies inside the region. Elements that may be such an
+insert (INSERTS, or any with a class name) are judged as a whole, by their names, their share of the region's words, the share
+of linked words and whether siblings have the same names; headers and footers are not among them: the region alone decides.
 
-A null or empty html, and one without words above 0, gives an empty text. Broken markup is read leniently: unknown and
+All weights come from labelled pages, by logistic regression. The labelled pages are made by labelled_pages: layouts with
+the usual parts, in which the article is known. Half of their parts have names that mean nothing, so that the model learns
+from structure too. The trained weights are a small table, which goes to the executors with the function.
+
+A null or empty html, and one without words, gives an empty text. Broken markup is read leniently: unknown and
 unclosed tags, comments and scripts that never end, bare ``<``; ``/>`` ends an element at once (not a script or the like). Very long pages are read whole in one pass. Repeated
-rows get the same text; an empty table gives an empty result; further columns are carried along.
+rows get the same text; an empty table gives an empty result; further columns are carried along, and a column that has the
+name of the result is replaced.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +52,12 @@ BLOCKS = frozenset(("address", "article", "aside", "blockquote", "body", "captio
 #: A new one of these ends an open one of the same kind.
 SELF_ENDING = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
 INNER = frozenset(("article", "main"))
+#: Elements that hold a text as such; text that stands right in another one is bare.
+PLAIN = frozenset(("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "blockquote", "pre", "figcaption", "caption"))
+#: The score of a tag that articles have.
+LEAST = -0.02
+#: Elements that may be an insert in an article also without a class name.
+INSERTS = frozenset(("aside", "nav", "form", "iframe", "dialog", "menu", "ul", "ol", "div", "section", "fieldset"))
 
 
 def names_of(tag: str, name: str, inside: bool) -> list[str]:
@@ -82,28 +96,41 @@ class Run:
         self.features, self.name, self.text, self.words, self.block = features, name, text, words, block
 
 
-def tokens(page: str) -> Iterator[Run]:
-    """The page's texts, with the features of all elements around them, and its tags.
+class Element:
+    """An element of the page: the runs from start to stop are its tags and what is between them."""
+
+    __slots__ = ("name", "names", "parent", "start", "stop")
+
+    def __init__(self, name, names, parent, start):
+        self.name, self.names, self.parent, self.start, self.stop = name, names, parent, start, -1
+
+
+def parsed(page: str) -> tuple[list[Run], list[Element]]:
+    """The page's texts, with the features of all elements around them, its tags, and its elements in order.
 
     An element of NO_TEXT without an end tag ends at the next block or line break, or with the element around it.
     """
-    stack: list[tuple[str, frozenset[str]]] = []
+    runs: list[Run] = []
+    elements: list[Element] = []
+    stack: list[tuple[str, frozenset[str], int]] = []
     around: frozenset[str] = frozenset()
     at, n = 0, len(page)
     inside = 0
     ends: dict[int, int] | None = None
     mute: int | None = None
+
+    def close(k: int, upto: int) -> None:
+        for _, _, i in stack[k:]:
+            elements[i].stop = upto
+        del stack[k:]
+
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         t = m[0]
         if t[0] != "<" or len(t) == 1:
-            if mute is not None:
-                continue
-            if words := len(t.split()):
-                yield Run(around, "", t, words, False)
-            elif t:
-                yield Run(around, "", t, 0, False)
+            if mute is None:
+                runs.append(Run(around, "", t, len(t.split()), False))
             continue
         named = NAME.match(t)
         if not named:
@@ -116,9 +143,9 @@ def tokens(page: str) -> Iterator[Run]:
             while k >= 0 and stack[k][0] != name:
                 k -= 1
             if k >= 0:
-                inside -= sum(x in INNER for x, _ in stack[k:])
+                inside -= sum(x[0] in INNER for x in stack[k:])
                 around = stack[k][1]
-                del stack[k:]
+                close(k, len(runs) + 1)
                 if mute is not None and k < mute:
                     mute = None
         elif name in NO_TEXT:
@@ -139,34 +166,86 @@ def tokens(page: str) -> Iterator[Run]:
                     k -= 1
                 if k >= 0 and stack[k][0] == name:
                     around = stack[k][1]
-                    del stack[k:]
-            stack.append((name, around))
-            around = around | frozenset(names_of(t, name, inside > 0))
+                    close(k, len(runs))
+            names = names_of(t, name, inside > 0)
+            elements.append(Element(name, tuple(names), stack[-1][2] if stack else -1, len(runs)))
+            stack.append((name, around, len(elements) - 1))
+            around = around | frozenset(names)
             inside += name in INNER
-        yield Run(around, name, None, 0, name in BLOCKS)
+        runs.append(Run(around, name, None, 0, name in BLOCKS))
+    close(0, len(runs))
+    return runs, elements
+
+
+def _sized(words: int) -> str:
+    return f"#words{min(words, 64).bit_length()}"
+
+
+def _linked(linked: int, words: int) -> str:
+    return "#links0" if not linked else "#links1" if 2 * linked < words else "#links2"
+
+
+def described(runs: list[Run]) -> list[tuple[frozenset[str], str, str, str] | None]:
+    """What each text is scored by: the features around it, those of its block, and of its place; None for tags.
+
+    A block is what stands between two tags of blocks.
+    """
+    whole = any(r.text is None and r.name in INNER for r in runs)
+    out: list = [None] * len(runs)
+    open_: list[int] = []
+
+    def finish() -> None:
+        words, linked = sum(runs[i].words for i in open_), sum(runs[i].words for i in open_ if "a" in runs[i].features)
+        for i in open_:
+            f = runs[i].features
+            place = "#inside" if not INNER.isdisjoint(f) else "#outside" if whole else "#bare" if PLAIN.isdisjoint(f) else ""
+            out[i] = (f, _sized(words), _linked(linked, words), place)
+        open_.clear()
+
+    for i, r in enumerate(runs):
+        if r.text is not None:
+            open_.append(i)
+        elif r.block:
+            finish()
+    finish()
+    return out
+
+
+def insert_features(runs: list[Run], element: Element, elements: list[Element], words: list[int], linked: list[int], total: int, twins: int) -> list[str]:
+    """What an element inside the region is judged by. words and linked: how many stand before each run."""
+    w, k = words[element.stop] - words[element.start], linked[element.stop] - linked[element.start]
+    kind = "#named" if any(x[0] == "." for x in element.names) else "#plain"
+    return [*element.names, f"{element.name}{kind}", _sized(w), _linked(k, w), f"{element.name}{_linked(k, w)}", "#most" if 3 * w >= total else "#part", "#twins" if twins > 2 else "#single"]
 
 
 class Weights:
-    """Scores: of a word by the features around it, of a tag by its name."""
+    """Scores of words by what is around them, of tags by their names, and of elements that may be inserts."""
 
-    def __init__(self, word: dict[str, float], tag: dict[str, float]):
-        self.word, self.tag = word, tag
-        self.known: dict[frozenset[str], float] = {}
+    def __init__(self, word: dict[str, float], tag: dict[str, float], insert: dict[str, float]):
+        self.word, self.tag, self.insert = word, tag, insert
+        self.known: dict[tuple, float] = {}
 
-    def of_word(self, features: frozenset[str]) -> float:
-        found = self.known.get(features)
+    def of_word(self, what: tuple[frozenset[str], str, str, str]) -> float:
+        """Between 0 and 1: the cube of the chance that the text is one of the article."""
+        found = self.known.get(what)
         if found is None:
             if len(self.known) > 10_000:
                 self.known.clear()
-            found = self.known[features] = self.word.get("", 0.0) + sum(self.word.get(f, 0.0) for f in features)
+            get = self.word.get
+            z = get("", 0.0) + sum(get(f, 0.0) for f in what[0]) + sum(get(f, 0.0) for f in what[1:])
+            found = self.known[what] = max(1e-6, (1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) ** 3)
         return found
 
-    def of(self, run: Run) -> float:
-        if run.text is None:
-            return self.tag.get(run.name, self.tag.get("", 0.0))
-        word = self.of_word(run.features)
-        # A text below 0 costs little however long it is: an advert inside an article must not cut off the article's end.
-        return min(1.0, word) * run.words if word > 0 else max(-0.5, word * run.words)
+    def scores(self, runs: list[Run]) -> list[float]:
+        """Of each text, above 0 if it has words, and of each tag, below 0."""
+        return [self.of_tag(r) if r.text is None else self.of_word(d) * r.words for r, d in zip(runs, described(runs), strict=True)]
+
+    def of_tag(self, run: Run) -> float:
+        """Inside an article element little, so that an insert doesn't cut off what follows it."""
+        return LEAST if not INNER.isdisjoint(run.features) else self.tag.get(run.name, self.tag[""])
+
+    def is_insert(self, features: list[str]) -> bool:
+        return self.insert.get("", 0.0) + sum(self.insert.get(f, 0.0) for f in features) > 0
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -181,19 +260,39 @@ def region(scores: list[float]) -> tuple[int, int]:
     return at, stop
 
 
+def candidates(runs: list[Run], elements: list[Element], at: int, stop: int) -> list[tuple[Element, list[str]]]:
+    """The elements with words that lie in the region and may be inserts, outer ones first, with their features."""
+    words, linked = [0], [0]
+    for r in runs:
+        words.append(words[-1] + r.words)
+        linked.append(linked[-1] + (r.words if "a" in r.features else 0))
+    total = words[stop] - words[at]
+    twins: dict[tuple, int] = {}
+    for e in elements:
+        twins[e.parent, e.names] = twins.get((e.parent, e.names), 0) + 1
+    may = lambda e: e.name in INSERTS or any(x[0] == "." for x in e.names) and e.name not in INNER
+    return [(e, insert_features(runs, e, elements, words, linked, total, twins[e.parent, e.names])) for e in elements if at <= e.start and e.stop <= stop and words[e.stop] > words[e.start] and may(e)]
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the content region, joined by an empty line."""
-    runs = list(tokens(page or ""))
-    at, stop = region([weights.of(r) for r in runs])
+    runs, elements = parsed(page or "")
+    at, stop = region(weights.scores(runs))
     blocks, open_ = [], []
-    for r in runs[at:stop]:
+    inserts = [(e.start, e.stop) for e, f in candidates(runs, elements, at, stop) if weights.is_insert(f)]
+    nth, past = 0, 0  # inserts are in order of their starts
+    for i in range(at, stop):
+        while nth < len(inserts) and inserts[nth][0] <= i:
+            past = max(past, inserts[nth][1])
+            nth += 1
+        r = runs[i]
         if r.text is None:
             if r.block:
                 blocks.append("".join(open_))
                 open_ = []
             elif r.name == "br":
                 open_.append(" ")
-        elif weights.of_word(r.features) > 0:
+        elif i >= past:
             open_.append(r.text)
     blocks.append("".join(open_))
     return "\n\n".join(filter(None, (" ".join(html.unescape(b).split()) for b in blocks)))
@@ -202,96 +301,117 @@ def main_text(page: str | None, weights: Weights) -> str:
 SYLLABLES = ("ka", "lo", "mi", "ter", "an", "ro", "vel", "si", "dun", "pe", "gra", "no")
 
 
-def labelled_pages(n: int = 120, seed: int = 7) -> list[list[tuple[str, bool]]]:
-    """Made pages as pieces of markup with whether they belong to the article."""
+def labelled_pages(n: int = 200, seed: int = 7) -> list[list[tuple[str, bool]]]:
+    """Made pages as pieces of markup with whether they belong to the article. Half of all class names mean nothing."""
     rng = random.Random(seed)
     some = lambda a, b: " ".join("".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) for _ in range(rng.randint(a, b)))
     linked = lambda k: "".join(f'<li><a href="/{i}">{some(1, 3)}</a></li>' for i in range(k))
-    boiler = [
-        lambda: f"<nav><ul>{linked(6)}</ul></nav>",
-        lambda: f'<div class="{rng.choice(("menu", "nav navbar", "breadcrumbs", "breadcrumb", "pagination", "toolbar", "tags", "share social"))}">{rng.choice((f"<ul>{linked(5)}</ul>", some(3, 9)))}</div>',
-        lambda: f"<header><h1>{some(1, 4)}</h1><p>{some(2, 8)}</p></header>",
-        lambda: f"<footer>&copy; {some(2, 12)}<p>{some(2, 20)}</p></footer>",
-        lambda: f"<aside><h3>{some(1, 3)}</h3><p>{some(5, 40)}</p></aside>",
-        lambda: f'<div {rng.choice(("class", "id"))}="{rng.choice(("ad", "ads", "advert", "advertisement", "banner", "sponsored", "sponsor", "promo"))}"><p>{some(4, 40)}</p></div>',
-        lambda: f'<div class="{rng.choice(("sidebar", "widget", "related", "recommended", "teaser"))}"><h3>{some(1, 4)}</h3><p>{some(4, 40)}</p></div>',
-        lambda: f'<div class="{rng.choice(("cookie-notice", "cookie", "notice", "consent", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe", "disclaimer", "legal"))}"><p>{some(5, 40)}</p></div>',
-        lambda: f'<form action="/s"><p>{some(2, 20)}</p><label>{some(1, 4)}</label><input name="q"></form>',
-        lambda: f'<{(e := rng.choice(("section", "div")))} {rng.choice(("class", "id"))}="{rng.choice(("comments", "comment", "reader-comments", "replies", "reply", "discussion", "respond", "disqus"))}"><h2>{some(1, 3)}</h2><p>{some(3, 40)}</p><div class="comment"><p>{some(3, 60)}</p></div></{e}>',
-        lambda: f'<div class="{rng.choice(("header", "footer", "masthead", "copyright", "site-header", "site-footer"))}">{some(2, 25)}</div>',
-    ]
+
+    def named(*names: str) -> str:
+        name = rng.choice(names) if rng.random() < 0.5 else "-".join("".join(rng.choices(SYLLABLES, k=2)) for _ in range(rng.randint(1, 2)))
+        return f'{rng.choice(("class", "class", "id"))}="{name}"'
+
+    of = lambda tags, names, inner: f"<{(e := rng.choice(tags))} {named(*names)}>{inner}</{e}>"
+    menu = lambda: rng.choice((f"<nav><ul>{linked(rng.randint(2, 9))}</ul></nav>", of(("div", "nav"), ("menu", "navbar", "breadcrumbs", "pagination", "tags"), f"<ul>{linked(rng.randint(2, 7))}</ul>"), f"<ul>{linked(rng.randint(2, 7))}</ul>"))
+    advert = lambda: of(("div", "div", "section"), ("ad", "advert", "banner", "sponsored", "promo"), rng.choice((f"<p>{some(2, 40)}</p>", some(2, 25), f"<a href='/x'>{some(2, 12)}</a>")))
+    aside = lambda: rng.choice((f"<aside><h3>{some(1, 3)}</h3><p>{some(5, 40)}</p></aside>", of(("div", "aside"), ("sidebar", "widget", "related", "recommended"), f"<h3>{some(1, 4)}</h3><p>{some(4, 40)}</p>")))
+    notice = lambda: of(("div",), ("cookie-notice", "notice", "consent", "newsletter", "popup", "alert"), f"<p>{some(5, 40)}</p>")
+    form = lambda: f'<form action="/s"><p>{some(2, 20)}</p><label>{some(1, 4)}</label><input name="q"></form>'
+    remark = lambda: of(("div", "li"), ("comment", "reply"), f"<p>{some(3, 60)}</p>")
+    comments = lambda: of(("section", "div"), ("comments", "replies", "discussion"), f"<h2>{some(1, 3)}</h2>" * rng.randint(0, 1) + "".join(remark() for _ in range(rng.randint(1, 6))))
+    header = lambda: rng.choice((f"<header><h1>{some(1, 4)}</h1><p>{some(2, 8)}</p></header>", of(("div",), ("header", "masthead"), some(2, 12))))
+    footer = lambda: rng.choice((f"<footer>&copy; {some(2, 25)}</footer>", f"<footer>&copy; {some(2, 12)}<p>{some(2, 20)}</p></footer>", of(("div",), ("footer", "copyright"), some(2, 25))))
+    before, after, within = (menu, header, advert, notice, form, aside), (aside, form, comments, comments, advert, menu, footer), (advert, advert, aside, form, notice, menu)
+    body = (
+        lambda: f"<p>{some(1, 90)}</p>",
+        lambda: f"<p>{some(8, 90)}</p>",
+        lambda: f"<p>{some(1, 2)}</p>",
+        lambda: f"<p><b>{some(1, 30)}<br>",
+        lambda: f"<p>{some(4, 20)} <em>{some(1, 3)}</em>, <a href='x'>{some(1, 3)}</a> {some(5, 30)}</p>",
+        lambda: f"<{(e := rng.choice(('ul', 'ol')))}>{''.join(f'<li>{some(1, 9)}</li>' for _ in range(rng.randint(1, 6)))}</{e}>",
+        lambda: f"<blockquote>{some(2, 30)}</blockquote>",
+        lambda: f"<h2>{some(1, 5)}</h2>",
+        lambda: f"<table><tr><td>{some(1, 4)}</td><td>{some(1, 4)}</td></tr></table>",
+        lambda: f"<pre>{some(3, 20)}</pre>",
+        lambda: f"<figure><img src=x><figcaption>{some(2, 12)}</figcaption></figure>",
+        lambda: f"<p {named('lead', 'intro')}>{some(4, 40)}</p>",
+    )
     pages = []
-    for _ in range(n):
+    for k in range(n):
         pieces: list[tuple[str, bool]] = [("<html><head><title>x</title></head><body>", False)]
-        pieces += [(rng.choice(boiler)(), False) for _ in range(rng.randint(1, 4))]
-        wrap = rng.choice(("article", "main", 'div class="content"', 'div class="post entry"', 'div id="main"', "section", "div"))
-        pieces.append((f"<{wrap}>", False))
-        body = [f"<h1>{some(1, 8)}</h1>"] + [rng.choice((f"<p>{some(1, 90)}</p>", f"<p>{some(1, 2)}</p>", f"<p><b>{some(1, 30)}<br>", f"<p>{some(4, 20)} <em>{some(1, 3)}</em>, <a href='x'>{some(1, 3)}</a> {some(5, 30)}</p>", f"<ul><li>{some(1, 9)}</li><li>{some(1, 9)}</li></ul>", f"<blockquote>{some(2, 30)}</blockquote>", f"<h2>{some(1, 5)}</h2>", f"<table><tr><td>{some(1, 4)}</td><td>{some(1, 4)}</td></tr></table>", f"<pre>{some(3, 20)}</pre>")) for _ in range(rng.randint(1, 14))]
-        for b in body:
-            pieces.append((b, True))
-            if rng.random() < 0.05:
-                pieces.append((rng.choice(boiler[5:9])(), False))
-        pieces.append((f"</{wrap.split()[0]}>", False))
-        pieces += [(rng.choice(boiler)(), False) for _ in range(rng.randint(0, 4))]
+        pieces += [(rng.choice(before)(), False) for _ in range(rng.randint(1, 4))]
+        outer = rng.choice(("article", "article", "main", f'div {named("content", "post entry", "story")}', 'div id="main"', "section", "div"))
+        wraps = [outer, *([rng.choice((f"div {named('body', 'text')}", "div", "section"))] if rng.random() < 0.3 else [])]
+        pieces += [(f"<{w}>", False) for w in wraps]
+        pieces.append((rng.choice((f"<h1>{some(1, 8)}</h1>", f"<header><h1>{some(1, 8)}</h1></header>" if outer == "article" else f"<h1>{some(1, 8)}</h1>")), True))
+        kinds = body[:2] if k % 3 == 0 else body
+        for i in range(rng.randint(2, 16)):
+            pieces.append((rng.choice(kinds)(), True))
+            if i and rng.random() < 0.12:
+                pieces.append((rng.choice(within)(), False))
+        pieces.append((body[1](), True))
+        pieces += [(f"</{w.split()[0]}>", False) for w in reversed(wraps)]
+        pieces += [(rng.choice(after)(), False) for _ in range(rng.randint(0, 3))] + [(footer(), False)] * rng.randint(0, 1)
         pages.append([*pieces, ("</body></html>", False)])
     return pages
 
 
-@cache
-def trained_weights(n: int = 120, epochs: int = 8, seed: int = 7) -> Weights:
-    """Weights of the averaged perceptron over the texts of labelled pages, and of tags from how dense text is.
+def _regression(examples: list[tuple[list[str], bool, float]], penalty: float, steps: int = 400) -> dict[str, float]:
+    """Weights of a logistic regression over present features, "" the bias. examples: features, label, weight."""
+    seen = {f: i for i, f in enumerate(sorted({f for fs, _, _ in examples for f in fs} | {""}))}
+    x = np.zeros((len(examples), len(seen)))
+    for row, (fs, _, _) in zip(x, examples, strict=True):
+        row[[seen[f] for f in fs] + [seen[""]]] = 1
+    y, weight = np.array([e[1] for e in examples], float), np.array([e[2] for e in examples])
+    weight = weight / weight.sum()
+    w, g2 = np.zeros(len(seen)), np.full(len(seen), 1e-8)
+    for _ in range(steps):
+        g = x.T @ (weight * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) + penalty * w
+        g2 += g * g
+        w -= 0.5 * g / np.sqrt(g2)
+    return {f: float(w[i]) for f, i in seen.items()}
 
-    A text's label is that of the piece it stands in. A tag scores minus a part of what a word is worth, so small
-    that an article of one-word paragraphs still has a sum above 0.
-    """
-    examples: list[tuple[frozenset[str], int]] = []
+
+@cache
+def trained_weights(n: int = 200, seed: int = 7) -> Weights:
+    """Weights from labelled pages. A text's label is that of the piece it stands in; an element is an insert if it begins a
+    piece that is not the article's, between two that are. A tag costs the more, the less often it stands in articles."""
+    texts: list[tuple[list[str], bool, float]] = []
+    inserts: list[tuple[list[str], bool, float]] = []
     tags: dict[str, list[int]] = {}
     for pieces in labelled_pages(n, seed):
-        page = "".join(p for p, _ in pieces)
-        ends, total = [], 0
+        label, cut = [], []
+        runs, elements = parsed("".join(p for p, _ in pieces))
+        # Pieces end where tags or texts do, so the runs of the pieces are those of the page.
         for p, good in pieces:
-            total += len(p)
-            ends.append((total, good))
-        seen, k = 0, 0
-        for r in tokens(page):
+            label += [good] * len(parsed(p)[0])
+            cut.append(len(label))
+        if len(label) != len(runs):
+            raise AssertionError("a labelled page's pieces don't add up to the page")
+        for r, d, good in zip(runs, described(runs), label, strict=True):
             if r.text is None:
-                tags.setdefault(r.name, [0, 0])
-                while k < len(ends) - 1 and ends[k][0] <= seen:
-                    k += 1
-                tags[r.name][ends[k][1]] += 1
-                continue
-            seen = page.find(r.text, seen)
-            while k < len(ends) - 1 and ends[k][0] <= seen:
-                k += 1
-            if r.words:
-                examples.append((r.features, 1 if ends[k][1] else -1))
-            seen += len(r.text)
-    w: dict[str, float] = {}
-    sums: dict[str, float] = {}
-    rng, steps = random.Random(seed), 0
-    for _ in range(epochs):
-        rng.shuffle(examples)
-        for features, y in examples:
-            steps += 1
-            used = ("", *features)
-            if y * sum(w.get(f, 0.0) for f in used) <= 0.5:
-                for f in used:
-                    w[f] = w.get(f, 0.0) + y * 0.1
-                    sums[f] = sums.get(f, 0.0) + y * 0.1 * steps
-    mean = {f: w[f] - sums[f] / max(steps, 1) for f in w}
-    tag = {name: -0.02 - 0.06 * bad / (good + bad + 1) for name, (bad, good) in tags.items()}
-    return Weights(mean, tag | {"": -0.05})
+                if INNER.isdisjoint(r.features):
+                    tags.setdefault(r.name, [0, 0])[good] += 1
+            elif r.words:
+                texts.append(([*d[0], *filter(None, d[1:])], good, min(r.words, 20) ** 0.5))
+        at, stop = label.index(True), len(label) - label[::-1].index(True)
+        begins = {0, *cut}
+        inserts += [(f, not label[e.start], 1.0 if e.start in begins or label[e.start] else 0.3) for e, f in candidates(runs, elements, at, stop)]
+        outer = [e for e in elements if e.start < at and e.stop >= stop and e.name not in ("html", "body", *INNER)]
+        inserts += [([*e.names, f"{e.name}{'#named' if len(e.names) > 1 else '#plain'}", "#words7", "#links0", f"{e.name}#links0", "#most", "#single"], False, 1.0) for e in outer]
+    cost = {name: LEAST - 0.25 * max(0.0, math.log((bad + 1) / (good + 1))) for name, (bad, good) in tags.items()}
+    return Weights(_regression(texts, 3e-4), cost | {"": -0.05}, _regression(inserts, 1e-3))
 
 
 def extracted(pages: DataFrame, weights: Weights | None = None, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages with the main text of each, in place of a column of that name."""
     ship(pages.sparkSession)
     found = weights or trained_weights()
-    word, tag = found.word, found.tag
+    word, tag, insert = found.word, found.tag, found.insert
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = Weights(word, tag)
+        w = Weights(word, tag, insert)
         for pages in batches:
             yield pd.Series([main_text(p, w) for p in pages], dtype="object")
 
