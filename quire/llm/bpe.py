@@ -9,7 +9,8 @@ The vocabulary file is a ``tokenizers`` JSON file of the word-end kind (lower ca
 it and broadcasts it (its size doesn't depend on the data); every Python worker parses it once. Texts are worked on
 whole, in slices of few rows, so memory holds a slice and the cache.
 
-A null text counts as empty and has no ids. Special tokens in a text become their ids, as in the library. Repeated rows
+Characters are classed as the library does, whose tables of letters, marks and capitals are not all of one Unicode version
+(LATE_MARKS, LATE_LETTERS, LATE_CAPITALS). A null text counts as empty and has no ids. Special tokens in a text become their ids, as in the library. Repeated rows
 and ties need no care, since each row stands alone; an empty table gives an empty result.
 """
 
@@ -41,6 +42,30 @@ ODD_BLANKS = re.compile("[\x1c-\x1f]")
 CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: From here on a fragment is merged with a heap.
 LONG = 48
+# Marks that the library's normal form leaves where they are, and between which it composes nothing.
+LATE_MARKS = "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+# Letters and numbers of the pattern engine's newer Unicode, which are neither to the library.
+LATE_LETTERS = "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+# Capitals that the library lower-cases, beyond those that every Python does: first, last, distance.
+LATE_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+
+
+def _class_of(ranges: str) -> str:
+    """Ranges of hexadecimal numbers as the inside of a character class."""
+    return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split())
+
+
+_LATE_MARK = re.compile(f"([{_class_of(LATE_MARKS)}])")
+_LATE_CAPITAL = {x: x + d for a, b, d in LATE_CAPITALS for x in range(a, b + 1)}
+
+
+def normal_form(text: str) -> str:
+    """Composed and in lower case, as the library does it; a capital sigma has no special form at a word's end."""
+    if text.isascii():
+        return text.lower()
+    parts = _LATE_MARK.split(text)
+    composed = unicodedata.normalize("NFC", text) if len(parts) == 1 else "".join(unicodedata.normalize("NFC", p) for p in parts)
+    return composed.replace("Σ", "σ").lower().translate(_LATE_CAPITAL)
 
 
 def byte_symbols() -> list[str]:
@@ -65,6 +90,10 @@ class Codec:
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
+        # A second pattern, for the rare words that have letters the library doesn't know.
+        late = _class_of(LATE_LETTERS)
+        self.late = regex.compile(f"[{late}]")
+        self.late_words = regex.compile(pattern.replace("[\\p{L}]", "\\p{L}").replace("\\p{L}", f"[\\p{{L}}--[{late}]]").replace("\\p{N}", f"[\\p{{N}}--[{late}]]"), regex.V1)
         self.symbols = byte_symbols()
         self.inside = {pair for token in self.vocab for t in [self._split(token)] for pair in zip(t, t[1:], strict=False)}
         self.known_chunks: dict[str, tuple[int, ...]] = {}
@@ -139,7 +168,8 @@ class Codec:
         found = self.older_chunks.get(chunk)
         if found is None:
             # A run of ASCII letters is one word; other pieces are left to the tokenizer's pattern.
-            words = [chunk] if chunk.isascii() and chunk.isalpha() else self.words.findall(chunk)
+            plain = chunk.isascii()
+            words = [chunk] if plain and chunk.isalpha() else (self.words if plain or not self.late.search(chunk) else self.late_words).findall(chunk)
             found = tuple(chain.from_iterable([self._fragment(f) for w in words for f in self.fragments(w)]))
         if len(chunk) < LONG:
             if len(self.known_chunks) >= CACHE:  # words that come up again move on to the next generation
@@ -148,17 +178,14 @@ class Codec:
         return found
 
     def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        if not text.isascii():
-            # Lower case is taken character by character: a capital sigma has no special form at a word's end.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        text = normal_form(text)
         get = self.known_chunks.get
         for chunk in CHUNK.findall(text) if ODD_BLANKS.search(text) else text.split():
             ids = get(chunk)
             yield self._chunk(chunk) if ids is None else ids
 
     def encode(self, text: str) -> list[int]:
-        if self.special is None or "<|" not in text:
+        if self.special is None or not self.special.search(text):
             return list(chain.from_iterable(self._plain(text)))
         ids: list[int] = []
         for i, piece in enumerate(self.special.split(text)):

@@ -37,6 +37,17 @@ def test_bpe_equals_the_library(spark, odd, library):
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_bpe_classes_equal_the_library_in_all_planes(library):
+    """Every code point but ideographs and syllables in bulk, alone, between letters, after a digit, and with marks around it."""
+    codec = bpe.Codec(open(bpe.default_vocabulary(), "rb").read())
+    bulk = ((0x4E00, 0x9FFE), (0xAC00, 0xD7A2), (0xD800, 0xDFFF), (0x17000, 0x187F6), (0x20000, 0x3134F), (0xE0200, 0x10FFFF))
+    points = [i for i in range(0x80, 0x110000) if not any(a <= i <= b for a, b in bulk)]
+    for at in range(0, len(points), 4000):
+        texts = [f"a{c}b 1{c}2 {c} e{c}\u0301\u0327" for c in map(chr, points[at : at + 4000 : 1 if at < 60_000 else 5])]
+        for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert codec.encode(text) == want.ids, hex(ord(text[1]))
+
+
 def test_bpe_cuts_only_where_no_token_reaches():
     codec = bpe.Codec(open(bpe.default_vocabulary(), "rb").read())
     for word in ("hello", "überraschung", "qzxv", "naïveté", "zq" * 40):
