@@ -56,6 +56,8 @@ def _class_of(ranges: str) -> str:
 
 
 _LATE_MARK = re.compile(f"([{_class_of(LATE_MARKS)}])")
+#: What may be a late mark or capital at all, which most texts have nothing of.
+_MAYBE_LATE = re.compile("[\u07fd-\U0010ffff]")
 _LATE_CAPITAL = {x: x + d for a, b, d in LATE_CAPITALS for x in range(a, b + 1)}
 
 
@@ -63,6 +65,8 @@ def normal_form(text: str) -> str:
     """Composed and in lower case, as the library does it; a capital sigma has no special form at a word's end."""
     if text.isascii():
         return text.lower()
+    if not _MAYBE_LATE.search(text):
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
     parts = _LATE_MARK.split(text)
     composed = unicodedata.normalize("NFC", text) if len(parts) == 1 else "".join(unicodedata.normalize("NFC", p) for p in parts)
     return composed.replace("Σ", "σ").lower().translate(_LATE_CAPITAL)
@@ -185,7 +189,7 @@ class Codec:
             yield self._chunk(chunk) if ids is None else ids
 
     def encode(self, text: str) -> list[int]:
-        if self.special is None or not self.special.search(text):
+        if not any(s in text for s in self.specials):
             return list(chain.from_iterable(self._plain(text)))
         ids: list[int] = []
         for i, piece in enumerate(self.special.split(text)):
