@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.markup import table_attributes
 from quire.functions.text import entities_escaped, ordered_concat, title_key, ustrip
-from quire.operators.lines import heading_level
+from quire.operators.lines import HEADING, heading_level, toc_tail
 from quire.shipping import ship
 
 
@@ -94,6 +95,39 @@ def inline(text: Column) -> Column:
     return F.when(even, F.regexp_replace(code, r"\$([^$]+)\$", '<code class="math">$1</code>')).otherwise(code)
 
 
+def rendered_table(html: Column) -> Column:
+    """A parsed table with sound attributes and inline markup in its cells; tags stay as they are."""
+    parts = F.regexp_extract_all(table_attributes(html), F.lit(r"<[^>]+>|[^<]+|<"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^<[^>]+>$"), x).otherwise(inline(x))), "")
+
+
+def anchors(headings: DataFrame) -> DataFrame:
+    """headings (part, ord, ...) with an anchor: s-1, s-2 ... within each part."""
+    return headings.withColumn("anchor", F.concat(F.lit("s-"), F.row_number().over(Window.partitionBy("part").orderBy("ord"))))
+
+
+def without_own_titles(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """Blocks (part, ord, text) without the headings at a part's beginning that repeat its title: the title itself, those the plan
+    names (strip, an array), or a chapter number with or without it. parts: part, title, number, strip."""
+    p = parts.select("part", "title", F.coalesce("strip", F.array().cast("array<string>")).alias("strip"), F.concat(F.lit("第"), F.col("number").cast("string"), F.lit("章 "), "title").alias("numbered"))
+    b = blocks.join(p, "part", "left")
+    label = F.trim(F.regexp_extract("text", HEADING, 2))
+    own = F.col("text").rlike(HEADING) & ((label == F.col("title")) | F.array_contains("strip", label) | (label == F.col("numbered")) | label.rlike(r"^第\s*\d+\s*章$"))
+    body = b.where(~F.coalesce(own, F.lit(False))).groupBy("part").agg(F.min("ord").alias("body"))
+    return b.join(body, "part").where("ord >= body").select(*blocks.columns)
+
+
+def special_lines(lines: DataFrame) -> DataFrame:
+    """(part, ord, html) of the lines (part, ord, kind, line) of pages that aren't running text: title pages, printed contents,
+    indexes. Blank lines and headings give nothing."""
+    t = lines.withColumn("line", ustrip(F.col("line"))).where((F.col("line") != "") & ~F.col("line").rlike(r"^#{1,6}\s"))
+    p = lambda name, inner: F.concat(F.lit(f'<p class="{name}">'), inner, F.lit("</p>"))
+    title, page = toc_tail(F.col("line"))["title"], toc_tail(F.col("line"))["page"]
+    paged = F.concat(inline(F.trim(title)), F.lit(' <span class="toc-page">'), page, F.lit("</span>"))
+    entry = F.when(F.trim(title) == "", p("toc-item", inline(F.col("line")))).when(F.col("line").rlike(r"^第\s*\d+\s*章"), p("toc-item toc-chapter", paged)).otherwise(p("toc-item", paged))
+    return t.select("part", "ord", F.when(F.col("kind") == "title", p("title-line", inline(F.col("line")))).when(F.col("kind") == "toc", entry).otherwise(p("index-line", inline(F.col("line")))).alias("html"))
+
+
 def rendered_blocks(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc_id, start_line, html) of blocks (doc_id, start_line, end_line, kind) over lines (doc_id, line_no, line).
 

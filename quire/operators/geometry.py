@@ -59,7 +59,7 @@ def to_unit(box: Column, system: Column, width: Column, height: Column) -> Colum
     """A box on the scale 0 to 1; null if the system is unknown: no score is better than a wrong one."""
     x = F.when(system == "unit", 1.0).when(system == "pixels", width).when(system == "thousand", 1000.0)
     y = F.when(system == "unit", 1.0).when(system == "pixels", height).when(system == "thousand", 1000.0)
-    return F.when(x.isNotNull(), F.struct((box["x0"] / x).alias("x0"), (box["y0"] / y).alias("y0"), (box["x1"] / x).alias("x1"), (box["y1"] / y).alias("y1")))
+    return F.when(x.isNotNull() & box.isNotNull(), F.struct((box["x0"] / x).alias("x0"), (box["y0"] / y).alias("y0"), (box["x1"] / x).alias("x1"), (box["y1"] / y).alias("y1")))
 
 
 def layout_scores(targets: DataFrame, layout: DataFrame) -> DataFrame:

@@ -249,3 +249,13 @@ def merged(reports: DataFrame) -> DataFrame:
     """One row of reports (ran, files, error): any ran, files summed, errors joined in their order."""
     errors = F.transform(F.array_sort(F.collect_list(F.struct("ord", "error"))), lambda x: x["error"])
     return reports.agg(F.bool_or("ran").alias("ran"), F.sum("files").alias("files"), F.array_join(F.filter(errors, lambda e: e != ""), " | ").alias("error"))
+
+
+def report_lines(issues: DataFrame, n: int = 20) -> DataFrame:
+    """(severity, ord, line): a text report: for each severity a heading with its count, its first n issues, and how many
+    more there are. The limit is the report's feature."""
+    rows = issues.withColumn("shown", F.concat(F.lit("- ["), "id", F.lit("] "), "message", F.lit(" ("), "path", F.when(F.col("line") > 0, F.concat(F.lit(":"), "line")).otherwise(""), F.lit(")")))
+    top = top_per_group(rows, "severity", ["id", "path", "line", "message"], n)
+    heads = issues.groupBy("severity").agg(F.count("*").alias("c")).select("severity", F.lit(0).alias("ord"), F.concat(F.lit("## "), "severity", F.lit(": "), "c").alias("line"))
+    more = top.where("more > 0").select("severity", "more").distinct().select("severity", F.lit(n + 1).alias("ord"), F.concat(F.lit("- and "), "more", F.lit(" more")).alias("line"))
+    return heads.unionByName(top.select("severity", F.col("nth").alias("ord"), F.col("shown").alias("line"))).unionByName(more)

@@ -53,7 +53,10 @@ def manifest(files: DataFrame) -> DataFrame:
     base = F.regexp_replace(F.regexp_extract("href", r"([^/]*?)(?:\.[^./]*)?$", 1), r"[^\p{L}\p{N}_-]+", "-")
     order = Window.partitionBy("book_id", "base").orderBy("href")
     m = m.withColumn("base", F.concat(F.lit("i-"), base)).withColumn("nth", F.row_number().over(order))
-    item = F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit("~"), "nth"))
+    # base, base-2, base-3 ...; where a file of the book has such a name by itself, a sign that no name has.
+    named = m.select("book_id", F.col("base").alias("numbered")).distinct().withColumn("used", F.lit(True))
+    m = m.withColumn("numbered", F.concat("base", F.lit("-"), "nth")).join(named, ["book_id", "numbered"], "left")
+    item = F.when(F.col("nth") == 1, F.col("base")).when(F.col("used"), F.concat("base", F.lit("~"), "nth")).otherwise(F.col("numbered"))
     return m.select("book_id", "href", "media_type", item.alias("item_id"), F.when((F.col("media_type") == "application/xhtml+xml") & has_mathml(F.coalesce("text", F.lit(""))), "mathml").otherwise("").alias("properties"))
 
 
@@ -98,6 +101,11 @@ def identifier(raw: str | None, seed: str) -> str:
     return text or f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}"
 
 
+def container_document(path: str) -> str:
+    """META-INF/container.xml, which names the package document."""
+    return f'<?xml version="1.0" encoding="utf-8"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="{path}" media-type="application/oebps-package+xml"/></rootfiles></container>\n'
+
+
 def package_document(book: dict, items: list[dict], spine: list[str], modified: str) -> str:
     """The OPF of a book; items have item_id, href, media_type, properties, and spine has hrefs."""
     ids = {i["href"]: i["item_id"] for i in items}
@@ -158,3 +166,24 @@ def modified_stamp(files: DataFrame) -> DataFrame:
 def fixed_images(html: Column) -> Column:
     """Image tags as packages take them: the folder above, and widths in percent as style."""
     return F.regexp_replace(F.replace(html, F.lit('src="images/'), F.lit('src="../images/')), r'\swidth="(\d+(?:\.\d+)?)%"', ' style="width:$1%"')
+
+
+def book_records(files: DataFrame) -> DataFrame:
+    """(file, title, author, language, publisher, description, identifier, cover, spine, toc) of book.json files (file, value):
+    texts stripped, numbers as texts, Chinese where no language is given, paths without ./ at the start. What is no object is
+    left out, as it can't be a book."""
+    names = ("title", "author", "language", "publisher", "description", "identifier", "cover")
+    shape = "struct<" + ", ".join(f"{n}: string" for n in names) + ", spine: array<string>, toc: array<struct<title: string, href: string, level: int>>>"
+    b = files.where(F.trim("value").startswith("{")).withColumn("b", F.from_json("value", shape)).where("b is not null")
+    text = lambda n: F.coalesce(F.trim(F.col(f"b.{n}")), F.lit(""))
+    path = lambda c: F.regexp_replace(c, r"^[./]+", "")
+    made = {n: text(n) for n in names} | {"language": F.coalesce(F.nullif(text("language"), F.lit("")), F.lit("zh")), "cover": path(text("cover"))}
+    spine = F.filter(F.transform(F.coalesce("b.spine", F.array().cast("array<string>")), lambda x: path(F.replace(x, F.lit("\\"), F.lit("/")))), lambda x: F.trim(x) != "")
+    return b.select("file", *[c.alias(n) for n, c in made.items()], spine.alias("spine"), "b.toc")
+
+
+def repeated_targets(items: DataFrame) -> DataFrame:
+    """Items (book_id, ord, href) whose target an earlier one of the book has, and the number of that one."""
+    by = Window.partitionBy("book_id", "href").orderBy("ord")
+    seen = items.withColumn("first", F.first("ord").over(by)).withColumn("nth", F.row_number().over(by))
+    return seen.where("nth > 1").select("book_id", "ord", "href", "first")

@@ -201,3 +201,22 @@ def text_layer(pages: DataFrame, sample: int = 12) -> DataFrame:
     taken = (F.col("n") <= sample) | ((F.col("i") % step == 0) & (F.col("i") < sample * step)) | (F.col("i") == F.floor(F.col("n") / 2)) | (F.col("i") == F.col("n") - 1)
     got = p.where(taken).groupBy("book_id").agg(F.count("*").alias("sampled_pages"), F.sum(F.coalesce(F.length(ustrip(F.col("text"))), F.lit(0))).alias("chars"))
     return got.select("book_id", "sampled_pages", F.round(F.col("chars") / F.col("sampled_pages"), 6).alias("chars_per_page"), (F.col("chars") >= TEXT_LAYER_CHARS * F.col("sampled_pages")).alias("has_text_layer"))
+
+
+def well_formed_seams(audits: DataFrame) -> DataFrame:
+    """(book_id, idx, left_page, right_page) of the seams in audits (book_id, value), JSON; entries that are no objects, and
+    audits without seams, give no rows."""
+    entries = F.try_variant_get(F.try_parse_json("value"), "$.seams", "array<variant>")
+    e = audits.select("book_id", F.explode(entries).alias("e")).where(F.schema_of_variant("e").startswith("OBJECT"))
+    field = lambda k: F.try_variant_get("e", f"$.{k}", "int")
+    return e.select("book_id", field("index").alias("idx"), field("left_page").alias("left_page"), field("right_page").alias("right_page"))
+
+
+def bundle_order(found: DataFrame, planned: DataFrame) -> DataFrame:
+    """(book_id, bundle, pos) of found bundles (book_id, bundle): in the order of the book's plan (book_id, chunk_id, page_start)
+    if it has one, bundles out of it left out; else by name."""
+    p = planned.select("book_id", F.col("chunk_id").alias("bundle"), "page_start")
+    has = planned.select("book_id").distinct().withColumn("planned", F.lit(True))
+    j = found.join(p, ["book_id", "bundle"], "left").join(has, "book_id", "left").where("planned is null or page_start is not null")
+    order = Window.partitionBy("book_id").orderBy(F.asc_nulls_first("page_start"), "bundle")
+    return j.select("book_id", "bundle", F.row_number().over(order).alias("pos"))

@@ -219,3 +219,9 @@ def result_pages(lines: DataFrame) -> DataFrame:
     pages = rows.select("file", "line_no", F.posexplode("r.result.layoutParsingResults").alias("i", "p"))
     order = Window.partitionBy("file").orderBy("line_no", "i")
     return pages.select("file", (F.row_number().over(order) - 1).alias("page_idx"), F.coalesce("p.markdown.text", F.lit("")).alias("text"), "p.markdown.images")
+
+
+def layout_index(model: DataFrame, middle: DataFrame) -> DataFrame:
+    """Layout boxes (bundle, page, box, score, source) of the model's results; of the middle ones for bundles without any."""
+    ok = lambda df: df.where("box is not null and score is not null")
+    return ok(model).unionByName(ok(middle).join(ok(model).select("bundle").distinct(), "bundle", "left_anti"))

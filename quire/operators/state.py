@@ -74,3 +74,9 @@ def to_run(stages: DataFrame, until: int | None = None) -> DataFrame:
 def fingerprint(row: list[str]):
     """16 hex digits of the canonical JSON of columns, in the order given."""
     return F.left(F.sha2(F.to_json(F.struct(*row)), 256), F.lit(16))
+
+
+def counts_json(counts: DataFrame) -> DataFrame:
+    """One row counts: the rows (key, n) of a count as a JSON object, keys in order. Keys are kinds, so there are few."""
+    sorted_ = F.array_sort(F.collect_list(F.struct("key", "n")))
+    return counts.agg(F.to_json(F.map_from_entries(sorted_)).alias("counts"))

@@ -37,3 +37,8 @@ def rows_missing(table_rows: DataFrame, layer: DataFrame) -> DataFrame:
     hit = a.join(b, (F.col("page_no") == F.col("p")) & F.col("flat").startswith(F.col("k")) & F.forall("words", lambda w: F.contains("flat", squash(w))))
     hit = hit.select("page_no", "row_no").distinct().withColumn("found", F.lit(True))
     return table_rows.join(hit, ["page_no", "row_no"], "left").select("page_no", "row_no", "key", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def over_limit(inventory: DataFrame) -> DataFrame:
+    """The tables that don't fit a phone, the widest and longest first."""
+    return inventory.where(F.col("needs_image") | F.col("too_long")).orderBy(F.desc("cols"), F.desc("rows"), "page_no", "ord")

@@ -117,6 +117,7 @@ _BODY = "regexp_extract(line, '^(\\s*(?:#{1,6}|[-•·☐□])\\s+)(.*)$', 2)"
 _PROT = "regexp_replace(regexp_replace(text, '`([^`]+)`', '<keep k=\"c\">\\1</keep>', 'g'), '\\$([^$]+)\\$', '<keep k=\"m\">\\1</keep>', 'g')"
 
 SQL = {
+    "translation_batches": f"WITH RECURSIVE {_TL}, t AS MATERIALIZED (SELECT doc_id, line_no, strlen(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM tl), f AS (SELECT doc_id, line_no, i, 0 AS batch, n AS used FROM t WHERE i = 1 UNION ALL SELECT t.doc_id, t.line_no, t.i, batch + (used + n > 5500)::INT, CASE WHEN used + n > 5500 THEN n ELSE used + n END FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1) SELECT doc_id, line_no, batch FROM f",
     "line_kind": f"WITH {_KINDS} SELECT doc_id, line_no, kind FROM k",
     "prose_score": f"WITH {_LINES} SELECT doc_id, line_no, {_SCORE('line')} AS score FROM dl",
     "block_is_code": f"WITH b AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {us('x')} <> '') AS l FROM documents), h AS (SELECT doc_id, l, len(list_filter(l, lambda x: regexp_matches(x, {quoted(L.CODE_LINE)}) OR regexp_matches(x, {quoted(L.ASM_LINE)}))) AS hits FROM b) SELECT doc_id, CASE WHEN len(l) = 0 THEN false WHEN len(l) = 1 THEN regexp_matches(l[1], {quoted(L.CODE_START)}) AND hits = 1 ELSE hits >= greatest(2, floor(len(l) * 0.6)) END AS is_code FROM h",

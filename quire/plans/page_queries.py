@@ -47,6 +47,18 @@ def page_chars_of_books(s, d):
     return P.page_chars(pages(s, d).select("book_id", "page_no", "text"))
 
 
+def overlapping(s, d):
+    """A page for each document, that ends with the 192 characters with which the next one of its book begins."""
+    run = lambda no: F.concat(*[F.sha2(F.concat_ws(":", "book_id", no.cast("string"), F.lit(i)), 256) for i in range(3)])
+    return pages(s, d).select("book_id", "page_no", F.concat(run(F.col("page_no")), F.lit(" x "), run(F.col("page_no") + 1)).alias("text"))
+
+
+def with_latex(s, d):
+    """Pages, of which every third has formulas in and outside of math."""
+    more = F.when(F.col("doc_id") % 3 == 0, F.lit(" $a_{1}$ and \\lim or x_{2}")).otherwise(F.lit(" $b^{2}$"))
+    return pages(s, d).withColumn("text", F.concat("text", more))
+
+
 QUERIES = {
     "text_layer": lambda s, d: P.text_layer(pages(s, d)),
     "chunk_plan": plan,
@@ -67,10 +79,10 @@ QUERIES = {
     "adjacent_same_head": lambda s, d: D.same_heads(pages(s, d)),
     "shared_heads": lambda s, d: D.heads(docs(s, d)),
     "page_break_candidates": lambda s, d: D.page_breaks(pages(s, d)),
-    "adjacent_overlap": lambda s, d: D.adjacent_overlaps(pages(s, d)),
+    "adjacent_overlap": lambda s, d: D.adjacent_overlaps(overlapping(s, d)),
     "keyword_hits": lambda s, d: D.keyword_hits(pages(s, d), KEYWORDS),
     "pattern_findings": lambda s, d: D.pattern_counts(table(s, d, "pages").select(F.col("url").alias("book_id"), F.col("page_id").alias("page_no"), F.col("html").alias("text"))),
-    "bare_latex": lambda s, d: D.bare_latex(pages(s, d)),
+    "bare_latex": lambda s, d: D.bare_latex(with_latex(s, d)),
     "page_stamps": lambda s, d: docs(s, d).select("doc_id", F.explode(D.page_stamps(F.concat("text", F.lit("表面另"), F.col("doc_id") % 1000, F.lit("一行")))).alias("stamp")),
     "findings": lambda s, d: D.all_findings(pages(s, d)),
     "strip_math": lambda s, d: docs(s, d).select("doc_id", F.sha2(X.strip_math(F.col("text")), 256).alias("digest"), F.length(X.strip_math(F.col("text"))).alias("n")),
@@ -98,7 +110,12 @@ _BREAKS_Q = f"SELECT 'page_break' AS detector, book_id, page_no, np AS n, right(
 _DOLLAR = f"dl AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), od AS (SELECT doc_id, line_no, len(regexp_extract_all({us('line')}, '\\$')) AS dollars FROM dl WHERE NOT starts_with({us('line')}, '<!--'))"
 _PATTERN = lambda rel: " UNION ALL ".join(f"SELECT {quoted(k)} AS detector, book_id, page_no, len(regexp_extract_all(text, {quoted(p)})) AS n, regexp_extract(text, {quoted(p)}) AS evidence FROM {rel} WHERE regexp_matches(text, {quoted(p)})" for k, p in D.PATTERNS.items())
 
+_RUN = lambda no: " || ".join(f"sha256(book_id || ':' || {no} || ':{i}')" for i in range(3))
+
 SQL = {
+    "adjacent_overlap": f"WITH {BP} SELECT 'adjacent_overlap' AS detector, book_id, page_no, 192 AS n, left({_RUN('(page_no + 1)')}, 60) AS evidence FROM bp QUALIFY lead(page_no) OVER (PARTITION BY book_id ORDER BY page_no) IS NOT NULL",
+    "bare_latex": f"WITH {BP}, t AS (SELECT book_id, page_no, regexp_extract_all({strip_math_sql("(text || CASE WHEN doc_id % 3 = 0 THEN ' $a_{1}$ and \\lim or x_{2}' ELSE ' $b^{2}$' END)")}, '\\\\[a-zA-Z]{{2,}}|[0-9A-Za-z)\\]][_^]\\{{') AS h FROM bp) SELECT 'bare_latex' AS detector, book_id, page_no, len(h) AS n, h[1] AS evidence FROM t WHERE len(h) > 0",
+    "page_stamps": "SELECT doc_id, doc_id % 1000 AS stamp FROM documents WHERE text IS NOT NULL",
     "text_layer": f"WITH {BP} {_TEXT_LAYER}",
     "chunk_plan": f"WITH {CP} SELECT * FROM cp",
     "chunk_name": f"WITH {CP} SELECT book_id, chunk_id, format('{{}}.{{}}.p{{:04d}}-{{:04d}}.pdf', book_id, chunk_id, page_start + 1, page_end + 1) AS file FROM cp",

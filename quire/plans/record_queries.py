@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import markup as M
+from quire.operators import compose as C
 from quire.operators import detect as D
 from quire.operators import lint as I
+from quire.operators import package as K
 from quire.operators import pages as P
 from quire.operators import segments as J
 from quire.operators import state as S
@@ -84,7 +86,38 @@ def flagged_stream(s, d):
     return streamed(s, d, lambda st: folds.flagged_pages(as_pages(st), [D.pattern_counts]), "append", "pages")
 
 
+def issues(s, d):
+    return table(s, d, "documents").select(F.concat(F.lit("R-"), F.col("doc_id") % 3).alias("id"), F.element_at(F.array(F.lit("ERROR"), F.lit("WARNING")), (F.col("doc_id") % 2 + 1).cast("int")).alias("severity"), F.col("source").alias("message"), F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 4).cast("int").alias("line"))
+
+
+def books_json(s, d):
+    value = F.concat(F.lit('{"title":" T '), F.col("doc_id"), F.lit('","author":'), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(',"language":"'), F.col("lang"), F.lit('"'))).otherwise(F.lit("")), F.lit(',"cover":"./c.png","spine":["./a.xhtml"," ","b\\\\c.xhtml"]}'))
+    return table(s, d, "documents").select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 7 == 0, F.lit("[1]")).otherwise(value).alias("value"))
+
+
+def audits(s, d):
+    value = F.concat(F.lit('{"seams":[{"index":1,"left_page":'), F.col("doc_id"), F.lit(',"right_page":'), F.col("doc_id") + 1, F.lit('},"broken",{"index":2}]}'))
+    return docs(s, d).select(F.col("doc_id").alias("book_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("{}")).otherwise(value).alias("value"))
+
+
+def titled_blocks(s, d):
+    """Blocks of each document behind its title, a chapter number, and a heading of its own."""
+    first = lambda i, text: F.struct(F.lit(i).alias("ord"), text.alias("text"))
+    made = F.array(first(0, F.lit("# T")), first(1, F.when(F.col("doc_id") % 2 == 0, F.lit("## 第 3 章")).otherwise(F.lit("## other"))), first(2, F.lit("# T")), first(3, F.col("text")))
+    return docs(s, d).select(F.col("doc_id").alias("part"), F.explode(made).alias("b")).select("part", "b.ord", "b.text")
+
+
 QUERIES = {
+    "report_lines": lambda s, d: I.report_lines(issues(s, d), 5),
+    "counts_json": lambda s, d: S.counts_json(issues(s, d).groupBy(F.col("id").alias("key")).agg(F.count("*").alias("n"))),
+    "book_records": lambda s, d: K.book_records(books_json(s, d)).select("file", "title", "author", "language", "cover", F.array_join("spine", "|").alias("spine")),
+    "repeated_targets": lambda s, d: K.repeated_targets(table(s, d, "documents").select(F.col("lang").alias("book_id"), F.col("doc_id").alias("ord"), F.col("source").alias("href"))),
+    "well_formed_seams": lambda s, d: P.well_formed_seams(audits(s, d)),
+    "bundle_order": lambda s, d: P.bundle_order(plan(s, d).select("book_id", F.col("chunk_id").alias("bundle")).unionByName(docs(s, d).select(F.concat(F.lit("x"), F.col("doc_id") % 5).alias("book_id"), F.col("doc_id").cast("string").alias("bundle"))), plan(s, d).where("chunk_id <> 'c001'")),
+    "rendered_table": lambda s, d: docs(s, d).select("doc_id", F.sha2(C.rendered_table(F.concat(F.lit("<table border=1><tr><td>a & `b`</td><td>"), "text", F.lit("</td></tr></table>"))), 256).alias("digest")),
+    "anchors": lambda s, d: C.anchors(lines_of(s, d).select(F.col("doc_id").alias("part"), (-F.col("i")).alias("ord"))),
+    "own_titles": lambda s, d: C.without_own_titles(titled_blocks(s, d), docs(s, d).select(F.col("doc_id").alias("part"), F.lit("T").alias("title"), F.lit(3).alias("number"), F.lit(None).cast("array<string>").alias("strip"))).select("part", "ord"),
+    "special_lines": lambda s, d: C.special_lines(docs(s, d).select(F.col("doc_id").alias("part"), F.lit(0).alias("ord"), F.element_at(F.array(F.lit("title"), F.lit("toc"), F.lit("index")), (F.col("doc_id") % 3 + 1).cast("int")).alias("kind"), F.concat(F.lit("第 2 章 a <b> ... "), F.col("doc_id")).alias("line"))),
     "content_segments": lambda s, d: J.content_segments(content_lists(s, d)).select("bundle", "ord", "segment_id", "page_idx", "kind", F.sha2("text", 256).alias("digest"), F.round("score", 9).alias("score"), "source"),
     "parsed_pages": lambda s, d: J.parsed_page_count(results(s, d)),
     "seam_look": lambda s, d: P.seam_texts(seam_pages(s, d), pages(s, d)).select("book_id", "left_page", "right_page", "tail", "head", "look"),
@@ -124,6 +157,16 @@ _STAGES = "(VALUES (0, 'prepare'), (1, 'calibrate'), (2, 'compose'), (3, 'check'
 _PAT = lambda name, p: f"SELECT {quoted(name)} AS detector, url AS book_id, page_id AS page_no, len(regexp_extract_all(html, {quoted(p)})) AS n, regexp_extract(html, {quoted(p)}) AS evidence FROM pages WHERE regexp_matches(html, {quoted(p)})"
 # The same rules, written from their description and not from the constants of the code.
 SQL = {
+    "report_lines": "WITH i AS (SELECT 'R-' || doc_id % 3 AS id, CASE WHEN doc_id % 2 = 0 THEN 'ERROR' ELSE 'WARNING' END AS severity, source AS message, doc_id::VARCHAR AS path, doc_id % 4 AS line FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY id, path, line, message) AS nth, count(*) OVER (PARTITION BY severity) AS c FROM i) SELECT severity, nth AS ord, '- [' || id || '] ' || message || ' (' || path || CASE WHEN line > 0 THEN ':' || line ELSE '' END || ')' AS line FROM r WHERE nth <= 5 UNION ALL SELECT DISTINCT severity, 0, '## ' || severity || ': ' || c FROM r UNION ALL SELECT DISTINCT severity, 6, '- and ' || (c - 5) || ' more' FROM r WHERE c > 5",
+    "counts_json": "SELECT '{' || string_agg('\"' || id || '\":' || n, ',' ORDER BY id) || '}' AS counts FROM (SELECT 'R-' || doc_id % 3 AS id, count(*) AS n FROM documents GROUP BY 1)",
+    "book_records": "SELECT doc_id AS file, 'T ' || doc_id AS title, doc_id::VARCHAR AS author, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'zh' END AS language, 'c.png' AS cover, 'a.xhtml|b/c.xhtml' AS spine FROM documents WHERE doc_id % 7 <> 0",
+    "repeated_targets": "SELECT * FROM (SELECT lang AS book_id, doc_id AS ord, source AS href, min(doc_id) OVER (PARTITION BY lang, source) AS first FROM documents) WHERE ord > first",
+    "well_formed_seams": "SELECT doc_id AS book_id, 1 AS idx, doc_id AS left_page, doc_id + 1 AS right_page FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 2, NULL, NULL FROM documents WHERE doc_id % 3 <> 0",
+    "bundle_order": f"WITH {CP}, f AS (SELECT book_id, chunk_id AS bundle FROM cp UNION ALL SELECT 'x' || doc_id % 5, doc_id::VARCHAR FROM documents), p AS (SELECT * FROM cp WHERE chunk_id <> 'c001') SELECT f.book_id, f.bundle, row_number() OVER (PARTITION BY f.book_id ORDER BY p.page_start NULLS FIRST, f.bundle) AS pos FROM f LEFT JOIN p ON p.book_id = f.book_id AND p.chunk_id = f.bundle WHERE p.chunk_id IS NOT NULL OR f.book_id NOT IN (SELECT book_id FROM p)",
+    "rendered_table": "WITH t AS (SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS c, len(regexp_extract_all(text, '\\$')) AS n FROM documents) SELECT doc_id, sha256('<table border=\"1\"><tr><td>a &amp; <code>b</code></td><td>' || CASE WHEN n % 2 = 0 THEN regexp_replace(regexp_replace(c, '`([^`]+)`', '<code>\\1</code>', 'g'), '\\$([^$]+)\\$', '<code class=\"math\">\\1</code>', 'g') ELSE regexp_replace(c, '`([^`]+)`', '<code>\\1</code>', 'g') END || '</td></tr></table>') AS digest FROM t",
+    "anchors": "SELECT doc_id AS part, 1 - i AS ord, 's-' || (len(l) - i + 1) AS anchor FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
+    "own_titles": "SELECT doc_id AS part, unnest(CASE WHEN doc_id % 2 = 0 THEN [3] ELSE [1, 2, 3] END) AS ord FROM documents",
+    "special_lines": "SELECT doc_id AS part, 0 AS ord, CASE doc_id % 3 WHEN 0 THEN '<p class=\"title-line\">第 2 章 a &lt;b&gt; ... ' || doc_id || '</p>' WHEN 1 THEN '<p class=\"toc-item toc-chapter\">第 2 章 a &lt;b&gt; <span class=\"toc-page\">' || doc_id || '</span></p>' ELSE '<p class=\"index-line\">第 2 章 a &lt;b&gt; ... ' || doc_id || '</p>' END AS html FROM documents",
     "content_segments": f"SELECT doc_id AS bundle, 0 AS ord, 'S00001' AS segment_id, doc_id - 1 AS page_idx, 'title' AS kind, sha256(CASE WHEN {us('text')} = '' THEN 'c' ELSE {us('text')} || chr(10) || 'c' END) AS digest, round(CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 130 <= 1 THEN (doc_id % 130)::DOUBLE WHEN doc_id % 130 <= 100 THEN (doc_id % 130) / 100 END WHEN 1 THEN doc_id % 100 / 100 END, 9) AS score, CASE WHEN doc_id % 3 = 0 AND doc_id % 130 <= 100 THEN 'score' WHEN doc_id % 3 = 1 THEN 'meta.conf' ELSE 'none' END AS source FROM documents",
     "parsed_pages": "SELECT doc_id AS bundle, CASE doc_id % 4 WHEN 0 THEN greatest(doc_id, 2) + 1 WHEN 1 THEN 3 WHEN 2 THEN 2 END AS parsed_pages FROM documents",
     "seam_look": f"WITH {CP}, {_LAST}, j AS (SELECT s.*, coalesce(right(l.t, 160), '') AS tail, coalesce(left(r.t, 160), '') AS head FROM seam s LEFT JOIN fl l ON l.book_id = s.book_id AND l.page_no = left_page LEFT JOIN fl r ON r.book_id = s.book_id AND r.page_no = right_page) SELECT *, CASE WHEN regexp_matches(head, '^\\s*(#|【|例|图|表|注|解|分析|证明|题型|习题|第\\s*\\d+\\s*[章节讲]|<!--)') THEN 'block' WHEN tail <> '' AND contains('。！？…；;!?：:', right(tail, 1)) THEN 'sentence' ELSE 'suspicious' END AS look FROM j",

@@ -2,10 +2,12 @@
 
 import json
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import markup
 from quire.functions import text as X
 from quire.operators import detect, diff, edits, geometry, lines, lint, package, pages, segments, state, tables, translate
 from quire.sources import archives
@@ -148,7 +150,7 @@ def book(spark, **extra):
     chapter = '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>t</title></head><body><p id="a">x</p><a href="mailto:x@y">m</a></body></html>'
     items = [{"item_id": "c", "href": "c.xhtml", "media_type": "application/xhtml+xml", "properties": ""}, {"item_id": "n", "href": "nav.xhtml", "media_type": "application/xhtml+xml", "properties": "nav"}]
     opf = package.package_document({"title": "T", "language": "en", "identifier": "urn:uuid:demo"}, items, ["c.xhtml"], "2020-01-01T00:00:00Z")
-    files = {"META-INF/container.xml": "<container/>", "OEBPS/content.opf": opf, "OEBPS/c.xhtml": chapter, "OEBPS/nav.xhtml": package.navigation([{"title": "A", "href": "c.xhtml", "level": 1}, {"title": "B", "href": "c.xhtml", "level": 3}, {"title": "C", "href": "c.xhtml", "level": 1}], "T"), "mimetype": "", **extra}
+    files = {"META-INF/container.xml": package.container_document("OEBPS/content.opf"), "OEBPS/content.opf": opf, "OEBPS/c.xhtml": chapter, "OEBPS/nav.xhtml": package.navigation([{"title": "A", "href": "c.xhtml", "level": 1}, {"title": "B", "href": "c.xhtml", "level": 3}, {"title": "C", "href": "c.xhtml", "level": 1}], "T"), "mimetype": "", **extra}
     return rows(spark, [("b", n, bytearray(t.encode())) for n, t in files.items()], "book_id string, name string, content binary")
 
 
@@ -165,9 +167,85 @@ def test_package_and_lint(spark, tmp_path):
     assert {("RSC-005", "FATAL"), ("RSC-005", "ERROR"), ("ACC-001", "ERROR"), ("RSC-006", "ERROR"), ("RSC-007", "ERROR")} <= found
     (tmp_path / "d.epub").write_bytes(b"no zip")
     assert archives.read_archives(spark, str(tmp_path / "d.epub")).first().ord == -1
+    assert [(r.id, r.severity) for r in lint.lint(archives.read_archives(spark, str(tmp_path / "d.epub"))).collect()] == [("PKG-001", "FATAL")]
+    with zipfile.ZipFile(tmp_path / "e.epub", "w"):
+        pass
+    assert [(r.id, r.severity) for r in lint.lint(archives.read_archives(spark, str(tmp_path / "e.epub"))).collect()] == [("PKG-006", "FATAL")]
+    for box, opf, want in (("<container/>", None, "no rootfile"), (package.container_document("no.opf"), None, "rootfile names a missing entry: no.opf"), (package.container_document("OEBPS/content.opf").replace("oebps-package", "x"), None, "rootfile media type: application/x+xml")):
+        (tmp_path / "f.epub").write_bytes(package.archives(book(spark, **{"META-INF/container.xml": box})).first().epub)
+        assert want in {r.message for r in lint.lint(archives.read_archives(spark, str(tmp_path / "f.epub"))).where("id = 'PKG-003'").collect()}
+    lost = book(spark, **{"META-INF/container.xml": "<container/>", "OEBPS/second.opf": "<package/>"})
+    (tmp_path / "g.epub").write_bytes(package.archives(lost).first().epub)
+    assert "the package document can't be located" in {r.message for r in lint.lint(archives.read_archives(spark, str(tmp_path / "g.epub"))).collect()}
+    gone = book(spark).where("name <> 'OEBPS/c.xhtml'")
+    (tmp_path / "h.epub").write_bytes(package.archives(gone).first().epub)
+    assert "the manifest names a missing file: c.xhtml" in {r.message for r in lint.lint(archives.read_archives(spark, str(tmp_path / "h.epub"))).collect()}
     assert package.identifier("https://x", "s") == "https://x" and package.identifier("urn:uuid:demo", "s") == package.identifier("", "s") != ""
 
 
+def test_identifiers_and_times_of_a_package(spark):
+    head = '<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/" version="3.0" unique-identifier="i"><metadata>'
+    meta = '<dc:identifier id="i">x</dc:identifier><dc:identifier id="j"> </dc:identifier><dc:title>t</dc:title><dc:language>en</dc:language>'
+    time = lambda v: f'<meta property="dcterms:modified">{v}</meta>'
+    found = lambda x: {m for rule, _, m, _ in lint._package_issues((head + meta + x + '<item id="j"/></metadata></package>').encode()) if rule in ("OPF-001", "OPF-003")}
+    twice = found(time("2020-01-01T00:00:00Z") + time("2021-01-01T00:00:00Z"))
+    assert "empty dc:identifier" in twice and "id occurs more than once in the document: j" in twice and not any("modified" in m for m in twice)
+    assert "no dcterms:modified" in found("") and "malformed dcterms:modified: 2020" in found(time("2020"))
+
+
+def test_markup(spark):
+    listing = lambda t: one(spark, t, markup.listing)
+    assert listing(r"\begin {array} {ll} \mathrm{f o r} (i = 0 ; x [i ] ) \\ a \leftarrow b \& c \end {array}") == "for (i = 0 ; x [i])\na ← b c"
+    assert one(spark, "&#65;&#x41;&lt;&#99999999;&nbsp;", markup.unescaped) == "AA<&#99999999;~"
+    assert one(spark, "a < b <sub>2</sub> & <i>", markup.escaped_but_inline) == "a &lt; b <sub>2</sub> &amp; &lt;i&gt;"
+    assert one(spark, "<td width=79% colspan=2>a\\nb", markup.table_attributes) == '<td width="79%" colspan="2">a<br/>b'
+    assert [tuple(x) for x in one(spark, "325:1,497：1，12 3:", markup.page_orders)] == [(325, 1), (12, 1), (3, 1)]
+    assert [one(spark, t, markup.is_asm_math) for t in ("assign x", "a; \\# 5", "x + y")] == [True, True, False]
+
+
+def test_nodes_of_content_lists(spark):
+    items = [{"text": " ", "score": 1}, {"TEXT": ["a ", "b"], "Scores": 1, "meta": {"Prob": 2, "CONF": "31"}, "page_number": 3, "table_caption": ["c"]}, {"img_path": "x.png", "score": True, "confidence": [1], "type": 7}, {"content": "d", "score": 120, "probability": "0.5", "poly": [0, 0, 2, 0, 2, 3, 0, 3]}]
+    got = segments.content_segments(rows(spark, [("b", json.dumps(items)), ("c", "no json"), ("d", None)], "bundle string, value string")).collect()
+    assert [(r.segment_id, r.page_idx, r.kind, r.text, r.score, r.source) for r in got] == [("S00001", 2, "unknown", "a b\nc", 0.31, "meta.conf"), ("S00002", 0, "category_7", "[图片] x.png", None, "none"), ("S00003", 0, "unknown", "d", 0.5, "probability")]
+    assert tuple(got[2].box) == (0, 0, 2, 3)
+    layout = rows(spark, [("b", 0, (0.0, 0.0, 0.1, 0.1), 0.2, "x"), ("b", 2, (0.0, 0.0, 1.0, 1.0), 0.3, "y")], "bundle string, page int, box struct<x0:double,y0:double,x1:double,y1:double>, score double, source string")
+    seg = rows(spark, [("b", "S1", 0, (0.0, 0.0, 100.0, 100.0), None, "none"), ("b", "S2", 0, None, None, "none"), ("b", "S3", 2, (0.0, 0.0, 900.0, 900.0), 0.9, "score")], "bundle string, segment_id string, page_idx int, box struct<x0:double,y0:double,x1:double,y1:double>, score double, source string")
+    systems = rows(spark, [("b", "thousand", 0.0, 0.0)], "bundle string, system string, width double, height double")
+    out = {r.segment_id: (r.score, r.source, r.lines) for r in segments.layout_scored(seg, layout, systems).collect()}
+    assert out == {"S1": (0.2, "layout:x", 1), "S2": (None, "none", 0), "S3": (0.9, "score", 0)}
+
+
+def test_deep_nodes_and_texts_of_descendants(spark):
+    deep = {"score": 0.5, "text": "x"}
+    for _ in range(40):
+        deep = {"a": [deep]}
+    doc = {"pdf_info": [[{"score": 0.4, "lines": [{"text": "one"}, {"text": "two"}]}], {"page_no": 9, "b": deep}]}
+    got = segments.scored_nodes(rows(spark, [(1, json.dumps(doc))], "doc int, value string")).orderBy("ord").collect()
+    assert [(r.page_idx, r.text, r.score) for r in got] == [(0, "one two", 0.4), (8, "x", 0.5)]
+
+
+def test_scores_are_no_booleans(spark):
+    assert rows(spark, [(True,)], "v boolean").select(geometry.score_norm(F.col("v")).alias("x")).first().x is None
+    assert one(spark, "true", geometry.score_norm) is None and one(spark, "x", geometry.score_norm) is None
+
+
+def test_pages_of_a_hot_book_are_numbered_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RANGE_IDS", 8)
+    data = [(i * 3, f"t{i}", "hot" if i % 4 else None) for i in range(100)]
+    got = pages.book_pages(rows(spark, data, "doc_id long, text string, source string")).collect()
+    for book_ in ("hot", None):
+        mine = sorted((r.page_no, r.doc_id) for r in got if r.book_id == book_)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [i for _, i in mine] == sorted(i for _, i in mine)
+
+
+def test_resume_and_isolation(spark):
+    s = rows(spark, [("r", "a", 0, "DONE"), ("r", "b", 1, "FAILED"), ("r", "c", 2, "DONE"), ("q", "a", 0, "DONE")], "run_id string, stage string, ord int, status string")
+    assert [r.stage for r in state.to_run(s).orderBy("ord").collect()] == ["b", "c"] and [r.stage for r in state.to_run(s, 1).collect()] == ["b"]
+    ls = rows(spark, [(1, 1, "x"), (2, 1, "y")], "batch int, line_no int, line string")
+    again, fine = translate.isolated(rows(spark, [(1, False), (2, True)], "batch int, ok boolean"), ls)
+    assert [r.line for r in again.collect()] == ["x"] and [r.line for r in fine.collect()] == ["y"]
+
+
 def test_resolve(spark):
     df = rows(spark, [("a/b.xhtml", h) for h in ("../c/d.png?x#y", "/e.css", "f%20g.png", "./h")], "b string, h string")
     assert [r.x for r in df.select(lint.resolve(F.col("b"), F.col("h")).alias("x")).collect()] == ["c/d.png", "e.css", "a/f g.png", "a/h"]
