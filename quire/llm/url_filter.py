@@ -6,7 +6,8 @@ class: urls joined by redirects or canonical links are aliases, found by distrib
 has an allow rule, the class is allowed; else if one has a block rule, it is blocked; else the default holds. A url's own
 rule always comes first.
 
-Null urls and urls without ``://`` have an empty host and path, fit no rule, and have no aliases. Repeated rows get
+Urls that differ only in the case of scheme and host, or in a fragment, are one. Very long urls and pages are read whole. Null
+urls and urls without ``://`` have an empty host and path, fit no rule, and have no aliases. Repeated rows get
 the same answer. An empty table gives an empty result. Further columns of the pages are ignored.
 """
 
@@ -34,6 +35,12 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def same_url(url: Column) -> Column:
+    """A url without its fragment, scheme and host in lower case; other texts as they are."""
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.when(head == "", url).otherwise(F.concat(F.translate(head, UPPER, LOWER), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
+
+
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
     one = [F.struct(F.lit(h).alias("rule_host"), F.lit(p).alias("rule_path"), F.lit(v).alias("rule_verdict")) for h, p, v in rules]
     return spark.range(1).select(F.explode(F.array(*one)).alias("r")).select("r.*")
@@ -88,14 +95,15 @@ def resolved(base: Column, target: Column) -> Column:
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (a, b) from pages to the targets of their canonical links and meta-refresh redirects.
 
-    Relative targets are resolved against the page's base element or url, character references decoded.
+    Relative targets are resolved against the page's base element or url, character references decoded. What stands in a
+    comment is no link.
     """
-    html = F.col(html_col)
+    html = F.regexp_replace(F.col(html_col), r"(?s)<!--.*?(?:-->|\z)", "")
     tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<{name}\b[^>]*>"), F.lit(0))
     links = F.filter(tags("link"), lambda t: F.lower(t).rlike(r"rel\s*=\s*[\"']?\s*canonical"))
     metas = F.filter(tags("meta"), lambda t: F.lower(t).rlike(r"http-equiv\s*=\s*[\"']?\s*refresh"))
     kind = lambda name: lambda t: F.struct(F.lit(name).alias("kind"), t.alias("tag"))
-    few = pages.where(html.rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("a"), F.try_element_at(tags("base"), F.lit(1)).alias("base"), F.explode(F.concat(F.transform(links, kind("link")), F.transform(metas, kind("meta")))).alias("x"))
+    few = pages.where(F.col(html_col).rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("a"), F.try_element_at(tags("base"), F.lit(1)).alias("base"), F.explode(F.concat(F.transform(links, kind("link")), F.transform(metas, kind("meta")))).alias("x"))
     # Each step is a generator of one row, over which Spark doesn't merge the expressions (they'd grow manifold).
     step = lambda df, **made: df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
     a, base, b = F.col("a"), F.col("base"), F.col("b")
@@ -114,8 +122,8 @@ def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """pages' columns and host, path, rule, verdict (which replace columns of these names). edges: rows (a, b) of urls that redirect or name a canonical url."""
-    kept = pages.select("*", F.col(url_col).alias("__url"))
-    group = stored(components(edges), "aliases")
+    kept = pages.select("*", same_url(F.col(url_col)).alias("__url"))
+    group = stored(components(edges.select(same_url(F.col("a")).alias("a"), same_url(F.col("b")).alias("b"))), "aliases")
     urls = kept.select(F.col("__url").alias("url")).unionAll(group.select(F.col("node").alias("url"))).where("url is not null").distinct()
     urls = stored(fitted(urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules), "urls")
     known = group.join(urls.where("own is not null"), group.node == urls.url)
@@ -136,17 +144,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL: dict[str, str] = {
     "op6_url_filter": r"""
 WITH RECURSIVE rules(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+p0 AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) ELSE url END AS url, regexp_replace(html, '(?s)<!--.*?(-->|$)', '', 'g') AS html FROM pages),
 edges AS (
-  SELECT url AS a, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS t FROM pages) WHERE regexp_matches(lower(t), 'rel\s*=\s*["'']?\s*canonical')
-  UNION SELECT url, regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) AS t FROM pages) WHERE regexp_matches(lower(t), 'http-equiv\s*=\s*["'']?\s*refresh')),
+  SELECT url AS a, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS t FROM p0) WHERE regexp_matches(lower(t), 'rel\s*=\s*["'']?\s*canonical')
+  UNION SELECT url, regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) AS t FROM p0) WHERE regexp_matches(lower(t), 'http-equiv\s*=\s*["'']?\s*refresh')),
 good AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b LIKE '%://%' AND a <> b),
 reach(u, w) AS (SELECT a, b FROM good UNION SELECT b, a FROM good UNION SELECT r.u, g.w FROM reach r JOIN (SELECT a AS x, b AS w FROM good UNION SELECT b, a FROM good) g ON r.w = g.x),
-urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT u FROM reach),
+urls AS (SELECT url FROM p0 WHERE url IS NOT NULL UNION SELECT u FROM reach),
 split AS (SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM urls),
 own AS (SELECT s.url, host, path, rh || rp AS rule, v FROM split s LEFT JOIN rules ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)
         QUALIFY row_number() OVER (PARTITION BY s.url ORDER BY length(rh) + length(rp) DESC NULLS LAST, v) = 1),
 alias AS (SELECT r.u AS url, min(o.v) AS v FROM reach r JOIN own o ON o.url = r.w WHERE o.v IS NOT NULL GROUP BY 1)
 SELECT page_id, coalesce(o.host, '') AS host, coalesce(o.path, '') AS path, o.rule, coalesce(o.v, a.v, 'allow') AS verdict
-FROM pages p LEFT JOIN own o ON o.url = p.url LEFT JOIN alias a ON a.url = p.url""",
+FROM p0 p LEFT JOIN own o ON o.url = p.url LEFT JOIN alias a ON a.url = p.url""",
 }
 QUERIES = {"op6_url_filter": op6_url_filter}

@@ -296,6 +296,12 @@ def test_edges_of_relative_quoted_and_escaped_targets(spark):
     for url, html, want in cases:
         got = [r.b for r in url_filter.html_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()]
         assert got == ([want] if want else []), html
+    hidden = spark.createDataFrame([("http://a.org/", "<!-- " + link("'/b'") + " -->" + link("'/c'") + "<!--" + link("/d"))], "url string, html string")
+    assert [r.b for r in url_filter.html_edges(hidden).collect()] == ["http://a.org/c"]
+    # A chain of redirects, whose last url is blocked; cases and fragments differ along it.
+    chain = [(i, f"HTTP://Chain.org/{i}#x", link(f"'/{i + 1}#y'") if i < 30 else link("'http://X.net/es/1'")) for i in range(31)]
+    chained = spark.createDataFrame(chain, "page_id long, url string, html string")
+    assert {r.verdict for r in url_filter.judge(chained, url_filter.rules_table(spark), url_filter.html_edges(chained)).collect()} == {"block"}
     pages = spark.createDataFrame([(1, "http://x.org/a", link("'//example.com/en/?a=1&amp;b=2'"))], "page_id long, url string, html string")
     assert url_filter.judge(pages, url_filter.rules_table(spark), url_filter.html_edges(pages)).first().verdict == "block"
 
