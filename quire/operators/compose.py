@@ -42,37 +42,53 @@ def packed_chapters(chapters: DataFrame, max_pages: int) -> DataFrame:
     return rows.groupBy("book_id").applyInPandas(fold, "book_id string, seq long, part int")
 
 
-def matching(key: str, heading: str) -> bool:
-    """Whether a heading is an outline entry's: equal, one inside the other if long, or with a common beginning and like length."""
-    if not key or not heading:
-        return False
-    if key == heading:
-        return True
-    if len(key) > 12 and (key in heading or heading in key):
-        return True
-    return key[:8] == heading[:8] and len(key) >= 8 and abs(len(key) - len(heading)) < 12
+#: Letters by which titles that may match find each other, and the length beyond which one may stand inside the other.
+BEGIN, INSIDE = 8, 12
+
+
+def matching_headings(outline: DataFrame, headings: DataFrame) -> DataFrame:
+    """(book_id, seq, line_no) of all outline entries (book_id, seq, title) and headings (book_id, line_no, title) of a book that
+    match: equal titles, a common beginning and like length, or a long entry inside the heading or around it.
+
+    All by equal joins on a few letters: of titles inside each other, the inner one's first letters stand in the outer one.
+    """
+    a = outline.select("book_id", F.col("seq").cast("long").alias("seq"), title_key(F.col("title")).alias("key")).where("key <> ''")
+    b = headings.select("book_id", F.col("line_no").cast("long").alias("line_no"), title_key(F.col("title")).alias("heading")).where("heading <> ''")
+    n, m = F.length("key"), F.length("heading")
+
+    def pieces(c: str, sizes: range) -> Column:
+        def of(k: int) -> Column:
+            starts = F.when(F.length(c) >= k, F.sequence(F.lit(1), F.length(c) - k + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.substr(F.col(c), i, F.lit(k)))
+
+        return F.explode(F.array_distinct(F.concat(*map(of, sizes))))
+
+    first_a, first_b = a.withColumn("letters", F.left("key", F.lit(BEGIN))), b.withColumn("letters", F.left("heading", F.lit(BEGIN)))
+    both = ["book_id", "letters"]
+    alike = first_a.join(first_b, both).where((F.col("key") == F.col("heading")) | (n >= BEGIN) & (F.abs(n - m) < INSIDE))
+    within = first_a.where(n > INSIDE).join(b.where(m > INSIDE).withColumn("letters", pieces("heading", range(BEGIN, BEGIN + 1))), both).where(F.contains("heading", "key"))
+    around = a.where(n > INSIDE).withColumn("letters", pieces("key", range(1, BEGIN + 1))).join(first_b, both).where(F.contains("key", "heading"))
+    pairs = [x.select("book_id", "seq", "line_no") for x in (alike, within, around)]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
 
 
 def outline_lines(outline: DataFrame, headings: DataFrame) -> DataFrame:
     """(book_id, seq, line_no): for each outline entry (book_id, seq, title) the next heading (book_id, line_no, title) behind the
-    one before that matches; null if none does. Each book is a small sequential scan, so a book is a task."""
+    one before that matches; null if none does. Where an entry goes depends on all before it, so a book is one sequential pass,
+    over the numbers of matching pairs."""
     ship(outline.sparkSession)
 
-    def scan(entries: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+    def scan(book: pd.DataFrame) -> pd.DataFrame:
         found, last = [], -1
-        heads = heads.sort_values("line_no")
-        lines, keys = heads["line_no"].tolist(), heads["key"].tolist()
-        for e in entries.sort_values("seq").itertuples(index=False):
-            at = next((i for i, k in enumerate(keys) if lines[i] > last and matching(e.key, k)), None)
-            last = lines[at] if at is not None else last
-            found.append((e.book_id, e.seq, None if at is None else float(lines[at])))
-        out = pd.DataFrame(found, columns=["book_id", "seq", "line_no"])
-        return out.astype({"seq": "int64", "line_no": "float64"})
-
-    a = outline.select("book_id", F.col("seq").cast("long").alias("seq"), title_key(F.col("title")).alias("key"))
-    b = headings.select("book_id", F.col("line_no").cast("long").alias("line_no"), title_key(F.col("title")).alias("key"))
-    out = a.groupBy("book_id").cogroup(b.groupBy("book_id")).applyInPandas(scan, "book_id string, seq long, line_no double")
-    return out.withColumn("line_no", F.col("line_no").cast("long"))
+        for seq, lines in book.sort_values(["seq", "line_no"]).groupby("seq", sort=True)["line_no"]:
+            line = next((x for x in lines.tolist() if x > last), None)
+            if line is not None:
+                last = line
+                found.append((book["book_id"].iloc[0], seq, line))
+        return pd.DataFrame(found, columns=["book_id", "seq", "line_no"]).astype({"seq": "int64", "line_no": "int64"})
+
+    pairs = matching_headings(outline, headings).groupBy("book_id").applyInPandas(scan, "book_id string, seq long, line_no long")
+    return outline.select("book_id", F.col("seq").cast("long").alias("seq")).join(pairs, ["book_id", "seq"], "left")
 
 
 def plan(found: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -117,6 +117,7 @@ _BODY = "regexp_extract(line, '^(\\s*(?:#{1,6}|[-•·☐□])\\s+)(.*)$', 2)"
 _PROT = "regexp_replace(regexp_replace(text, '`([^`]+)`', '<keep k=\"c\">\\1</keep>', 'g'), '\\$([^$]+)\\$', '<keep k=\"m\">\\1</keep>', 'g')"
 
 SQL = {
+    "outline_lines": f"WITH RECURSIVE {BP}, h AS (SELECT book_id, page_no AS line_no, regexp_replace(lower(left(text, 40)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM bp), m AS MATERIALIZED (SELECT a.book_id, a.line_no AS seq, b.line_no FROM h a JOIN h b ON a.book_id = b.book_id AND a.k <> '' AND b.k <> '' AND (a.k = b.k OR (length(a.k) > 12 AND (contains(a.k, b.k) OR contains(b.k, a.k))) OR (left(a.k, 8) = left(b.k, 8) AND length(a.k) >= 8 AND abs(length(a.k) - length(b.k)) < 12))), f(book_id, seq, line_no, last) AS (SELECT DISTINCT book_id, 0::BIGINT, NULL::BIGINT, -1::BIGINT FROM h UNION ALL SELECT f.book_id, h.line_no, n.at, coalesce(n.at, f.last) FROM f JOIN h ON h.book_id = f.book_id AND h.line_no = f.seq + 1, LATERAL (SELECT min(m.line_no) AS at FROM m WHERE m.book_id = f.book_id AND m.seq = f.seq + 1 AND m.line_no > f.last) n) SELECT book_id, seq, line_no FROM f WHERE seq > 0",
     "translation_batches": f"WITH RECURSIVE {_TL}, t AS MATERIALIZED (SELECT doc_id, line_no, strlen(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM tl), f AS (SELECT doc_id, line_no, i, 0 AS batch, n AS used FROM t WHERE i = 1 UNION ALL SELECT t.doc_id, t.line_no, t.i, batch + (used + n > 5500)::INT, CASE WHEN used + n > 5500 THEN n ELSE used + n END FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1) SELECT doc_id, line_no, batch FROM f",
     "line_kind": f"WITH {_KINDS} SELECT doc_id, line_no, kind FROM k",
     "prose_score": f"WITH {_LINES} SELECT doc_id, line_no, {_SCORE('line')} AS score FROM dl",
