@@ -32,8 +32,8 @@ from quire.llm.common import ship, stored, table
 
 BUCKETS = 10_000
 #: Bytes of text that one SQL statement reads, if no single document has more.
-SLICE_BYTES = 4 << 20
-MEMORY = "400MB"
+SLICE_BYTES = 1 << 20
+MEMORY = "200MB"
 #: Rows of a sorted range, in large tables.
 RANGE_ROWS = 500_000
 #: What is no part of a word: ASCII but for digits and letters.
