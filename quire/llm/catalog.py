@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, exact_dedup, hard_negatives, html_extract, language_id, mixing, near_dedup, neighbours, resampling, sharding, toxicity, url_filter
+from quire.llm import bpe, chat, exact_dedup, hard_negatives, html_extract, language_id, mixing, near_dedup, neighbours, resampling, sharding, toxicity, url_filter
 
-MODULES = (toxicity, bpe, neighbours, mixing, language_id, url_filter, html_extract, exact_dedup, near_dedup, sharding, hard_negatives, resampling)
+MODULES = (toxicity, bpe, neighbours, mixing, language_id, url_filter, html_extract, exact_dedup, near_dedup, sharding, chat, hard_negatives, resampling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
