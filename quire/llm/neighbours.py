@@ -3,10 +3,11 @@
 Centroids come from a bounded, hash-chosen sample of the vectors, by halving: each set is cut at the median of its
 projection on the line between two far centres, so lists are equally long. Where the table is so large that lists would be
 longer than LIST_SIZE, each list is halved again in the same way, on the executors, from at most SAMPLE_OF_LIST of its
-vectors. All vectors are then assigned: a vector near a boundary is put into several lists. For that, centroids are searched
+vectors. Lists that are still too long are cut in place, round after round: their own few centroids aren't gathered anywhere, a list's vectors
+and queries meet them where the list is. So there is no limit to the number of lists, and their length doesn't grow. All vectors are then assigned: a vector near a boundary is put into several lists. For that, centroids are searched
 with a graph that links each to its nearest ones, by best-first search; it lies in memory, broadcast, at most
 LISTS x SPLITS x (dimensions + LINKS) numbers. A query reads its FEWEST nearest lists and all whose centroid is at most RATIO times as far as its
-nearest one, however many these are: the search's beam is doubled until it holds a centroid beyond the ratio.
+nearest one, however many these are: the search's beam is widened until it holds a centroid beyond the ratio.
 
 Halving numbers lists so that neighbours in number are neighbours in space. SPAN lists in a row are searched together, in
 one task: a vector that stands in several of them is compared once, and a query gives its best ones of all of them. Many
@@ -47,11 +48,15 @@ SAMPLE_OF_LIST = 4096
 #: Links of a centroid in the graph, and how many centroids a search keeps in view at first.
 LINKS = 16
 BEAM = 32
+#: Beyond RUN * RUNS centroids, a centroid is linked within the RUNS runs of RUN centroids that are nearest to its own.
+RUN, RUNS = 128, 32
 #: A vector goes to lists whose centroid is at most so many times as far as the nearest, COPIES at most.
 NEAR = 1.10
 COPIES = 4
+#: Copies of a vector in each later round of cutting lists in place.
+COPIES_BELOW = 2
 #: A query reads lists whose centroid is at most so many times as far as the nearest, and its FEWEST nearest ones in any case.
-RATIO = 1.10
+RATIO = 1.13
 FEWEST = 8
 #: Lists that are searched together, vectors of a block of them, and queries that meet it at once, on average.
 SPAN = 32
@@ -67,14 +72,25 @@ class Graph:
 
     @staticmethod
     def of(centroids: np.ndarray, links: int = LINKS) -> Graph:
+        """Exact links among a few thousand centroids. Among more, a centroid's candidates are those of its nearest runs of centroids:
+
+        halving numbers them so that a run lies together in space.
+        """
         n = len(centroids)
-        k = min(links, n - 1)
-        near = np.zeros((n, max(k, 0)), np.int32)
-        for i in range(0, n, 512):
-            d = _squares(centroids[i : i + 512], centroids)
-            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            if k:
-                near[i : i + len(d)] = np.argsort(d, axis=1, kind="stable")[:, :k]
+        k = max(min(links, n - 1), 0)
+        near = np.zeros((n, k), np.int32)
+        runs = np.array_split(np.arange(n), 1 if n <= RUN * RUNS else -(-n // RUN))
+        means = np.array([centroids[r].mean(axis=0) for r in runs])
+        for of, r in enumerate(runs):
+            at = np.argsort(_squares(means[of : of + 1], means)[0], kind="stable")[:RUNS]
+            some = np.sort(np.concatenate([runs[i] for i in at]))
+            for i in range(0, len(r) if k else 0, 512):
+                rows = r[i : i + 512]
+                d = _squares(centroids[rows], centroids[some])
+                d[np.arange(len(rows)), np.searchsorted(some, rows)] = np.inf
+                first = np.argpartition(d, k - 1, axis=1)[:, :k]
+                order = np.argsort(np.take_along_axis(d, first, 1), axis=1, kind="stable")
+                near[rows] = some[np.take_along_axis(first, order, 1)]
         return Graph(centroids, near)
 
     def search(self, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +146,7 @@ class Graph:
             r, c = np.nonzero(near & done[:, None])
             rows.append(left[r])
             found.append(ids[r, c])
-            left, beam = left[~done], 2 * beam
+            left, beam = left[~done], 4 * beam
         return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -213,11 +229,11 @@ def _assigned(df: DataFrame, graph, ratio: float, most: int | None, id_type: str
 
 
 def _best(lists: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """For each query the k + 1 nearest vectors of the lists it reads, and all that are as near as the last of these."""
+    """For each query the k + 1 nearest vectors of the lists it reads; of equally near ones those with the smallest ids."""
     out: dict[str, list] = {"qkey": [], "key": [], "score": []}
     if len(lists) and len(queries):
         keys, first, which = np.unique(lists["key"].to_numpy(), return_index=True, return_inverse=True)
-        x = _stacked(lists["v"].to_numpy()[first])
+        x, least = _stacked(lists["v"].to_numpy()[first]), lists["least"].to_numpy()[first]
         members = {n: which[at] for n, at in lists.groupby("list").indices.items()}
         for qkey, at in queries.groupby("qkey").indices.items():
             read = [members[n] for n in queries["list"].to_numpy()[at] if n in members]
@@ -226,12 +242,51 @@ def _best(lists: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
             some = np.unique(np.concatenate(read))
             d = np.sqrt(((x[some] - np.asarray(queries["q"].iloc[at[0]], np.float64)) ** 2).sum(axis=1))
             near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
+            near = near[np.lexsort((least[some[near]], d[near]))[: k + 1]]
             out["qkey"] += [qkey] * len(near)
             out["key"] += list(keys[some[near]])
             out["score"] += d[near].tolist()
     return pd.DataFrame({"qkey": pd.Series(out["qkey"], dtype="object"), "key": pd.Series(out["key"], dtype="object"), "score": np.array(out["score"], float)})
 
 
+def _deeper(posted: DataFrame, asking: DataFrame, ratio: float, kind: str) -> tuple[DataFrame, DataFrame]:
+    """posted (list, key, v, least) and asking (list, qkey, q) with each list cut into up to SPLITS lists of its own, in place.
+
+    A list's centroids come from its SAMPLE_OF_LIST vectors of least hash. They are joined with the blocks of the list's vectors, and with
+    its queries, by the list's number.
+    """
+    sizes = posted.groupBy("list").agg(F.count("*").alias("n"))
+    share = F.greatest(F.lit(1.0), F.col("n") / SAMPLE_OF_LIST)
+    few = posted.join(sizes, "list").where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(2**30)) * share < 2**30)
+
+    def halved(part: pd.DataFrame) -> pd.DataFrame:
+        y, n = _stacked(part["v"].to_numpy()), part["n"].iloc[0]
+        k = int(min(SPLITS, max(1, round(n / LIST_SIZE)), len(y)))
+        return pd.DataFrame({"list": part["list"].iloc[0], "n": n, "centroids": [balanced_centroids(y[np.lexsort(y.T[::-1])], k).tolist()]})
+
+    cut = stored(few.select("list", "n", "v").groupBy("list").applyInPandas(halved, "list long, n long, centroids array<array<double>>"), "cuts")
+
+    def placed(rows: pd.DataFrame, cuts: pd.DataFrame, within: float, most: int, v: str) -> pd.DataFrame:
+        if not len(rows) or not len(cuts):
+            return rows.iloc[:0].drop(columns=["block"])
+        graph = Graph.of(_stacked(cuts["centroids"].iloc[0]))
+        of, sub = graph.within(_stacked(rows[v].to_numpy()), within, most)
+        out = rows.drop(columns=["block"]).iloc[of].copy()
+        out["list"] = out["list"].to_numpy() * SPLITS + sub
+        return out
+
+    def dealt(df: DataFrame, key: str, v: str, within: float, most: int | None, schema: str) -> DataFrame:
+        counts = df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rows = df.join(counts, "list").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
+        cuts = cut.join(counts, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "centroids")
+        return rows.groupBy("list", "block").cogroup(cuts.groupBy("list", "block")).applyInPandas(lambda a, b: placed(a, b, within, most, v), schema)
+
+    return (
+        stored(dealt(posted, "key", "v", NEAR, COPIES_BELOW, f"list long, key binary, v {kind}, least long"), "lists"),
+        stored(dealt(asking, "qkey", "q", ratio, None, f"list long, qkey binary, q {kind}"), "asking"),
+    )
+
+
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", ratio: float = RATIO, sample: int = SAMPLE, lists: int | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest other rows of each row for which is_query(id) holds."""
     spark = vectors.sparkSession
@@ -257,19 +312,25 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         return spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (p.split() for p in empty.split(", "))])
     shared = spark.sparkContext.broadcast((graph.centroids, graph.links))
 
-    span = F.floor(F.col("list") / SPAN).cast("int")
-    posted = stored(_assigned(distinct, shared, NEAR, COPIES, "binary", kind).withColumn("span", span), "lists")
+    posted = _assigned(distinct, shared, NEAR, COPIES, "binary", kind).join(distinct.select("key", F.col("ids")[0].alias("least")), "key")
+    posted = stored(posted.select(F.col("list").cast("long").alias("list"), "key", "v", "least"), "lists")
     asking = _assigned(distinct.join(asked.select("key").distinct(), "key", "left_semi"), shared, ratio, None, "binary", kind)
-    asking = stored(asking.withColumnRenamed("key", "qkey").withColumnRenamed("v", "q").withColumn("span", span), "asking")
-    # Long spans are cut into blocks, and the queries of a span into groups; one row for each span is broadcast.
+    asking = stored(asking.select(F.col("list").cast("long").alias("list"), F.col("key").alias("qkey"), F.col("v").alias("q")), "asking")
+    many = len(graph.centroids)
+    while not lists and n > 2 * LIST_SIZE * many:
+        posted, asking = _deeper(posted, asking, ratio, kind)
+        many *= SPLITS
+    span = F.floor(F.col("list") / SPAN)
+    posted, asking = posted.withColumn("span", span), asking.withColumn("span", span)
+    # Long spans are cut into blocks, and the queries of a span into groups.
     part = lambda df, name: df.groupBy("span").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    blocks, groups = F.broadcast(part(posted, "blocks")), F.broadcast(part(asking, "groups"))
+    blocks, groups = part(posted, "blocks"), part(asking, "groups")
     lay = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = posted.join(blocks, "span").join(groups, "span").withColumn("block", lay("key", "blocks")).withColumn("group", every("groups"))
     right = asking.join(blocks, "span").join(groups, "span").withColumn("group", lay("qkey", "groups")).withColumn("block", every("blocks"))
     keys = ["span", "block", "group"]
-    made = left.select(*keys, "list", "key", "v").groupBy(*keys).cogroup(right.select(*keys, "list", "qkey", "q").groupBy(*keys))
+    made = left.select(*keys, "list", "key", "v", "least").groupBy(*keys).cogroup(right.select(*keys, "list", "qkey", "q").groupBy(*keys))
     found = made.applyInPandas(lambda a, b: _best(a, b, k), "qkey binary, key binary, score double").distinct()
     found = found.join(distinct.select("key", "ids"), "key").select("qkey", F.explode("ids").alias("vec_id"), "score")
     near = Window.partitionBy("qkey").orderBy("score", "vec_id")
