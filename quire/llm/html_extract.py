@@ -51,6 +51,8 @@ VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "l
 BLOCKS = frozenset(("address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
 #: A new one of these ends an open one of the same kind.
 SELF_ENDING = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
+#: A search for an open one of these ends at one of WALLS.
+WALLS = frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "body"))
 INNER = frozenset(("article", "main"))
 #: Elements that hold a text as such; text that stands right in another one is bare.
 PLAIN = frozenset(("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "blockquote", "pre", "figcaption", "caption"))
@@ -88,41 +90,76 @@ def closed(page: str) -> dict[int, int]:
 
 
 class Run:
-    """A piece of text or a tag: what the scan sees. text is None for tags."""
+    """A piece of text or a tag: what the scan sees. of is the number of the element around it, -1 if there is none; text is None for tags."""
 
-    __slots__ = ("features", "name", "text", "words", "block")
+    __slots__ = ("of", "name", "text", "words", "block")
 
-    def __init__(self, features, name, text, words, block):
-        self.features, self.name, self.text, self.words, self.block = features, name, text, words, block
+    def __init__(self, of, name, text, words, block):
+        self.of, self.name, self.text, self.words, self.block = of, name, text, words, block
 
 
 class Element:
-    """An element of the page: the runs from start to stop are its tags and what is between them."""
+    """An element of the page: the runs from start to stop are its tags and what is between them.
 
-    __slots__ = ("name", "names", "parent", "start", "stop")
+    new: those of its names that no element around it has. So the names of a path are summed from its elements, whatever its depth.
+    """
 
-    def __init__(self, name, names, parent, start):
-        self.name, self.names, self.parent, self.start, self.stop = name, names, parent, start, -1
+    __slots__ = ("name", "names", "new", "parent", "start", "stop", "inner", "linked", "plain", "kids")
+
+    def __init__(self, name, names, new, parent, above, start):
+        self.name, self.names, self.new, self.parent, self.start, self.stop = name, names, new, parent, start, -1
+        self.inner = name in INNER or bool(above and above.inner)
+        self.linked = name == "a" or bool(above and above.linked)
+        self.plain = name in PLAIN or bool(above and above.plain)
+        self.kids = {}
+
+
+class Open:
+    """The open elements, and where those of a name, and those that end a search for one, stand among them."""
+
+    def __init__(self):
+        self.stack: list[int] = []
+        self.at: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.names: dict[str, int] = {}
+
+    def push(self, i: int, element: Element) -> None:
+        self.at.setdefault(element.name, []).append(len(self.stack))
+        if element.name in WALLS:
+            self.walls.append(len(self.stack))
+        self.stack.append(i)
+        for n in element.names:
+            self.names[n] = self.names.get(n, 0) + 1
+
+    def close(self, k: int, elements: list[Element], upto: int) -> None:
+        """Ends the elements from the k-th on: each is looked at once."""
+        while len(self.stack) > k:
+            element = elements[self.stack.pop()]
+            element.stop = upto
+            self.at[element.name].pop()
+            if element.name in WALLS:
+                self.walls.pop()
+            for n in element.names:
+                self.names[n] -= 1
+
+    def last(self, name: str) -> int:
+        found = self.at.get(name)
+        return found[-1] if found else -1
 
 
 def parsed(page: str) -> tuple[list[Run], list[Element]]:
-    """The page's texts, with the features of all elements around them, its tags, and its elements in order.
+    """The page's texts and tags, with the elements around them, and its elements in order. Time and memory are linear in the page.
 
     An element of NO_TEXT without an end tag ends at the next block or line break, or with the element around it.
     """
     runs: list[Run] = []
     elements: list[Element] = []
-    stack: list[tuple[str, frozenset[str], int]] = []
-    around: frozenset[str] = frozenset()
+    open_ = Open()
     at, n = 0, len(page)
     inside = 0
     ends: dict[int, int] | None = None
     mute: int | None = None
-
-    def close(k: int, upto: int) -> None:
-        for _, _, i in stack[k:]:
-            elements[i].stop = upto
-        del stack[k:]
+    top = lambda: open_.stack[-1] if open_.stack else -1
 
     while at < n:
         m = TOKEN.match(page, at)
@@ -130,7 +167,7 @@ def parsed(page: str) -> tuple[list[Run], list[Element]]:
         t = m[0]
         if t[0] != "<" or len(t) == 1:
             if mute is None:
-                runs.append(Run(around, "", t, len(t.split()), False))
+                runs.append(Run(top(), "", t, len(t.split()), False))
             continue
         named = NAME.match(t)
         if not named:
@@ -139,13 +176,10 @@ def parsed(page: str) -> tuple[list[Run], list[Element]]:
         if name in BLOCKS or name == "br":
             mute = None
         if t[1] == "/":
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] != name:
-                k -= 1
+            k = open_.last(name)
             if k >= 0:
-                inside -= sum(x[0] in INNER for x in stack[k:])
-                around = stack[k][1]
-                close(k, len(runs) + 1)
+                inside -= sum(elements[i].name in INNER for i in open_.stack[k:])
+                open_.close(k, elements, len(runs) + 1)
                 if mute is not None and k < mute:
                     mute = None
         elif name in NO_TEXT:
@@ -155,28 +189,37 @@ def parsed(page: str) -> tuple[list[Run], list[Element]]:
                 if at in ends:
                     at = ends[at]
                 else:
-                    mute = len(stack)
+                    mute = len(open_.stack)
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif name not in VOID and not t.endswith("/>"):
             if name in SELF_ENDING:
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] != name and stack[k][0] not in ("ul", "ol", "dl", "table", "article", "section", "div", "body"):
-                    k -= 1
-                if k >= 0 and stack[k][0] == name:
-                    around = stack[k][1]
-                    close(k, len(runs))
-            names = names_of(t, name, inside > 0)
-            elements.append(Element(name, tuple(names), stack[-1][2] if stack else -1, len(runs)))
-            stack.append((name, around, len(elements) - 1))
-            around = around | frozenset(names)
+                k = open_.last(name)
+                if k >= 0 and (not open_.walls or k > open_.walls[-1]):
+                    open_.close(k, elements, len(runs))
+            names = tuple(names_of(t, name, inside > 0))
+            parent = top()
+            above = elements[parent] if parent >= 0 else None
+            if above:
+                above.kids[name] = above.kids.get(name, 0) + 1
+            elements.append(Element(name, names, tuple(x for x in dict.fromkeys(names) if not open_.names.get(x)), parent, above, len(runs)))
+            open_.push(len(elements) - 1, elements[-1])
             inside += name in INNER
-        runs.append(Run(around, name, None, 0, name in BLOCKS))
-    close(0, len(runs))
+        runs.append(Run(top(), name, None, 0, name in BLOCKS))
+    open_.close(0, elements, len(runs))
     return runs, elements
 
 
+def features_around(of: int, elements: list[Element]) -> list[str]:
+    """The names of an element and of all around it, each once."""
+    found: list[str] = []
+    while of >= 0:
+        found += elements[of].new
+        of = elements[of].parent
+    return found
+
+
 def _sized(words: int) -> str:
     return f"#words{min(words, 64).bit_length()}"
 
@@ -185,21 +228,22 @@ def _linked(linked: int, words: int) -> str:
     return "#links0" if not linked else "#links1" if 2 * linked < words else "#links2"
 
 
-def described(runs: list[Run]) -> list[tuple[frozenset[str], str, str, str] | None]:
-    """What each text is scored by: the features around it, those of its block, and of its place; None for tags.
+def described(runs: list[Run], elements: list[Element]) -> list[tuple[int, str, str, str] | None]:
+    """What each text is scored by: the element around it, and the features of its block and of its place; None for tags.
 
     A block is what stands between two tags of blocks.
     """
-    whole = any(r.text is None and r.name in INNER for r in runs)
+    whole = any(e.inner for e in elements)
     out: list = [None] * len(runs)
     open_: list[int] = []
 
     def finish() -> None:
-        words, linked = sum(runs[i].words for i in open_), sum(runs[i].words for i in open_ if "a" in runs[i].features)
+        words, linked = sum(runs[i].words for i in open_), sum(runs[i].words for i in open_ if runs[i].of >= 0 and elements[runs[i].of].linked)
         for i in open_:
-            f = runs[i].features
-            place = "#inside" if not INNER.isdisjoint(f) else "#outside" if whole else "#bare" if PLAIN.isdisjoint(f) else ""
-            out[i] = (f, _sized(words), _linked(linked, words), place)
+            of = runs[i].of
+            e = elements[of] if of >= 0 else None
+            place = "#inside" if e and e.inner else "#outside" if whole else "" if e and e.plain else "#bare"
+            out[i] = (of, _sized(words), _linked(linked, words), place)
         open_.clear()
 
     for i, r in enumerate(runs):
@@ -223,26 +267,26 @@ class Weights:
 
     def __init__(self, word: dict[str, float], tag: dict[str, float], insert: dict[str, float]):
         self.word, self.tag, self.insert = word, tag, insert
-        self.known: dict[tuple, float] = {}
-
-    def of_word(self, what: tuple[frozenset[str], str, str, str]) -> float:
-        """Between 0 and 1: the cube of the chance that the text is one of the article."""
-        found = self.known.get(what)
-        if found is None:
-            if len(self.known) > 10_000:
-                self.known.clear()
-            get = self.word.get
-            z = get("", 0.0) + sum(get(f, 0.0) for f in what[0]) + sum(get(f, 0.0) for f in what[1:])
-            found = self.known[what] = max(1e-6, (1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) ** 3)
-        return found
-
-    def scores(self, runs: list[Run]) -> list[float]:
+
+    def scores(self, runs: list[Run], elements: list[Element]) -> list[float]:
         """Of each text, above 0 if it has words, and of each tag, below 0."""
-        return [self.of_tag(r) if r.text is None else self.of_word(d) * r.words for r, d in zip(runs, described(runs), strict=True)]
+        get = self.word.get
+        around: list[float] = []
+        for e in elements:  # a parent stands before its children
+            around.append((around[e.parent] if e.parent >= 0 else get("", 0.0)) + sum(get(f, 0.0) for f in e.new))
+        out = []
+        for r, d in zip(runs, described(runs, elements), strict=True):
+            if r.text is None:
+                out.append(self.of_tag(r, elements))
+            else:
+                z = (around[d[0]] if d[0] >= 0 else get("", 0.0)) + sum(get(f, 0.0) for f in d[1:])
+                # The cube of the chance that the text is one of the article.
+                out.append(max(1e-6, (1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) ** 3) * r.words)
+        return out
 
-    def of_tag(self, run: Run) -> float:
+    def of_tag(self, run: Run, elements: list[Element]) -> float:
         """Inside an article element little, so that an insert doesn't cut off what follows it."""
-        return LEAST if not INNER.isdisjoint(run.features) else self.tag.get(run.name, self.tag[""])
+        return LEAST if run.of >= 0 and elements[run.of].inner else self.tag.get(run.name, self.tag[""])
 
     def is_insert(self, features: list[str]) -> bool:
         return self.insert.get("", 0.0) + sum(self.insert.get(f, 0.0) for f in features) > 0
@@ -265,7 +309,7 @@ def candidates(runs: list[Run], elements: list[Element], at: int, stop: int) ->
     words, linked = [0], [0]
     for r in runs:
         words.append(words[-1] + r.words)
-        linked.append(linked[-1] + (r.words if "a" in r.features else 0))
+        linked.append(linked[-1] + (r.words if r.of >= 0 and elements[r.of].linked else 0))
     total = words[stop] - words[at]
     twins: dict[tuple, int] = {}
     for e in elements:
@@ -277,7 +321,7 @@ def candidates(runs: list[Run], elements: list[Element], at: int, stop: int) ->
 def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the content region, joined by an empty line."""
     runs, elements = parsed(page or "")
-    at, stop = region(weights.scores(runs))
+    at, stop = region(weights.scores(runs, elements))
     blocks, open_ = [], []
     inserts = [(e.start, e.stop) for e, f in candidates(runs, elements, at, stop) if weights.is_insert(f)]
     nth, past = 0, 0  # inserts are in order of their starts
@@ -388,12 +432,12 @@ def trained_weights(n: int = 200, seed: int = 7) -> Weights:
             cut.append(len(label))
         if len(label) != len(runs):
             raise AssertionError("a labelled page's pieces don't add up to the page")
-        for r, d, good in zip(runs, described(runs), label, strict=True):
+        for r, d, good in zip(runs, described(runs, elements), label, strict=True):
             if r.text is None:
-                if INNER.isdisjoint(r.features):
+                if not (r.of >= 0 and elements[r.of].inner):
                     tags.setdefault(r.name, [0, 0])[good] += 1
             elif r.words:
-                texts.append(([*d[0], *filter(None, d[1:])], good, min(r.words, 20) ** 0.5))
+                texts.append(([*features_around(d[0], elements), *filter(None, d[1:])], good, min(r.words, 20) ** 0.5))
         at, stop = label.index(True), len(label) - label[::-1].index(True)
         begins = {0, *cut}
         inserts += [(f, not label[e.start], 1.0 if e.start in begins or label[e.start] else 0.3) for e, f in candidates(runs, elements, at, stop)]

@@ -241,7 +241,7 @@ def test_the_region_decides(monkeypatch):
     w = html_extract.trained_weights()
     pages = pd.read_parquet(f"{SF}/pages.parquet").html.tolist()
     found = [html_extract.main_text(p, w) for p in pages]
-    scored = [w.scores(html_extract.parsed(p)[0]) for p in pages]
+    scored = [w.scores(*html_extract.parsed(p)) for p in pages]
     assert all(s >= 0 for x, p in zip(scored, pages) for s, r in zip(x, html_extract.parsed(p)[0]) if r.text is not None)
     assert all(s < 0 for x, p in zip(scored, pages) for s, r in zip(x, html_extract.parsed(p)[0]) if r.text is None)
     monkeypatch.setattr(html_extract, "region", lambda scores: (0, len(scores)))
