@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 #: Unicode white space, as str.strip takes it, for Java's and RE2's classes.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TRIM = rf"^[{WS}]+|[{WS}]+$"
+#: The same characters, as a set.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 TAG = r"<[^>]+>"
 
 
 def ustrip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included (trim knows the space only)."""
-    return F.regexp_replace(c, TRIM, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def plain(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Detectors of anomalies in the text of pages. Each gives rows of one findings schema, so they can be unioned.
 
 findings(detector, book_id, page_no, n, evidence). Detectors on single pages are maps over the pages; those on neighbours
-are an equal join of what they need of a page and of the next one. all_findings reads each text once.
+are an equal join of what they need of a page and of the next one. findings_of reads each text once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import lines, paragraphs, plain, strip_math, ustrip
+from quire.operators.pages import book_pages
 from quire.shipping import ship
+from quire.storage import stored
 
 # Endings of a sentence or block, and beginnings of a new block.
 SENTENCE_END = "。！？；：…”』」》.!?;:"
@@ -75,14 +77,15 @@ def short_pages(pages: DataFrame) -> DataFrame:
 
     The median is the upper one: the middle value, or the higher of the two. It comes from counts of the book's sizes.
     """
-    return _short(pages.select("book_id", "page_no", _size(F.col("text")).alias("size")))
+    return short_of(pages.select("book_id", "page_no", page_size(F.col("text")).alias("size")))
 
 
-def _size(text: Column) -> Column:
+def page_size(text: Column) -> Column:
     return F.length(ustrip(F.coalesce(text, F.lit(""))))
 
 
-def _short(sized: DataFrame) -> DataFrame:
+def short_of(sized: DataFrame) -> DataFrame:
+    """short_pages, of pages (book_id, page_no, size)."""
     by = Window.partitionBy("book_id")
     counts = sized.groupBy("book_id", "size").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(by.orderBy("size"))).withColumn("m", F.sum("k").over(by))
     median = counts.where("upto >= m div 2 + 1 and upto - k < m div 2 + 1").select("book_id", F.col("size").alias("median"))
@@ -123,10 +126,15 @@ def neighbours(pages: DataFrame, *columns: str) -> DataFrame:
 
 def same_heads(pages: DataFrame, size: int = 80) -> DataFrame:
     """Neighbouring pages that begin with the same characters."""
-    return _same(neighbours(pages.select("book_id", "page_no", _head(F.col("text"), size).alias("head")).where("head is not null"), "head"))
+    return same_heads_of(pages.select("book_id", "page_no", page_head(F.col("text"), size).alias("head")))
 
 
-def _head(text: Column, size: int = 80) -> Column:
+def same_heads_of(pages: DataFrame) -> DataFrame:
+    """same_heads, of pages (book_id, page_no, head)."""
+    return _same(neighbours(pages.select("book_id", "page_no", "head").where("head is not null"), "head"))
+
+
+def page_head(text: Column, size: int = 80) -> Column:
     """The stripped text's beginning, null if it is shorter."""
     cut = F.left(ustrip(text), F.lit(size))
     return F.when(F.length(cut) == size, cut)
@@ -144,11 +152,15 @@ def heads(pages: DataFrame, size: int = 80) -> DataFrame:
 
 def page_breaks(pages: DataFrame) -> DataFrame:
     """Pages whose last sentence seems to go on on the next page: the end is no sentence's, the beginning no block's."""
-    ends = pages.select("book_id", "page_no", *_ends(F.col("text")))
+    return breaks_of(pages.select("book_id", "page_no", *page_ends(F.col("text"))))
+
+
+def breaks_of(ends: DataFrame) -> DataFrame:
+    """page_breaks, of pages (book_id, page_no, first, last) that were cut down to their ends."""
     return _breaks(neighbours(ends, "first"))
 
 
-def _ends(text: Column) -> list[Column]:
+def page_ends(text: Column) -> list[Column]:
     """first: a page's beginning, null if it can't go on from another page; last: its end, null if it can't go on."""
     t = ustrip(text)
     first = F.when((t != "") & ~t.rlike(BLOCK_START) & ~t.rlike(NO_BREAK_HEAD), F.left(t, F.lit(18)))
@@ -196,18 +208,30 @@ def adjacent_overlaps(pages: DataFrame, least: int = 120) -> DataFrame:
     return findings(hit, "adjacent_overlap", F.col("m.size"), F.left("m.run", F.lit(60)))
 
 
-def all_findings(pages: DataFrame) -> DataFrame:
-    """The union of the detectors. pages: book_id, page_no, doc_id, text.
+def page_features(text: Column) -> list[Column]:
+    """What all detectors need of a page, none of it as long as its text: its own findings, size, head and ends.
 
-    One map over the texts gives what single pages show, as an array, and what the detectors of neighbours and of short pages
-    need: a head, two ends and a size. Those rows are narrow, and shuffled once for the neighbours and once for the sizes.
+    Costly patterns are tried only where a page holds the characters they ask for.
     """
-    text = F.col("text")
     one = lambda name, n, evidence: F.struct(F.lit(name).alias("detector"), n.cast("long").alias("n"), evidence.alias("evidence"))
+    where = lambda test, found: F.when(test, found)
     latex = F.regexp_extract_all(strip_math(text), F.lit(BARE_LATEX), F.lit(0))
     odd = lambda x: (F.regexp_count(x, F.lit(r"\$")) % 2 == 1) & ~ustrip(x).startswith("<!--")
-    single = F.array(*[one(k, F.regexp_count(text, F.lit(p)), F.regexp_extract(text, p, 0)) for k, p in PATTERNS.items()], one("bare_latex", F.size(latex), F.get(latex, F.lit(0))), one("odd_dollar", F.size(F.filter(lines(text), odd)), F.lit("")))
-    seen = pages.select("book_id", "page_no", F.filter(single, lambda x: x["n"] > 0).alias("single"), _size(text).alias("size"), _head(text).alias("head"), *_ends(text))
-    n = neighbours(seen.drop("single", "size"), "head", "first")
+    single = F.array(
+        *[where(text.rlike(p), one(k, F.regexp_count(text, F.lit(p)), F.regexp_extract(text, p, 0))) for k, p in PATTERNS.items()],
+        where(text.contains("\\") | text.contains("{"), one("bare_latex", F.size(latex), F.get(latex, F.lit(0)))),
+        where(text.contains("$"), one("odd_dollar", F.size(F.filter(lines(text), odd)), F.lit(""))),
+    )
+    return [F.filter(single, lambda x: x["n"] > 0).alias("single"), page_size(text).alias("size"), page_head(text).alias("head"), *page_ends(text)]
+
+
+def all_findings(seen: DataFrame) -> DataFrame:
+    """The union of the detectors. seen: book_id, page_no and page_features; stored, since it is used for each kind of detector."""
+    n = neighbours(seen.select("book_id", "page_no", "head", "first", "last"), "head", "first")
     found = seen.select("book_id", "page_no", F.explode("single").alias("f")).select("f.detector", "book_id", "page_no", "f.n", "f.evidence")
-    return found.unionByName(_same(n)).unionByName(_breaks(n)).unionByName(_short(seen.select("book_id", "page_no", "size")))
+    return found.unionByName(_same(n)).unionByName(_breaks(n)).unionByName(short_of(seen.select("book_id", "page_no", "size")))
+
+
+def findings_of(docs: DataFrame) -> DataFrame:
+    """All findings of documents (source, doc_id, text) as pages of books. Each text is read once, and shuffled nowhere."""
+    return all_findings(stored(book_pages(docs, *page_features(F.col("text"))), "features"))

@@ -37,6 +37,8 @@ CONTAINS = (
     r"::\s*\*",
     r"^\s*\.[A-Za-z_]\w*\s*\(",
 )
+# What a line must hold to match.
+LITERALS = {CONTAINS[1]: "exec:", CONTAINS[2]: " created:", CONTAINS[5]: "::"}
 # Weaker signs. A single token must also be long and look technical.
 TOKEN = r"^[A-Za-z_][\w$.{}\[\]<>:/+-]*$"
 MEDIUM = (
@@ -58,13 +60,30 @@ TOC_TAIL = r"^(.*?)[\s.．]*(\d+(?:[-–]\d+)?(?:\s*,\s*\d+(?:[-–]\d+)?)*)\s*$
 
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether one of the patterns is found: one scan of the line, by their alternation."""
-    return c.rlike("|".join(f"(?:{p})" for p in patterns))
+    """Whether one of the patterns is found.
+
+    Anchored ones are one alternation behind a common anchor, so that a matcher that fails at the start stops there. The others are
+    looked for one after the other; those that ask for a literal only where it is.
+    """
+    at_start = [p.removeprefix("^") for p in patterns if p.startswith("^") and "|^" not in p]
+    found = c.rlike("^(?:" + "|".join(f"(?:{p})" for p in at_start) + ")") if at_start else F.lit(False)
+    for p in patterns:
+        if not p.startswith("^"):
+            found = found | (c.contains(LITERALS[p]) & c.rlike(p) if p in LITERALS else c.rlike(p))
+    return found
+
+
+def _factored(words: list[str]) -> str:
+    """The words as a pattern that tries only those with the right first letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
 
 
 def prose_hits(c: Column) -> Column:
     """How many of the line's words are words of running text."""
-    return F.regexp_count(F.lower(c), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(PROSE_WORDS)})(?![\p{{L}}\p{{N}}_])"))
+    return F.regexp_count(F.lower(c), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{_factored(PROSE_WORDS)})(?![\p{{L}}\p{{N}}_])"))
 
 
 def prose_score(c: Column) -> Column:
@@ -86,24 +105,25 @@ def is_definitely_code(c: Column) -> Column:
 
 
 def line_kind(line: Column) -> Column:
-    """blank, html, math, bullet, heading, code or prose."""
-    return stripped_kind(ustrip(line))
+    """blank, html, math, bullet, heading, code or prose. In a table of lines, `kinds` strips and scores each line once."""
+    s = ustrip(line)
+    return F.coalesce(_plain_kind(s), _kind_by_score(s, prose_score(s)))
 
 
-def stripped_kind(s: Column) -> Column:
-    """The kind of a stripped line. The score is taken once: what it leaves open is one more cascade, over an array of it."""
-    token = s.rlike(TOKEN) & (F.length(s) >= 8) & s.rlike(r"[_./$(]")
+def _plain_kind(s: Column) -> Column:
+    """The kind of a stripped line that needs no score, else null."""
+    heading = F.when(is_command_heading(F.regexp_extract(s, HEADING, 2)), "code").otherwise("heading")
     return (
         F.when(s == "", "blank")
         .when(s.rlike("^(<table|<div|</div)") | s.rlike(IMAGE), "html")
         .when(s.startswith("$$") | s.endswith("$$"), "math")
         .when(s.rlike(BULLET), "bullet")
-        .when(s.rlike(HEADING), F.when(is_command_heading(F.regexp_extract(s, HEADING, 2)), "code").otherwise("heading"))
-        .otherwise(F.get(F.transform(F.array(prose_score(s)), lambda score: _by_score(score, s, token)), F.lit(0)))
+        .when(s.startswith("#") & s.rlike(HEADING), heading)
     )
 
 
-def _by_score(score: Column, s: Column, token: Column) -> Column:
+def _kind_by_score(s: Column, score: Column) -> Column:
+    token = s.rlike(TOKEN) & (F.length(s) >= 8) & s.rlike(r"[_./$(]")
     weak = F.when(_any(s, CONTAINS) | token | _any(s, MEDIUM), "code").otherwise("prose")
     return F.when(score >= 2, "prose").when(_any(s, STRONG), "code").when(score >= 1, "prose").otherwise(weak)
 
@@ -115,7 +135,10 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 def kinds(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, kind)."""
-    return numbered_lines(docs).withColumn("kind", line_kind(F.col("line")))
+    s = F.col("__s")
+    rows = numbered_lines(docs).withColumn("__s", ustrip(F.col("line"))).withColumn("__kind", _plain_kind(s))
+    rows = rows.withColumn("__score", F.when(F.col("__kind").isNull(), prose_score(s)))
+    return rows.select("doc_id", "line_no", "line", F.coalesce("__kind", _kind_by_score(s, F.col("__score"))).alias("kind"))
 
 
 def blocks(kinds: DataFrame) -> DataFrame:

@@ -24,23 +24,27 @@ SENTENCE_ENDS = "。！？…；;!?：:"
 SPEC_PAGES = 100_000
 
 
-#: Ids of a range in which pages are numbered. Ids far apart make more ranges, of fewer pages.
+#: Pages of a range in which pages are numbered, if ids lie evenly; and the fewest ids of it.
 RANGE_IDS = 4096
 
 
-def book_pages(docs: DataFrame) -> DataFrame:
-    """(book_id, page_no, doc_id, text): the documents of a source, by id, as the pages of a book.
+def book_pages(docs: DataFrame, *columns: Column) -> DataFrame:
+    """(book_id, page_no, doc_id, and the columns; without columns: text): the documents of a source, by id, as the pages of a book.
 
-    Pages are ranked within ranges of ids, and a range begins where the counts of those before it end. A window thus holds
-    RANGE_IDS ids of a source at most, whatever the source's size; only counts, one row a range, meet by source.
+    Columns are computed where a document is read, so what is shuffled are they, not the texts. Pages are ranked within ranges of
+    ids, as wide as the ids are sparse; a range begins where the counts of those before it end. A window thus holds about
+    RANGE_IDS pages of a source, whatever the source's size; only counts, one row a range, meet by source.
     """
-    rows = docs.select(F.col("source").alias("book_id"), "doc_id", "text", F.floor(F.col("doc_id") / RANGE_IDS).alias("__range"))
+    bounds = docs.agg(F.min("doc_id").alias("__least"), F.greatest(F.lit(RANGE_IDS), F.ceil((F.max("doc_id") - F.min("doc_id") + 1) * RANGE_IDS / F.count("*"))).alias("__width"))
+    range_ = F.floor((F.col("doc_id") - F.col("__least")) / F.col("__width"))
+    # bounds is one row.
+    rows = docs.select(F.col("source").alias("book_id"), "doc_id", *(columns or ("text",))).crossJoin(F.broadcast(bounds)).withColumn("__range", range_).drop("__least", "__width")
     before = Window.partitionBy("book_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("book_id", "__range").agg(F.count("*").alias("n"))
     starts = sizes.select(F.col("book_id").alias("__of"), F.col("__range").alias("__at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     nth = F.row_number().over(Window.partitionBy("book_id", "__range").orderBy("doc_id"))
     placed = rows.withColumn("__nth", nth).join(starts, F.col("book_id").eqNullSafe(F.col("__of")) & F.col("__range").eqNullSafe(F.col("__at")))
-    return placed.select("book_id", (F.col("__start") + F.col("__nth")).cast("int").alias("page_no"), "doc_id", "text")
+    return placed.withColumn("page_no", (F.col("__start") + F.col("__nth")).cast("int")).select("book_id", "page_no", *[c for c in rows.columns if c not in ("book_id", "__range")])
 
 
 def books(pages: DataFrame) -> DataFrame:
@@ -163,7 +167,12 @@ def reconciled(chunks: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def page_chars(entries: DataFrame) -> DataFrame:
     """(book_id, page_no, chars): stripped lengths summed over a page's entries; entries: book_id, page_no, text."""
-    return entries.groupBy("book_id", "page_no").agg(F.sum(F.coalesce(F.length(ustrip(F.col("text"))), F.lit(0))).alias("chars"))
+    return page_chars_of(entries.select("book_id", "page_no", text_chars(F.col("text")).alias("chars")))
+
+
+def page_chars_of(entries: DataFrame) -> DataFrame:
+    """page_chars, of entries (book_id, page_no, chars)."""
+    return entries.groupBy("book_id", "page_no").agg(F.sum("chars").alias("chars"))
 
 
 def context_pages(low: DataFrame, counts: DataFrame, around: int = 1) -> DataFrame:
@@ -194,15 +203,22 @@ def page_spec(spec: Column) -> Column:
 def text_layer(pages: DataFrame, sample: int = 12) -> DataFrame:
     """(book_id, sampled_pages, chars_per_page, has_text_layer) from at most sample pages, the middle and the last.
 
-    The sample is a feature: it decides from a few pages whether a book is scanned.
+    The sample is a feature: it decides from a few pages whether a book is scanned. pages: book_id, page_no, chars (of the
+    stripped text). Counts of the books, one row each, are joined back; pages aren't shuffled by book.
     """
-    p = pages.withColumn("n", F.count("*").over(Window.partitionBy("book_id"))).withColumn("i", F.col("page_no") - 1)
+    counts = pages.groupBy("book_id").agg(F.count("*").alias("n")).withColumnRenamed("book_id", "__book")
+    p = pages.join(counts, F.col("book_id").eqNullSafe(F.col("__book"))).withColumn("i", F.col("page_no") - 1)
     step = F.greatest(F.lit(1), F.floor(F.col("n") / sample)).cast("int")
     taken = (F.col("n") <= sample) | ((F.col("i") % step == 0) & (F.col("i") < sample * step)) | (F.col("i") == F.floor(F.col("n") / 2)) | (F.col("i") == F.col("n") - 1)
-    got = p.where(taken).groupBy("book_id").agg(F.count("*").alias("sampled_pages"), F.sum(F.coalesce(F.length(ustrip(F.col("text"))), F.lit(0))).alias("chars"))
+    got = p.where(taken).groupBy("book_id").agg(F.count("*").alias("sampled_pages"), F.sum("chars").alias("chars"))
     return got.select("book_id", "sampled_pages", F.round(F.col("chars") / F.col("sampled_pages"), 6).alias("chars_per_page"), (F.col("chars") >= TEXT_LAYER_CHARS * F.col("sampled_pages")).alias("has_text_layer"))
 
 
+def text_chars(text: Column) -> Column:
+    """The length of a page's stripped text, 0 if it has none."""
+    return F.coalesce(F.length(ustrip(text)), F.lit(0))
+
+
 def well_formed_seams(audits: DataFrame) -> DataFrame:
     """(book_id, idx, left_page, right_page) of the seams in audits (book_id, value), JSON; entries that are no objects, and
     audits without seams, give no rows."""

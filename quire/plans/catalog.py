@@ -6,16 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import detect
 from quire.plans import box_queries, line_queries, page_queries, record_queries
-from quire.plans.common import pages
 
 MODULES = (page_queries, line_queries, box_queries, record_queries)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: all detectors over all pages."""
-    return detect.all_findings(pages(spark, sf_dir))
+    return page_queries.QUERIES["findings"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from quire.functions.text import TAG, TRIM, WS
 from quire.operators import pages as P
+from quire.storage import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +17,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source's documents as the pages of a book."""
-    return P.book_pages(table(spark, sf_dir, "documents"))
+def spread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docs for queries that work long on each text, over all cores."""
+    return spread(docs(spark, sf_dir))
+
+
+def pages(spark: SparkSession, sf_dir: str, *columns: Column) -> DataFrame:
+    """A source's documents as the pages of a book, with their texts, or with columns made of these."""
+    found = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return P.book_pages(spread(found) if columns else found, *columns)
 
 
 #: The same relations in SQL.

@@ -13,11 +13,11 @@ from quire.operators import package as K
 from quire.operators import state as S
 from quire.operators import translate as R
 from quire.functions.text import needs_translation, squashed
-from quire.plans.common import BK, BP, any_sql, docs, pages, quoted, squashed_sql, table, us
+from quire.plans.common import BK, BP, any_sql, docs, pages, quoted, spread_docs, squashed_sql, table, us
 
 
 def kinds(s, d):
-    return L.kinds(docs(s, d))
+    return L.kinds(spread_docs(s, d))
 
 
 def cache(s, d):

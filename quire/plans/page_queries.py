@@ -8,6 +8,7 @@ from quire.functions import text as X
 from quire.operators import detect as D
 from quire.operators import pages as P
 from quire.plans.common import BK, BP, CP, docs, pages, plain_sql, quoted, strip_math_sql, table, us
+from quire.storage import spread, stored
 
 #: Keyword patterns that are looked for; configuration.
 KEYWORDS = ["license", "idiot", r"20\d\d", "[Pp]assword"]
@@ -44,7 +45,7 @@ def parsed(s, d):
 
 
 def page_chars_of_books(s, d):
-    return P.page_chars(pages(s, d).select("book_id", "page_no", "text"))
+    return P.page_chars_of(pages(s, d, P.text_chars(F.col("text")).alias("chars")))
 
 
 def overlapping(s, d):
@@ -60,7 +61,7 @@ def with_latex(s, d):
 
 
 QUERIES = {
-    "text_layer": lambda s, d: P.text_layer(pages(s, d)),
+    "text_layer": lambda s, d: P.text_layer(pages(s, d, P.text_chars(F.col("text")).alias("chars"))),
     "chunk_plan": plan,
     "chunk_name": lambda s, d: plan(s, d).select("book_id", "chunk_id", P.chunk_name(F.col("book_id")).alias("file")),
     "coverage": lambda s, d: P.coverage_problems(broken_plan(s, d), P.books(pages(s, d))),
@@ -72,19 +73,19 @@ QUERIES = {
     "context_pages": lambda s, d: P.context_pages(low_pages(s, d), P.books(pages(s, d))),
     "uncovered_pages": lambda s, d: P.uncovered_pages(P.books(pages(s, d)), plan(s, d).where("chunk_id <> 'c002'").select("book_id", (F.col("page_start") + 1).alias("page_start"), (F.col("page_end") + 1).alias("page_end"))),
     "page_spec": lambda s, d: specs(s, d).select("doc_id", F.explode(P.page_spec(F.col("spec"))).alias("page")),
-    "repeated_paragraphs": lambda s, d: D.repeated_paragraphs(pages(s, d)),
-    "repeated_lines": lambda s, d: D.repeated_lines(pages(s, d)),
+    "repeated_paragraphs": lambda s, d: D.repeated_paragraphs(docs(s, d)),
+    "repeated_lines": lambda s, d: D.repeated_lines(docs(s, d)),
     "odd_dollar": lambda s, d: D.odd_dollars(docs(s, d)),
-    "short_pages": lambda s, d: D.short_pages(pages(s, d)),
-    "adjacent_same_head": lambda s, d: D.same_heads(pages(s, d)),
+    "short_pages": lambda s, d: D.short_of(pages(s, d, D.page_size(F.col("text")).alias("size"))),
+    "adjacent_same_head": lambda s, d: D.same_heads_of(stored(pages(s, d, D.page_head(F.col("text")).alias("head")), "heads")),
     "shared_heads": lambda s, d: D.heads(docs(s, d)),
-    "page_break_candidates": lambda s, d: D.page_breaks(pages(s, d)),
+    "page_break_candidates": lambda s, d: D.breaks_of(stored(pages(s, d, *D.page_ends(F.col("text"))), "ends")),
     "adjacent_overlap": lambda s, d: D.adjacent_overlaps(overlapping(s, d)),
     "keyword_hits": lambda s, d: D.keyword_hits(pages(s, d), KEYWORDS),
     "pattern_findings": lambda s, d: D.pattern_counts(table(s, d, "pages").select(F.col("url").alias("book_id"), F.col("page_id").alias("page_no"), F.col("html").alias("text"))),
     "bare_latex": lambda s, d: D.bare_latex(with_latex(s, d)),
     "page_stamps": lambda s, d: docs(s, d).select("doc_id", F.explode(D.page_stamps(F.concat("text", F.lit("表面另"), F.col("doc_id") % 1000, F.lit("一行")))).alias("stamp")),
-    "findings": lambda s, d: D.all_findings(pages(s, d)),
+    "findings": lambda s, d: D.findings_of(spread(table(s, d, "documents").select("source", "doc_id", "text"))),
     "strip_math": lambda s, d: docs(s, d).select("doc_id", F.sha2(X.strip_math(F.col("text")), 256).alias("digest"), F.length(X.strip_math(F.col("text"))).alias("n")),
     "blocks": lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("i", "block")).select("doc_id", "i", F.sha2("block", 256).alias("digest")),
     "excerpt": lambda s, d: docs(s, d).select("doc_id", X.excerpt(F.col("text"), F.substring("text", 301, 40), 200).alias("excerpt")),

@@ -61,7 +61,7 @@ def stages(s, d):
 
 
 def seam_pages(s, d):
-    chars = P.page_chars(pages(s, d).select("book_id", "page_no", "text"))
+    chars = P.page_chars_of(pages(s, d, P.text_chars(F.col("text")).alias("chars")))
     return P.seams(plan(s, d), chars).select("book_id", "left_page", "right_page")
 
 

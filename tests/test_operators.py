@@ -238,6 +238,30 @@ def test_pages_of_a_hot_book_are_numbered_across_ranges(spark, monkeypatch):
         assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [i for _, i in mine] == sorted(i for _, i in mine)
 
 
+def test_findings_read_each_text_once_and_shuffle_none(spark):
+    """The features come from one scan with the text; behind it, exchanges see features only."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "doc_id", "text")
+    plan = pages.book_pages(docs_, *detect.page_features(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("ReadSchema: ")[1:]]
+    assert sum("text:string" in x.split("\n")[0] for x in scans) == 1
+    assert not any("text#" in x for x in plan.split("\n") if "Exchange" in x or "Sort [" in x)
+    found = detect.findings_of(docs_)
+    assert "text:string" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
+
+
+def test_pages_with_sparse_ids_are_numbered_in_few_ranges(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RANGE_IDS", 10)
+    data = [(i * 1_000_003, f"t{i}", "one") for i in range(200)]
+    got = pages.book_pages(rows(spark, data, "doc_id long, text string, source string"), F.length("text").alias("n"))
+    assert got.columns == ["book_id", "page_no", "doc_id", "n"] and [r.page_no for r in got.orderBy("doc_id").collect()] == list(range(1, 201))
+    assert pages.book_pages(rows(spark, data, "doc_id long, text string, source string").limit(0)).count() == 0
+
+
+def test_trimming_is_pythons(spark):
+    for t in ("\u3000 a b\t\n", "\x1f\x85x\u2028", "", " \n ", "é\u00a0", "a"):
+        assert one(spark, t, X.ustrip) == t.strip()
+
+
 def test_resume_and_isolation(spark):
     s = rows(spark, [("r", "a", 0, "DONE"), ("r", "b", 1, "FAILED"), ("r", "c", 2, "DONE"), ("q", "a", 0, "DONE")], "run_id string, stage string, ord int, status string")
     assert [r.stage for r in state.to_run(s).orderBy("ord").collect()] == ["b", "c"] and [r.stage for r in state.to_run(s, 1).collect()] == ["b"]
