@@ -1,21 +1,24 @@
 """Main text of HTML pages as the maximum-scoring subsequence of their tokens.
 
+The labelled pages that the weights come from are made by this module (labelled_pages), since the tables have no labels for pages.
+
 A page is a sequence of words and tags. A word scores above 0, at most 1: nearly 1 in running text, hardly anything in
 menus, adverts, comments and the like. What decides is where it stands: the elements around it, the words of their class
 names, how long its block is and how much of it is linked, and whether it stands outside the page's article element. A tag
 scores below 0, and farther below if it stands outside the article element and is one that articles hardly have. One linear scan finds the contiguous run of tokens
 with the greatest sum: the content region. All that lies outside goes: what stands before, after and around the article.
 
-What is put into an article, such as an advert between two paragraphs, lies inside the region. Elements that may be such an
+What is put into an article, such as an advert between two paragraphs or readers' comments at its end, lies inside the region. Elements that may be such an
 insert (INSERTS, or any with a class name) are judged as a whole, by their names, their share of the region's words, the share
-of linked words and whether siblings have the same names; headers and footers are not among them: the region alone decides.
+of linked words, their place in the region, and whether their children are paragraphs or boxes that are alike; headers and footers are not among them: the region alone decides.
 
 All weights come from labelled pages, by logistic regression. The labelled pages are made by labelled_pages: layouts with
 the usual parts, in which the article is known. Half of their parts have names that mean nothing, so that the model learns
 from structure too. The trained weights are a small table, which goes to the executors with the function.
 
 A null or empty html, and one without words, gives an empty text. Broken markup is read leniently: unknown and
-unclosed tags, comments and scripts that never end, bare ``<``; ``/>`` ends an element at once (not a script or the like). Very long pages are read whole in one pass. Repeated
+unclosed tags, comments and scripts that never end, bare ``<``; ``/>`` ends an element at once (not a script or the like). Very long pages are read whole in one pass, with time and memory in proportion to
+their length, however deep they are nested. Repeated
 rows get the same text; an empty table gives an empty result; further columns are carried along, and a column that has the
 name of the result is replaced.
 """
@@ -26,6 +29,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -58,6 +62,13 @@ INNER = frozenset(("article", "main"))
 PLAIN = frozenset(("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "blockquote", "pre", "figcaption", "caption"))
 #: The score of a tag that articles have.
 LEAST = -0.02
+#: Examples that a feature must have to be learned.
+LEAST_EXAMPLES = 12
+LISTS = frozenset(("ul", "ol", "dl", "menu"))
+#: Children by which lists, tables and figures are told from boxes.
+ITEMS = frozenset(("tr", "td", "tbody", "thead", "dt", "dd", "img", "figcaption"))
+#: Ridge penalty of the weights that judge inserts.
+INSERT_PENALTY = 1e-3
 #: Elements that may be an insert in an article also without a class name.
 INSERTS = frozenset(("aside", "nav", "form", "iframe", "dialog", "menu", "ul", "ol", "div", "section", "fieldset"))
 
@@ -208,9 +219,21 @@ def parsed(page: str) -> tuple[list[Run], list[Element]]:
             inside += name in INNER
         runs.append(Run(top(), name, None, 0, name in BLOCKS))
     open_.close(0, elements, len(runs))
+    _only_large_ones_are_inner(runs, elements)
     return runs, elements
 
 
+def _only_large_ones_are_inner(runs: list[Run], elements: list[Element]) -> None:
+    """An article element with less than a third of the page's words is no article, but a comment or a teaser."""
+    words = [0]
+    for r in runs:
+        words.append(words[-1] + r.words)
+    for e in elements:
+        if e.inner:
+            above = elements[e.parent].inner if e.parent >= 0 else False
+            e.inner = above or e.name in INNER and 3 * (words[e.stop] - words[e.start]) >= words[-1]
+
+
 def features_around(of: int, elements: list[Element]) -> list[str]:
     """The names of an element and of all around it, each once."""
     found: list[str] = []
@@ -228,12 +251,13 @@ def _linked(linked: int, words: int) -> str:
     return "#links0" if not linked else "#links1" if 2 * linked < words else "#links2"
 
 
-def described(runs: list[Run], elements: list[Element]) -> list[tuple[int, str, str, str] | None]:
+def described(runs: list[Run], elements: list[Element]) -> list[tuple[int, str, str, str, str] | None]:
     """What each text is scored by: the element around it, and the features of its block and of its place; None for tags.
 
-    A block is what stands between two tags of blocks.
+    A block is what stands between two tags of blocks. #above: before the page's first main heading.
     """
     whole = any(e.inner for e in elements)
+    above = any(e.name == "h1" for e in elements)
     out: list = [None] * len(runs)
     open_: list[int] = []
 
@@ -243,7 +267,7 @@ def described(runs: list[Run], elements: list[Element]) -> list[tuple[int, str,
             of = runs[i].of
             e = elements[of] if of >= 0 else None
             place = "#inside" if e and e.inner else "#outside" if whole else "" if e and e.plain else "#bare"
-            out[i] = (of, _sized(words), _linked(linked, words), place)
+            out[i] = (of, _sized(words), _linked(linked, words), place, "#above" if above else "")
         open_.clear()
 
     for i, r in enumerate(runs):
@@ -251,15 +275,26 @@ def described(runs: list[Run], elements: list[Element]) -> list[tuple[int, str,
             open_.append(i)
         elif r.block:
             finish()
+            above = above and r.name != "h1"
     finish()
     return out
 
 
-def insert_features(runs: list[Run], element: Element, elements: list[Element], words: list[int], linked: list[int], total: int, twins: int) -> list[str]:
-    """What an element inside the region is judged by. words and linked: how many stand before each run."""
+def insert_features(element: Element, words: list[int], linked: list[int], total: int, total_end: int, twins: int) -> list[str]:
+    """What an element inside the region is judged by: its names, share of words and of links, place and children.
+
+    words and linked: how many stand before each run; total_end: how many stand before the region's end.
+    """
     w, k = words[element.stop] - words[element.start], linked[element.stop] - linked[element.start]
     kind = "#named" if any(x[0] == "." for x in element.names) else "#plain"
-    return [*element.names, f"{element.name}{kind}", _sized(w), _linked(k, w), f"{element.name}{_linked(k, w)}", "#most" if 3 * w >= total else "#part", "#twins" if twins > 2 else "#single"]
+    rest = max(0, total_end - words[element.stop])
+    most = max(element.kids.values(), default=0)
+    # Readers' comments are boxes that are alike; what an article puts into boxes of its own has paragraphs.
+    place = "#tail" if 20 * rest <= total else "#middle"
+    shape = "#paragraphs" if element.kids.get("p", 0) > 1 else "#boxes" if most > 1 and not element.kids.get("p") and element.name not in LISTS and not ITEMS.intersection(element.kids) else "#items" if most > 1 else "#one"
+    headed = "#headed" if any(element.kids.get(h) for h in ("h1", "h2", "h3", "h4")) else "#bare"
+    shape = [place, shape, place + shape, f"{shape}{min(most, 8).bit_length()}", shape + headed, shape + _linked(k, w), shape + kind]
+    return [*element.names, *filter(None, shape), f"{element.name}{kind}", _sized(w), _linked(k, w), f"{element.name}{_linked(k, w)}", "#most" if 3 * w >= total else "#part", "#twins" if twins > 2 else "#single"]
 
 
 class Weights:
@@ -305,7 +340,10 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 
 def candidates(runs: list[Run], elements: list[Element], at: int, stop: int) -> list[tuple[Element, list[str]]]:
-    """The elements with words that lie in the region and may be inserts, outer ones first, with their features."""
+    """The elements with words that begin in the region and may be inserts, outer ones first, with their features.
+
+    The region ends with a word, so the end tags of what it ends with lie behind it.
+    """
     words, linked = [0], [0]
     for r in runs:
         words.append(words[-1] + r.words)
@@ -315,7 +353,7 @@ def candidates(runs: list[Run], elements: list[Element], at: int, stop: int) ->
     for e in elements:
         twins[e.parent, e.names] = twins.get((e.parent, e.names), 0) + 1
     may = lambda e: e.name in INSERTS or any(x[0] == "." for x in e.names) and e.name not in INNER
-    return [(e, insert_features(runs, e, elements, words, linked, total, twins[e.parent, e.names])) for e in elements if at <= e.start and e.stop <= stop and words[e.stop] > words[e.start] and may(e)]
+    return [(e, insert_features(e, words, linked, total, words[stop], twins[e.parent, e.names])) for e in elements if at <= e.start < stop and words[e.stop] > words[e.start] and may(e)]
 
 
 def main_text(page: str | None, weights: Weights) -> str:
@@ -352,7 +390,7 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[list[tuple[str, bool]]]:
     linked = lambda k: "".join(f'<li><a href="/{i}">{some(1, 3)}</a></li>' for i in range(k))
 
     def named(*names: str) -> str:
-        name = rng.choice(names) if rng.random() < 0.5 else "-".join("".join(rng.choices(SYLLABLES, k=2)) for _ in range(rng.randint(1, 2)))
+        name = rng.choice(names) if rng.random() < 0.5 else "-".join("".join(rng.choices(SYLLABLES, k=4)) for _ in range(rng.randint(1, 2)))
         return f'{rng.choice(("class", "class", "id"))}="{name}"'
 
     of = lambda tags, names, inner: f"<{(e := rng.choice(tags))} {named(*names)}>{inner}</{e}>"
@@ -361,8 +399,14 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[list[tuple[str, bool]]]:
     aside = lambda: rng.choice((f"<aside><h3>{some(1, 3)}</h3><p>{some(5, 40)}</p></aside>", of(("div", "aside"), ("sidebar", "widget", "related", "recommended"), f"<h3>{some(1, 4)}</h3><p>{some(4, 40)}</p>")))
     notice = lambda: of(("div",), ("cookie-notice", "notice", "consent", "newsletter", "popup", "alert"), f"<p>{some(5, 40)}</p>")
     form = lambda: f'<form action="/s"><p>{some(2, 20)}</p><label>{some(1, 4)}</label><input name="q"></form>'
-    remark = lambda: of(("div", "li"), ("comment", "reply"), f"<p>{some(3, 60)}</p>")
-    comments = lambda: of(("section", "div"), ("comments", "replies", "discussion"), f"<h2>{some(1, 3)}</h2>" * rng.randint(0, 1) + "".join(remark() for _ in range(rng.randint(1, 6))))
+    by = lambda: rng.choice(("", f"<b>{some(1, 2)}</b>", f"<span>{some(1, 2)}</span> <time>{some(1, 2)}</time>", f"<header>{some(1, 3)}</header>", f"<a href='/u'>{some(1, 2)}</a>"))
+
+    def remarks(k: int) -> str:
+        """Readers' comments of a page look alike."""
+        e, name, head = rng.choice(("div", "li", "article")), rng.choice(("", f" {named('comment', 'reply')}")), by()
+        return "".join(f"<{e}{name}>{re.sub('>[^<]+<', f'>{some(1, 2)}<', head)}<p>{some(3, 60)}</p></{e}>" for _ in range(k))
+
+    comments = lambda: of(("section", "div"), ("comments", "replies", "discussion"), f"<h2>{some(1, 3)}</h2>" * rng.randint(0, 1) + remarks(rng.randint(1, 9)))
     header = lambda: rng.choice((f"<header><h1>{some(1, 4)}</h1><p>{some(2, 8)}</p></header>", of(("div",), ("header", "masthead"), some(2, 12))))
     footer = lambda: rng.choice((f"<footer>&copy; {some(2, 25)}</footer>", f"<footer>&copy; {some(2, 12)}<p>{some(2, 20)}</p></footer>", of(("div",), ("footer", "copyright"), some(2, 25))))
     before, after, within = (menu, header, advert, notice, form, aside), (aside, form, comments, comments, advert, menu, footer), (advert, advert, aside, form, notice, menu)
@@ -379,6 +423,10 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[list[tuple[str, bool]]]:
         lambda: f"<pre>{some(3, 20)}</pre>",
         lambda: f"<figure><img src=x><figcaption>{some(2, 12)}</figcaption></figure>",
         lambda: f"<p {named('lead', 'intro')}>{some(4, 40)}</p>",
+        lambda: f"<section><h2>{some(1, 5)}</h2>{''.join(f'<p>{some(6, 60)}</p>' for _ in range(rng.randint(1, 4)))}</section>",
+        lambda: of(("div", "section"), ("block", "row", "chapter", "part"), "".join(f"<p>{some(6, 60)}</p>" for _ in range(rng.randint(2, 5)))),
+        lambda: f"<table><tbody>{''.join('<tr>' + ''.join(f'<td>{some(1, 3)}</td>' for _ in range(6)) + '</tr>' for _ in range(rng.randint(2, 6)))}</tbody></table>",
+        lambda: f"<figure {named('figure', 'image', 'photo')}><img src=x><figcaption>{some(2, 12)} <span {named('credit', 'source')}>{some(1, 4)}</span></figcaption></figure>",
     )
     pages = []
     for k in range(n):
@@ -394,6 +442,7 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[list[tuple[str, bool]]]:
             if i and rng.random() < 0.12:
                 pieces.append((rng.choice(within)(), False))
         pieces.append((body[1](), True))
+        pieces += [(rng.choice((comments, comments, aside, menu))(), False)] * (rng.random() < 0.45)
         pieces += [(f"</{w.split()[0]}>", False) for w in reversed(wraps)]
         pieces += [(rng.choice(after)(), False) for _ in range(rng.randint(0, 3))] + [(footer(), False)] * rng.randint(0, 1)
         pages.append([*pieces, ("</body></html>", False)])
@@ -401,11 +450,15 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[list[tuple[str, bool]]]:
 
 
 def _regression(examples: list[tuple[list[str], bool, float]], penalty: float, steps: int = 400) -> dict[str, float]:
-    """Weights of a logistic regression over present features, "" the bias. examples: features, label, weight."""
-    seen = {f: i for i, f in enumerate(sorted({f for fs, _, _ in examples for f in fs} | {""}))}
+    """Weights of a logistic regression over present features, "" the bias. examples: features, label, weight.
+
+    Features of fewer than LEAST_EXAMPLES examples, such as names that are one page's, aren't learned.
+    """
+    counts = Counter(f for fs, _, _ in examples for f in set(fs))
+    seen = {f: i for i, f in enumerate(sorted({f for f, n in counts.items() if n >= LEAST_EXAMPLES} | {""}))}
     x = np.zeros((len(examples), len(seen)))
     for row, (fs, _, _) in zip(x, examples, strict=True):
-        row[[seen[f] for f in fs] + [seen[""]]] = 1
+        row[[seen[f] for f in fs if f in seen] + [seen[""]]] = 1
     y, weight = np.array([e[1] for e in examples], float), np.array([e[2] for e in examples])
     weight = weight / weight.sum()
     w, g2 = np.zeros(len(seen)), np.full(len(seen), 1e-8)
@@ -417,12 +470,13 @@ def _regression(examples: list[tuple[list[str], bool, float]], penalty: float, s
 
 
 @cache
-def trained_weights(n: int = 200, seed: int = 7) -> Weights:
+def trained_weights(n: int = 400, seed: int = 7) -> Weights:
     """Weights from labelled pages. A text's label is that of the piece it stands in; an element is an insert if it begins a
     piece that is not the article's, between two that are. A tag costs the more, the less often it stands in articles."""
     texts: list[tuple[list[str], bool, float]] = []
     inserts: list[tuple[list[str], bool, float]] = []
     tags: dict[str, list[int]] = {}
+    known = []
     for pieces in labelled_pages(n, seed):
         label, cut = [], []
         runs, elements = parsed("".join(p for p, _ in pieces))
@@ -438,13 +492,19 @@ def trained_weights(n: int = 200, seed: int = 7) -> Weights:
                     tags.setdefault(r.name, [0, 0])[good] += 1
             elif r.words:
                 texts.append(([*features_around(d[0], elements), *filter(None, d[1:])], good, min(r.words, 20) ** 0.5))
-        at, stop = label.index(True), len(label) - label[::-1].index(True)
+        known.append((runs, elements, label, cut))
+    cost = {name: LEAST - 0.25 * max(0.0, math.log((bad + 1) / (good + 1))) for name, (bad, good) in tags.items()} | {"": -0.05}
+    word = _regression(texts, 3e-4)
+    for runs, elements, label, cut in known:
+        # Inserts are learned in the regions that the words and tags give.
+        first, last = label.index(True), len(label) - label[::-1].index(True)
+        at, stop = region(Weights(word, cost, {}).scores(runs, elements))
+        at, stop = min(at, first), max(stop, last)
         begins = {0, *cut}
         inserts += [(f, not label[e.start], 1.0 if e.start in begins or label[e.start] else 0.3) for e, f in candidates(runs, elements, at, stop)]
-        outer = [e for e in elements if e.start < at and e.stop >= stop and e.name not in ("html", "body", *INNER)]
-        inserts += [([*e.names, f"{e.name}{'#named' if len(e.names) > 1 else '#plain'}", "#words7", "#links0", f"{e.name}#links0", "#most", "#single"], False, 1.0) for e in outer]
-    cost = {name: LEAST - 0.25 * max(0.0, math.log((bad + 1) / (good + 1))) for name, (bad, good) in tags.items()}
-    return Weights(_regression(texts, 3e-4), cost | {"": -0.05}, _regression(inserts, 1e-3))
+        outer = [e for e in elements if e.start < first and e.stop >= last and e.name not in ("html", "body", *INNER)]
+        inserts += [([*e.names, f"{e.name}{'#named' if len(e.names) > 1 else '#plain'}", "#words7", "#links0", f"{e.name}#links0", "#most", "#single", "#tail"], False, 1.0) for e in outer]
+    return Weights(word, cost, _regression(inserts, INSERT_PENALTY))
 
 
 def extracted(pages: DataFrame, weights: Weights | None = None, html_col: str = "html", text_col: str = "text") -> DataFrame:
