@@ -125,11 +125,46 @@ def test_near_groups_of_two_thousand_texts_that_share_a_passage(spark):
     assert len({c for _, c in want.values()}) > 1900
 
 
-def test_near_links_of_blocks_equal_those_of_whole_cells(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 600)
-    texts = near_texts()
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, 2).collect()} == brute_components(texts, 2, 80)
+def sets_of(spark, sets):
+    nodes = spark.createDataFrame([(k, c, len(s)) for k, (c, s) in enumerate(sets)], "node long, component long, n long")
+    return nodes, spark.createDataFrame([(k, sorted(s)) for k, (_, s) in enumerate(sets)], "node long, set array<long>")
+
+
+def test_the_prefix_filter_leaves_all_pairs_of_the_similarity(spark):
+    """Random sets of common and rare shingles, in components of any size, against all pairs."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(300):
+        base = set(rng.choice(40, int(rng.integers(1, 30)), replace=False).tolist())
+        sets.append((int(rng.integers(0, 250)), base | set((1000 + rng.integers(0, 2000, int(rng.integers(0, 4)))).tolist())))
+        sets.append((int(rng.integers(0, 250)), {*base, int(rng.integers(5000, 5010))}))
+    nodes, full = sets_of(spark, sets)
+    close = near_dedup.prefix_pairs(nodes, full, 80)
+    got = {frozenset((r.a, r.b)) for r in near_dedup.confirmed_by(close, full, 80).collect()}
+    want = {frozenset((i, j)) for i, (c, x) in enumerate(sets) for j, (d, y) in enumerate(sets[:i]) if c != d and 100 * len(x & y) >= 80 * len(x | y)}
+    assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("own", [35, 24])
+def test_documents_that_share_a_passage_are_not_compared(spark, own):
+    """5,000 sets with 165 common shingles and 35, or 24, of their own: pairs at a similarity of 0.70, or 0.77. No pair of sets is compared."""
+    rng = np.random.default_rng(3)
+    passage = set(range(165))
+    sets = [(k, passage | set((1000 * (k + 1) + np.arange(own)).tolist())) for k in range(5000)]
+    for k in range(20):  # two that are linked, among them
+        sets[int(rng.integers(100, 5000))] = (10_000 + k, (sets[k][1] - {0}) | {-k - 1})
+    nodes, full = sets_of(spark, sets)
+    close = near_dedup.prefix_pairs(nodes, full, 80).cache()
+    assert 15 <= close.count() <= 400
+    assert near_dedup.confirmed_by(close, full, 80).count() >= 15
+
+
+def test_components_of_a_shingle_meet_the_largest_one_only_from_outside(spark):
+    """400 near copies of one component and three of others that are linked with it: pairs grow with the copies, not with their square."""
+    base = set(range(100))
+    sets = [(1, (base - {k % 100}) | {1000 + k}) for k in range(400)] + [(2 + k, (base - {k}) | {5000 + k}) for k in range(3)]
+    nodes, full = sets_of(spark, sets)
+    assert 3 <= near_dedup.prefix_pairs(nodes, full, 80).count() <= 3 * 403
 
 
 def test_near_duplicates_of_repeated_ids(spark):
