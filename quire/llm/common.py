@@ -45,6 +45,22 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The tables that stored has written, in order.
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables stored has written so far: a mark for forget."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, first: int, last: int) -> None:
+    """Deletes the tables written between two marks. For tables that no later plan reads."""
+    for path in _written[first:last]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again.
 
@@ -54,6 +70,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -133,10 +133,12 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Network | None:
     """A network fitted to windows of at most sample documents of docs; None if none has a language and a letter."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = hash_sample(usable, F.struct(F.col("id"), F.length("text")), sample)
     start = lambda i: (F.pmod(F.xxhash64("id", F.lit(i)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1).cast("int")
     crops = F.array_distinct(F.array(*[F.substring(F.col("text"), start(i), F.lit(WINDOW)) for i in range(CROPS)]))
-    got = chosen.select("lang", F.explode(crops).alias("crop")).where(F.col("crop").rlike(r"\p{L}")).toPandas().sort_values(["lang", "crop"])
+    # Texts are cut before the sample is drawn: no task holds whole texts of many documents.
+    cut = usable.select(F.struct("id", F.length("text").alias("length")).alias("key"), "lang", crops.alias("crops"))
+    chosen = hash_sample(cut, F.col("key"), sample)
+    got = chosen.select("lang", F.explode("crops").alias("crop")).where(F.col("crop").rlike(r"\p{L}")).toPandas().sort_values(["lang", "crop"])
     return train(got["crop"].tolist(), got["lang"].tolist()) if len(got) else None
 
 

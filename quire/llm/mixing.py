@@ -9,8 +9,8 @@ block, with a hash as the coin), so quotas are kept exactly. A shard draws the n
 blocks that the tree leaves it, disjoint from all other shards' runs; a document's copies are those that its block has in
 the shards' runs, and each shard orders its documents by another hash.
 
-The tree sees only quotas: sources x shards numbers, in one row for a node of the tree; more than SOURCES sources are an
-error. Documents are read where they are, joined only with the table of sources and with the chosen documents of the last
+The tree sees only quotas: a row for each node and group of GROUP sources. With more sources the groups are split first, by the same
+tree, and then each group's sources with the group's quotas as given, to any number of sources. Documents are read where they are, joined only with the table of sources and with the chosen documents of the last
 blocks, and shuffled once, into their shards. The last block of a large source is cut once more, into parts by further bits
 of the hash, so that single documents are chosen from some hundreds of them at any size of the source.
 
@@ -31,8 +31,8 @@ from quire.llm.common import WORD, stored, table
 #: Documents that a block holds on average, as long as a source has at most BLOCKS blocks; else those of a part of its last block.
 BLOCK_DOCS = 256
 BLOCKS = 4096
-#: Sources, at most.
-SOURCES = 100_000
+#: Sources that one row of the tree holds.
+GROUP = 256
 #: No source is taken more often than this.
 MOST = 3
 #: Weights by the sources' order, repeating.
@@ -76,16 +76,16 @@ def _coin(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(2**30)) / F.lit(float(2**30))
 
 
-def _left_quotas(quotas: Column, node: Column, seed: int) -> Column:
-    """What the left child gets of each source's quota: half of the node's blocks, drawn without replacement."""
+def _left_quotas(quotas: Column, room: Column, key: Column, node: Column, seed: int) -> Column:
+    """What the left child gets of each source's quota: room of the node's blocks, drawn without replacement."""
     total = F.aggregate(quotas, F.lit(0).cast("long"), lambda acc, q: acc + q)
-    start = F.struct(total.alias("all"), F.floor(total / 2).alias("room"), F.array().cast("array<bigint>").alias("got"), F.lit(0).alias("no"))
+    start = F.struct(total.alias("all"), room.cast("long").alias("room"), F.array().cast("array<bigint>").alias("got"), F.lit(0).alias("no"))
 
     def source(acc: Column, quota: Column) -> Column:
         urn = F.struct(acc["all"].alias("all"), acc["room"].alias("room"))
 
         def block(u: Column, i: Column) -> Column:
-            hit = _coin(F.lit(seed), node, acc["no"], i) * u["all"] < u["room"]
+            hit = _coin(F.lit(seed), key, node, acc["no"], i) * u["all"] < u["room"]
             return F.struct((u["all"] - 1).alias("all"), (u["room"] - hit.cast("long")).alias("room"))
 
         drawn = F.aggregate(F.when(quota > 0, F.sequence(F.lit(1).cast("long"), quota)).otherwise(F.array().cast("array<bigint>")), urn, block)
@@ -95,18 +95,43 @@ def _left_quotas(quotas: Column, node: Column, seed: int) -> Column:
     return F.aggregate(quotas, start, source)["got"]
 
 
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, q: acc + q)
+
+
+def _even(total: Column, depth: int) -> Column:
+    """What the leaves of a tree hold if each node gives half, rounded down, to its left child."""
+    rooms = F.array(total.cast("long"))
+    for _ in range(depth):
+        rooms = F.flatten(F.transform(rooms, lambda r: F.array(F.floor(r / 2).cast("long"), (r - F.floor(r / 2)).cast("long"))))
+    return rooms
+
+
 def split_quotas(sources: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """Rows (no, ends) of rows (no, quota): ends has, for each shard, where its run of the source's blocks ends."""
+    """Rows (no, ends) of rows (no, quota): ends has, for each shard, where its run of the source's block copies ends.
+
+    Many sources are split in two steps: first groups of GROUP sources, by the same tree, then each group's sources among the
+    shards, with what the group has in each shard as given. Both steps together are one draw without replacement.
+    """
     depth = int(math.log2(shards))
     if 2**depth != shards:
         raise ValueError("shards must be a power of two")
-    root = F.transform(F.array_sort(F.collect_list(F.struct("no", "quota"))), lambda x: x["quota"])
-    nodes = sources.agg(F.array_sort(F.collect_list("no")).alias("nos"), root.alias("quotas")).withColumn("node", F.lit(1).cast("long"))
-    for _ in range(depth):
-        nodes = nodes.withColumn("left", _left_quotas(F.col("quotas"), F.col("node"), seed))
+    grouped = sources.groupBy(F.floor(F.col("no") / GROUP).alias("group")).agg(F.array_sort(F.collect_list(F.struct("no", "quota"))).alias("x"))
+    grouped = grouped.select("group", F.transform("x", lambda x: x["no"]).alias("nos"), F.transform("x", lambda x: x["quota"].cast("long")).alias("quotas"))
+    totals = grouped.select(F.col("group").alias("no"), _sum(F.col("quotas")).alias("quota"))
+    if totals.limit(2).count() < 2:
+        nodes = grouped.withColumn("rooms", _even(_sum(F.col("quotas")), depth))
+    else:
+        outer = split_quotas(totals, shards, seed + 1).select(F.col("no").alias("group"), F.transform("ends", lambda e, i: e - F.when(i > 0, F.get("ends", i - 1)).otherwise(0)).alias("rooms"))
+        nodes = stored(grouped.join(outer, "group"), "groups")
+    nodes = nodes.withColumn("node", F.lit(1).cast("long"))
+    for level in range(depth):
+        half = 2 ** (depth - level - 1)
+        first, rest = F.slice("rooms", 1, half), F.slice("rooms", half + 1, half)
+        nodes = nodes.withColumn("left", _left_quotas(F.col("quotas"), _sum(first), F.col("group"), F.col("node"), seed))
         right = F.zip_with("quotas", "left", lambda q, l: q - l)
-        children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quotas")))
-        nodes = nodes.select("nos", F.explode(children).alias("c")).select("nos", "c.node", "c.quotas")
+        children = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas"), first.alias("rooms")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quotas"), rest.alias("rooms")))
+        nodes = nodes.select("group", "nos", F.explode(children).alias("c")).select("group", "nos", "c.node", "c.quotas", "c.rooms")
     leaves = nodes.select("node", F.explode(F.arrays_zip("nos", "quotas")).alias("x")).select("node", F.col("x.nos").alias("no"), F.col("x.quotas").alias("quota"))
     upto = Window.partitionBy("no").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     ends = leaves.withColumn("end", F.sum("quota").over(upto)).groupBy("no").agg(F.array_sort(F.collect_list(F.struct("node", "end"))).alias("e"))
@@ -137,8 +162,6 @@ def _plan(sized: DataFrame, shards: int, seed: int) -> tuple[DataFrame, DataFram
     """The table of sources, and of the documents that the last parts of their last blocks give (source, id, hash)."""
     sizes = sized.groupBy(F.col("__source").alias("source")).agg(F.count("*").alias("n"), F.sum("__size").alias("source_size"))
     sizes = stored(sizes, "sources")
-    if sizes.count() > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
     up = lambda x, most: F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(x))).cast("long")
     plan = targets(sizes).withColumn("blocks", up(F.col("n") / BLOCK_DOCS, BLOCKS))
     plan = plan.withColumn("parts", up(F.col("n") / F.col("blocks") / BLOCK_DOCS, BLOCKS))
