@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from quire.llm.common import stored, table
+from quire.llm.common import forget, stored, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's own tables, and the result of the stage before it, are deleted as soon as its result is written."""
     docs = table(spark, sf_dir, "documents")
+    since = written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage{k}")
+            forget(spark, since, written() - 1)
+            since = written() - 1
     return docs
