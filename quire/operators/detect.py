@@ -30,7 +30,7 @@ PATTERNS = {
 BARE_LATEX = r"(?<!\\)\\[a-zA-Z]{2,}|(?:[0-9A-Za-z\)\]])[_^]\{"
 # What stands before and after a number that is no page stamp.
 NO_STAMP_BEFORE = "第共约近超达至了于和与及等该这此其每余前后左右年月日时分秒版次章节点页个条件项类种代期层位名分数值比中上下不的之与图表格有為为是在要需能可占到从由多小大"
-NO_STAMP_AFTER = "美元 元 瓦 天 倍 个 种 世纪 年 月 日 字节 位 行 列 块 级 条 页 秒 小时 分钟 纳秒 毫秒 微秒 纳米 平方 次 项 GHz MHz Hz KB MB GB TB nm bit ms ns cm mm % ％ ℃".split()
+NO_STAMP_AFTER = ["美元", "元", "瓦", "天", "倍", "个", "种", "世纪", "年", "月", "日", "字节", "位", "行", "列", "块", "级", "条", "页", "秒", "小时", "分钟", "纳秒", "毫秒", "微秒", "纳米", "平方", "次", "项", "GHz", "MHz", "Hz", "KB", "MB", "GB", "TB", "nm", "bit", "ms", "ns", "cm", "mm", "%", "％", "℃"]
 STAMP = r"([\x{4e00}-\x{9fff}。，、；：？！）】”])(?<!\d)(\d{1,3})(?=([\x{4e00}-\x{9fff}（【“].?))"
 
 

@@ -62,17 +62,37 @@ def to_unit(box: Column, system: Column, width: Column, height: Column) -> Colum
     return F.when(x.isNotNull() & box.isNotNull(), F.struct((box["x0"] / x).alias("x0"), (box["y0"] / y).alias("y0"), (box["x1"] / x).alias("x1"), (box["y1"] / y).alias("y1")))
 
 
+#: Cells of a page's grid, in each direction, at most.
+MOST_CELLS = 256
+
+
+def _cells(box: Column, n: Column) -> Column:
+    """The cells that a box touches on a page of n x n cells, as array<int>; boxes outside of 0 to 1 are in the cells at the edge."""
+    at = lambda v: F.least(n - 1, F.greatest(F.lit(0), F.floor(v * n))).cast("int")
+    down = F.sequence(at(box["y0"]), F.greatest(at(box["y0"]), at(box["y1"])))
+    across = F.sequence(at(box["x0"]), F.greatest(at(box["x0"]), at(box["x1"])))
+    return F.flatten(F.transform(down, lambda y: F.transform(across, lambda x: y * n.cast("int") + x)))
+
+
 def layout_scores(targets: DataFrame, layout: DataFrame) -> DataFrame:
-    """(target_id, score, source, hits) of targets (target_id, page, box) and layout boxes (page, box, score, source).
+    """(target_id, score, source, hits) of targets (target_id, page, box) and layout boxes (page, box, score, source), on the scale 0 to 1.
 
     A layout box counts if half of it or half of the target is covered; the lowest score counts, since a doubtful line makes a
-    paragraph worth a look. Pages are joined by equality, the overlap is tested in the join.
+    paragraph worth a look. A spatial join: boxes of both sides are copied to the cells of their page's grid that they touch, and meet
+    by page and cell; a pair that meets in several cells counts in the one where its common part begins. The grid is as fine as the page's
+    layout boxes are many, but its cells not smaller than they are on average: a page's work grows with its boxes, not with their pairs.
     """
-    t = targets.select("target_id", F.col("page").alias("p"), F.col("box").alias("t"))
-    b = layout.select("page", F.col("box").alias("b"), "score", "source")
+    wide = F.avg(F.greatest(F.lit(1e-6), F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0")))
+    sides = layout.where("box is not null").groupBy("page").agg(F.greatest(F.lit(1), F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.count("*"))), F.floor(1 / wide))).cast("int").alias("n"))
+    sides = sides.withColumnRenamed("page", "of")
+    on = lambda df, box: df.join(sides, F.col("page") == F.col("of")).withColumn("cell", F.explode(_cells(F.col(box), F.col("n"))))
+    t = on(targets.select("target_id", "page", F.col("box").alias("t")).where("t is not null"), "t").select("target_id", F.col("page").alias("p"), F.col("cell").alias("c"), "t")
+    b = on(layout.select("page", F.col("box").alias("b"), "score", "source").where("b is not null"), "b").select("page", "cell", "n", "b", "score", "source")
     common, ta, ba = intersection(F.col("t"), F.col("b")), area(F.col("t")), area(F.col("b"))
     hit = (common > 0) & ((common >= OVERLAP * ta) & (ta > 0) | (common >= OVERLAP * F.greatest(ba, F.lit(1e-9))))
-    j = t.join(b, (F.col("p") == F.col("page")) & hit)
+    edge = lambda k: F.least(F.col("n") - 1, F.greatest(F.lit(0), F.floor(F.greatest(F.col(f"t.{k}"), F.col(f"b.{k}")) * F.col("n"))))
+    here = F.col("cell") == edge("y0") * F.col("n") + edge("x0")
+    j = t.join(b, (F.col("p") == F.col("page")) & (F.col("c") == F.col("cell")) & here & hit)
     best = j.groupBy("target_id").agg(F.min("score").alias("score"), F.min(F.struct("score", "source")).alias("m"), F.count("*").alias("hits"))
     return best.select("target_id", "score", F.concat(F.lit("layout:"), F.col("m.source")).alias("source"), "hits")
 

@@ -8,13 +8,13 @@ scores by overlap, counts of pages.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.geometry import layout_scores, to_unit
+from quire.operators.geometry import bbox, coordinate_systems, layout_scores, to_unit
 from quire.shipping import ship
 
 # Names under which a score, a text, captions, an image, a page, a box, a kind and a page's parts are found, in
@@ -35,15 +35,13 @@ BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 NODE = f"struct<path:string,page_idx:int,kind:string,text:string,score:double,source:string,box:{BOX}>"
 
 
-def named(node: dict, names: tuple[str, ...]) -> list[tuple[str, object]]:
-    """The node's values under these names, in any case: the preferred name first, and its exact spelling before others."""
-    order = {name: i for i, name in enumerate(names)}
-    hits = sorted((order[k.lower()], k != k.lower(), k) for k in node if k.lower() in order)
-    return [(names[i], node[k]) for i, _, k in hits]
-
-
-def first_named(node: dict, names: tuple[str, ...]):
-    return next((v for _, v in named(node, names)), None)
+#: What a name tells of a node, and how much the name is preferred.
+ROLES = {
+    name: (role, rank)
+    for role, names in (("score", SCORE_KEYS), ("text", TEXT_KEYS), ("caption", CAPTION_KEYS), ("image", IMAGE_KEYS), ("page", PAGE_KEYS), ("box", BBOX_KEYS), ("kind", KIND_KEYS))
+    for rank, name in enumerate(names)
+}
+JSON_TOKEN = re.compile(r'\s*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*"|[^\s\[\]{},:"]+))', re.S)
 
 
 def number(value) -> float | None:
@@ -64,14 +62,118 @@ def scale(value: float | None) -> float | None:
     return value if value <= 1 else value / 100
 
 
-def score_of(node: dict, below: int = 0) -> tuple[float | None, str]:
-    """A node's score and the name it was found under; with below, also from objects so many levels down, as child.name."""
-    own = ((scale(number(v)), name) for name, v in named(node, SCORE_KEYS) if not isinstance(v, (list, dict)))
-    found = next((x for x in own if x[0] is not None), None)
-    if found is None and below:
-        inner = ((score_of(v, below - 1), k) for k, v in node.items() if isinstance(v, dict))
-        found = next(((s, f"{k}.{name}") for (s, name), k in inner if s is not None), None)
-    return found or (None, "")
+def read_json(value: str | None):
+    """The tree of a JSON text, None for what is none. One that is nested deeper than the parser goes is read token by token."""
+    try:
+        return json.loads(value or "null")
+    except RecursionError:
+        return _deep_json(value)
+    except ValueError:
+        return None
+
+
+def _deep_json(text: str):
+    """A JSON text by its tokens, with a stack of the open objects and lists. Lenient: separators only separate."""
+    top: list = []
+    open_: list[tuple[object, list]] = [(top, [])]
+    at = 0
+    while m := JSON_TOKEN.match(text, at):
+        at = m.end()
+        node, names = open_[-1]
+        if m[1] in ("]", "}"):
+            if len(open_) == 1 or isinstance(node, list) != (m[1] == "]"):
+                return None
+            open_.pop()
+        elif m[1] in (",", ":"):
+            continue
+        else:
+            try:
+                new = [] if m[1] == "[" else {} if m[1] == "{" else json.loads(m[2])
+            except ValueError:
+                return None
+            if isinstance(node, list):
+                node.append(new)
+            elif names:
+                node[names.pop()] = new
+            elif isinstance(new, str):
+                names.append(new)
+                continue
+            else:
+                return None
+            if m[1]:
+                open_.append((new, []))
+    return top[0] if len(open_) == 1 and len(top) == 1 and not text[at:].strip() else None
+
+
+class Node:
+    """An object or a list of the tree: where it stands, its page, and what its names tell of it, by role, preferred ones first."""
+
+    __slots__ = ("depth", "facts", "inner", "is_object", "page", "parent_path", "step")
+
+    def __init__(self, parent_path: tuple, step, depth: int, page: int, value):
+        self.parent_path, self.step, self.depth = parent_path, step, depth
+        self.is_object = isinstance(value, dict)
+        self.facts: dict[str, list] = {}
+        self.inner = []
+        for k, v in value.items() if self.is_object else enumerate(value):
+            if isinstance(v, (dict, list)):
+                self.inner.append((k, v))
+            if self.is_object and (known := ROLES.get(k.lower())):
+                self.facts.setdefault(known[0], []).append((known[1], k != k.lower(), k, v))
+        for facts in self.facts.values():
+            facts.sort(key=lambda f: f[:3])
+        self.page = self._page(page)
+
+    def values(self, role: str) -> list:
+        return [f[3] for f in self.facts.get(role, ())]
+
+    def _page(self, otherwise: int) -> int:
+        """The page that it names, from 0, else the given one."""
+        found = self.facts.get("page")
+        if not found or not isinstance(found[0][3], int) or isinstance(found[0][3], bool):
+            return otherwise
+        return found[0][3] - any(k.lower() in ONE_BASED for _, _, k, _ in found)
+
+    def score(self) -> tuple[float | None, str]:
+        """Its own score and the name it was found under."""
+        usable = ((scale(number(v)), SCORE_KEYS[rank]) for rank, _, _, v in self.facts.get("score", ()) if not isinstance(v, (list, dict)))
+        return next((x for x in usable if x[0] is not None), (None, ""))
+
+    def text(self) -> str:
+        """The first text that isn't empty, then the captions, one for each of their names; a picture's path if there is neither."""
+        parts = list(filter(None, (" ".join(strings(v)) for v in self.values("text"))))[:1]
+        told = set()
+        for rank, _, _, v in self.facts.get("caption", ()):
+            if rank not in told:
+                told.add(rank)
+                parts += strings(v)
+        if not parts:
+            parts = [f"[图片] {p}" for v in self.values("image")[:1] for p in strings(v)[:1]]
+        return "\n".join(parts)
+
+    def kind(self) -> str:
+        value = next(iter(self.values("kind")), None)
+        if isinstance(value, str) and value.strip():
+            return value.strip().lower()
+        return f"category_{value}" if isinstance(value, int) and not isinstance(value, bool) else "unknown"
+
+    def box(self) -> dict | None:
+        """The box of four numbers, or of the hull of eight."""
+        value = next(iter(self.values("box")), None)
+        v = [x for x in map(number, value) if x is not None] if isinstance(value, list) else []
+        if len(v) == 8:
+            v = [min(v[::2]), min(v[1::2]), max(v[::2]), max(v[1::2])]
+        return dict(zip(("x0", "y0", "x1", "y1"), v, strict=True)) if len(v) == 4 else None
+
+    def path(self) -> str:
+        steps, at = [], (self.parent_path, self.step)
+        while at[0] is not None:
+            steps.append(str(at[1]))
+            at = at[0]
+        return "/".join([str(at[1]), *steps[::-1]])
+
+    def row(self, text: str, score: float | None, source: str) -> dict:
+        return {"path": self.path(), "page_idx": self.page, "kind": self.kind(), "text": text, "score": score, "source": source, "box": self.box()}
 
 
 def strings(value) -> list[str]:
@@ -79,90 +181,59 @@ def strings(value) -> list[str]:
     return [x.strip() for x in (value if isinstance(value, list) else [value]) if isinstance(x, str) and x.strip()]
 
 
-def text_of(node: dict) -> str:
-    """The first text that isn't empty, then all captions; a picture's path if there is neither."""
-    texts = [" ".join(strings(v)) for _, v in named(node, TEXT_KEYS)]
-    parts = [t for t in texts if t][:1] + [s for name in CAPTION_KEYS for s in strings(first_named(node, (name,)))]
-    image = strings(first_named(node, IMAGE_KEYS)) if not parts else []
-    return "\n".join(parts or [f"[图片] {p}" for p in image[:1]])
-
-
-def page_of(node, otherwise: int) -> int:
-    """The page a node names, from 0; names of pages that count from 1 go first."""
-    value = first_named(node, PAGE_KEYS) if isinstance(node, dict) else None
-    if not isinstance(value, int) or isinstance(value, bool):
-        return otherwise
-    return value - 1 if named(node, ONE_BASED) else value
-
-
-def kind_of(node: dict) -> str:
-    value = first_named(node, KIND_KEYS)
-    if isinstance(value, str) and value.strip():
-        return value.strip().lower()
-    return f"category_{value}" if isinstance(value, int) and not isinstance(value, bool) else "unknown"
-
-
-def box_of(node: dict) -> dict | None:
-    """The box of four numbers, or of the hull of eight."""
-    value = first_named(node, BBOX_KEYS)
-    v = [x for x in map(number, value) if x is not None] if isinstance(value, list) else []
-    if len(v) == 8:
-        v = [min(v[::2]), min(v[1::2]), max(v[::2]), max(v[1::2])]
-    return dict(zip(("x0", "y0", "x1", "y1"), v, strict=True)) if len(v) == 4 else None
-
-
-def page_nodes(payload) -> list[tuple[str, int, object]]:
-    """(path, page, node) of the pages at a document's top: a list's items, those of a list of pages, or all as one page."""
-    at, items = "$", payload if isinstance(payload, list) else None
-    if isinstance(payload, dict):
-        name = next((k for k in payload if k.lower() in PAGE_LISTS and isinstance(payload[k], list)), None)
+def nodes_of(tree) -> list[Node]:
+    """All objects and lists of a tree, each before those in it. Paths are shared with the parents', so any depth takes memory in proportion."""
+    root: tuple = (None, "$")
+    todo: list[tuple] = []
+    pages = tree if isinstance(tree, list) else None
+    if isinstance(tree, dict):
+        name = next((k for k in tree if k.lower() in PAGE_LISTS and isinstance(tree[k], list)), None)
         if name is None:
-            return [("$", 0, payload)]
-        at, items = f"$/{name}", payload[name]
-    return [(f"{at}/{i}", page_of(x, i), x) for i, x in enumerate(items or [])]
-
-
-def descendants(node, depth: int) -> Iterator[dict]:
-    """Objects below a node, down to a depth, in order."""
-    for child in node.values() if isinstance(node, dict) else node if isinstance(node, list) else ():
-        if depth and isinstance(child, (dict, list)):
-            if isinstance(child, dict):
-                yield child
-            yield from descendants(child, depth - 1)
+            todo = [(None, "$", 0, 0, tree)]
+        else:
+            root, pages = (root, name), tree[name]
+    todo += [(root, i, 0, i, x) for i, x in enumerate(pages or ()) if isinstance(x, (dict, list))]
+    todo.reverse()
+    out = []
+    while todo:
+        parent_path, step, depth, page, value = todo.pop()
+        node = Node(parent_path, step, depth, page, value)
+        out.append(node)
+        here = (parent_path, step)
+        todo += [(here, k, depth + 1, node.page, v) for k, v in reversed(node.inner)]
+        node.inner = [k for k, v in node.inner if isinstance(v, dict)]
+    return out
 
 
 def scored_of(value: str | None) -> list[dict]:
-    """Every object of a JSON text that has a score of its own and a text, its own or its descendants'."""
-    try:
-        todo = page_nodes(json.loads(value or "null"))[::-1]
-    except ValueError:
-        return []
-    out = []
-    while todo:
-        path, page, node = todo.pop()
-        if isinstance(node, dict):
-            page = page_of(node, page)
-            score, source = score_of(node)
-            if score is not None:
-                text = text_of(node) or " ".join(filter(None, map(text_of, descendants(node, TEXT_DEPTH))))
-                if text:
-                    out.append({"path": path, "page_idx": page, "kind": kind_of(node), "text": text, "score": score, "source": source, "box": box_of(node)})
-        inner = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
-        todo += [(f"{path}/{k}", page, x) for k, x in inner if isinstance(x, (dict, list))][::-1]
+    """Every object of a JSON text that has a score of its own and a text, its own or that of the objects up to TEXT_DEPTH levels in it."""
+    nodes, out = nodes_of(read_json(value)), []
+    for i, node in enumerate(nodes):
+        score, source = node.score()
+        if score is None:
+            continue
+        text = node.text()
+        if not text:
+            below, k = [], i + 1
+            while k < len(nodes) and nodes[k].depth > node.depth:
+                if nodes[k].depth <= node.depth + TEXT_DEPTH:
+                    below.append(nodes[k].text())
+                k += 1
+            text = " ".join(filter(None, below))
+        if text:
+            out.append(node.row(text, score, source))
     return out
 
 
 def items_of(value: str | None) -> list[dict]:
     """The objects of a content list that have a text; scores are their own or a child object's."""
-    try:
-        payload = json.loads(value or "null")
-    except ValueError:
-        return []
-    out = []
-    for i, node in enumerate(x for x in (payload if isinstance(payload, list) else []) if isinstance(x, dict)):
-        if text := text_of(node):
-            score, source = score_of(node, 1)
-            out.append({"path": f"$/{i}", "page_idx": page_of(node, 0), "kind": kind_of(node), "text": text, "score": score, "source": source or "none", "box": box_of(node)})
+    tree, out = read_json(value), []
+    for i, item in enumerate(x for x in (tree if isinstance(tree, list) else []) if isinstance(x, dict)):
+        node = Node((None, "$"), i, 0, 0, item)
+        if text := node.text():
+            children = ((f"{k}.", Node((), k, 1, 0, v)) for k, v in node.inner if isinstance(v, dict))
+            found = ((score, prefix + name) for prefix, n in [("", node), *children] for score, name in [n.score()] if score is not None)
+            out.append(node.row(text, *next(found, (None, "none"))))
     return out
 
 
@@ -225,3 +296,28 @@ def layout_index(model: DataFrame, middle: DataFrame) -> DataFrame:
     """Layout boxes (bundle, page, box, score, source) of the model's results; of the middle ones for bundles without any."""
     ok = lambda df: df.where("box is not null and score is not null")
     return ok(model).unionByName(ok(middle).join(ok(model).select("bundle").distinct(), "bundle", "left_anti"))
+
+
+def parsed_boxes(results: DataFrame) -> DataFrame:
+    """(bundle, page, box, width, height, label, ord) of the blocks of result lines (bundle, line_no, value): those of each page's
+    parsed layout, in pixels of the page's picture; pages run on across a bundle's lines.
+
+    Only counts of pages meet by bundle; a line that is no JSON, and a block without a box, give no rows.
+    """
+    shape = "struct<result:struct<layoutParsingResults:array<struct<prunedResult:struct<width:double,height:double,parsing_res_list:array<struct<block_label:string,block_bbox:array<double>>>>>>>>"
+    rows = results.select("bundle", "line_no", F.from_json("value", shape)["result"]["layoutParsingResults"].alias("pages")).where("pages is not null")
+    before = Window.partitionBy("bundle").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.select("bundle", "line_no", F.coalesce(F.sum(F.size("pages")).over(before), F.lit(0)).alias("start"))
+    pages = rows.join(starts, ["bundle", "line_no"]).select("bundle", "start", F.posexplode("pages").alias("i", "p"))
+    blocks = pages.select("bundle", (F.col("start") + F.col("i")).alias("page"), "p.prunedResult.width", "p.prunedResult.height", F.posexplode("p.prunedResult.parsing_res_list").alias("ord", "b"))
+    return blocks.select("bundle", "page", bbox(F.col("b.block_bbox")).alias("box"), "width", "height", F.col("b.block_label").alias("label"), "ord").where("box is not null")
+
+
+def scored_layout(nodes: DataFrame) -> DataFrame:
+    """Layout boxes (bundle, page, box, score, source) on the scale 0 to 1 of scored nodes (bundle, page_idx, box, score, source), whose
+    coordinate system is that of their bundle; bundles of an unknown system give none."""
+    known = nodes.where("box is not null and score is not null")
+    none = F.lit(None).cast("double")
+    systems = coordinate_systems(known.select("bundle", "box", none.alias("width"), none.alias("height")))
+    unit = to_unit(F.col("box"), F.col("system"), none, none)
+    return known.join(systems, "bundle").select("bundle", F.col("page_idx").alias("page"), unit.alias("box"), "score", "source").where("box is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions import text as X
-from quire.operators import detect, diff, edits, geometry, lines, lint, package, pages, segments, state, tables, translate
+from quire.operators import detect, diff, edits, formulas, geometry, lines, lint, package, pages, segments, state, tables, translate
 from quire.sources import archives
 
 
@@ -203,6 +203,82 @@ def test_markup(spark):
     assert [one(spark, t, markup.is_asm_math) for t in ("assign x", "a; \\# 5", "x + y")] == [True, True, False]
 
 
+def brute_binomials(latex):
+    def after(at, skip):
+        while at < len(latex) and latex[at].isspace():
+            at += 1
+        if not skip:
+            return at
+        depth = 0
+        for i in range(at, len(latex)):
+            depth += (latex[i] == "{") - (latex[i] == "}")
+            if not depth:
+                return i + 1
+        return len(latex)
+
+    out, at = "", 0
+    while (found := latex.find("\\binom", at)) >= 0:
+        end, groups = found + 6, 0
+        while groups < 2 and latex[after(end, False) :][:1] == "{":
+            end, groups = after(end, True), groups + 1
+        scripted = groups == 2 and latex[after(end, False) :][:1] in ("^", "_")
+        out += latex[at:found] + ("{" + latex[found:end] + "}" if scripted else latex[found:end])
+        at = end
+    return out + latex[at:]
+
+
+def test_binomials_are_grouped_at_any_depth(spark):
+    cases = [r"\binom{\mathbf{u}}{\mathbf{J}_{m}\mathbf{u}}^\top", r"a\binom{n}{k} _2 + \binom {n} {k}", r"\binom{\binom{a}{b}^2}{c}^3", r"{\binom{a}{b}}{c}^2", r"\binom{a}^2{b}", r"\binom{a}{b}\binom{c}{d}^2", "", "x^2", r"{{\binom{a}{b}^{2}}}_3", r"\binom a b^2", r"\binom{" + "{" * 40 + "x" + "}" * 40 + r"}{y}^z", None]
+    rng = random.Random(4)
+    group = lambda d: "{" + rng.choice(["a", "", " x ", r"\frac{1}{2}"] + ([binom(d - 1), group(d - 1)] if d else [])) + "}"
+    binom = lambda d: rng.choice(["", "y ", "z_"]) + r"\binom" + rng.choice(["", " "]) + group(d) + rng.choice(["", " "]) + group(d) + rng.choice(["", "^2", " _{i}", " "])
+    cases += ["".join(binom(3) for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    got = {r.id: r.latex for r in formulas.grouped_binomials(rows(spark, list(enumerate(cases)), "id int, latex string")).collect()}
+    assert got == {i: None if c is None else brute_binomials(c) for i, c in enumerate(cases)}
+
+
+def test_deep_json_is_read(spark):
+    deep = '{"a":[' * 20_000 + '{"score": 0.5, "text": "x", "page_idx": 3}' + "]}" * 20_000
+    data = [("deep", deep), ("open", "[" * 100_000), ("odd", "[" * 50_000 + "}" * 50_000), ("fine", '[{"score": 50, "text": "y"}]')]
+    got = {r.doc: (r.page_idx, r.text, r.score) for r in segments.scored_nodes(rows(spark, data, "doc string, value string")).collect()}
+    assert got == {"deep": (3, "x", 0.5), "fine": (0, "y", 0.5)}
+    assert segments.content_segments(rows(spark, [("d", "[" * 60_000)], "bundle string, value string")).count() == 0
+
+
+def test_grid_join_equals_all_pairs(spark):
+    rng = random.Random(8)
+    box = lambda size: (x := rng.uniform(-0.1, 1.0), y := rng.uniform(0, 1.0), x + rng.uniform(0, size), y + rng.uniform(0, size))
+    layout = [(p, box(rng.choice([0.02, 0.2, 1.2])), round(rng.random(), 3), f"b{i}") for i in range(600) for p in [i % 2]] + [(0, (0.0, 0.0, 1.0, 1.0), 0.99, "page"), (1, None, 0.1, "none")]
+    targets = [(i, i % 3, box(rng.choice([0.02, 0.3]))) for i in range(200)] + [(900, 0, (0.5, 0.5, 0.5, 0.5)), (901, 0, None)]
+    area = lambda b: max(0, b[2] - b[0]) * max(0, b[3] - b[1])
+    want = {}
+    for i, p, t in targets:
+        for q, b, score, source in layout:
+            if p == q and t and b:
+                c = max(0, min(t[2], b[2]) - max(t[0], b[0])) * max(0, min(t[3], b[3]) - max(t[1], b[1]))
+                if c > 0 and (c >= 0.5 * area(t) and area(t) > 0 or c >= 0.5 * max(area(b), 1e-9)):
+                    want.setdefault(i, []).append((score, source))
+    kind = "struct<x0:double,y0:double,x1:double,y1:double>"
+    got = geometry.layout_scores(rows(spark, targets, f"target_id int, page int, box {kind}"), rows(spark, layout, f"page int, box {kind}, score double, source string")).collect()
+    assert {r.target_id: (r.score, r.source, r.hits) for r in got} == {i: (min(x)[0], "layout:" + min(x)[1], len(x)) for i, x in want.items()}
+
+
+def test_a_page_of_many_boxes_is_joined_without_its_pairs(spark):
+    """20,000 boxes and as many targets of one page: rows that meet in a cell grow with the boxes."""
+    grid = spark.range(20_000).selectExpr("id", "(id % 141) / 141D as x", "(id div 141) / 142D as y")
+    boxes = grid.selectExpr("id", "0 as page", "named_struct('x0', x, 'y0', y, 'x1', x + 0.006, 'y1', y + 0.006) as box")
+    out = geometry.layout_scores(boxes.selectExpr("id as target_id", "page", "box"), boxes.selectExpr("page", "box", "0.5D as score", "string(id) as source"))
+    assert out.where("hits = 1").count() == 20_000
+
+
+def test_boxes_of_result_lines(spark):
+    page = lambda w, *b: {"prunedResult": {"width": w, "height": 200, "parsing_res_list": [{"block_label": k, "block_bbox": v} for k, v in b]}}
+    line = lambda *p: json.dumps({"result": {"layoutParsingResults": list(p)}})
+    data = [("b", 1, line(page(100, ("text", [0, 0, 50, 50])), page(100))), ("b", 2, line(page(100, ("image", [1, 2, 3, 4]), ("bad", [1]), ("text", None)))), ("b", 3, "no json"), ("c", 1, line(page(10, ("table", [0, 0, 2, 0, 2, 3, 0, 3]))))]
+    got = {(r.bundle, r.page, r.label, tuple(r.box), r.width) for r in segments.parsed_boxes(rows(spark, data, "bundle string, line_no int, value string")).collect()}
+    assert got == {("b", 0, "text", (0, 0, 50, 50), 100), ("b", 2, "image", (1, 2, 3, 4), 100), ("c", 0, "table", (0, 0, 2, 3), 10)}
+
+
 def test_nodes_of_content_lists(spark):
     items = [{"text": " ", "score": 1}, {"TEXT": ["a ", "b"], "Scores": 1, "meta": {"Prob": 2, "CONF": "31"}, "page_number": 3, "table_caption": ["c"]}, {"img_path": "x.png", "score": True, "confidence": [1], "type": 7}, {"content": "d", "score": 120, "probability": "0.5", "poly": [0, 0, 2, 0, 2, 3, 0, 3]}]
     got = segments.content_segments(rows(spark, [("b", json.dumps(items)), ("c", "no json"), ("d", None)], "bundle string, value string")).collect()
