@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import compose as C
 from quire.operators import diff as T
 from quire.operators import edits as E
+from quire.operators import interval_edits as V
 from quire.operators import lines as L
 from quire.operators import pages as P
 from quire.operators import package as K
@@ -61,7 +62,28 @@ def diff_pairs(s, d):
     return neighbours(pages(s, d), "text").where("next_text is not null").select(F.col("doc_id").alias("page_no"), F.col("text").alias("left"), F.col("next_text").alias("right"))
 
 
+def edit_plan(s, d):
+    """An edit for each document, of an op by its number, with places taken from its text; every third gets one that is refused as well."""
+    op = lambda *by: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in by]), (F.col("doc_id") % 5 + 1).cast("int"))
+    part = lambda p: F.regexp_extract("text", p, 1)
+    none = F.lit(None).cast("int")
+    first = docs(s, d).select(F.col("doc_id").alias("book_id"), F.lit(0).alias("seq"), op("append", "join", "replace", "regex", "drop_paragraph").alias("op"), op(part("([A-Za-z]+ [A-Za-z]+)"), part("([A-Za-z]+)\\s+[A-Za-z]"), part("([A-Za-z]+ [A-Za-z]+)"), "[0-9]+", part("([A-Za-z]+)")).alias("find"), op("[added]", "", "[new]", "#", "").alias("with_"), none.alias("expect"), none.alias("occurrence"), part("[A-Za-z]+\\s+([A-Za-z]+)").alias("right_head"))
+    never = first.where("book_id % 3 = 0").select("book_id", F.lit(1).alias("seq"), F.lit("replace").alias("op"), F.lit("@@none@@").alias("find"), F.lit("").alias("with_"), "expect", "occurrence", F.lit("").alias("right_head"))
+    return first.unionByName(never)
+
+
+def edited_lines(s, d):
+    """Documents as books whose pages are their lines."""
+    return V.edited(L.numbered_lines(spread_docs(s, d)).select(F.col("doc_id").alias("book_id"), F.col("line_no").alias("page_no"), F.col("line").alias("text")), edit_plan(s, d))
+
+
+def edited_texts(s, d):
+    outcomes, made = edited_lines(s, d)
+    return V.whole_texts(made).join(outcomes.where("seq = 0"), "book_id").select("book_id", "status", F.sha2("text", 256).alias("digest"))
+
+
 QUERIES = {
+    "edited_texts": edited_texts,
     "line_kind": lambda s, d: kinds(s, d).select("doc_id", "line_no", "kind"),
     "prose_score": lambda s, d: L.numbered_lines(docs(s, d)).select("doc_id", "line_no", L.prose_score(F.col("line")).alias("score")),
     "block_is_code": lambda s, d: docs(s, d).select("doc_id", L.block_is_code(F.col("text")).alias("is_code")),
@@ -116,7 +138,22 @@ _DEF = f"(regexp_matches(s, {quoted(L.COMMAND_LINE)}) OR {any_sql('s', L.CONTAIN
 _BODY = "regexp_extract(line, '^(\\s*(?:#{1,6}|[-•·☐□])\\s+)(.*)$', 2)"
 _PROT = "regexp_replace(regexp_replace(text, '`([^`]+)`', '<keep k=\"c\">\\1</keep>', 'g'), '\\$([^$]+)\\$', '<keep k=\"m\">\\1</keep>', 'g')"
 
+_EDITS = r"""WITH e AS (SELECT doc_id AS book_id, doc_id % 5 AS op, text, CASE doc_id % 5 WHEN 1 THEN regexp_extract(text, '([A-Za-z]+)\s+[A-Za-z]', 1) WHEN 4 THEN regexp_extract(text, '([A-Za-z]+)', 1) ELSE regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1) END AS f, regexp_extract(text, '[A-Za-z]+\s+([A-Za-z]+)', 1) AS h FROM documents),
+n AS (SELECT *, CASE WHEN f = '' THEN 0 ELSE (length(text) - length(replace(text, f, ''))) // length(f) END AS n, len(regexp_extract_all(text, '[0-9]+')) AS digits, instr(text, f) AS p FROM e),
+j AS (SELECT *, substr(text, p + length(f)) AS rest, string_split(substr(text, p + length(f)), chr(10)) AS l FROM n),
+k AS (SELECT *, CASE WHEN regexp_replace(l[1], '^\s+', '') <> '' THEN regexp_replace(l[1], '^\s+', '') ELSE regexp_replace(coalesce(l[2], ''), '^\s+', '') END AS follows FROM j),
+s AS (SELECT *, CASE op WHEN 0 THEN CASE WHEN contains(text, '[added]') THEN 'skipped' WHEN n = 1 THEN 'done' ELSE 'found ' || n || ' times' END
+  WHEN 1 THEN CASE WHEN n <> 1 THEN 'found ' || n || ' times' WHEN regexp_matches(l[1], '^\S') THEN 'skipped' WHEN starts_with(follows, left(h, 40)) THEN 'done' ELSE 'other text follows' END
+  WHEN 2 THEN CASE WHEN n = 0 AND contains(text, '[new]') THEN 'skipped' WHEN n = 1 THEN 'done' ELSE 'found ' || n || ' times' END
+  WHEN 3 THEN CASE WHEN digits = 0 THEN 'skipped' ELSE 'done' END
+  ELSE CASE WHEN n = 0 THEN 'skipped' WHEN n >= 2 THEN 'done' ELSE 'found ' || n || ' times' END END AS status FROM k),
+t AS (SELECT *, CASE op WHEN 0 THEN replace(text, f, f || chr(10) || chr(10) || '[added]') WHEN 1 THEN left(text, p + length(f) - 1) || ' ' || regexp_replace(rest, '^\s+', '')
+  WHEN 2 THEN replace(text, f, '[new]') WHEN 3 THEN regexp_replace(text, '[0-9]+', '#', 'g')
+  ELSE left(text, p + length(f) - 1 + instr(rest, f) - 1) || chr(10) || chr(10) || substr(rest, instr(rest, f) + length(f)) END AS new FROM s)
+SELECT book_id, status, sha256(CASE WHEN book_id % 3 <> 0 AND status = 'done' THEN new ELSE text END) AS digest FROM t"""
+
 SQL = {
+    "edited_texts": _EDITS,
     "outline_lines": f"WITH RECURSIVE {BP}, h AS (SELECT book_id, page_no AS line_no, regexp_replace(lower(left(text, 40)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM bp), m AS MATERIALIZED (SELECT a.book_id, a.line_no AS seq, b.line_no FROM h a JOIN h b ON a.book_id = b.book_id AND a.k <> '' AND b.k <> '' AND (a.k = b.k OR (length(a.k) > 12 AND (contains(a.k, b.k) OR contains(b.k, a.k))) OR (left(a.k, 8) = left(b.k, 8) AND length(a.k) >= 8 AND abs(length(a.k) - length(b.k)) < 12))), f(book_id, seq, line_no, last) AS (SELECT DISTINCT book_id, 0::BIGINT, NULL::BIGINT, -1::BIGINT FROM h UNION ALL SELECT f.book_id, h.line_no, n.at, coalesce(n.at, f.last) FROM f JOIN h ON h.book_id = f.book_id AND h.line_no = f.seq + 1, LATERAL (SELECT min(m.line_no) AS at FROM m WHERE m.book_id = f.book_id AND m.seq = f.seq + 1 AND m.line_no > f.last) n) SELECT book_id, seq, line_no FROM f WHERE seq > 0",
     "translation_batches": f"WITH RECURSIVE {_TL}, t AS MATERIALIZED (SELECT doc_id, line_no, strlen(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM tl), f AS (SELECT doc_id, line_no, i, 0 AS batch, n AS used FROM t WHERE i = 1 UNION ALL SELECT t.doc_id, t.line_no, t.i, batch + (used + n > 5500)::INT, CASE WHEN used + n > 5500 THEN n ELSE used + n END FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1) SELECT doc_id, line_no, batch FROM f",
     "line_kind": f"WITH {_KINDS} SELECT doc_id, line_no, kind FROM k",

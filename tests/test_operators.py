@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions import text as X
-from quire.operators import detect, diff, edits, formulas, geometry, lines, lint, package, pages, segments, state, tables, translate
+from quire.operators import detect, diff, edits, formulas, geometry, interval_edits, lines, lint, package, pages, segments, state, tables, translate
 from quire.sources import archives
 
 
@@ -227,6 +227,62 @@ def brute_binomials(latex):
     return out + latex[at:]
 
 
+PLAN = "book_id string, seq int, op string, find string, with_ string, expect int, occurrence int, right_head string"
+
+
+def edited(spark, pages_, plan):
+    outcomes, made = interval_edits.edited(rows(spark, pages_, "book_id string, page_no int, text string"), rows(spark, plan, PLAN))
+    texts = {r.book_id: r.text for r in interval_edits.whole_texts(made).collect()}
+    return texts, {(r.book_id, r.seq): r.status for r in outcomes.collect()}
+
+
+def test_edits_become_intervals_on_pages(spark):
+    pages_ = [("b", 1, "Head\nThe anchor. It is a System-"), ("b", 2, "  Verilog text 12 and 34"), ("b", 3, "drop\n\nkeep\n\ndrop\n\nend"), ("b", 4, None), ("c", 1, "one two two"), ("d", 1, "a b"), ("e", 1, "left  right (x.y) [1] $9")]
+    plan = [
+        ("b", 1, "append", "The anchor.", "[note]\nmore", None, None, None),
+        ("b", 2, "join", "System-", "", None, None, "Verilog text"),
+        ("b", 3, "regex", "([0-9])([0-9])", "$2$1", 2, None, None),
+        ("b", 4, "drop_paragraph", "drop", "", None, 2, None),
+        ("b", 5, "replace", "gone", "Head", None, None, None),
+        ("b", 6, "regex", "nothing here", "", None, None, None),
+        ("c", 1, "replace", "one", "ONE", None, None, None),
+        ("c", 2, "replace", "two", "TWO", None, None, None),
+        ("d", 1, "replace", "a b", "x", None, None, None),
+        ("d", 2, "replace", "b", "y", None, None, None),
+        ("e", 1, "join", "left", "", None, None, "right"),
+        ("e", 2, "replace", "(x.y)", "\\1 $2", None, None, None),
+    ]
+    texts, status = edited(spark, pages_, plan)
+    assert texts["b"] == "Head\nThe anchor.\n\n[note]\nmore It is a SystemVerilog text 21 and 43\ndrop\n\nkeep\n\nend\n"
+    assert [status["b", k] for k in range(1, 7)] == ["done", "done", "done", "done", "skipped", "skipped"]
+    assert texts["c"] == "one two two" and status["c", 1] == "done" and status["c", 2] == "found 2 times"
+    assert texts["d"] == "a b" and status["d", 2] == "overlaps another edit"
+    assert texts["e"] == "left right \\1 $2 [1] $9" and status["e", 1] == status["e", 2] == "done"
+
+
+def test_edits_that_are_done_or_refused(spark):
+    pages_ = [("a", 1, "x-ray y [note]"), ("b", 1, "p q"), ("b", 2, "p q"), ("c", 1, "p q")]
+    plan = [("a", 1, "append", "y", "[note]\nz", None, None, None), ("a", 2, "join", "x-", "", None, None, "ray"), ("b", 1, "append", "p", "new", None, None, None), ("c", 1, "join", "p", "", None, None, "other"), ("c", 2, "nonsense", "p", "", None, None, None), ("c", 3, "drop_paragraph", "q", "", None, None, None)]
+    texts, status = edited(spark, pages_, plan)
+    assert texts == {"a": "x-ray y [note]", "b": "p q\np q", "c": "p q"}
+    assert status == {("a", 1): "skipped", ("a", 2): "skipped", ("b", 1): "found 2 times", ("c", 1): "other text follows", ("c", 2): "unknown op", ("c", 3): "found 1 times"}
+
+
+def test_a_book_of_many_pages_is_edited_on_its_pages(spark):
+    """One book of 20,000 pages: a regular expression on all, and an anchor on one of them."""
+    book = spark.range(20_000).selectExpr("'b' as book_id", "cast(id as int) as page_no", "concat('page ', id, ' end') as text")
+    plan = rows(spark, [("b", 1, "regex", "page ([0-9]+)", "p. $1", 20_000, None, None), ("b", 2, "append", " 777 end", "note", None, None, None)], PLAN)
+    outcomes, made = interval_edits.edited(book, plan)
+    assert {r.status for r in outcomes.collect()} == {"done"}
+    assert made.where("text = concat('p. ', page_no, ' end')").count() == 19_999 and made.where("page_no = 777").first().text == "p. 777 end\n\nnote"
+
+
+def test_joins_need_an_anchor_that_occurs_once(spark):
+    book = rows(spark, [("b", 1, "one two"), ("b", 2, "three"), ("b", 3, "x two")], "book_id string, page_no int, text string")
+    breaks = rows(spark, [("b", 1, "one two", "three"), ("b", 2, "e", "x"), ("b", 3, "two", "y")], "book_id string, page_no int, left_tail string, right_head string")
+    assert [(r.seq, r.find) for r in interval_edits.joins_of(breaks, book).collect()] == [(1, "one two")]
+
+
 def test_binomials_are_grouped_at_any_depth(spark):
     cases = [r"\binom{\mathbf{u}}{\mathbf{J}_{m}\mathbf{u}}^\top", r"a\binom{n}{k} _2 + \binom {n} {k}", r"\binom{\binom{a}{b}^2}{c}^3", r"{\binom{a}{b}}{c}^2", r"\binom{a}^2{b}", r"\binom{a}{b}\binom{c}{d}^2", "", "x^2", r"{{\binom{a}{b}^{2}}}_3", r"\binom a b^2", r"\binom{" + "{" * 40 + "x" + "}" * 40 + r"}{y}^z", None]
     rng = random.Random(4)
