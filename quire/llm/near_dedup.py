@@ -9,11 +9,13 @@ so a pair of similarity 0.8 escapes with a probability of about 0.0002, and one
 
 Documents with equal sets are one node from the start. A key's documents don't meet pairwise: each is compared with the
 key's pivot, the document whose keys are shared most, and links so found make components. Only keys whose documents are then
-not in one component are looked at further: the documents of all these keys are joined by an exact prefix filter on their full
-sets (prefix_pairs), and the pairs of different components that it leaves are confirmed. So no link between components is lost, there is
-no cap, and a group of n near copies costs n comparisons and those of its stragglers. Documents that share a passage but not the
-similarity share only common shingles, which stand last in the filter's order: they aren't compared, however many they are.
-The worst case is left to documents that are nearly at the similarity and whose rarest shingles are common too: these are compared pairwise.
+not in one component are looked at further. An exact prefix filter on the full sets of their documents (prefix_cells) leaves
+cells of those that may be linked across components. Within a cell, documents are compared exactly, on full sets, but for those of its largest component with each other.
+Cells are cut into blocks of bounded size, and a task takes two of them, so a cell may be of any size; only links that join components
+leave the task. So no link between components is lost, there is no cap, and a group of n near copies costs n comparisons and those of its stragglers.
+Documents that share a passage but not the similarity share only common shingles, which stand last in the filter's order: they
+aren't compared, however many they are. The worst case is left to documents that are nearly at the similarity and share rare shingles too:
+these are compared pairwise, in blocks.
 
 Words are maximal runs of other characters than ``[\\x20\\x09-\\x0D]``, with A-Z lower-cased. A document with fewer words
 than a shingle has one shingle, all its words. A null, empty or blank text has none and is linked with nothing. A null id
@@ -26,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,6 +41,8 @@ POSITIONS, CHUNKS, BITS = 48, 8, 16
 WIDTH = POSITIONS // CHUNKS
 #: Signature distance up to which pairs are certain to share a key, and up to which pairs that do are compared.
 DISTANCE, FAR = 2 * CHUNKS - 1, 21
+#: Shingles of a block of documents, on average; a task holds two blocks.
+BLOCK = 65_536
 #: Words that a worker remembers with their hashes before it starts anew.
 CACHE = 300_000
 
@@ -175,13 +180,13 @@ def confirmed_by(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of rows (node, component, n), of different components, that the prefix filter leaves.
+def prefix_cells(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (cell, node, component) of rows (node, component, n): documents that may be linked with ones of other components stand in one cell.
 
-    All sets are put into one order of shingles, rare ones first. Two sets of the similarity then share a shingle among the first
+    A prefix filter: all sets are put into one order of shingles, rare ones first. Two sets of the similarity then share a shingle among the first
     few of the smaller one (what it may lack if both are of its size) and those of the larger one (what it may lack at all): an exact test.
-    Documents that are alike only in what many have stand apart in their beginnings, and never meet. Nor do documents of a shingle's largest component
-    meet each other; all others of the shingle do.
+    Documents that are alike only in what many have stand apart in their beginnings, and never meet. Components that meet in a shingle,
+    one of them in the first few of a smaller set, are in one cell; a shingle ties each to its largest component, not all to all.
     """
     tokens = left.select("node").join(sets, "node").select("node", F.explode("set").alias("shingle"))
     counts = tokens.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
@@ -192,16 +197,70 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     as_smaller = n - F.ceil(2 * p * n / (100 + p)) + 1 - alone
     as_larger = n - F.ceil(p * n / 100) + 1 - alone
     few = left.join(rare, "node").select("node", "component", "n", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), as_larger).cast("int")).alias("tokens"), as_smaller.alias("first"))
-    first = stored(few.select("node", "component", "n", "first", F.posexplode("tokens").alias("at", "token")).select(F.col("token.shingle").alias("shingle"), "node", "component", "n", (F.col("at") < F.col("first")).alias("smaller")), "prefixes")
-    parts = first.groupBy("shingle", "component").agg(F.count("*").alias("many"))
-    mixed = parts.groupBy("shingle").agg(F.max_by("component", "many").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
-    placed = stored(first.join(mixed, "shingle").withColumn("inner", F.col("component") == F.col("main")).drop("main"), "prefixes")
-    side = lambda df, x: df.select("shingle", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
-    met = lambda x, y: side(x, "a").join(side(y, "b"), "shingle")
-    small = placed.where("smaller")
-    pairs = met(small.where("not inner"), placed).unionByName(met(small.where("inner"), placed.where("not inner")))
-    pairs = pairs.where("ca <> cb and (na < nb or na = nb and a < b)").where(_like("na", "nb", percent))
-    return pairs.select("a", "b", "na", "nb").distinct()
+    first = few.select("node", "component", "n", "first", F.posexplode("tokens").alias("at", "token")).select(F.col("token.shingle").alias("shingle"), "node", "component", "n", (F.col("at") < F.col("first")).alias("smaller"))
+    first = stored(first, "prefixes")
+    parts = first.groupBy("shingle", "component").agg(F.count("*").alias("many"), F.min(F.when(F.col("smaller"), F.col("n"))).alias("least"), F.max("n").alias("most"))
+    # In a shingle that can link anything, some set stands as the smaller one, and a set large enough is another component's.
+    mixed = parts.groupBy("shingle").agg(F.max_by("component", "many").alias("main"), F.count("*").alias("parts"), F.min("least").alias("least"), F.max("most").alias("most")).where("parts > 1 and least is not null and least <= most").select("shingle", "main")
+    met = stored(first.join(mixed, "shingle").select("node", "component", "main").distinct(), "met")
+    cells = components(met.where("component <> main").select(F.col("component").alias("a"), F.col("main").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("cell"))
+    return met.select("node", "component").distinct().join(cells, "component").select("cell", "node", "component")
+
+
+def _links_of_blocks(part: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links between documents of side 0 and those of side 1, or among those of side 2, that join components."""
+    node, component, side = (part[c].to_numpy() for c in ("node", "component", "side"))
+    sets = [np.asarray(s) for s in part["set"]]
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    columns = np.flatnonzero(side != 0)
+    # The columns that have each shingle: a list for each code, one after the other.
+    holder = np.repeat(np.arange(len(columns)), size[columns])
+    codes = np.concatenate([code[ends[c] - size[c] : ends[c]] for c in columns]) if len(columns) else np.zeros(0, np.int64)
+    holder = holder[np.argsort(codes, kind="stable")]
+    stops = np.cumsum(np.bincount(codes, minlength=int(code.max()) + 1))
+    starts = np.concatenate([[0], stops[:-1]])
+    above = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while above[c] != c:
+            above[c] = c = above[above[c]]
+        return c
+
+    found = []
+    for r in np.flatnonzero(side != 1):
+        mine = code[ends[r] - size[r] : ends[r]]
+        common = np.bincount(np.concatenate([holder[a:b] for a, b in zip(starts[mine], stops[mine], strict=True)]), minlength=len(columns))
+        for k in np.flatnonzero(100 * common >= percent * (size[r] + size[columns] - common)):
+            x, y = root(int(component[r])), root(int(component[columns[k]]))
+            if x != y:
+                above[x] = y
+                found.append((node[r], node[columns[k]]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def cell_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components, of rows (cell, node, component): every two rows of a cell are compared, but for those of its largest component.
+
+    Cells are cut into blocks, and a task takes two of them; only links leave it.
+    """
+    left = stored(cells.join(sets.select("node", F.size("set").cast("long").alias("n")), "node"), "cells")
+    parts = left.groupBy("cell", "component").agg(F.sum("n").alias("size"))
+    cells = parts.groupBy("cell").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    cells = stored(cells.select("cell", F.col("main.component").alias("main"), count(F.col("main.size")).alias("mains"), count(F.col("all") - F.col("main.size")).alias("others")), "cells")
+    placed = left.join(cells, "cell").withColumn("inner", F.col("component") == F.col("main"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # Blocks of others are numbered first. Task (i, j), i <= j: block i of the others with block j of all.
+    block, others = F.col("block"), F.col("others")
+    task = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    as_other = F.concat(F.array(task(block, block, 2)), F.transform(upto(others + F.col("mains") - block - 1), lambda k: task(block, block + k + 1, 0)), F.transform(upto(block), lambda i: task(i, block, 1)))
+    tasks = F.when(F.col("inner"), F.transform(upto(others), lambda i: task(i, others + block, 1))).otherwise(as_other)
+    dealt = placed.select("cell", "node", "component", tasks.alias("tasks")).join(sets, "node").select("cell", "node", "component", "set", F.explode("tasks").alias("task"))
+    dealt = dealt.select("cell", "task.i", "task.j", "task.side", "node", "component", "set")
+    return dealt.groupBy("cell", "i", "j").applyInPandas(lambda part: _links_of_blocks(part, percent), "a long, b long")
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +295,7 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     left = stored(at.join(open_, "key", "left_semi").select("node", "component").distinct().join(nodes.select("node", "id", "t", "n"), "node"), "open")
     if not left.isEmpty():
         sets = full_sets(left, texts, size)
-        more = stored(confirmed_by(stored(prefix_pairs(left.select("node", "component", "n"), sets, percent), "pairs"), sets, percent), "links")
+        more = stored(cell_links(prefix_cells(left.select("node", "component", "n"), sets, percent), sets, percent), "links")
         if not more.isEmpty():
             group = stored(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
 

@@ -130,8 +130,24 @@ def sets_of(spark, sets):
     return nodes, spark.createDataFrame([(k, sorted(s)) for k, (_, s) in enumerate(sets)], "node long, set array<long>")
 
 
-def test_the_prefix_filter_leaves_all_pairs_of_the_similarity(spark):
+def joined(links, sets):
+    root = {c: c for c, _ in sets}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for i, j in links:
+        x, y = find(sets[i][0]), find(sets[j][0])
+        root[max(x, y)] = min(x, y)
+    return [find(c) for c, _ in sets]
+
+
+@pytest.mark.parametrize("block", [65_536, 200])
+def test_links_of_cells_are_all_links_between_components(spark, monkeypatch, block):
     """Random sets of common and rare shingles, in components of any size, against all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = np.random.default_rng(2)
     sets = []
     for _ in range(300):
@@ -139,32 +155,24 @@ def test_the_prefix_filter_leaves_all_pairs_of_the_similarity(spark):
         sets.append((int(rng.integers(0, 250)), base | set((1000 + rng.integers(0, 2000, int(rng.integers(0, 4)))).tolist())))
         sets.append((int(rng.integers(0, 250)), {*base, int(rng.integers(5000, 5010))}))
     nodes, full = sets_of(spark, sets)
-    close = near_dedup.prefix_pairs(nodes, full, 80)
-    got = {frozenset((r.a, r.b)) for r in near_dedup.confirmed_by(close, full, 80).collect()}
-    want = {frozenset((i, j)) for i, (c, x) in enumerate(sets) for j, (d, y) in enumerate(sets[:i]) if c != d and 100 * len(x & y) >= 80 * len(x | y)}
-    assert got == want and len(want) > 20
+    got = [(r.a, r.b) for r in near_dedup.cell_links(near_dedup.prefix_cells(nodes, full, 80), full, 80).collect()]
+    ok = lambda i, j: 100 * len(sets[i][1] & sets[j][1]) >= 80 * len(sets[i][1] | sets[j][1])
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i][0] != sets[j][0] and ok(i, j)]
+    assert all(ok(i, j) for i, j in got) and joined(got, sets) == joined(want, sets) and len(want) > 20
 
 
 @pytest.mark.parametrize("own", [35, 24])
 def test_documents_that_share_a_passage_are_not_compared(spark, own):
-    """5,000 sets with 165 common shingles and 35, or 24, of their own: pairs at a similarity of 0.70, or 0.77. No pair of sets is compared."""
+    """5,000 sets with 165 common shingles and 35, or 24, of their own: pairs at a similarity of 0.70, or 0.77. Hardly any stands in a cell."""
     rng = np.random.default_rng(3)
     passage = set(range(165))
     sets = [(k, passage | set((1000 * (k + 1) + np.arange(own)).tolist())) for k in range(5000)]
     for k in range(20):  # two that are linked, among them
         sets[int(rng.integers(100, 5000))] = (10_000 + k, (sets[k][1] - {0}) | {-k - 1})
     nodes, full = sets_of(spark, sets)
-    close = near_dedup.prefix_pairs(nodes, full, 80).cache()
-    assert 15 <= close.count() <= 400
-    assert near_dedup.confirmed_by(close, full, 80).count() >= 15
-
-
-def test_components_of_a_shingle_meet_the_largest_one_only_from_outside(spark):
-    """400 near copies of one component and three of others that are linked with it: pairs grow with the copies, not with their square."""
-    base = set(range(100))
-    sets = [(1, (base - {k % 100}) | {1000 + k}) for k in range(400)] + [(2 + k, (base - {k}) | {5000 + k}) for k in range(3)]
-    nodes, full = sets_of(spark, sets)
-    assert 3 <= near_dedup.prefix_pairs(nodes, full, 80).count() <= 3 * 403
+    cells = near_dedup.prefix_cells(nodes, full, 80).cache()
+    assert 30 <= cells.count() <= 60 and cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 4
+    assert near_dedup.cell_links(cells, full, 80).count() >= 15
 
 
 def test_near_duplicates_of_repeated_ids(spark):
