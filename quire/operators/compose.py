@@ -12,9 +12,11 @@ from quire.operators.lines import HEADING, heading_level, toc_tail
 from quire.shipping import ship
 
 
-def flattened_outline(entries: DataFrame, keep_broken: bool = False) -> DataFrame:
+def flattened_outline(entries: DataFrame, keep_broken: bool = False, top_only: bool = False) -> DataFrame:
     """(book_id, seq, level, title, page) of outline entries (book_id, seq, level, title, page): titles stripped; entries without
-    a title or a page are left out, or kept with page -1."""
+    a title or a page are left out, or kept with page -1. top_only: those of the first level, page 0 where there is none."""
+    if top_only:
+        return entries.where("level = 1").withColumn("title", ustrip(F.coalesce("title", F.lit("")))).withColumn("page", F.coalesce("page", F.lit(0)))
     e = entries.withColumn("title", ustrip(F.coalesce("title", F.lit(""))))
     if keep_broken:
         return e.withColumn("page", F.coalesce("page", F.lit(-1)))

@@ -44,9 +44,13 @@ def missing_tokens(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
 
 def written_differently(tokens: DataFrame, pages: DataFrame) -> DataFrame:
-    """Tokens (token, page_no) that are part of the squashed text of that page (page_no, text)."""
-    flat = pages.select("page_no", squashed(F.col("text")).alias("flat"))
-    return tokens.join(flat, "page_no").where(F.contains("flat", "token")).select(*tokens.columns)
+    """Tokens (page_no, token) that are part of the squashed text of that page (page_no, text), each once.
+
+    A page's tokens come to it as one set, so its text is squashed once, whatever their number.
+    """
+    sets = tokens.groupBy("page_no").agg(F.collect_set("token").alias("tokens"))
+    flat = pages.join(sets, "page_no").withColumn("flat", squashed(F.col("text")))
+    return flat.select("page_no", F.explode(F.filter("tokens", lambda t: F.contains(F.col("flat"), t))).alias("token"))
 
 
 def drop_furniture(text: Column) -> Column:

@@ -187,3 +187,9 @@ def repeated_targets(items: DataFrame) -> DataFrame:
     by = Window.partitionBy("book_id", "href").orderBy("ord")
     seen = items.withColumn("first", F.first("ord").over(by)).withColumn("nth", F.row_number().over(by))
     return seen.where("nth > 1").select("book_id", "ord", "href", "first")
+
+
+def last_occurrences(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows with the same key the last one, by order; ties are all kept. Only keys and orders are shuffled for the choice."""
+    last = rows.groupBy(key).agg(F.max(order).alias("__last")).withColumnRenamed(key, "__key")
+    return rows.join(last, F.col(key).eqNullSafe(F.col("__key")) & F.col(order).eqNullSafe(F.col("__last"))).select(*rows.columns)

@@ -20,8 +20,10 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 def folded_alerts(alerts: DataFrame) -> DataFrame:
     """(code, message, occurrences, created_at, severity): one alert for each code and message, with the latest time and the
-    severity it first had. alerts: code, message, severity, ts, alert_id."""
-    return alerts.groupBy("code", "message").agg(F.count("*").alias("occurrences"), F.max("ts").alias("created_at"), F.min_by("severity", F.struct("ts", "alert_id")).alias("severity"))
+    severity it first had. alerts: code, message, severity, ts, alert_id; if they have a context, the fold has the latest that isn't empty."""
+    at = F.struct("ts", "alert_id")
+    more = [F.max_by("context", F.when(F.length("context") > 0, at)).alias("context")] if "context" in alerts.columns else []
+    return alerts.groupBy("code", "message").agg(F.count("*").alias("occurrences"), F.max("ts").alias("created_at"), F.min_by("severity", at).alias("severity"), *more)
 
 
 def exit_code(alerts: DataFrame) -> DataFrame:
@@ -63,14 +65,25 @@ def stale(sources: DataFrame, seen: DataFrame) -> DataFrame:
     return j.select("name", "digest", F.when(F.col("before").isNull(), "new").when(F.col("before") != F.col("digest"), "changed").otherwise("same").alias("status"))
 
 
-def to_run(stages: DataFrame, until: int | None = None) -> DataFrame:
+def to_run(stages: DataFrame, until: int | None = None, force: int | None = None) -> DataFrame:
     """(run_id, stage, ord) of the stages that a resumed run still has to go through: the first incomplete one and all after it,
-    whatever their status, up to the stage with the number until. stages: run_id, stage, ord, status."""
-    first = stages.where(~F.col("status").isin("DONE", "SKIPPED")).groupBy("run_id").agg(F.min("ord").alias("first"))
+    whatever their status, up to the stage with the number until. stages: run_id, stage, ord, status.
+
+    force: the stage with that number is gone through again, and so are all after it, in any run.
+    """
+    again = ~F.col("status").isin("DONE", "SKIPPED")
+    first = stages.where(again if force is None else again | (F.col("ord") == force)).groupBy("run_id").agg(F.min("ord").alias("first"))
     left = stages.join(first, "run_id").where("ord >= first")
     return (left if until is None else left.where(F.col("ord") <= until)).select("run_id", "stage", "ord")
 
 
+def invalidated(stages: DataFrame, changed: DataFrame) -> DataFrame:
+    """stages with the status of those behind a changed one (run_id, ord) set to PENDING: their inputs aren't what they were made of."""
+    least = changed.groupBy("run_id").agg(F.min("ord").alias("__since"))
+    new = F.when(F.col("ord") > F.col("__since"), "PENDING").otherwise(F.col("status"))
+    return stages.join(least, "run_id", "left").withColumn("status", new).select(*stages.columns)
+
+
 def fingerprint(row: list[str]):
     """16 hex digits of the canonical JSON of columns, in the order given."""
     return F.left(F.sha2(F.to_json(F.struct(*row)), 256), F.lit(16))

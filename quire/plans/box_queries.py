@@ -14,17 +14,6 @@ from quire.operators import tables as H
 from quire.plans.common import docs, quoted, table, us
 from quire.streaming import folds
 
-#: Pages with tables: plain, ragged, wide, long and with a caption.
-TABLE_PAGES = {
-    1: "表1-1 数据 <table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>",
-    2: "x <table border=1><tr><td>a</td><td>b</td><td>c</td></tr><tr><td>a</td><td>b</td></tr><tr><td>a</td><td>b</td><td>c</td></tr></table> 表 2.3 甲 <table><tr><td>q</td></tr></table>",
-    3: "<table><tr>" + "<td>1</td>" * 9 + "</tr></table>",
-    4: "表A-4（续）<table>" + ("<tr>" + "<td>12</td>" * 6 + "</tr>") * 15 + "</table>",
-    5: "no table",
-}
-_VALUES = ", ".join(f"({k}, {quoted(v)})" for k, v in TABLE_PAGES.items())
-
-
 def boxes(s, d):
     """Boxes made of the first numbers of vectors: (vec_id, page, box, score)."""
     v = lambda i: F.abs(F.col("embedding")[i].cast("double"))
@@ -119,8 +108,19 @@ def streamed(s, d, fold, mode, name="events"):
     return folds.finished(fold(folds.events(s, f"{d}/{name}.parquet*", batch.schema)), mode, checkpoint)
 
 
-def table_pages(s):
-    return s.sql(f"SELECT * FROM VALUES {_VALUES} AS t(page_no, text)")
+def table_pages(s, d):
+    """Pages of 16 orders' tables, a row of a table for each line item: small ones, one for each order, or one for all; with captions and other
+    text before them; as many cells as the part's number says, in some orders the same in all rows."""
+    order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    page = F.floor(order / 16)
+    key = F.when(page % 3 == 0, page * 16).otherwise(order)
+    cells = F.when(order % 5 < 2, order % 10 + 1).otherwise(part % 4 + order % 7 + 1).cast("int")
+    row = F.concat(F.lit("<tr>"), F.expr("repeat(concat('<td>', l_partkey, '</td>'), cells)"), F.lit("</tr>"))
+    rows = table(s, d, "lineitem").withColumn("cells", cells).select(page.alias("page_no"), key.alias("t"), F.struct(order.alias("o"), F.col("l_linenumber").alias("l"), part.alias("p"), supp.alias("s"), row.alias("row")).alias("r"))
+    tables = rows.groupBy("page_no", "t").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["row"]), "").alias("rows"))
+    before = F.when(F.col("t") % 2 == 0, F.concat(F.lit("表 "), F.col("t"), F.lit("-1 数据\n"))).otherwise("x ")
+    one = tables.select("page_no", F.struct("t", F.concat(before, F.lit("<table>"), "rows", F.lit("</table>")).alias("text")).alias("x"))
+    return one.groupBy("page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), " ").alias("text"))
 
 
 def json_nodes(s, d):
@@ -137,9 +137,10 @@ QUERIES = {
     "score_norm": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", G.score_norm(F.col("l_quantity") * 3).alias("score")),
     "low_confidence": lambda s, d: G.low_confidence(boxes(s, d).select(F.col("page").alias("page_idx"), F.col("vec_id").alias("ord"), "score"), 0.1),
     "crop_box": lambda s, d: boxes(s, d).select("vec_id", G.crop_box(F.col("box"), 1000, 1400).alias("c")).select("vec_id", "c.*"),
-    "table_inventory": lambda s, d: H.inventory(table_pages(s)),
-    "needs_image": lambda s, d: H.inventory(table_pages(s)).where("needs_image").select("page_no", "ord", "cols", "rows"),
-    "table_ragged": lambda s, d: H.inventory(table_pages(s)).where("ragged <> ''").select("page_no", "ord", "ragged"),
+    "table_inventory": lambda s, d: H.inventory(table_pages(s, d)),
+    "needs_image": lambda s, d: H.inventory(table_pages(s, d)).where("needs_image").select("page_no", "ord", "cols", "rows"),
+    "over_limit": lambda s, d: H.over_limit(H.inventory(table_pages(s, d))).select("page_no", "ord", "cols", "rows", "chars"),
+    "table_ragged": lambda s, d: H.inventory(table_pages(s, d)).where("ragged <> ''").select("page_no", "ord", "ragged"),
     "html_structure": structure,
     "html_links": lambda s, d: I.references(xhtml(s, d)).groupBy("name", "href").agg(F.count("*").alias("n")),
     "missing_refs": missing_refs,
@@ -171,7 +172,8 @@ _ISSUES = "iss AS (SELECT 'DOC-' || (doc_id % 3) AS id, CASE WHEN quality = 0 TH
 _FILES = "fl AS (SELECT 'b' || (page_id % 7) AS book_id, 't/' || page_id || (['.xhtml', '.png', '.dat'])[page_id % 3 + 1] AS href, page_id, html FROM pages), mf AS (SELECT book_id, href, CASE WHEN ends_with(href, 'png') THEN 'image/png' ELSE 'application/xhtml+xml' END AS media_type, page_id, html FROM fl WHERE NOT ends_with(href, 'dat')), sp AS (SELECT book_id, -page_id AS ord, href FROM fl WHERE page_id % 2 = 0)"
 _LEVEL = "CASE WHEN value > 150 THEN 'ERROR' WHEN value > 100 THEN 'WARNING' ELSE 'INFO' END"
 _REFS = "rf AS (SELECT 'en/' || page_id || '.xhtml' AS name, unnest(list_concat(regexp_extract_all(html, '(?i)\\ssrc\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1), regexp_extract_all(html, '(?i)\\shref\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1))) AS href FROM pages)"
-_INV = f"tp(page_no, text) AS (VALUES {_VALUES}), tt AS (SELECT page_no, text, regexp_extract_all(text, '(?s)<table.*?</table>') AS h, string_split_regex(text, '(?s)<table.*?</table>') AS bt FROM tp), ti AS (SELECT page_no, i AS ord, h[i] AS html, right(bt[i], 200) AS before FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM tt)), tc AS (SELECT *, list_transform(regexp_extract_all(html, '(?s)<tr.*?</tr>'), lambda r: len(regexp_extract_all(r, '(?s)<td.*?</td>'))) AS cells FROM ti), inv AS (SELECT page_no, ord, len(cells) AS rows, coalesce(list_max(cells), 0) AS cols, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS chars, array_to_string(list_sort(list_distinct(list_filter(cells, lambda c: c <> list_max(cells) AND c > 1))), ',') AS ragged, coalesce(trim(regexp_extract_all(before, '(表\\s*[\\dA-Za-z.\\-]+[^\\n<]{{0,60}})', 1)[-1]), '') AS caption, (coalesce(list_max(cells), 0) >= 9 OR (coalesce(list_max(cells), 0) >= 6 AND len(cells) >= 15) OR coalesce(list_max(cells), 0) * len(cells) >= 150) AS needs_image, length(regexp_replace(html, '<[^>]+>', '', 'g')) > 1200 AS too_long FROM tc)"
+_TABLES = "ti0 AS (SELECT l_orderkey // 16 AS page_no, CASE WHEN (l_orderkey // 16) % 3 = 0 THEN l_orderkey // 16 * 16 ELSE l_orderkey END AS t, l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s, '<tr>' || repeat('<td>' || l_partkey || '</td>', (CASE WHEN l_orderkey % 5 < 2 THEN l_orderkey % 10 + 1 ELSE l_partkey % 4 + l_orderkey % 7 + 1 END)::INT) || '</tr>' AS row FROM lineitem), tb AS (SELECT page_no, t, CASE WHEN t % 2 = 0 THEN '表 ' || t || '-1 数据' || chr(10) ELSE 'x ' END || '<table>' || string_agg(row, '' ORDER BY o, l, p, s) || '</table>' AS text FROM ti0 GROUP BY 1, 2), tp AS (SELECT page_no, string_agg(text, ' ' ORDER BY t) AS text FROM tb GROUP BY 1)"
+_INV = f"{_TABLES}, tt AS (SELECT page_no, text, regexp_extract_all(text, '(?s)<table.*?</table>') AS h, string_split_regex(text, '(?s)<table.*?</table>') AS bt FROM tp), ti AS (SELECT page_no, i AS ord, h[i] AS html, right(bt[i], 200) AS before FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM tt)), tc AS (SELECT *, list_transform(regexp_extract_all(html, '(?s)<tr.*?</tr>'), lambda r: len(regexp_extract_all(r, '(?s)<td.*?</td>'))) AS cells FROM ti), inv AS (SELECT page_no, ord, len(cells) AS rows, coalesce(list_max(cells), 0) AS cols, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS chars, array_to_string(list_sort(list_distinct(list_filter(cells, lambda c: c <> list_max(cells) AND c > 1))), ',') AS ragged, coalesce(trim(regexp_extract_all(before, '(表\\s*[\\dA-Za-z.\\-]+[^\\n<]{{0,60}})', 1)[-1]), '') AS caption, (coalesce(list_max(cells), 0) >= 9 OR (coalesce(list_max(cells), 0) >= 6 AND len(cells) >= 15) OR coalesce(list_max(cells), 0) * len(cells) >= 150) AS needs_image, length(regexp_replace(html, '<[^>]+>', '', 'g')) > 1200 AS too_long FROM tc)"
 
 SQL = {
     "layout_score": f"WITH {_BOX}, h AS (SELECT a.vec_id AS target_id, b.score, 'b' || b.vec_id AS source FROM bx a JOIN bx b ON a.page = b.page AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 WHERE {_INTER} > 0 AND (({_INTER} >= 0.5::DOUBLE * {_AREA('a')} AND {_AREA('a')} > 0) OR {_INTER} >= 0.5::DOUBLE * greatest({_AREA('b')}, 1e-9::DOUBLE))) SELECT target_id, min(score) AS score, 'layout:' || arg_min(source, score) AS source, count(*) AS hits FROM h GROUP BY 1",
@@ -183,6 +185,7 @@ SQL = {
     "crop_box": f'WITH {_BOX} SELECT vec_id, greatest(0, floor(x0 * 1000) - 10)::INT AS "left", greatest(0, floor(y0 * 1400) - 10)::INT AS top, least(1000, ceil(x1 * 1000) + 10)::INT AS "right", least(1400, ceil(y1 * 1400) + 10)::INT AS bottom FROM bx',
     "table_inventory": f"WITH {_INV} SELECT * FROM inv",
     "needs_image": f"WITH {_INV} SELECT page_no, ord, cols, rows FROM inv WHERE needs_image",
+    "over_limit": f"WITH {_INV} SELECT page_no, ord, cols, rows, chars FROM inv WHERE needs_image OR too_long",
     "table_ragged": f"WITH {_INV} SELECT page_no, ord, ragged FROM inv WHERE ragged <> ''",
     "html_structure": "SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) <> '' AS has_title, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, len(regexp_extract_all(html, '<p[ >]')) - len(regexp_extract_all(html, '</p>')) AS open_p, regexp_matches(html, '<body[ >]') AS has_body FROM pages",
     "html_links": f"WITH {_REFS} SELECT name, href, count(*) AS n FROM rf WHERE href <> '' GROUP BY 1, 2",

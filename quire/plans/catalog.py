@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import box_queries, line_queries, page_queries, record_queries
+from quire.plans import box_queries, line_queries, page_queries, record_queries, result_queries
 
-MODULES = (page_queries, line_queries, box_queries, record_queries)
+MODULES = (page_queries, line_queries, box_queries, record_queries, result_queries)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

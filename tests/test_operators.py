@@ -227,6 +227,20 @@ def brute_binomials(latex):
     return out + latex[at:]
 
 
+TABLE_PAGES = {
+    1: "表1-1 数据 <table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>",
+    2: "x <table border=1><tr><td>a</td><td>b</td><td>c</td></tr><tr><td>a</td><td>b</td></tr><tr><td>a</td><td>b</td><td>c</td></tr></table> 表 2.3 甲 <table><tr><td>q</td></tr></table>",
+    3: "<table><tr>" + "<td>1</td>" * 9 + "</tr></table>",
+    4: "表A-4（续）<table>" + ("<tr>" + "<td>12</td>" * 6 + "</tr>") * 15 + "</table>",
+    5: "no table",
+}
+
+
+def test_inventory_of_odd_tables(spark):
+    got = {(r.page_no, r.ord): (r.rows, r.cols, r.ragged, r.caption, r.needs_image) for r in tables.inventory(rows(spark, list(TABLE_PAGES.items()), "page_no int, text string")).collect()}
+    assert got == {(1, 1): (2, 2, "", "表1-1 数据", False), (2, 1): (3, 3, "2", "", False), (2, 2): (1, 1, "", "表 2.3 甲", False), (3, 1): (1, 9, "", "", True), (4, 1): (15, 6, "", "表A-4（续）", True)}
+
+
 PLAN = "book_id string, seq int, op string, find string, with_ string, expect int, occurrence int, right_head string"
 
 
@@ -394,6 +408,13 @@ def test_trimming_is_pythons(spark):
         assert one(spark, t, X.ustrip) == t.strip()
 
 
+def test_forced_and_invalidated_stages(spark):
+    s = rows(spark, [("r", "a", 0, "DONE"), ("r", "b", 1, "DONE"), ("r", "c", 2, "DONE"), ("q", "a", 0, "FAILED"), ("q", "b", 1, "DONE")], "run_id string, stage string, ord int, status string")
+    assert sorted((r.run_id, r.ord) for r in state.to_run(s, force=1).collect()) == [("q", 0), ("q", 1), ("r", 1), ("r", 2)]
+    changed = rows(spark, [("r", 0), ("r", 1)], "run_id string, ord int")
+    assert sorted((r.run_id, r.ord, r.status) for r in state.invalidated(s, changed).collect()) == [("q", 0, "FAILED"), ("q", 1, "DONE"), ("r", 0, "DONE"), ("r", 1, "PENDING"), ("r", 2, "PENDING")]
+
+
 def test_resume_and_isolation(spark):
     s = rows(spark, [("r", "a", 0, "DONE"), ("r", "b", 1, "FAILED"), ("r", "c", 2, "DONE"), ("q", "a", 0, "DONE")], "run_id string, stage string, ord int, status string")
     assert [r.stage for r in state.to_run(s).orderBy("ord").collect()] == ["b", "c"] and [r.stage for r in state.to_run(s, 1).collect()] == ["b"]
