@@ -280,16 +280,24 @@ def parsed_page_count(results: DataFrame) -> DataFrame:
     return results.select("bundle", F.coalesce(F.when(content.isNotNull(), last + 1), known).alias("parsed_pages"))
 
 
+def _page_starts(lines: DataFrame, file: str) -> DataFrame:
+    """lines (file, line_no, pages) exploded to (file, page, p): pages run on across a file's lines. Only counts meet by file."""
+    before = Window.partitionBy(file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.select(file, "line_no", F.size("pages").alias("n"))
+    starts = counts.select(F.col(file).alias("__file"), F.col("line_no").alias("__line"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    placed = lines.join(starts, F.col(file).eqNullSafe(F.col("__file")) & (F.col("line_no") == F.col("__line")))
+    return placed.select(file, "__start", F.posexplode("pages").alias("__i", "p")).select(file, (F.col("__start") + F.col("__i")).alias("page"), "p")
+
+
 def result_pages(lines: DataFrame) -> DataFrame:
     """(file, page_idx, text, images) of result lines (file, line_no, value): page numbers run on across the lines of a file.
 
     A line that is no JSON raises; blank lines are skipped.
     """
     shape = "struct<result:struct<layoutParsingResults:array<struct<markdown:struct<text:string,images:map<string,string>>>>>>"
-    rows = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", shape, {"mode": "FAILFAST"}))
-    pages = rows.select("file", "line_no", F.posexplode("r.result.layoutParsingResults").alias("i", "p"))
-    order = Window.partitionBy("file").orderBy("line_no", "i")
-    return pages.select("file", (F.row_number().over(order) - 1).alias("page_idx"), F.coalesce("p.markdown.text", F.lit("")).alias("text"), "p.markdown.images")
+    rows = lines.where(F.trim("value") != "").select("file", "line_no", F.from_json("value", shape, {"mode": "FAILFAST"})["result"]["layoutParsingResults"].alias("pages"))
+    pages = _page_starts(rows.where("pages is not null"), "file")
+    return pages.select("file", F.col("page").cast("int").alias("page_idx"), F.coalesce("p.markdown.text", F.lit("")).alias("text"), "p.markdown.images")
 
 
 def layout_index(model: DataFrame, middle: DataFrame) -> DataFrame:
@@ -306,10 +314,8 @@ def parsed_boxes(results: DataFrame) -> DataFrame:
     """
     shape = "struct<result:struct<layoutParsingResults:array<struct<prunedResult:struct<width:double,height:double,parsing_res_list:array<struct<block_label:string,block_bbox:array<double>>>>>>>>"
     rows = results.select("bundle", "line_no", F.from_json("value", shape)["result"]["layoutParsingResults"].alias("pages")).where("pages is not null")
-    before = Window.partitionBy("bundle").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.select("bundle", "line_no", F.coalesce(F.sum(F.size("pages")).over(before), F.lit(0)).alias("start"))
-    pages = rows.join(starts, ["bundle", "line_no"]).select("bundle", "start", F.posexplode("pages").alias("i", "p"))
-    blocks = pages.select("bundle", (F.col("start") + F.col("i")).alias("page"), "p.prunedResult.width", "p.prunedResult.height", F.posexplode("p.prunedResult.parsing_res_list").alias("ord", "b"))
+    pages = _page_starts(rows, "bundle")
+    blocks = pages.select("bundle", "page", "p.prunedResult.width", "p.prunedResult.height", F.posexplode("p.prunedResult.parsing_res_list").alias("ord", "b"))
     return blocks.select("bundle", "page", bbox(F.col("b.block_bbox")).alias("box"), "width", "height", F.col("b.block_label").alias("label"), "ord").where("box is not null")
 
 

@@ -25,6 +25,19 @@ def located(files: DataFrame, roles: dict[str, tuple[str, ...]] = ROLES) -> Data
     return f.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("bundle", F.col("o.role").alias("role"), "path")
 
 
+def unclaimed(files: DataFrame, roles: dict[str, tuple[str, ...]] = ROLES) -> DataFrame:
+    """(bundle, path) of JSON files that no role's pattern names, the shallowest first by name: a result of an unknown layout may be among them."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    known = name.rlike("^(?:" + "|".join(p for ps in roles.values() for p in ps) + ")$")
+    return files.where(~F.col("path").rlike(r"(^|/)\.") & name.rlike(r"\.json$") & ~known).select("bundle", "path")
+
+
+def unusable(files: DataFrame, roles: dict[str, tuple[str, ...]] = ROLES, wanted: tuple[str, ...] = ("markdown", "content_list")) -> DataFrame:
+    """(bundle, n_files) of bundles that have none of the wanted roles: nothing of them can be used."""
+    usable = located(files, roles).where(F.col("role").isin(*wanted)).select("bundle").distinct()
+    return files.groupBy("bundle").agg(F.count("*").alias("n_files")).join(usable, "bundle", "left_anti")
+
+
 def natural_key(name: Column) -> Column:
     """A sort key in which numbers count by their value: digits are padded to twenty places."""
     parts = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import markup
 from quire.functions import text as X
 from quire.operators import detect, diff, edits, formulas, geometry, interval_edits, lines, lint, package, pages, segments, state, tables, translate
-from quire.sources import archives
+from quire.sources import archives, artifacts
 
 
 def rows(spark, data, schema):
@@ -408,6 +408,29 @@ def test_trimming_is_pythons(spark):
         assert one(spark, t, X.ustrip) == t.strip()
 
 
+def test_lines_of_a_file_in_many_blocks_are_numbered(spark, tmp_path):
+    lines_ = [f"line {i} " + "x" * (i % 90) for i in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines_) + "\n")
+    (tmp_path / "b.txt").write_text("one\n\nthree")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        read = archives.read_results(spark, str(tmp_path))
+        got = {}
+        for r in read.collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], {})[r.line_no] = r.value
+        assert read.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {"a.txt": {i + 1: x for i, x in enumerate(lines_)}, "b.txt": {1: "one", 2: "", 3: "three"}}
+
+
+def test_files_that_no_role_names_and_bundles_of_no_use(spark):
+    f = rows(spark, [("a", "x/full.md"), ("a", "x/odd.json"), ("a", "x/b_model.json"), ("b", "y/z.json"), ("b", "y/.hidden.json"), ("c", "c_content_list.json")], "bundle string, path string")
+    assert sorted(map(tuple, artifacts.unclaimed(f).collect())) == [("a", "x/odd.json"), ("b", "y/z.json")]
+    assert [tuple(r) for r in artifacts.unusable(f).collect()] == [("b", 2)]
+
+
 def test_forced_and_invalidated_stages(spark):
     s = rows(spark, [("r", "a", 0, "DONE"), ("r", "b", 1, "DONE"), ("r", "c", 2, "DONE"), ("q", "a", 0, "FAILED"), ("q", "b", 1, "DONE")], "run_id string, stage string, ord int, status string")
     assert sorted((r.run_id, r.ord) for r in state.to_run(s, force=1).collect()) == [("q", 0), ("q", 1), ("r", 1), ("r", 2)]
