@@ -144,6 +144,7 @@ QUERIES = {
     "representative_size": lambda s, d: G.representative_size(sizes(s, d)),
     "titles_translated": lambda s, d: R.titles_translated(docs(s, d).select("doc_id", F.split("text", "\n")[0].alias("title")), docs(s, d).where("doc_id % 3 = 0").select(F.split("text", "\n")[0].alias("t")).distinct().select(R.cache_key(F.col("t")).alias("key"), F.concat(F.lit("zh: "), "t").alias("translated"))).select("doc_id", F.sha2("shown", 256).alias("digest")),
     "last_occurrence": lambda s, d: K.last_occurrences(table(s, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id"),
+    "stream_stuck_jobs": lambda s, d: streamed(s, d, folds.stuck_jobs, "append").select("user_id", "n_events", "last_type", F.col("last_ts").cast("timestamp_ntz").alias("last_ts")),
     "stream_windows": lambda s, d: streamed(s, d, folds.windowed_counts, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"),
 }
 
@@ -175,5 +176,6 @@ SQL = {
     "representative_size": "WITH s AS (SELECT label AS bundle, vec_id, round(embedding[1]::DOUBLE * 100) AS width, round(embedding[2]::DOUBLE * 100) AS height FROM embeddings) SELECT bundle, arg_min(width, vec_id) AS width, arg_min(height, vec_id) AS height FROM s WHERE width > 0 AND height > 0 GROUP BY 1",
     "titles_translated": "WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents) SELECT doc_id, sha256(CASE WHEN title IN (SELECT title FROM t WHERE doc_id % 3 = 0) THEN 'zh: ' || title ELSE title END) AS digest FROM t",
     "last_occurrence": "SELECT user_id, event_id, value FROM events QUALIFY event_id = max(event_id) OVER (PARTITION BY user_id)",
+    "stream_stuck_jobs": "WITH j AS (SELECT user_id, count(*) AS n_events, arg_max(event_type, event_id) AS last_type, max(ts) AS last_ts FROM events GROUP BY 1) SELECT * FROM j WHERE last_ts + INTERVAL 6 HOURS < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES",
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -5,8 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from quire.shipping import ship
 
 
 def events(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -47,3 +51,31 @@ def finished(stream: DataFrame, mode: str, folder: str) -> DataFrame:
 def flagged_pages(stream: DataFrame, detectors) -> DataFrame:
     """Findings of a stream of pages (book_id, page_no, doc_id, text), by detectors of single pages: a map, without state."""
     return reduce(DataFrame.unionByName, [d(stream) for d in detectors])
+
+
+def stuck_jobs(stream: DataFrame, after: str = "6 hours", late: str = "10 minutes") -> DataFrame:
+    """(user_id, n_events, last_type, last_ts) of jobs of which nothing came for so long, by event time: a time-out on each job's state.
+
+    A job's state is its latest event; a new event moves its time-out, so a job that goes on isn't stuck. To be written in append mode.
+    """
+    ship(stream.sparkSession)
+    wait = pd.Timedelta(after).value // 1_000_000
+
+    def step(key, batches, state):
+        n, kind, order, last = state.get if state.exists else (0, None, -1, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "n_events": [n], "last_type": [kind], "last_ts": [pd.Timestamp(last, unit="us")]})
+            return
+        for b in batches:
+            n += len(b)
+            newest = b.loc[b["event_id"].idxmax()]
+            if newest["event_id"] > order:
+                order, kind = int(newest["event_id"]), newest["event_type"]
+            last = max(last, int(b["us"].max()))
+        state.update((n, kind, order, last))
+        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).withColumn("us", F.unix_micros("at"))
+    rows = timed.select("user_id", "event_id", "event_type", "at", "us")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, n_events long, last_type string, last_ts timestamp", "n long, kind string, ord long, last long", "append", GroupStateTimeout.EventTimeTimeout)
