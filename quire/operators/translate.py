@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import needs_translation
@@ -47,7 +47,7 @@ def back_filled(lines: DataFrame, cache: DataFrame) -> DataFrame:
 def batches(lines: DataFrame, budget: int = 5500) -> DataFrame:
     """lines (doc_id, line_no, line) with the number of the request each goes into: as many lines as the budget of bytes holds.
 
-    The fold over one document's sizes notes only where a request begins; a line's number is that of the beginnings up to it.
+    The fold over one document's sizes notes only where a request begins; a line's number is that of the beginnings up to it, a running sum.
     """
     sizes = F.array_sort(F.collect_list(F.struct("line_no", F.octet_length("line").alias("n"))))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("begins"))
@@ -58,8 +58,10 @@ def batches(lines: DataFrame, budget: int = 5500) -> DataFrame:
         return F.struct((F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), begins.alias("begins"))
 
     folded = lines.groupBy("doc_id").agg(sizes.alias("s")).withColumn("begins", F.aggregate("s", start, step)["begins"])
-    batch = lambda x: F.struct(x["line_no"].alias("line_no"), F.size(F.filter("begins", lambda b: b <= x["line_no"])).alias("batch"))
-    return folded.select("doc_id", F.explode(F.transform("s", batch)).alias("o")).select("doc_id", "o.line_no", "o.batch")
+    marks = folded.select("doc_id", F.explode("begins").alias("line_no"), F.lit(1).alias("mark"))
+    numbered = folded.select("doc_id", F.explode(F.transform("s", lambda x: x["line_no"])).alias("line_no")).join(marks, ["doc_id", "line_no"], "left")
+    upto = Window.partitionBy("doc_id").orderBy("line_no").rangeBetween(Window.unboundedPreceding, 0)
+    return numbered.select("doc_id", "line_no", F.sum(F.coalesce("mark", F.lit(0))).over(upto).alias("batch"))
 
 
 def isolated(results: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
