@@ -9,8 +9,8 @@ so a pair of similarity 0.8 escapes with a probability of about 0.0002, and one
 
 Documents with equal sets are one node from the start. A key's documents don't meet pairwise: each is compared with the
 key's pivot, the document whose keys are shared most, and links so found make components. Only keys whose documents are then
-not in one component are looked at further. An exact prefix filter on the full sets of their documents (prefix_cells) leaves
-cells of those that may be linked across components. Within a cell, documents are compared exactly, on full sets, but for those of its largest component with each other.
+not in one component are looked at further. Keys that share documents form a cell. Of a cell, an exact prefix filter on full sets
+(prefix_cells) keeps the documents that may be linked across components; these are compared exactly, on full sets, but for those of the largest component with each other.
 Cells are cut into blocks of bounded size, and a task takes two of them, so a cell may be of any size; only links that join components
 leave the task. So no link between components is lost, there is no cap, and a group of n near copies costs n comparisons and those of its stragglers.
 Documents that share a passage but not the similarity share only common shingles, which stand last in the filter's order: they
@@ -181,30 +181,26 @@ def confirmed_by(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_cells(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (cell, node, component) of rows (node, component, n): documents that may be linked with ones of other components stand in one cell.
+    """Of rows (cell, node, component, n): (cell, node, component) of the documents that may be linked with one of another component of their cell.
 
-    A prefix filter: all sets are put into one order of shingles, rare ones first. Two sets of the similarity then share a shingle among the first
+    A prefix filter: a cell's sets are put into one order of shingles, rare ones first. Two sets of the similarity then share a shingle among the first
     few of the smaller one (what it may lack if both are of its size) and those of the larger one (what it may lack at all): an exact test.
-    Documents that are alike only in what many have stand apart in their beginnings, and never meet. Components that meet in a shingle,
-    one of them in the first few of a smaller set, are in one cell; a shingle ties each to its largest component, not all to all.
+    Documents that are alike only in what many have stand apart in their beginnings, and never meet.
     """
-    tokens = left.select("node").join(sets, "node").select("node", F.explode("set").alias("shingle"))
-    counts = tokens.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
+    tokens = left.select("cell", "node").join(sets, "node").select("cell", "node", F.explode("set").alias("shingle"))
+    counts = tokens.groupBy("cell", "shingle").agg(F.count("*").alias("many")).where("many > 1")
     # Shingles of one document come first in the order, and are in no intersection: only their number counts.
-    rare = tokens.join(counts, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("many", "shingle"))).alias("tokens"))
+    rare = tokens.join(counts, ["cell", "shingle"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("many", "shingle"))).alias("tokens"))
     p, n = F.lit(percent), F.col("n")
     alone = n - F.size("tokens")
     as_smaller = n - F.ceil(2 * p * n / (100 + p)) + 1 - alone
     as_larger = n - F.ceil(p * n / 100) + 1 - alone
-    few = left.join(rare, "node").select("node", "component", "n", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), as_larger).cast("int")).alias("tokens"), as_smaller.alias("first"))
-    first = few.select("node", "component", "n", "first", F.posexplode("tokens").alias("at", "token")).select(F.col("token.shingle").alias("shingle"), "node", "component", "n", (F.col("at") < F.col("first")).alias("smaller"))
+    few = left.join(rare, "node").select("cell", "node", "component", "n", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), as_larger).cast("int")).alias("tokens"), as_smaller.alias("first"))
+    first = few.select("cell", "node", "component", "n", "first", F.posexplode("tokens").alias("at", "token")).select("cell", F.col("token.shingle").alias("shingle"), "node", "component", "n", (F.col("at") < F.col("first")).alias("smaller"))
     first = stored(first, "prefixes")
-    parts = first.groupBy("shingle", "component").agg(F.count("*").alias("many"), F.min(F.when(F.col("smaller"), F.col("n"))).alias("least"), F.max("n").alias("most"))
-    # In a shingle that can link anything, some set stands as the smaller one, and a set large enough is another component's.
-    mixed = parts.groupBy("shingle").agg(F.max_by("component", "many").alias("main"), F.count("*").alias("parts"), F.min("least").alias("least"), F.max("most").alias("most")).where("parts > 1 and least is not null and least <= most").select("shingle", "main")
-    met = stored(first.join(mixed, "shingle").select("node", "component", "main").distinct(), "met")
-    cells = components(met.where("component <> main").select(F.col("component").alias("a"), F.col("main").alias("b")).distinct()).select(F.col("node").alias("component"), F.col("component").alias("cell"))
-    return met.select("node", "component").distinct().join(cells, "component").select("cell", "node", "component")
+    # In a shingle that can link anything, several components stand, one of them as the smaller set.
+    mixed = first.groupBy("cell", "shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.bool_or("smaller").alias("some")).where("x <> y and some").select("cell", "shingle")
+    return first.join(mixed, ["cell", "shingle"], "left_semi").select("cell", "node", "component").distinct()
 
 
 def _links_of_blocks(part: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -292,10 +288,12 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
 
     at = shared.where("many > 2").join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = stored(at.join(open_, "key", "left_semi").select("node", "component").distinct().join(nodes.select("node", "id", "t", "n"), "node"), "open")
-    if not left.isEmpty():
+    cells = stored(components(spokes.join(open_, "key", "left_semi").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "cells")
+    if not cells.isEmpty():
+        left = cells.withColumnRenamed("component", "cell").join(group, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
+        left = stored(left.join(nodes.select("node", "id", "t", "n"), "node"), "open")
         sets = full_sets(left, texts, size)
-        more = stored(cell_links(prefix_cells(left.select("node", "component", "n"), sets, percent), sets, percent), "links")
+        more = stored(cell_links(prefix_cells(left.select("cell", "node", "component", "n"), sets, percent), sets, percent), "links")
         if not more.isEmpty():
             group = stored(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
 
