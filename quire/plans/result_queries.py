@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions.markup import SAMPLE_MARKER
 from quire.operators import compose as C
 from quire.operators import diff as T
-from quire.operators import formulas as O
+from quire.operators import formulas as B
 from quire.operators import geometry as G
 from quire.operators import lint as I
+from quire.operators import orders as O
 from quire.operators import package as K
+from quire.operators import pages as P
 from quire.operators import segments as J
 from quire.operators import state as S
 from quire.operators import tables as H
 from quire.operators import translate as R
 from quire.plans.box_queries import boxes, streamed
-from quire.plans.common import docs, quoted, spread_docs, squashed_sql, table
+from quire.plans.common import BP, CP, docs, pages, quoted, spread_docs, squashed_sql, table, us
+from quire.plans.record_queries import _LAST, seam_pages
 from quire.streaming import folds
 
 
@@ -126,7 +130,34 @@ def sizes(s, d):
     return table(s, d, "embeddings").select(F.col("label").alias("bundle"), F.col("vec_id").alias("page"), v(0).alias("width"), v(1).alias("height"))
 
 
+def order_parts(s, d):
+    """A segment for each page: 60 characters from its text's 101st on, with a score by its length."""
+    p = pages(s, d)
+    segments = p.select("book_id", F.format_string("S%05d", "page_no").alias("segment_id"), "page_no", (F.length("text") % 100 / 100).alias("score"), F.substring("text", 101, 60).alias("text"))
+    return segments, p
+
+
+def work_orders(s, d):
+    segments, p = order_parts(s, d)
+    return O.order_segments(segments, p, 0.3, 20).select("book_id", "nth", "segment_id", "page_no", "score", F.sha2("excerpt", 256).alias("digest"))
+
+
+def order_counts(s, d):
+    segments, p = order_parts(s, d)
+    seams = seam_pages(s, d)
+    return O.work_order(segments, p, seams, P.books(p), 0.3, 20)[2].select("book_id", "segments", "low", "seams")
+
+
+def chapter_files(s, d):
+    """A source's documents as its chapters; of a third of the languages they are samples or empty."""
+    text = F.when(F.col("n_chars") % 3 == 0, F.lit(SAMPLE_MARKER)).when(F.col("n_chars") % 3 == 1, F.lit(" ")).otherwise(F.col("text"))
+    return table(s, d, "documents").select(F.concat_ws("-", "source", F.col("n_chars") % 3).alias("book_id"), F.col("doc_id").alias("name"), text.alias("text"))
+
+
 QUERIES = {
+    "work_orders": work_orders,
+    "order_counts": order_counts,
+    "composed": lambda s, d: O.composed(chapter_files(s, d)),
     "layout_segments": layout_segments,
     "result_boxes": result_boxes,
     "written_differently": lambda s, d: T.written_differently(tokens_before(s, d), docs(s, d).select(F.col("doc_id").alias("page_no"), "text")),
@@ -134,7 +165,7 @@ QUERIES = {
     "outline_flat": lambda s, d: C.flattened_outline(outline_entries(s, d)),
     "outline_kept": lambda s, d: C.flattened_outline(outline_entries(s, d), keep_broken=True),
     "outline_top": lambda s, d: C.flattened_outline(outline_entries(s, d), top_only=True),
-    "grouped_binomials": lambda s, d: O.grouped_binomials(binomial_formulas(s, d)).select("id", F.sha2("latex", 256).alias("digest")),
+    "grouped_binomials": lambda s, d: B.grouped_binomials(binomial_formulas(s, d)).select("id", F.sha2("latex", 256).alias("digest")),
     "modified_stamp": lambda s, d: K.modified_stamp(stage_files(s, d)),
     "merged_reports": lambda s, d: I.merged(checker_reports(s, d)),
     "issue_order": issue_order,
@@ -158,7 +189,12 @@ _TOK = f"SELECT DISTINCT doc_id + 1 AS page_no, regexp_replace(t, '^[._\\-$#]+|[
 _STAGE = "st AS (SELECT doc_id AS run_id, ord, stage, CASE WHEN length(text) % 4 = ord THEN 'FAILED' WHEN length(text) % 5 = ord THEN 'SKIPPED' ELSE 'DONE' END AS status FROM documents, (VALUES (0, 'prepare'), (1, 'calibrate'), (2, 'compose'), (3, 'check')) t(ord, stage))"
 _GROUP = r"\{(?:[^{}]|\{[^{}]*\})*\}"
 
+_LOWEST = f"w AS (SELECT book_id, format('S{{:05d}}', page_no) AS segment_id, page_no, length(text) % 100 / 100.0::DOUBLE AS score, left(string_split({us('substring(text, 101, 60)')}, chr(10))[1], 60) AS key, text FROM bp), lowest AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score, page_no, segment_id) AS nth FROM w WHERE score < 0.3 QUALIFY nth <= 20)"
+
 SQL = {
+    "work_orders": f"WITH {BP}, {_LOWEST}, a AS (SELECT *, CASE WHEN key = '' THEN 0 ELSE strpos(text, key) END AS pos FROM lowest), c AS (SELECT *, greatest(0, pos - 201) AS s, least(length(text), pos + 199) AS e FROM a) SELECT book_id, nth, segment_id, page_no, score, sha256(CASE WHEN pos = 0 THEN '' ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substring(text, s + 1, e - s) || CASE WHEN e < length(text) THEN '…' ELSE '' END END) AS digest FROM c",
+    "order_counts": f"WITH {CP}, {_LAST}, {_LOWEST}, n AS (SELECT book_id, count(*) AS segments FROM bp GROUP BY 1), l AS (SELECT book_id, count(*) AS low FROM lowest GROUP BY 1), z AS (SELECT book_id, count(*) AS seams FROM seam GROUP BY 1) SELECT n.book_id, segments, coalesce(low, 0) AS low, coalesce(seams, 0) AS seams FROM n LEFT JOIN l ON l.book_id = n.book_id LEFT JOIN z ON z.book_id = n.book_id",
+    "composed": "WITH c AS (SELECT concat_ws('-', source, n_chars % 3) AS book_id, n_chars % 3 = 2 AND trim(text) <> '' AS done FROM documents) SELECT book_id, count(*) AS chapters, count(*) FILTER (done) AS written, count(*) FILTER (done) > 0 AS ready FROM c GROUP BY 1",
     "layout_segments": f"WITH {_B}, {_SEG}, l AS (SELECT bundle, vec_id % 4 AS page, x0, y0, x1, y1, score FROM b WHERE vec_id % 2 = 1), h AS (SELECT s.bundle, segment_id, min(score) AS score, count(*) AS lines FROM s JOIN l ON s.bundle = l.bundle AND s.page_idx = l.page WHERE {_C} > 0 AND ({_C} >= 0.5::DOUBLE * {_AREA('s')} AND {_AREA('s')} > 0 OR {_C} >= 0.5::DOUBLE * greatest({_AREA('l')}, 1e-9::DOUBLE)) GROUP BY 1, 2) SELECT s.bundle, s.segment_id, page_idx, text, score, CASE WHEN score IS NULL THEN 'none' ELSE 'layout:score' END AS source, coalesce(lines, 0) AS lines FROM s LEFT JOIN h USING (bundle, segment_id)",
     "result_boxes": f"WITH p AS (SELECT label AS bundle, vec_id, unnest(CASE WHEN vec_id % 3 = 0 THEN [1, 2] ELSE [3] END) AS kind, embedding FROM embeddings), n AS (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY vec_id, kind) - 1 AS page FROM p), k AS (SELECT *, unnest(CASE kind WHEN 1 THEN [{{'o': 0, 'l': 'text', 'a': 0}}] WHEN 2 THEN [{{'o': 0, 'l': 'image', 'a': 4}}, {{'o': 1, 'l': 'table', 'a': 8}}, {{'o': 2, 'l': 'text', 'a': 12}}] ELSE [{{'o': 0, 'l': 'text', 'a': 0}}, {{'o': 1, 'l': 'image', 'a': 4}}] END) AS b FROM n) SELECT bundle, page, b.l AS label, b.o AS ord, 1000.0::DOUBLE AS width, abs(embedding[b.a + 1]::DOUBLE) * 1000 AS x0, abs(embedding[b.a + 4]::DOUBLE) * 1000 AS y1 FROM k",
     "written_differently": f"WITH t AS ({_TOK}), f AS (SELECT doc_id AS page_no, {squashed_sql('text')} AS flat FROM documents) SELECT page_no, token FROM t JOIN f USING (page_no) WHERE length(token) >= 3 AND contains(flat, token)",
