@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -307,6 +308,11 @@ def test_binomials_are_grouped_at_any_depth(spark):
     assert got == {i: None if c is None else brute_binomials(c) for i, c in enumerate(cases)}
 
 
+def test_formulas_are_matched_without_a_shuffle(spark, capsys):
+    formulas.grouped_binomials(rows(spark, [(1, r"\binom{a}{b}^2")], "id int, latex string")).explain()
+    assert not {"Exchange", "Generate", "Window"} & set(re.findall(r"\w+", capsys.readouterr().out))
+
+
 def test_deep_json_is_read(spark):
     deep = '{"a":[' * 20_000 + '{"score": 0.5, "text": "x", "page_idx": 3}' + "]}" * 20_000
     data = [("deep", deep), ("open", "[" * 100_000), ("odd", "[" * 50_000 + "}" * 50_000), ("fine", '[{"score": 50, "text": "y"}]')]
