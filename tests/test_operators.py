@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 import zipfile
 
 import pytest
@@ -114,6 +115,27 @@ def test_matcher_equals_difflib():
         assert not b or diff._automaton(a, b) == diff.longest_common(a, b)
 
 
+def test_page_diffs_equal_difflib_and_end_on_long_pages():
+    def plain(a, b, least):
+        share = lambda run, other: sum(x.size for x in diff.Matcher(run, other).get_matching_blocks()) / len(run)
+        count = lambda x: sum(map(str.isalnum, x))
+        for op, a0, a1, b0, b1 in diff.Matcher(a, b).get_opcodes():
+            for name, run, other in (("left_only", a[a0:a1], b), ("right_only", b[b0:b1], a)):
+                if op != "equal" and count(run) >= least and share(run, other) < diff.PRESENT:
+                    yield name, count(run), run[:120]
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice(["ab", "c", "abc", "d", "-", "é"]) for _ in range(n))
+    for _ in range(60):
+        a = text(rng.randint(0, 90))
+        b = text(30) + a[rng.randint(0, 20) : rng.randint(20, 90)] + text(rng.randint(0, 60))
+        assert diff.page_diffs(a, b, 3) == list(plain(a, b, 3))
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    began = time.perf_counter()
+    long = [" ".join(word() for _ in range(8_000)) for _ in range(2)]
+    assert len(diff.page_diffs(*long)) > 10 and time.perf_counter() - began < 20
+
+
 def test_layer_diff_of_whole_normalised_texts(spark):
     from quire.plans.line_queries import diff_pairs
 
