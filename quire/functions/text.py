@@ -63,8 +63,8 @@ def lines(c: Column) -> Column:
 
 
 def needs_translation(c: Column) -> Column:
-    """At least four ASCII letters."""
-    return F.regexp_count(c, F.lit("[A-Za-z]")) >= 4
+    """At least four ASCII letters; a text is read to the fourth only."""
+    return c.rlike("^(?:[^A-Za-z]*+[A-Za-z]){4}")
 
 
 def occurrences(text: Column, part: Column) -> Column:

@@ -37,8 +37,9 @@ CONTAINS = (
     r"::\s*\*",
     r"^\s*\.[A-Za-z_]\w*\s*\(",
 )
-# What a line must hold to match.
-LITERALS = {CONTAINS[1]: "exec:", CONTAINS[2]: " created:", CONTAINS[5]: "::"}
+# What a line must hold to match; where that is all there is to a pattern, it isn't tried.
+LITERALS = {CONTAINS[1]: "exec:", CONTAINS[2]: " created:", CONTAINS[3]: "#(", CONTAINS[4]: "<-", CONTAINS[5]: "::"}
+WHOLE = {CONTAINS[3], CONTAINS[4]}
 # Weaker signs. A single token must also be long and look technical.
 TOKEN = r"^[A-Za-z_][\w$.{}\[\]<>:/+-]*$"
 MEDIUM = (
@@ -69,7 +70,7 @@ def _any(c: Column, patterns: tuple[str, ...]) -> Column:
     found = c.rlike("^(?:" + "|".join(f"(?:{p})" for p in at_start) + ")") if at_start else F.lit(False)
     for p in patterns:
         if not p.startswith("^"):
-            found = found | (c.contains(LITERALS[p]) & c.rlike(p) if p in LITERALS else c.rlike(p))
+            found = found | (c.contains(LITERALS[p]) if p in WHOLE else c.contains(LITERALS[p]) & c.rlike(p) if p in LITERALS else c.rlike(p))
     return found
 
 
@@ -81,19 +82,25 @@ def _factored(words: list[str]) -> str:
     return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
 
 
+#: One of the words of running text, in a lower-case line.
+PROSE_WORD = rf"(?<![\p{{L}}\p{{N}}_])(?:{_factored(PROSE_WORDS)})(?![\p{{L}}\p{{N}}_])"
+
+
 def prose_hits(c: Column) -> Column:
     """How many of the line's words are words of running text."""
-    return F.regexp_count(F.lower(c), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{_factored(PROSE_WORDS)})(?![\p{{L}}\p{{N}}_])"))
+    return F.regexp_count(F.lower(c), F.lit(PROSE_WORD))
 
 
-def prose_score(c: Column) -> Column:
-    """2 for clear running text, 1 for probable, else 0; under eight words always 0."""
-    words, hits = F.regexp_count(c, F.lit("[A-Za-z]{2,}")), prose_hits(c)
-    return F.when(words < 8, 0).otherwise(_score(hits, c))
+def _at_least(c: Column, pattern: str, n: int) -> Column:
+    """Whether the pattern is found n times. The line is read to the n-th place only; no place is tried twice."""
+    return c.rlike(rf"^(?>(?s:.*?)(?:{pattern})){{{n}}}")
 
 
-def _score(hits: Column, c: Column) -> Column:
-    return F.when((hits >= 4) & c.rlike(r"[.:;)\]]$"), 2).when(hits >= 6, 1).otherwise(0)
+def prose_score(c: Column) -> Column:
+    """2 for clear running text, 1 for probable, else 0; under eight words always 0."""
+    low = F.lower(c)
+    many = F.when(c.rlike(r"[.:;)\]]$"), F.when(_at_least(low, PROSE_WORD, 4), 2).otherwise(0)).when(_at_least(low, PROSE_WORD, 6), 1).otherwise(0)
+    return F.when(_at_least(c, "[A-Za-z]{2,}+", 8), many).otherwise(0)
 
 
 def is_command_heading(title: Column) -> Column:
@@ -115,9 +122,9 @@ def _plain_kind(s: Column) -> Column:
     heading = F.when(is_command_heading(F.regexp_extract(s, HEADING, 2)), "code").otherwise("heading")
     return (
         F.when(s == "", "blank")
-        .when(s.rlike("^(<table|<div|</div)") | s.rlike(IMAGE), "html")
+        .when(s.startswith("<table") | s.startswith("<div") | s.startswith("</div") | (s.startswith("![") & s.rlike(IMAGE)), "html")
         .when(s.startswith("$$") | s.endswith("$$"), "math")
-        .when(s.rlike(BULLET), "bullet")
+        .when(F.left(s, F.lit(1)).isin(*"•·☐□") | (s.startswith("-") & s.rlike(BULLET)), "bullet")
         .when(s.startswith("#") & s.rlike(HEADING), heading)
     )
 
@@ -138,7 +145,9 @@ def kinds(docs: DataFrame) -> DataFrame:
     s = F.col("__s")
     rows = numbered_lines(docs).withColumn("__s", ustrip(F.col("line"))).withColumn("__kind", _plain_kind(s))
     rows = rows.withColumn("__score", F.when(F.col("__kind").isNull(), prose_score(s)))
-    return rows.select("doc_id", "line_no", "line", F.coalesce("__kind", _kind_by_score(s, F.col("__score"))).alias("kind"))
+    # What asks for the kind behind this would be tried before it, with all patterns again; a generator stops that.
+    kind = F.explode(F.array(F.coalesce("__kind", _kind_by_score(s, F.col("__score")))))
+    return rows.select("doc_id", "line_no", "line", kind.alias("kind"))
 
 
 def blocks(kinds: DataFrame) -> DataFrame:

@@ -115,6 +115,26 @@ def test_matcher_equals_difflib():
         assert not b or diff._automaton(a, b) == diff.longest_common(a, b)
 
 
+def test_kinds_are_found_once_for_those_who_filter_or_batch_them(spark):
+    docs = rows(spark, [(1, "Some text that is here.\n- one line\n\nx = 1;")], "doc_id int, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    asked = lines.translatable(lines.kinds(docs))
+    assert plan(asked.select("doc_id", "line_no", "kind")).count("endmodule") == 1
+    assert plan(translate.batches(asked)).count("endmodule") == 1 and plan(translate.batches(asked)).count("Scan") == 1
+
+
+def test_scores_that_stop_early_equal_counts(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["the", "of", "The", "is", "théorie", "cat", "x", "_the", "the9", "by-by", "中the", "AB", "in\u2028on"])
+    data = [(" ".join(word() for _ in range(rng.randint(0, 14))) + rng.choice(["", ".", ")", " "]),) for _ in range(400)]
+    c = F.col("t")
+    words, hits = F.regexp_count(c, F.lit("[A-Za-z]{2,}")), lines.prose_hits(c)
+    want = F.when(words < 8, 0).when((hits >= 4) & c.rlike(r"[.:;)\]]$"), 2).when(hits >= 6, 1).otherwise(0)
+    needed = F.regexp_count(c, F.lit("[A-Za-z]")) >= 4
+    got = rows(spark, data, "t string").select(lines.prose_score(c).alias("a"), want.alias("b"), X.needs_translation(c).alias("x"), needed.alias("y")).collect()
+    assert all(r.a == r.b and r.x == r.y for r in got) and {r.a for r in got} == {0, 1, 2}
+
+
 def test_page_diffs_equal_difflib_and_end_on_long_pages():
     def plain(a, b, least):
         share = lambda run, other: sum(x.size for x in diff.Matcher(run, other).get_matching_blocks()) / len(run)
