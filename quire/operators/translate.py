@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import needs_translation
@@ -47,21 +47,22 @@ def back_filled(lines: DataFrame, cache: DataFrame) -> DataFrame:
 def batches(lines: DataFrame, budget: int = 5500) -> DataFrame:
     """lines (doc_id, line_no, line) with the number of the request each goes into: as many lines as the budget of bytes holds.
 
-    The fold over one document's sizes notes only where a request begins; a line's number is that of the beginnings up to it, a running sum.
+    The fold over one document's sizes notes only where a request begins; its lines are those up to the next beginning. The lines
+    are read, and kinds of lines found, once.
     """
     sizes = F.array_sort(F.collect_list(F.struct("line_no", F.octet_length("line").alias("n"))))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("begins"))
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("at"), F.array(F.lit(1)).alias("begins"))
 
     def step(acc: Column, x: Column) -> Column:
         new = (acc["used"] > 0) & (acc["used"] + x["n"] > budget)
-        begins = F.when(new, F.concat(acc["begins"], F.array(x["line_no"].cast("int")))).otherwise(acc["begins"])
-        return F.struct((F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), begins.alias("begins"))
-
-    folded = lines.groupBy("doc_id").agg(sizes.alias("s")).withColumn("begins", F.aggregate("s", start, step)["begins"])
-    marks = folded.select("doc_id", F.explode("begins").alias("line_no"), F.lit(1).alias("mark"))
-    numbered = folded.select("doc_id", F.explode(F.transform("s", lambda x: x["line_no"])).alias("line_no")).join(marks, ["doc_id", "line_no"], "left")
-    upto = Window.partitionBy("doc_id").orderBy("line_no").rangeBetween(Window.unboundedPreceding, 0)
-    return numbered.select("doc_id", "line_no", F.sum(F.coalesce("mark", F.lit(0))).over(upto).alias("batch"))
+        begins = F.when(new, F.concat(acc["begins"], F.array(acc["at"] + 1))).otherwise(acc["begins"])
+        return F.struct((F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), (acc["at"] + 1).alias("at"), begins.alias("begins"))
+
+    folded = lines.groupBy("doc_id").agg(sizes.alias("s")).select("doc_id", "s", F.explode(F.array(F.aggregate("s", start, step))).alias("f"))
+    asked = folded.select("doc_id", "s", F.col("f.at").alias("all"), F.col("f.begins").alias("begins"))
+    ends = F.concat(F.slice("begins", 2, F.size("begins")), F.array(F.col("all") + 1))
+    numbered = F.transform(F.arrays_zip("begins", ends.alias("ends")), lambda b, i: F.transform(F.slice("s", b["begins"], b["ends"] - b["begins"]), lambda x: F.struct(x["line_no"].alias("line_no"), i.cast("long").alias("batch"))))
+    return asked.select("doc_id", F.explode(F.flatten(numbered)).alias("x")).select("doc_id", "x.*")
 
 
 def isolated(results: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
