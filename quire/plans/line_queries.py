@@ -110,8 +110,8 @@ QUERIES = {
     "image_dedup": lambda s, d: K.image_choice(table(s, d, "documents").select(F.concat("source", F.lit(".png")).alias("name"), F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("ord"))).select("ord", "stored_as"),
     "packed_chapters": lambda s, d: C.packed_chapters(pages(s, d).select("book_id", F.col("page_no").alias("seq"), (F.col("doc_id") % 9 + 1).alias("n_pages")), 20),
     "outline_lines": lambda s, d: C.outline_lines(headings(s, d).select("book_id", F.col("line_no").alias("seq"), "title"), headings(s, d).select("book_id", "line_no", "title")),
-    "rendered_blocks": lambda s, d: C.rendered_blocks(L.blocks(kinds(s, d)), kinds(s, d)).select("doc_id", "start_line", F.sha2("html", 256).alias("digest")),
-    "chapters": lambda s, d: C.chapters(C.rendered_blocks(L.blocks(kinds(s, d)), kinds(s, d)), docs(s, d).select("doc_id", F.left("text", F.lit(30)).alias("title"))).select("doc_id", F.length("xhtml").alias("n_chars")),
+    "rendered_blocks": lambda s, d: C.rendered_blocks(L.blocks(kinds(s, d)), L.numbered_lines(spread_docs(s, d))).select("doc_id", "start_line", F.sha2("html", 256).alias("digest")),
+    "chapters": lambda s, d: C.chapters(C.rendered_blocks(L.blocks(kinds(s, d)), L.numbered_lines(spread_docs(s, d))), docs(s, d).select("doc_id", F.left("text", F.lit(30)).alias("title"))).select("doc_id", F.length("xhtml").alias("n_chars")),
     "toc_levels": lambda s, d: C.toc_levels(nested(s, d).withColumn("part_level", F.col("toc") % 2 + 1)),
     "inline_markup": lambda s, d: docs(s, d).select("doc_id", F.sha2(C.inline(F.col("text")), 256).alias("digest")),
     "fingerprint": lambda s, d: table(s, d, "documents").select("doc_id", S.fingerprint(["doc_id", "lang", "source"]).alias("fingerprint")),
