@@ -6,6 +6,8 @@ are an equal join of what they need of a page and of the next one. findings_of r
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,6 +181,27 @@ def odd_dollars(pages: DataFrame) -> DataFrame:
     return at.where("dollars % 2 = 1").where(~F.col("line").startswith("<!--")).select("doc_id", (F.col("i") + 1).alias("line_no"), "dollars")
 
 
+def longest_run(a: str, b: str, piece: int) -> tuple[int, int, int]:
+    """(i, j, n): the longest run a[i:i+n] == b[j:j+n] that holds a whole piece of a, cut at multiples of its size, the first in a, then
+    the first in b: every run of twice the size holds one. Pieces are looked up in b and drawn out, each diagonal once."""
+
+    def same(i: int, j: int) -> int:
+        """How many characters are the same from a[i] and b[j] on."""
+        return len(os.path.commonprefix([a[i:], b[j:]]))
+
+    best, reached = (0, 0, 0), {}
+    for at in range(0, len(a) - piece + 1, piece):
+        j = b.find(a[at : at + piece])
+        while j >= 0:
+            if reached.get(j - at, 0) <= at:
+                back = len(os.path.commonprefix([a[:at][::-1], b[:j][::-1]]))
+                n = back + same(at, j)
+                reached[j - at] = at - back + n
+                best = max(best, (at - back, j - back, n), key=lambda x: (x[2], -x[0], -x[1]))
+            j = b.find(a[at : at + piece], j + 1)
+    return best
+
+
 def adjacent_overlaps(pages: DataFrame, least: int = 120) -> DataFrame:
     """Neighbouring pages that share a long run of text where they meet.
 
@@ -195,15 +218,14 @@ def adjacent_overlaps(pages: DataFrame, least: int = 120) -> DataFrame:
 
     @F.pandas_udf("size int, run string")
     def longest(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-
         rows = []
         for x, y in zip(a, b, strict=True):
-            m = SequenceMatcher(None, x, y, autojunk=False).find_longest_match()
-            rows.append((m.size, x[m.a : m.a + m.size]))
+            i, _, size = longest_run(x, y, half)
+            rows.append((size, x[i : i + size]))
         return pd.DataFrame(rows, columns=["size", "run"])
 
-    hit = n.withColumn("m", longest("a", "b")).where(F.col("m.size") >= least)
+    # Behind a generator, the conditions on the run don't ask for it again.
+    hit = n.withColumn("m", F.explode(F.array(longest("a", "b")))).where(F.col("m.size") >= least)
     hit = hit.where(F.regexp_count("m.run", F.lit(r"[\x{4e00}-\x{9fff}]")) + F.floor(F.length("m.run") / 2) >= 40)
     return findings(hit, "adjacent_overlap", F.col("m.size"), F.left("m.run", F.lit(60)))
 

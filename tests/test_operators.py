@@ -135,6 +135,23 @@ def test_scores_that_stop_early_equal_counts(spark):
     assert all(r.a == r.b and r.x == r.y for r in got) and {r.a for r in got} == {0, 1, 2}
 
 
+def test_overlaps_are_found_once_and_fast(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    for _ in range(200):
+        text = lambda n: "".join(rng.choice("ab") for _ in range(n))
+        a = text(rng.randint(0, 40)) * rng.randint(1, 3)
+        b = text(rng.randint(0, 20)) + a[rng.randint(0, 9) :] + text(9)
+        m = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+        assert m.size < 9 or detect.longest_run(a, b, 5) == tuple(m)
+    began = time.perf_counter()
+    assert detect.longest_run("ab" * 1000, "ab" * 2000, 60) == (0, 0, 2000) and time.perf_counter() - began < 5
+    book = rows(spark, [("b", 1, "x"), ("b", 2, "y")], "book_id string, page_no int, text string")
+    plan = detect.adjacent_overlaps(book)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_page_diffs_equal_difflib_and_end_on_long_pages():
     def plain(a, b, least):
         share = lambda run, other: sum(x.size for x in diff.Matcher(run, other).get_matching_blocks()) / len(run)
