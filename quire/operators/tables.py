@@ -20,10 +20,12 @@ def inventory(pages: DataFrame) -> DataFrame:
     all_ = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
     text = F.coalesce("text", F.lit(""))
     t = pages.select("page_no", F.split(text, r"(?s)<table.*?</table>").alias("between"), F.posexplode(all_(text, TABLE)).alias("i", "html"))
-    cells = F.transform(all_("html", ROW), lambda r: F.size(all_(r, CELL)))
-    t = t.withColumn("cells", cells).withColumn("cols", F.coalesce(F.array_max("cells"), F.lit(0))).withColumn("rows", F.size("cells"))
+    cells = F.transform(all_("html", ROW), lambda r: F.regexp_count(r, F.lit(CELL)))
+    # Behind a generator, conditions on what is made of the cells don't count them again, least of all once for each row.
+    t = t.withColumn("c", F.explode(F.array(F.struct(cells.alias("cells"))))).withColumn("cells", F.col("c.cells"))
+    t = t.withColumn("cols", F.coalesce(F.array_max("cells"), F.lit(0))).withColumn("rows", F.size("cells"))
     caption = F.coalesce(F.trim(F.try_element_at(F.regexp_extract_all(F.right(F.col("between")[F.col("i")], F.lit(200)), F.lit(CAPTION), F.lit(1)), F.lit(-1))), F.lit(""))
-    ragged = F.array_sort(F.array_distinct(F.filter("cells", lambda c: (c != F.col("cols")) & (c > 1))))
+    ragged = F.array_sort(F.array_distinct(F.filter(F.array_remove("cells", F.col("cols")), lambda c: c > 1)))
     chars = F.length(F.regexp_replace("html", TAG, ""))
     return t.select("page_no", (F.col("i") + 1).alias("ord"), "rows", "cols", chars.alias("chars"), F.array_join(ragged.cast("array<string>"), ",").alias("ragged"), caption.alias("caption"), needs_image(F.col("cols"), F.col("rows")).alias("needs_image"), (chars > 1200).alias("too_long"))
 

@@ -152,6 +152,14 @@ def test_overlaps_are_found_once_and_fast(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_cells_are_counted_once_for_a_condition_on_them(spark):
+    row = lambda n: "<tr>" + "<td>x</td>" * n + "</tr>"
+    page = rows(spark, [(1, "<table>" + row(3) + row(2) + row(1) + row(3) + "</table> <table></table>")], "page_no int, text string")
+    out = tables.inventory(page).where("ragged <> ''").select("page_no", "ord", "rows", "cols", "ragged")
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 4, 3, "2")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("<td.*?</td>") == 1
+
+
 def test_page_diffs_equal_difflib_and_end_on_long_pages():
     def plain(a, b, least):
         share = lambda run, other: sum(x.size for x in diff.Matcher(run, other).get_matching_blocks()) / len(run)
