@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,53 +48,79 @@ def packed_chapters(chapters: DataFrame, max_pages: int) -> DataFrame:
     return rows.groupBy("book_id").applyInPandas(fold, "book_id string, seq long, part int")
 
 
-#: Letters by which titles that may match find each other, and the length beyond which one may stand inside the other.
+#: Letters of a common beginning, and the length beyond which one title may stand inside the other; lengths that differ by less are alike.
 BEGIN, INSIDE = 8, 12
+#: No heading begins or reads like this entry.
+NONE = -(1 << 62)
 
 
-def matching_headings(outline: DataFrame, headings: DataFrame) -> DataFrame:
-    """(book_id, seq, line_no) of all outline entries (book_id, seq, title) and headings (book_id, line_no, title) of a book that
-    match: equal titles, a common beginning and like length, or a long entry inside the heading or around it.
+def inside(keys: DataFrame, headings: DataFrame) -> DataFrame:
+    """(book_id, entry, of) of distinct long titles (book_id, key, entry) and headings (book_id, heading, of) that stand inside each other.
 
-    All by equal joins on a few letters: of titles inside each other, the inner one's first letters stand in the outer one.
+    By equal joins on INSIDE + 1 letters, or on the whole of a shorter heading: the inner title's first letters stand in the outer one.
     """
-    a = outline.select("book_id", F.col("seq").cast("long").alias("seq"), title_key(F.col("title")).alias("key")).where("key <> ''")
-    b = headings.select("book_id", F.col("line_no").cast("long").alias("line_no"), title_key(F.col("title")).alias("heading")).where("heading <> ''")
-    n, m = F.length("key"), F.length("heading")
-
-    def pieces(c: str, sizes: range) -> Column:
-        def of(k: int) -> Column:
-            starts = F.when(F.length(c) >= k, F.sequence(F.lit(1), F.length(c) - k + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.substr(F.col(c), i, F.lit(k)))
+    most = INSIDE + 1
+    long = keys.where(F.length("key") > INSIDE)
+    sizes = headings.agg(F.collect_set(F.least(F.lit(most), F.length("heading"))).alias("sizes"))
 
-        return F.explode(F.array_distinct(F.concat(*map(of, sizes))))
+    def pieces(c: str, sizes: Column) -> Column:
+        starts = lambda k: F.when(F.length(c) >= k, F.sequence(F.lit(1), F.length(c) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(starts(k), lambda i: F.substr(F.col(c), i, k))))))
 
-    first_a, first_b = a.withColumn("letters", F.left("key", F.lit(BEGIN))), b.withColumn("letters", F.left("heading", F.lit(BEGIN)))
     both = ["book_id", "letters"]
-    alike = first_a.join(first_b, both).where((F.col("key") == F.col("heading")) | (n >= BEGIN) & (F.abs(n - m) < INSIDE))
-    within = first_a.where(n > INSIDE).join(b.where(m > INSIDE).withColumn("letters", pieces("heading", range(BEGIN, BEGIN + 1))), both).where(F.contains("heading", "key"))
-    around = a.where(n > INSIDE).withColumn("letters", pieces("key", range(1, BEGIN + 1))).join(first_b, both).where(F.contains("key", "heading"))
-    pairs = [x.select("book_id", "seq", "line_no") for x in (alike, within, around)]
-    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+    within = long.withColumn("letters", F.left("key", F.lit(most))).join(headings.where(F.length("heading") > INSIDE).withColumn("letters", pieces("heading", F.array(F.lit(most)))), both)
+    # sizes is one row, of 13 numbers at most.
+    around = long.crossJoin(F.broadcast(sizes)).withColumn("letters", pieces("key", F.col("sizes"))).drop("sizes").join(headings.withColumn("letters", F.left("heading", F.lit(most))), both)
+    found = within.where(F.contains("heading", "key")).select("book_id", "entry", "of").unionByName(around.where(F.contains("key", "heading")).select("book_id", "entry", "of"))
+    return found.distinct()
 
 
 def outline_lines(outline: DataFrame, headings: DataFrame) -> DataFrame:
     """(book_id, seq, line_no): for each outline entry (book_id, seq, title) the next heading (book_id, line_no, title) behind the
-    one before that matches; null if none does. Where an entry goes depends on all before it, so a book is one sequential pass,
-    over the numbers of matching pairs."""
+    one before that matches; null if none does. Titles match that are equal, have a common beginning and like length, or of which a long
+    entry stands inside the heading or around it.
+
+    Where an entry goes depends on all before it, so a book is one sequential pass. It sees a few numbers for each entry and heading:
+    titles are numbered by their first line, those inside each other are linked, title by title, and a common beginning is looked up
+    with the lengths that are alike. Pairs of entries and headings are made nowhere.
+    """
     ship(outline.sparkSession)
+    a = outline.select("book_id", F.col("seq").cast("long").alias("seq"), title_key(F.col("title")).alias("key")).where("key <> '' and book_id is not null")
+    b = headings.select("book_id", F.col("line_no").cast("long").alias("line_no"), title_key(F.col("title")).alias("heading")).where("heading <> '' and book_id is not null")
+    keys, titles = a.groupBy("book_id", "key").agg(F.min("seq").alias("entry")), b.groupBy("book_id", "heading").agg(F.min("line_no").alias("of"))
+    begins = titles.where(F.length("heading") >= BEGIN).groupBy("book_id", F.left("heading", F.lit(BEGIN)).alias("letters")).agg(F.min("of").alias("begin"))
+    links = inside(keys, titles).unionByName(keys.join(titles.withColumnRenamed("heading", "key"), ["book_id", "key"]).select("book_id", "entry", "of"))
+    begun = lambda df, c: df.withColumn("letters", F.left(c, F.lit(BEGIN))).join(begins, ["book_id", "letters"], "left")
+    asks = begun(a.join(keys, ["book_id", "key"]), "key").select("book_id", F.lit(0).alias("what"), F.col("seq").alias("x"), F.col("entry").alias("k"), F.coalesce("begin", F.lit(NONE)).alias("p"), F.length("key").cast("long").alias("n"))
+    has = begun(b.join(titles, ["book_id", "heading"]), "heading").select("book_id", F.lit(1).alias("what"), F.col("line_no").alias("x"), F.col("of").alias("k"), F.coalesce("begin", F.lit(NONE)).alias("p"), F.length("heading").cast("long").alias("n"))
+    linked = links.select("book_id", F.lit(2).alias("what"), F.col("of").alias("x"), F.col("entry").alias("k"), F.lit(NONE).alias("p"), F.lit(0).cast("long").alias("n"))
 
     def scan(book: pd.DataFrame) -> pd.DataFrame:
+        by_title, by_begin, inner = defaultdict(list), defaultdict(lambda: defaultdict(list)), defaultdict(list)
+        part = lambda what: book[book["what"] == what].sort_values("x")[["x", "k", "p", "n"]].itertuples(index=False, name=None)
+        for line, title, begin, n in part(1):
+            by_title[title].append(line)
+            if begin != NONE:
+                by_begin[begin][n].append(line)
+        for title, entry, _, _ in part(2):
+            inner[entry].append(title)
         found, last = [], -1
-        for seq, lines in book.sort_values(["seq", "line_no"]).groupby("seq", sort=True)["line_no"]:
-            line = next((x for x in lines.tolist() if x > last), None)
-            if line is not None:
-                last = line
-                found.append((book["book_id"].iloc[0], seq, line))
-        return pd.DataFrame(found, columns=["book_id", "seq", "line_no"]).astype({"seq": "int64", "line_no": "int64"})
-
-    pairs = matching_headings(outline, headings).groupBy("book_id").applyInPandas(scan, "book_id string, seq long, line_no long")
-    return outline.select("book_id", F.col("seq").cast("long").alias("seq")).join(pairs, ["book_id", "seq"], "left")
+        for seq, entries in groupby(part(0), key=lambda e: e[0]):
+            lines = []
+            for _, entry, begin, n in entries:
+                lists = [by_title[title] for title in inner.get(entry, ())]
+                if begin != NONE:
+                    lists += [x for m, x in by_begin[begin].items() if abs(n - m) < INSIDE]
+                lines += [x[at] for x in lists if (at := bisect_right(x, last)) < len(x)]
+            if lines:
+                last = min(lines)
+                found.append((seq, last))
+        out = pd.DataFrame(found, columns=["seq", "line_no"]).astype("int64")
+        out.insert(0, "book_id", book["book_id"].iloc[0])
+        return out
+
+    lines = asks.unionByName(has).unionByName(linked).groupBy("book_id").applyInPandas(scan, "book_id string, seq long, line_no long")
+    return outline.select("book_id", F.col("seq").cast("long").alias("seq")).join(lines, ["book_id", "seq"], "left")
 
 
 def plan(found: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -17,6 +17,13 @@ def test_outline_plan_and_packing(spark):
     assert [r.part for r in packed.orderBy("seq").collect()] == [0, 0, 1, 2, 2, 3]
 
 
+def test_outlines_of_like_titles_make_no_pairs(spark):
+    """3,000 entries and headings that all match each other (9 million pairs): a book's pass sees a few rows for each."""
+    titles = spark.range(1, 3001).selectExpr("'b' as book_id", "id as seq", "concat('Chapter on things ', id) as title")
+    out = compose.outline_lines(titles, titles.withColumnRenamed("seq", "line_no"))
+    assert out.where("line_no = seq").count() == 3000
+
+
 def test_rendering(spark):
     text = "## 3.1 Title\nSome `code` & text that is long enough.\n- one\n- two\nx = 1;\n\ny = 2;"
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
