@@ -67,7 +67,7 @@ def result_boxes(s, d):
 
 def tokens_before(s, d):
     """Each document's tokens, asked for on the next document's page."""
-    return docs(s, d).select((F.col("doc_id") + 1).alias("page_no"), F.explode(T.tokens(F.col("text"))).alias("token"))
+    return docs(s, d).select((F.col("doc_id") + 1).alias("page_no"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
 
 
 def rows_missing(s, d):
