@@ -43,6 +43,8 @@ WIDTH = POSITIONS // CHUNKS
 DISTANCE, FAR = 2 * CHUNKS - 1, 21
 #: Shingles of a block of documents, on average; a task holds two blocks.
 BLOCK = 65_536
+#: Maps of 32,768 bits that tell which texts may be wanted: 4 MB at any size of the tables.
+MAPS, BITS_OF_MAP = 1024, 32_768
 #: Words that a worker remembers with their hashes before it starts anew.
 CACHE = 300_000
 
@@ -131,15 +133,31 @@ def signed(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "t", "text").mapInArrow(run, "id long, t long, n long, same binary, symbols array<int>")
 
 
+def perhaps_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts (id, t, text) whose (id, t) may be in wanted: all that are, and few others while wanted has well below 33 million rows.
+
+    Each wanted (id, t) sets a bit in one of MAPS maps, which have the same size for any table. So texts that no one asks for are left where
+    they are read and aren't shuffled; the join that follows decides.
+    """
+    place = F.pmod(F.xxhash64("id", "t"), F.lit(MAPS * BITS_OF_MAP))
+    maps = wanted.select(place.alias("place")).distinct().select(F.floor(F.col("place") / BITS_OF_MAP).alias("map"), (F.col("place") % BITS_OF_MAP).alias("bit"))
+    maps = stored(maps.repartition("map").groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits")), "maps")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+    asked = texts.withColumn("place", place).withColumn("bit", F.col("place") % BITS_OF_MAP).withColumn("map", F.floor(F.col("place") / BITS_OF_MAP))
+    return asked.join(F.broadcast(maps), "map").where(is_set).select("id", "t", "text")
+
+
 def full_sets(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Rows (node, set) of the nodes (node, id, t), a node's set made of its text once."""
+    nodes = nodes.select("node", "id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             sets = [shingles(t, size).view(np.int64) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(np.concatenate(sets), [len(s) for s in sets], pa.int64())], names=["node", "set"])
 
-    found = texts.join(nodes.select("node", "id", "t"), ["id", "t"]).dropDuplicates(["node"])
+    found = perhaps_wanted(texts, nodes).join(nodes, ["id", "t"]).dropDuplicates(["id", "t", "node"])
     return stored(found.select("node", "text").mapInArrow(run, "node long, set array<bigint>"), "sets")
 
 
@@ -170,7 +188,7 @@ def _like(a: str, b: str, percent: int) -> Column:
 def confirmed(close: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b, na, nb), those whose full sets have 100 * intersection >= percent * union."""
     wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = full_sets(nodes.join(wanted, "node", "left_semi"), texts, size)
+    sets = full_sets(stored(nodes.join(wanted, "node", "left_semi").select("node", "id", "t"), "wanted"), texts, size)
     both = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("seta")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("setb")), "b")
     common = F.size(F.array_intersect("seta", "setb"))
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")

@@ -132,6 +132,25 @@ def test_near_links_of_blocks_equal_those_of_whole_cells(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, 2).collect()} == brute_components(texts, 2, 80)
 
 
+def test_texts_that_no_link_asks_for_are_not_shuffled(spark):
+    """Of 20,000 texts 300 are wanted: these pass the maps, and hardly any other, before the first exchange."""
+    texts = spark.range(20_000).selectExpr("id", "xxhash64(id, 'x') as t", "repeat(string(id), 20) as text")
+    wanted = texts.where("id % 100 = 7 or id >= 19900").select(F.col("id").alias("node"), "id", "t")
+    found = near_dedup.perhaps_wanted(texts, wanted)
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id for r in found.collect()}
+    assert got >= {r.id for r in wanted.collect()} and len(got) <= 310
+    assert near_dedup.full_sets(wanted, texts, 2).count() == 299
+
+
+def test_near_groups_with_full_maps_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MAPS", 2)
+    monkeypatch.setattr(near_dedup, "BITS_OF_MAP", 8)
+    texts = near_texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, 2).collect()} == brute_components(texts, 2, 80)
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     docs = spark.createDataFrame([(3, a + " x"), (7, a), (7, b), (9, b), (9, b), (7, a)], "doc_id long, text string")
