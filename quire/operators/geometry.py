@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.storage import stored
+
 #: Share of the text's box or of the layout box that must be covered.
 OVERLAP = 0.5
 
@@ -64,6 +68,8 @@ def to_unit(box: Column, system: Column, width: Column, height: Column) -> Colum
 
 #: Cells of a page's grid, in each direction, at most.
 MOST_CELLS = 256
+#: Layout boxes and targets of a cell that are compared in one block, about.
+BOXES, TARGETS = 4096, 16_384
 
 
 def _cells(box: Column, n: Column) -> Column:
@@ -81,20 +87,43 @@ def layout_scores(targets: DataFrame, layout: DataFrame) -> DataFrame:
     paragraph worth a look. A spatial join: boxes of both sides are copied to the cells of their page's grid that they touch, and meet
     by page and cell; a pair that meets in several cells counts in the one where its common part begins. The grid is as fine as the page's
     layout boxes are many, but its cells not smaller than they are on average: a page's work grows with its boxes, not with their pairs.
+    Where the boxes lie in few cells all the same, pairs are compared in blocks of bounded size, each with each: a task's memory doesn't grow with
+    the pairs. Boxes are numbered in the order of their scores, so what is kept of a target's pairs is two numbers, which need no sort.
     """
-    wide = F.avg(F.greatest(F.lit(1e-6), F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0")))
-    sides = layout.where("box is not null").groupBy("page").agg(F.greatest(F.lit(1), F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.count("*"))), F.floor(1 / wide))).cast("int").alias("n"))
-    sides = sides.withColumnRenamed("page", "of")
-    on = lambda df, box: df.join(sides, F.col("page") == F.col("of")).withColumn("cell", F.explode(_cells(F.col(box), F.col("n"))))
-    t = on(targets.select("target_id", "page", F.col("box").alias("t")).where("t is not null"), "t").select("target_id", F.col("page").alias("p"), F.col("cell").alias("c"), "t")
-    b = on(layout.select("page", F.col("box").alias("b"), "score", "source").where("b is not null"), "b").select("page", "cell", "n", "b", "score", "source")
-    common, ta, ba = intersection(F.col("t"), F.col("b")), area(F.col("t")), area(F.col("b"))
-    hit = (common > 0) & ((common >= OVERLAP * ta) & (ta > 0) | (common >= OVERLAP * F.greatest(ba, F.lit(1e-9))))
-    edge = lambda k: F.least(F.col("n") - 1, F.greatest(F.lit(0), F.floor(F.greatest(F.col(f"t.{k}"), F.col(f"b.{k}")) * F.col("n"))))
-    here = F.col("cell") == edge("y0") * F.col("n") + edge("x0")
-    j = t.join(b, (F.col("p") == F.col("page")) & (F.col("c") == F.col("cell")) & here & hit)
-    best = j.groupBy("target_id").agg(F.min("score").alias("score"), F.min(F.struct("score", "source")).alias("m"), F.count("*").alias("hits"))
-    return best.select("target_id", "score", F.concat(F.lit("layout:"), F.col("m.source")).alias("source"), "hits")
+    ranked = layout.select("page", F.col("box").alias("b"), "score", "source").where("b is not null").orderBy(F.col("score").asc_nulls_last(), "source")
+    ranked = stored(ranked.withColumn("nth", F.monotonically_increasing_id()), "boxes")
+    wide = F.avg(F.greatest(F.lit(1e-6), F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")))
+    sides = ranked.groupBy(F.col("page").alias("of")).agg(F.greatest(F.lit(1), F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.count("*"))), F.floor(1 / wide))).cast("int").alias("n"))
+    edge = lambda v: F.least(F.col("n") - 1, F.greatest(F.lit(0), F.floor(v * F.col("n")))).cast("int")
+
+    def on(df: DataFrame, box: str, half: Callable[[Column], Column]) -> DataFrame:
+        b = F.col(box)
+        at = df.join(sides, F.col("page") == F.col("of")).withColumn("cell", F.explode(_cells(b, F.col("n"))))
+        plain = [b[k].alias(f"{box}_{k}") for k in ("x0", "y0", "x1", "y1")]
+        return at.select(*[c for c in df.columns if c != box], "n", "cell", *plain, half(area(b)).alias(f"{box}_half"), edge(b["x0"]).alias(f"{box}_x"), edge(b["y0"]).alias(f"{box}_y"))
+
+    # What a pair's common part must reach: half of the target, if it has an area, or half of the layout box.
+    t = on(targets.select("target_id", "page", F.col("box").alias("t")).where("t is not null"), "t", lambda a: F.when(a > 0, OVERLAP * a).otherwise(float("inf"))).drop("n").withColumnsRenamed({"page": "p", "cell": "c"})
+    b = on(ranked.select("page", "b", "nth"), "b", lambda a: OVERLAP * F.greatest(a, F.lit(1e-9)))
+    count = lambda n, size: F.ceil(n / size).cast("int")
+    crowds = t.groupBy("p", "c").agg(count(F.count("*"), TARGETS).alias("ts")).join(b.groupBy("page", "cell").agg(count(F.count("*"), BOXES).alias("bs")), (F.col("p") == F.col("page")) & (F.col("c") == F.col("cell")))
+    # Of all cells only the crowded are kept: one row for thousands of boxes.
+    crowds = stored(crowds.where("ts > 1 or bs > 1").select(F.col("p").alias("at"), F.col("c").alias("in"), "ts", "bs"), "crowds")
+
+    def cut(df: DataFrame, page: str, cell: str, key: str, own: str, others: str) -> DataFrame:
+        """The rows with their own block's number, and once for each block of the other side."""
+        found = df.join(crowds, (F.col(page) == F.col("at")) & (F.col(cell) == F.col("in")), "left")
+        mine = F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int")
+        return found.select(*df.columns, mine.alias(f"{own}_own"), F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)).alias(f"{others}_met"))
+
+    t, b = cut(t, "p", "c", "target_id", "ts", "bs"), cut(b, "page", "cell", "nth", "bs", "ts")
+    box = lambda x: F.struct(*[F.col(f"{x}_{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
+    here = F.col("cell") == F.greatest("t_y", "b_y") * F.col("n") + F.greatest("t_x", "b_x")
+    hit = intersection(box("t"), box("b")) >= F.least("t_half", "b_half")
+    j = t.join(b, (F.col("p") == F.col("page")) & (F.col("c") == F.col("cell")) & (F.col("ts_own") == F.col("ts_met")) & (F.col("bs_met") == F.col("bs_own")) & here & hit)
+    best = j.groupBy("target_id").agg(F.min("nth").alias("best"), F.count("*").alias("hits"))
+    named = ranked.select(F.col("nth").alias("best"), "score", "source")
+    return best.join(named, "best").select("target_id", "score", F.concat(F.lit("layout:"), F.when(F.col("score").isNotNull(), F.col("source"))).alias("source"), "hits")
 
 
 def low_confidence(segments: DataFrame, threshold: float = 0.6, limit: int = 200) -> DataFrame:

@@ -414,6 +414,28 @@ def test_a_page_of_many_boxes_is_joined_without_its_pairs(spark):
     assert out.where("hits = 1").count() == 20_000
 
 
+def test_a_crowded_cell_is_compared_in_blocks_and_pairs_are_not_sorted(spark, monkeypatch):
+    """300 targets and 401 boxes that touch one cell: blocks of 64 and 50, each with each, give what all pairs give; a null score is no least one."""
+    monkeypatch.setattr(geometry, "BOXES", 50)
+    monkeypatch.setattr(geometry, "TARGETS", 64)
+    rng = random.Random(9)
+    box = lambda: (x := rng.uniform(0, 0.2), y := rng.uniform(0, 0.2), x + rng.uniform(0.1, 0.9), y + rng.uniform(0.1, 0.9))
+    layout = [(0, box(), rng.choice([None, 0.5, round(rng.random(), 2)]), f"b{i}") for i in range(400)] + [(0, (0.0, 0.0, 1.2, 1.2), 0.99, "page")]
+    targets = [(i, 0, box()) for i in range(300)]
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    want = {}
+    for i, _, t in targets:
+        for _, b, score, source in layout:
+            c = max(0, min(t[2], b[2]) - max(t[0], b[0])) * max(0, min(t[3], b[3]) - max(t[1], b[1]))
+            if c > 0 and (c >= 0.5 * area(t) or c >= 0.5 * area(b)):
+                want.setdefault(i, []).append((score, source))
+    want = {i: (*min(p for p in x if p[0] is not None), len(x)) for i, x in want.items()}
+    kind = "struct<x0:double,y0:double,x1:double,y1:double>"
+    out = geometry.layout_scores(rows(spark, targets, f"target_id int, page int, box {kind}"), rows(spark, layout, f"page int, box {kind}, score double, source string"))
+    assert {r.target_id: (r.score, r.source.removeprefix("layout:"), r.hits) for r in out.collect()} == want
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boxes_of_result_lines(spark):
     page = lambda w, *b: {"prunedResult": {"width": w, "height": 200, "parsing_res_list": [{"block_label": k, "block_bbox": v} for k, v in b]}}
     line = lambda *p: json.dumps({"result": {"layoutParsingResults": list(p)}})
