@@ -74,6 +74,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df as a side of a join of two tables that grow with the input: neither is broadcast, whatever Spark takes their sizes for.
+
+    It reckons with compressed files, with one element an array, and with one row out of Python for each row in, so it may be off
+    by a factor of 100, and a table of a few MB by its reckoning may not fit the driver.
+    """
+    return df.hint("merge")
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: the folds of the contracts."""
     return F.crc32(doc_id.cast("string")) % modulus

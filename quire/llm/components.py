@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import by_shuffle, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,14 +18,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least node of its neighbourhood. May repeat edges."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    joined = both.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k"))
+    joined = both.join(by_shuffle(least.withColumnRenamed("a", "k")), F.col("a") == F.col("k"))
     return joined.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them. Needs a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k"))
+    joined = edges.join(by_shuffle(least.withColumnRenamed("a", "k")), F.col("a") == F.col("k"))
     links = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
     return joined.select(links.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 

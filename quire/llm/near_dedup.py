@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import ship, stored, table
+from quire.llm.common import by_shuffle, ship, stored, table
 from quire.llm.components import components
 
 POSITIONS, CHUNKS, BITS = 48, 8, 16
@@ -157,7 +157,7 @@ def full_sets(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size).view(np.int64) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(np.concatenate(sets), [len(s) for s in sets], pa.int64())], names=["node", "set"])
 
-    found = perhaps_wanted(texts, nodes).join(nodes, ["id", "t"]).dropDuplicates(["id", "t", "node"])
+    found = perhaps_wanted(texts, nodes).join(by_shuffle(nodes), ["id", "t"]).dropDuplicates(["id", "t", "node"])
     return stored(found.select("node", "text").mapInArrow(run, "node long, set array<bigint>"), "sets")
 
 
@@ -188,8 +188,9 @@ def _like(a: str, b: str, percent: int) -> Column:
 def confirmed(close: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b, na, nb), those whose full sets have 100 * intersection >= percent * union."""
     wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = full_sets(stored(nodes.join(wanted, "node", "left_semi").select("node", "id", "t"), "wanted"), texts, size)
-    both = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("seta")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("setb")), "b")
+    sets = full_sets(stored(nodes.join(by_shuffle(wanted), "node", "left_semi").select("node", "id", "t"), "wanted"), texts, size)
+    of = lambda x: by_shuffle(sets.select(F.col("node").alias(x), F.col("set").alias(f"set{x}")))
+    both = close.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("seta", "setb"))
     return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
@@ -229,18 +230,18 @@ def _links_of_blocks(part: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def cell_links(left: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links that join components, of rows (cell, node, component): every two rows of a cell are compared, but for those of its largest component."""
-    left = stored(left.join(nodes.select("node", "id", "t", "n"), "node"), "cells")
+    left = stored(left.join(by_shuffle(nodes.select("node", "id", "t", "n")), "node"), "cells")
     sets = full_sets(left, texts, size)
     # Shingles that no other document of the cell has are in no intersection: with too many of them nothing can be linked.
-    alone = left.join(sets, "node").select("cell", "node", F.explode("set").alias("shingle")).groupBy("cell", "shingle").agg(F.count("*").alias("many"), F.min("node").alias("node"))
+    alone = left.join(by_shuffle(sets), "node").select("cell", "node", F.explode("set").alias("shingle")).groupBy("cell", "shingle").agg(F.count("*").alias("many"), F.min("node").alias("node"))
     alone = alone.where("many = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    left = left.join(alone, "node", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
+    left = left.join(by_shuffle(alone), "node", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
     left = stored(left.select("cell", "node", "component", "n"), "cells")
     parts = left.groupBy("cell", "component").agg(F.sum("n").alias("size"))
     cells = parts.groupBy("cell").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     count = lambda n: F.ceil(n / BLOCK).cast("int")
     cells = stored(cells.select("cell", F.col("main.component").alias("main"), count(F.col("main.size")).alias("mains"), count(F.col("all") - F.col("main.size")).alias("others")), "cells")
-    placed = left.join(cells, "cell").withColumn("inner", F.col("component") == F.col("main"))
+    placed = left.join(by_shuffle(cells), "cell").withColumn("inner", F.col("component") == F.col("main"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     # Blocks of others are numbered first. Task (i, j), i <= j: block i of the others with block j of all.
     block, others = F.col("block"), F.col("others")
@@ -248,7 +249,7 @@ def cell_links(left: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     as_other = F.concat(F.array(task(block, block, 2)), F.transform(upto(others + F.col("mains") - block - 1), lambda k: task(block, block + k + 1, 0)), F.transform(upto(block), lambda i: task(i, block, 1)))
     tasks = F.when(F.col("inner"), F.transform(upto(others), lambda i: task(i, others + block, 1))).otherwise(as_other)
-    dealt = placed.select("cell", "node", "component", tasks.alias("tasks")).join(sets, "node").select("cell", "node", "component", "set", F.explode("tasks").alias("task"))
+    dealt = placed.select("cell", "node", "component", tasks.alias("tasks")).join(by_shuffle(sets), "node").select("cell", "node", "component", "set", F.explode("tasks").alias("task"))
     dealt = dealt.select("cell", "task.i", "task.j", "task.side", "node", "component", "set")
     return dealt.groupBy("cell", "i", "j").applyInPandas(lambda part: _links_of_blocks(part, percent), "a long, b long")
 
@@ -269,31 +270,31 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "same", "id", "t", "n", "symbols"), "nodes")
 
     members = _keyed(nodes)
-    shared = stored(members.join(members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key"), "buckets")
+    shared = stored(members.join(by_shuffle(members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")), "key"), "buckets")
     # A key's pivot is the document that stands in the most and longest keys: near copies gather around it.
     weight = shared.groupBy("node").agg(F.sum("many").alias("weight"))
-    pivots = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("best"))
-    spokes = stored(shared.join(pivots.select("key", (-F.col("best.less")).alias("pivot")), "key").where("node <> pivot"), "spokes")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("symbols").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    pivots = shared.join(by_shuffle(weight), "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("best"))
+    spokes = stored(shared.join(by_shuffle(pivots.select("key", (-F.col("best.less")).alias("pivot"))), "key").where("node <> pivot"), "spokes")
+    side = lambda x: by_shuffle(nodes.select(F.col("node").alias(x), F.col("symbols").alias(f"s{x}"), F.col("n").alias(f"n{x}")))
     pairs = spokes.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     close = stored(pairs.where(_like("na", "nb", percent)).where(_differ("sa", "sb") <= FAR).select("a", "b", "na", "nb"), "pairs")
     links = stored(confirmed(close, nodes, texts, size, percent), "links")
     group = stored(components(links), "components")
 
-    at = shared.where("many > 2").join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    at = shared.where("many > 2").join(by_shuffle(group), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    cells = stored(components(spokes.join(open_, "key", "left_semi").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "cells")
+    cells = stored(components(spokes.join(by_shuffle(open_), "key", "left_semi").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "cells")
     if not cells.isEmpty():
-        left = cells.withColumnRenamed("component", "cell").join(group, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
+        left = cells.withColumnRenamed("component", "cell").join(by_shuffle(group), "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
         more = stored(cell_links(left, nodes, texts, size, percent), "links")
         if not more.isEmpty():
             group = stored(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
 
     # A component is named by its least document, whatever the numbers of its nodes.
-    known = nodes.select("node", "same", "id").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = nodes.select("node", "same", "id").join(by_shuffle(group), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = known.groupBy("component").agg(F.min(F.struct("id", "same")).alias("best"))
-    named = known.join(names, "component").select(F.col("same").alias("__same"), F.col("best.id").alias("__name"), (F.col("best.same") == F.col("same")).alias("__first"))
-    out = rows.join(named, rows["same"] == named["__same"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("__name", "id")))
+    named = known.join(by_shuffle(names), "component").select(F.col("same").alias("__same"), F.col("best.id").alias("__name"), (F.col("best.same") == F.col("same")).alias("__first"))
+    out = rows.join(by_shuffle(named), rows["same"] == named["__same"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("__name", "id")))
     first = F.coalesce(F.col("__first") | F.col("__name").isNull(), F.lit(True))
     return out.select("id", "t", "n", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("stays"), first.alias("first"))
 

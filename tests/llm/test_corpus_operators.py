@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import tidy
 from quire.llm import catalog, components, exact_dedup, mixing, near_dedup, neighbours, sharding, url_filter
+from quire.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,6 +152,23 @@ def test_near_groups_with_full_maps_equal_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, 2).collect()} == brute_components(texts, 2, 80)
 
 
+def test_near_dedup_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Spark takes all tables of this size for small ones; only the maps, which have the same size for any input, are broadcast."""
+    plans = []
+
+    def noted(df, what):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")))
+        return stored(df, what)
+
+    monkeypatch.setattr(near_dedup, "stored", noted)
+    monkeypatch.setattr(components, "stored", noted)
+    docs = spark.createDataFrame(list(near_texts().items()), "doc_id long, text string")
+    out = near_dedup.near_groups(docs, 2)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {what for what, _ in plans} >= {"buckets", "spokes", "pairs", "links", "edges", "sets"}
+    assert {what: n for what, n in plans if n} == {"sets": 1}
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     docs = spark.createDataFrame([(3, a + " x"), (7, a), (7, b), (9, b), (9, b), (7, a)], "doc_id long, text string")
