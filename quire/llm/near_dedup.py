@@ -45,6 +45,8 @@ DISTANCE, FAR = 2 * CHUNKS - 1, 21
 BLOCK = 65_536
 #: Maps of 32,768 bits that tell which texts may be wanted: 4 MB at any size of the tables.
 MAPS, BITS_OF_MAP = 1024, 32_768
+#: Rows of two numbers that are few enough to be broadcast, so that whole texts stay where they are.
+FEW = 65_536
 #: Words that a worker remembers with their hashes before it starts anew.
 CACHE = 300_000
 
@@ -303,6 +305,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     """docs with all its columns, one document of each group. Of texts with the same id and near to each other one stays, too."""
     lost = _grouped(docs, size, percent, id_col, text_col).where("not stays or not first").select(F.col("id").alias("__lost"), F.col("t").alias("__t")).where("__lost is not null").distinct()
     lost = stored(lost, "lost")
+    lost = F.broadcast(lost) if lost.count() <= FEW else by_shuffle(lost)
     return docs.join(lost, (docs[id_col].cast("long") == lost["__lost"]) & (F.xxhash64(docs[text_col]) == lost["__t"]), "left_anti")
 
 

@@ -167,6 +167,11 @@ def test_near_dedup_broadcasts_no_table_that_grows(spark, monkeypatch):
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert {what for what, _ in plans} >= {"buckets", "spokes", "pairs", "links", "edges", "sets"}
     assert {what: n for what, n in plans if n} == {"sets": 1}
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    large = near_dedup.drop_near_duplicates(docs, 2)
+    assert "BroadcastExchange" not in large._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(near_dedup, "FEW", 1000)
+    assert sorted(large.collect()) == sorted(near_dedup.drop_near_duplicates(docs, 2).collect())
 
 
 def test_near_duplicates_of_repeated_ids(spark):
