@@ -181,6 +181,19 @@ def test_page_diffs_equal_difflib_and_end_on_long_pages():
     assert len(diff.page_diffs(*long)) > 10 and time.perf_counter() - began < 20
 
 
+def test_short_ranges_are_searched_as_strings(monkeypatch):
+    """Most of the ranges of two texts that have little in common are short: few are worth an array's search, and both ways agree."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlucm", k=rng.randint(2, 9))) for _ in range(300)) for _ in range(3)]
+    pairs = [(texts[0], texts[1]), (texts[1], texts[2]), (texts[0], texts[0][:900] + texts[2] + "é中" + texts[0][700:])]
+    calls, common = [], diff.Pair.common
+    monkeypatch.setattr(diff.Pair, "common", lambda self, *a: calls.append(a) or common(self, *a))
+    got, many = [diff.page_diffs(a, b, 5) for a, b in pairs], len(calls)
+    monkeypatch.setattr(diff, "SMALL", -1)
+    assert got == [diff.page_diffs(a, b, 5) for a, b in pairs] and sum(map(len, got)) > 20
+    assert many * 3 < len(calls) - many
+
+
 def test_layer_diff_of_whole_normalised_texts(spark):
     from quire.plans.line_queries import diff_pairs
 
