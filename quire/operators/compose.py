@@ -14,6 +14,7 @@ from quire.functions.markup import table_attributes
 from quire.functions.text import entities_escaped, ordered_concat, title_key, ustrip
 from quire.operators.lines import HEADING, heading_level, toc_tail
 from quire.shipping import ship
+from quire.storage import stored
 
 
 def flattened_outline(entries: DataFrame, keep_broken: bool = False, top_only: bool = False) -> DataFrame:
@@ -50,6 +51,8 @@ def packed_chapters(chapters: DataFrame, max_pages: int) -> DataFrame:
 
 #: Letters of a common beginning, and the length beyond which one title may stand inside the other; lengths that differ by less are alike.
 BEGIN, INSIDE = 8, 12
+#: Short headings up to this number are broadcast.
+FEW = 65_536
 #: No heading begins or reads like this entry.
 NONE = -(1 << 62)
 
@@ -58,21 +61,26 @@ def inside(keys: DataFrame, headings: DataFrame) -> DataFrame:
     """(book_id, entry, of) of distinct long titles (book_id, key, entry) and headings (book_id, heading, of) that stand inside each other.
 
     By equal joins on INSIDE + 1 letters, or on the whole of a shorter heading: the inner title's first letters stand in the outer one.
+    Both tables are read several times, so they should be stored. Titles' pieces are many rows of one, which Spark's sizes don't tell, so
+    they are never broadcast; short headings, of which there are few as a rule, are, so pieces of their lengths stay where they are made.
     """
     most = INSIDE + 1
-    long = keys.where(F.length("key") > INSIDE)
-    sizes = headings.agg(F.collect_set(F.least(F.lit(most), F.length("heading"))).alias("sizes"))
+    long, long_headings, short = keys.where(F.length("key") > INSIDE), headings.where(F.length("heading") > INSIDE), headings.where(F.length("heading") <= INSIDE)
+    short = (F.broadcast(short) if short.count() <= FEW else short.hint("merge")).withColumnRenamed("heading", "letters")
+    sizes = short.agg(F.collect_set(F.length("letters")).alias("sizes"))
 
     def pieces(c: str, sizes: Column) -> Column:
         starts = lambda k: F.when(F.length(c) >= k, F.sequence(F.lit(1), F.length(c) - k + 1)).otherwise(F.array().cast("array<int>"))
         return F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(starts(k), lambda i: F.substr(F.col(c), i, k))))))
 
-    both = ["book_id", "letters"]
-    within = long.withColumn("letters", F.left("key", F.lit(most))).join(headings.where(F.length("heading") > INSIDE).withColumn("letters", pieces("heading", F.array(F.lit(most)))), both)
-    # sizes is one row, of 13 numbers at most.
-    around = long.crossJoin(F.broadcast(sizes)).withColumn("letters", pieces("key", F.col("sizes"))).drop("sizes").join(headings.withColumn("letters", F.left("heading", F.lit(most))), both)
+    both, whole = ["book_id", "letters"], F.array(F.lit(most))
+    begin = lambda df, c: df.withColumn("letters", F.left(c, F.lit(most))).hint("merge")
+    within = long_headings.withColumn("letters", pieces("heading", whole)).join(begin(long, "key"), both)
+    around = long.withColumn("letters", pieces("key", whole)).join(begin(long_headings, "heading"), both)
+    # sizes is one row, of 12 numbers at most; a piece of such a length is the whole heading.
+    shorter = long.crossJoin(F.broadcast(sizes)).withColumn("letters", pieces("key", F.col("sizes"))).drop("sizes").join(short, both)
     found = within.where(F.contains("heading", "key")).select("book_id", "entry", "of").unionByName(around.where(F.contains("key", "heading")).select("book_id", "entry", "of"))
-    return found.distinct()
+    return found.unionByName(shorter.select("book_id", "entry", "of")).distinct()
 
 
 def outline_lines(outline: DataFrame, headings: DataFrame) -> DataFrame:
@@ -82,17 +90,19 @@ def outline_lines(outline: DataFrame, headings: DataFrame) -> DataFrame:
 
     Where an entry goes depends on all before it, so a book is one sequential pass. It sees a few numbers for each entry and heading:
     titles are numbered by their first line, those inside each other are linked, title by title, and a common beginning is looked up
-    with the lengths that are alike. Pairs of entries and headings are made nowhere.
+    with the lengths that are alike. Pairs of entries and headings are made nowhere. Stored titles are smaller as files than in
+    memory, so none of these tables is broadcast.
     """
     ship(outline.sparkSession)
     a = outline.select("book_id", F.col("seq").cast("long").alias("seq"), title_key(F.col("title")).alias("key")).where("key <> '' and book_id is not null")
     b = headings.select("book_id", F.col("line_no").cast("long").alias("line_no"), title_key(F.col("title")).alias("heading")).where("heading <> '' and book_id is not null")
-    keys, titles = a.groupBy("book_id", "key").agg(F.min("seq").alias("entry")), b.groupBy("book_id", "heading").agg(F.min("line_no").alias("of"))
+    keys = stored(a.groupBy("book_id", "key").agg(F.min("seq").alias("entry")), "keys")
+    titles = stored(b.groupBy("book_id", "heading").agg(F.min("line_no").alias("of")), "titles")
     begins = titles.where(F.length("heading") >= BEGIN).groupBy("book_id", F.left("heading", F.lit(BEGIN)).alias("letters")).agg(F.min("of").alias("begin"))
-    links = inside(keys, titles).unionByName(keys.join(titles.withColumnRenamed("heading", "key"), ["book_id", "key"]).select("book_id", "entry", "of"))
-    begun = lambda df, c: df.withColumn("letters", F.left(c, F.lit(BEGIN))).join(begins, ["book_id", "letters"], "left")
-    asks = begun(a.join(keys, ["book_id", "key"]), "key").select("book_id", F.lit(0).alias("what"), F.col("seq").alias("x"), F.col("entry").alias("k"), F.coalesce("begin", F.lit(NONE)).alias("p"), F.length("key").cast("long").alias("n"))
-    has = begun(b.join(titles, ["book_id", "heading"]), "heading").select("book_id", F.lit(1).alias("what"), F.col("line_no").alias("x"), F.col("of").alias("k"), F.coalesce("begin", F.lit(NONE)).alias("p"), F.length("heading").cast("long").alias("n"))
+    links = inside(keys, titles).unionByName(keys.join(titles.withColumnRenamed("heading", "key").hint("merge"), ["book_id", "key"]).select("book_id", "entry", "of"))
+    begun = lambda df, c: df.withColumn("letters", F.left(c, F.lit(BEGIN))).join(begins.hint("merge"), ["book_id", "letters"], "left")
+    asks = begun(a.join(keys.hint("merge"), ["book_id", "key"]), "key").select("book_id", F.lit(0).alias("what"), F.col("seq").alias("x"), F.col("entry").alias("k"), F.coalesce("begin", F.lit(NONE)).alias("p"), F.length("key").cast("long").alias("n"))
+    has = begun(b.join(titles.hint("merge"), ["book_id", "heading"]), "heading").select("book_id", F.lit(1).alias("what"), F.col("line_no").alias("x"), F.col("of").alias("k"), F.coalesce("begin", F.lit(NONE)).alias("p"), F.length("heading").cast("long").alias("n"))
     linked = links.select("book_id", F.lit(2).alias("what"), F.col("of").alias("x"), F.col("entry").alias("k"), F.lit(NONE).alias("p"), F.lit(0).cast("long").alias("n"))
 
     def scan(book: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +130,7 @@ def outline_lines(outline: DataFrame, headings: DataFrame) -> DataFrame:
         return out
 
     lines = asks.unionByName(has).unionByName(linked).groupBy("book_id").applyInPandas(scan, "book_id string, seq long, line_no long")
-    return outline.select("book_id", F.col("seq").cast("long").alias("seq")).join(lines, ["book_id", "seq"], "left")
+    return outline.select("book_id", F.col("seq").cast("long").alias("seq")).join(lines.hint("merge"), ["book_id", "seq"], "left")
 
 
 def plan(found: DataFrame, lengths: DataFrame) -> DataFrame:

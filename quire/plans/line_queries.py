@@ -47,8 +47,9 @@ def nested(s, d):
 
 
 def headings(s, d):
-    """The beginning of each page as a heading of its book."""
-    return pages(s, d).select("book_id", F.col("page_no").alias("line_no"), F.left("text", F.lit(40)).alias("title"), "doc_id")
+    """The beginning of each page as a heading of its book; cut where a document is read, so no text is shuffled."""
+    begin = F.left("text", F.lit(40)).alias("title")
+    return P.book_pages(table(s, d, "documents"), begin).select("book_id", F.col("page_no").alias("line_no"), "title", "doc_id")
 
 
 def layer(s, d):

@@ -24,6 +24,28 @@ def test_outlines_of_like_titles_make_no_pairs(spark):
     assert out.where("line_no = seq").count() == 3000
 
 
+def test_headings_are_cut_where_they_are_read(spark):
+    from quire.plans import line_queries
+
+    plan = line_queries.headings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("substring(text") > plan.index("Exchange hashpartitioning")
+
+
+def test_titles_pieces_are_not_broadcast_and_short_headings_are_whole(spark, monkeypatch):
+    keys = spark.createDataFrame([("b", "theendofallthings", 1), ("b", "anotherlongtitle", 2), ("c", "theendofallthings", 3)], "book_id string, key string, entry long")
+    heads = spark.createDataFrame([("b", "end", 10), ("b", "xtheendofallthingsx", 11), ("b", "therlongtitle", 12), ("b", "long", 13), ("c", "ending", 14)], "book_id string, heading string, of long")
+    want = [("b", 1, 10), ("b", 1, 11), ("b", 2, 12), ("b", 2, 13)]
+    found = compose.inside(keys, heads)
+    assert sorted(map(tuple, found.collect())) == want
+    # The short headings and their sizes; pieces are shuffled.
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= 2 * 2
+    monkeypatch.setattr(compose, "FEW", 1)
+    large = compose.inside(keys, heads)
+    assert sorted(map(tuple, large.collect())) == want
+    plan = large._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 3
+
+
 def test_rendering(spark):
     text = "## 3.1 Title\nSome `code` & text that is long enough.\n- one\n- two\nx = 1;\n\ny = 2;"
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
